@@ -11,6 +11,7 @@ from tracelake.llm.license_scan import license_scan
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.secret_scan import secret_scan
+from tracelake.llm.toxicity import held_out, toxicity
 
 
 def op2_chat_format(spark, sf_dir):
@@ -28,6 +29,12 @@ def op3_secret_scan(spark, sf_dir):
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -59,6 +66,6 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_secret_scan, op6_quality_rules, op8_decontaminate, op9_license_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_secret_scan, op5_toxicity, op6_quality_rules, op8_decontaminate, op9_license_scan, op10_line_dedup)}
 
 ORACLES = {}
