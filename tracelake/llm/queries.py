@@ -9,6 +9,7 @@ from tracelake.llm.common import table
 from tracelake.llm.decontaminate import decontaminate
 from tracelake.llm.license_scan import license_scan
 from tracelake.llm.line_dedup import line_dedup
+from tracelake.llm.ngram_join import ngram_join
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.secret_scan import secret_scan
 from tracelake.llm.toxicity import held_out, toxicity
@@ -39,6 +40,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -66,6 +71,6 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_secret_scan, op5_toxicity, op6_quality_rules, op8_decontaminate, op9_license_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_secret_scan, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup)}
 
 ORACLES = {}
