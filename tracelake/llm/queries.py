@@ -10,11 +10,16 @@ from tracelake.llm.decontaminate import decontaminate
 from tracelake.llm.license_scan import license_scan
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.ngram_join import ngram_join
+from tracelake.llm.packing import best_fit_packing
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.secret_scan import secret_scan
 from tracelake.llm.toxicity import held_out, toxicity
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark, sf_dir):
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
@@ -71,6 +76,6 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_secret_scan, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup)}
 
 ORACLES = {}
