@@ -13,6 +13,7 @@ from tracelake.llm.ngram_join import ngram_join
 from tracelake.llm.packing import best_fit_packing
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.secret_scan import secret_scan
+from tracelake.llm.suffix_dedup import suffix_dedup
 from tracelake.llm.toxicity import held_out, toxicity
 
 
@@ -35,6 +36,11 @@ def op3_secret_scan(spark, sf_dir):
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity(docs, table(spark, sf_dir, "labels"))
@@ -76,6 +82,6 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup)}
 
 ORACLES = {}
