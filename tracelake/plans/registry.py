@@ -1,4 +1,641 @@
-"""Registered queries of the core library, and their SQL."""
+"""Registered queries of the core library over the driver's tables, and the same in DuckDB's SQL.
 
-QUERIES = {}
-ORACLES = {}
+Numbers are rounded on both sides. Queries without SQL run kernels that SQL does not have;
+tests hold them against closed forms.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracelake.functions import arrays as A
+from tracelake.operators import event_joins as J
+from tracelake.operators import regions as R
+from tracelake.operators import signals as G
+from tracelake.operators import spikes as E
+from tracelake.operators import statistics as S
+from tracelake.operators import video as V
+from tracelake.sources import tables as T
+
+FS = 10.0
+RANK = 64
+HEIGHT, WIDTH = 20, 25
+NUDGE = 1.234e-9
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
+    """df with doubles rounded, negative zero as zero. The nudge takes sums of short decimals off exact halves."""
+    return df.select(*[(F.round(F.col(c) + NUDGE, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+BASE = """WITH fe AS (SELECT CAST(user_id AS VARCHAR) AS roi_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value, event_type FROM events),
+tr AS (SELECT roi_id, frame, value FROM fe),
+ea AS (SELECT roi_id, row_number() OVER (PARTITION BY roi_id ORDER BY frame) - 1 AS event_idx, frame FROM fe WHERE event_type = 'error'),
+eb AS (SELECT roi_id, row_number() OVER (PARTITION BY roi_id ORDER BY frame) - 1 AS event_idx, frame FROM fe WHERE event_type = 'purchase'),
+ch AS (SELECT CAST(l_suppkey AS VARCHAR) AS roi_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS frame, l_extendedprice AS value, l_quantity AS background FROM lineitem),
+win AS (SELECT e.roi_id, e.event_idx, e.frame, o.o AS "offset", t.value FROM ea e CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS o) o LEFT JOIN tr t ON t.roi_id = e.roi_id AND t.frame = e.frame + o.o),
+px AS (SELECT CAST(vec_id // 25 AS INT) AS "row", CAST(vec_id % 25 AS INT) AS col, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS VARCHAR) AS roi_id FROM embeddings)
+"""
+
+
+def R5(x: str, name: str, digits: int = 5) -> str:
+    return f"ROUND({x} + {NUDGE}, {digits}) + 0.0 AS {name}"
+
+
+def _errors(spark, sf):
+    return T.events(spark, sf, "error")
+
+
+def _purchases(spark, sf):
+    return T.events(spark, sf, "purchase")
+
+
+# Windows around events.
+
+
+@query(BASE + f'SELECT roi_id, "offset", {R5("avg(value)", "mean")}, {R5("stddev_pop(value)", "std")}, {R5("stddev_pop(value) / sqrt(nullif(count(value), 0))", "sem")}, count(value) AS n FROM win GROUP BY ALL')
+def peri_event_mean(spark, sf):
+    return rounded(S.event_template(T.traces(spark, sf), _errors(spark, sf), 3, 3))
+
+
+@query(BASE + f'SELECT roi_id, event_idx, frame, "offset", {R5("value", "value")} FROM win')
+def event_windows(spark, sf):
+    return rounded(J.event_windows(T.traces(spark, sf), _errors(spark, sf), 3, 3))
+
+
+@query(BASE + f'SELECT roi_id, event_idx, frame, {R5("avg(value)", "mean")}, count(value) AS n FROM win GROUP BY ALL')
+def packed_event_windows(spark, sf):
+    w = J.packed_windows(T.pack(T.traces(spark, sf)), _errors(spark, sf), 3, 3)
+    return rounded(w.select("roi_id", "event_idx", "frame", A.array_mean("window").alias("mean"), F.size(F.filter("window", lambda x: x.isNotNull())).cast("bigint").alias("n")))
+
+
+@query(BASE + "SELECT a.roi_id, a.event_idx, a.frame, coalesce(string_agg(CAST(b.frame AS VARCHAR), ',' ORDER BY b.frame), '') AS neighbors FROM ea a LEFT JOIN eb b ON a.roi_id = b.roi_id AND b.frame - a.frame BETWEEN -5 AND 8 GROUP BY ALL")
+def neighbor_events(spark, sf):
+    return J.neighbor_events(_errors(spark, sf), _purchases(spark, sf), 5, 8).withColumn("neighbors", F.array_join(F.col("neighbors").cast("array<string>"), ","))
+
+
+@query(
+    BASE
+    + """, p AS (SELECT a.roi_id, a.event_idx, a.frame, b.frame AS o, row_number() OVER (PARTITION BY a.roi_id, a.event_idx ORDER BY abs(b.frame - a.frame), b.frame) AS k
+FROM ea a JOIN eb b ON a.roi_id = b.roi_id AND b.frame - a.frame BETWEEN -5 AND 8)
+SELECT a.roi_id, a.event_idx, a.frame, coalesce(string_agg(CAST(p.o AS VARCHAR), ',' ORDER BY p.o), '') AS neighbors FROM ea a LEFT JOIN p ON p.roi_id = a.roi_id AND p.event_idx = a.event_idx AND p.k <= 2 GROUP BY ALL"""
+)
+def neighbor_topn(spark, sf):
+    return J.neighbor_events(_errors(spark, sf), _purchases(spark, sf), 5, 8, 2).withColumn("neighbors", F.array_join(F.col("neighbors").cast("array<string>"), ","))
+
+
+@query(BASE + "SELECT a.roi_id, a.event_idx, a.frame, arg_min(b.frame, abs(b.frame - a.frame) * 1000000 + b.frame) AS nearest FROM ea a LEFT JOIN eb b ON a.roi_id = b.roi_id AND b.frame - a.frame BETWEEN -5 AND 8 GROUP BY ALL")
+def nearest_event(spark, sf):
+    return J.nearest_event(_errors(spark, sf), _purchases(spark, sf), 5, 8)
+
+
+@query(BASE + "SELECT a.roi_id, a.event_idx, a.frame, (SELECT count(*) FROM ea b WHERE b.roi_id = a.roi_id AND abs(b.frame - a.frame) <= 4) - 1 AS n_neighbors FROM ea a")
+def count_neighbors(spark, sf):
+    return J.count_neighbors(_errors(spark, sf), 4)
+
+
+@query(BASE + ", k AS (SELECT unnest(generate_series(0, 19)) * 10 AS anchor), r AS (SELECT DISTINCT roi_id FROM tr) SELECT r.roi_id, k.anchor, count(e.frame) AS n FROM r CROSS JOIN k LEFT JOIN ea e ON e.roi_id = r.roi_id AND abs(e.frame - k.anchor) <= 8 GROUP BY ALL")
+def events_to_trace(spark, sf):
+    return J.hopping_counts(_errors(spark, sf), T.traces(spark, sf), 10, 15, 200)
+
+
+@query(
+    BASE
+    + f""", r AS (SELECT roi_id AS trace_roi FROM tr WHERE CAST(roi_id AS BIGINT) % 25 = 0 GROUP BY 1)
+SELECT r.trace_roi, e.roi_id, o.o AS "offset", {R5("avg(t.value)", "mean")} FROM ea e CROSS JOIN r CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS o) o LEFT JOIN tr t ON t.roi_id = r.trace_roi AND t.frame = e.frame + o.o GROUP BY ALL"""
+)
+def cross_event_means(spark, sf):
+    """Events of every roi on the traces of the rois asked for: a selection is an argument of this operator."""
+    wanted = T.traces(spark, sf).where("cast(roi_id AS bigint) % 25 = 0")
+    return rounded(J.cross_windows(wanted, _errors(spark, sf), 1, 1).groupBy("trace_roi", "roi_id", "offset").agg(F.avg("value").alias("mean")))
+
+
+@query(BASE + f", n AS (SELECT roi_id, count(*) AS n FROM tr GROUP BY 1), s AS (SELECT roi_id, unnest(generate_series(0, n - 1)) AS frame FROM n) SELECT s.roi_id, s.frame, {R5('e.event_idx * 1.5', 'value')} FROM s LEFT JOIN ea e ON e.roi_id = s.roi_id AND e.frame = s.frame")
+def embed_events(spark, sf):
+    n = T.traces(spark, sf).groupBy("roi_id").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(J.embed_events(_errors(spark, sf), F.col("event_idx") * 1.5, n))
+
+
+# Statistics of events.
+
+
+@query(BASE + f"SELECT roi_id, event_idx, frame, {R5('max(value) - min(value)', 'ptt')} FROM win GROUP BY ALL")
+def peak_to_trough(spark, sf):
+    return rounded(S.peak_to_trough(T.traces(spark, sf), _errors(spark, sf), 3, 3))
+
+
+@query(
+    BASE
+    + f""", tp AS (SELECT roi_id, "offset", avg(value) AS t FROM win GROUP BY ALL), sz AS (SELECT roi_id, sqrt(sum(t * t)) AS size FROM tp GROUP BY 1)
+SELECT w.roi_id, w.event_idx, w.frame, {R5('sum(tp.t * w.value) / CASE WHEN any_value(sz.size) = 0 THEN 1 ELSE any_value(sz.size) END', 'magnitude')} FROM win w JOIN tp USING (roi_id, "offset") JOIN sz USING (roi_id) GROUP BY ALL"""
+)
+def template_magnitude(spark, sf):
+    return rounded(S.template_magnitudes(T.traces(spark, sf), _errors(spark, sf), 3, 3))
+
+
+@query(
+    BASE
+    + f""", a AS (SELECT roi_id, event_idx, frame, avg(value) FILTER ("offset" >= 2) - avg(value) FILTER ("offset" <= -2) AS diff,
+sqrt((var_pop(value) FILTER ("offset" >= 2) + var_pop(value) FILTER ("offset" <= -2)) / 2) AS pooled FROM win GROUP BY ALL)
+SELECT roi_id, event_idx, frame, {R5('diff', 'diff', 4)}, {R5("CASE WHEN pooled > 0 THEN diff / pooled WHEN diff = 0 THEN 0 WHEN diff > 0 THEN CAST('inf' AS DOUBLE) WHEN diff < 0 THEN CAST('-inf' AS DOUBLE) END", 'd_prime', 4)} FROM a"""
+)
+def onset_offset(spark, sf):
+    return rounded(S.onset_offset(T.traces(spark, sf), _errors(spark, sf), 3, 3, 2), 4)
+
+
+_LABELLED = """, lb AS (SELECT a.roi_id, a.event_idx, a.frame, CASE WHEN (SELECT count(*) FROM ea b WHERE b.roi_id = a.roi_id AND abs(b.frame - a.frame) <= 4) > 1 THEN 'BS'
+WHEN (SELECT avg(w.value) FILTER (w."offset" > 0) - avg(w.value) FILTER (w."offset" < 0) FROM win w WHERE w.roi_id = a.roi_id AND w.event_idx = a.event_idx) > 0 THEN 'SS-ADP' ELSE 'SS-noADP' END AS label FROM ea a)
+"""
+
+
+def _labels(spark, sf):
+    return S.classify_events(T.traces(spark, sf), _errors(spark, sf), 4, 3)
+
+
+@query(BASE + _LABELLED + "SELECT * FROM lb")
+def classify_events(spark, sf):
+    return _labels(spark, sf)
+
+
+_KINDS = ["BS", "SS-ADP", "SS-noADP"]
+
+
+@query(
+    BASE
+    + _LABELLED
+    + "SELECT roi_id, "
+    + ", ".join(f"count(*) FILTER (label = '{k}') AS \"n_{k}\", ROUND(count(*) FILTER (label = '{k}') / count(*), 5) + 0.0 AS \"p_{k}\"" for k in _KINDS)
+    + " FROM lb GROUP BY 1"
+)
+def label_proportions(spark, sf):
+    return rounded(S.label_proportions(_labels(spark, sf), _KINDS))
+
+
+@query(
+    BASE
+    + _LABELLED
+    + f""", m AS (SELECT l.roi_id, l.event_idx, l.label, arg_min(b.frame, abs(b.frame - l.frame) * 1000000 + b.frame) AS f FROM lb l JOIN eb b ON b.roi_id = l.roi_id AND abs(b.frame - l.frame) <= 6 GROUP BY ALL)
+SELECT m.label, o.o AS "offset", {R5("avg(t.value)", "mean")}, {R5("stddev_pop(t.value)", "std")}, count(t.value) AS n FROM m CROSS JOIN (SELECT unnest(generate_series(-2, 2)) AS o) o LEFT JOIN tr t ON t.roi_id = m.roi_id AND t.frame = m.f + o.o GROUP BY ALL"""
+)
+def grouped_type_stats(spark, sf):
+    return rounded(S.grouped_type_stats(T.traces(spark, sf), _labels(spark, sf), _purchases(spark, sf), 6, 2, 2))
+
+
+_BACK = """, bk AS (SELECT roi_id, frame, value, CASE WHEN count(*) OVER w = 21 THEN 2 * stddev_pop(CASE WHEN value > 0 THEN value END) OVER w END AS background FROM tr WINDOW w AS (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING))
+"""
+
+
+@query(BASE + _BACK + f"SELECT roi_id, frame, {R5('value', 'value')}, {R5('background', 'background')} FROM bk")
+def rolling_background(spark, sf):
+    return rounded(S.rolling_background(T.traces(spark, sf), 10))
+
+
+_METRICS = (
+    _BACK
+    + """, me AS (SELECT e.roi_id, e.event_idx, e.frame, any_value(b.value) AS raw_dff, any_value(b.background) AS background, max(t.value) - min(t.value) AS ptt
+FROM ea e JOIN bk b USING (roi_id, frame) LEFT JOIN tr t ON t.roi_id = e.roi_id AND t.frame BETWEEN e.frame AND e.frame + 3 GROUP BY ALL),
+mt AS (SELECT *, ptt / nullif(background, 0) AS sbr FROM me)
+"""
+)
+
+
+def _metrics(spark, sf):
+    return S.spike_metrics(T.traces(spark, sf), _errors(spark, sf), FS, 10, 3)
+
+
+@query(BASE + _METRICS + f"SELECT roi_id, event_idx, frame, {R5('frame / 10.0', 'spike_time_s')}, {R5('raw_dff', 'raw_dff')}, {R5('ptt', 'peak_to_trough_dff')}, {R5('background', 'background')}, {R5('sbr', 'sbr')} FROM mt")
+def spike_metrics(spark, sf):
+    return rounded(_metrics(spark, sf))
+
+
+_BINS = (
+    _METRICS
+    + """, b1 AS (SELECT roi_id, frame // 20 AS bin, avg(value) AS mean_F, count(*) AS frames FROM tr GROUP BY ALL),
+b2 AS (SELECT roi_id, frame // 20 AS bin, count(sbr) AS n, avg(sbr) AS mean_sbr, avg(background) AS background_noise FROM mt GROUP BY ALL),
+bn AS (SELECT roi_id, bin * 2.0 AS bin_time_s, mean_F, coalesce(n, 0) / frames * 10.0 AS spike_rate, mean_sbr, mean_F AS mean_dff, background_noise FROM b1 LEFT JOIN b2 USING (roi_id, bin))
+"""
+)
+
+
+def _binned(spark, sf):
+    t = T.traces(spark, sf)
+    return S.binned_stats(t, t, _metrics(spark, sf), FS, 2.0)
+
+
+@query(BASE + _BINS + "SELECT roi_id, " + ", ".join(R5(c, c) for c in ("bin_time_s", "mean_F", "spike_rate", "mean_sbr", "mean_dff", "background_noise")) + " FROM bn")
+def binned_stats(spark, sf):
+    return rounded(_binned(spark, sf))
+
+
+_TREND = """, lg AS (SELECT roi_id, bin_time_s AS x, 'mean_F' AS metric, mean_F AS y FROM bn UNION ALL SELECT roi_id, bin_time_s, 'mean_sbr', mean_sbr FROM bn),
+ft AS (SELECT roi_id, metric, count(y) AS n, min(y) AS least, regr_slope({y}, x) AS a, regr_intercept({y}, x) AS b, regr_r2({y}, x) AS r FROM lg WHERE y IS NOT NULL GROUP BY ALL)
+"""
+
+
+@query(BASE + _BINS + _TREND.format(y="y") + f"SELECT roi_id, metric, {R5('CASE WHEN n >= 2 THEN a * 60 END', 'change_per_min', 4)}, {R5('CASE WHEN n >= 2 THEN b END', 'intercept', 4)}, {R5('CASE WHEN n >= 2 THEN r END', 'r2', 4)} FROM ft")
+def trend_fits(spark, sf):
+    return rounded(S.trend_fits(_binned(spark, sf), ["mean_F", "mean_sbr"]), 4)
+
+
+@query(
+    BASE
+    + _BINS
+    + _TREND.format(y="CASE WHEN y > 0 THEN ln(y) END")
+    + f"SELECT roi_id, metric, {R5('CASE WHEN n >= 2 AND least > 0 THEN (exp(a) - 1) * 6000 END', 'pct_per_min', 4)}, {R5('CASE WHEN n >= 2 AND least > 0 THEN exp(b) END', 'initial', 4)}, {R5('CASE WHEN n >= 2 AND least > 0 THEN r END', 'r2', 4)} FROM ft"
+)
+def log_trend_fits(spark, sf):
+    return rounded(S.trend_fits(_binned(spark, sf), ["mean_F", "mean_sbr"], log=True), 4)
+
+
+# Traces.
+
+
+@query(BASE + f"SELECT roi_id, frame, {R5('(value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END', 'value')} FROM tr WINDOW w AS (PARTITION BY roi_id)")
+def zscore(spark, sf):
+    return rounded(S.zscore(T.traces(spark, sf)))
+
+
+@query(BASE + f", m AS (SELECT roi_id, CASE WHEN median(value) = 0 THEN 1 ELSE median(value) END AS m FROM tr GROUP BY 1) SELECT roi_id, frame, {R5('100 * (value - m) / m', 'value', 4)} FROM tr JOIN m USING (roi_id)")
+def dff_median(spark, sf):
+    return rounded(S.dff_median(T.traces(spark, sf)), 4)
+
+
+@query(
+    BASE
+    + f", s AS (SELECT roi_id, avg(value) + 1.5 * stddev_pop(value) AS top FROM tr GROUP BY 1), h AS (SELECT roi_id, frame, least(value, top) AS v FROM tr JOIN s USING (roi_id)), m AS (SELECT roi_id, median(v) AS m FROM h GROUP BY 1) SELECT roi_id, frame, {R5('v - m', 'value')} FROM h JOIN m USING (roi_id)"
+)
+def clip_center(spark, sf):
+    return rounded(S.clip_center(T.traces(spark, sf), 1.5))
+
+
+@query("SELECT p_partkey, p_size, ROUND(rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0, 1) + 0.0 AS rank FROM part")
+def rank_average(spark, sf):
+    return rounded(S.rank_average(T.table(spark, sf, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", "p_size", F.col("rank").cast("double").alias("rank")), 1)
+
+
+@query(BASE + f", f AS (SELECT roi_id, regr_slope(value, background) AS a, regr_intercept(value, background) AS b FROM ch GROUP BY 1) SELECT roi_id, frame, {R5('value - a * background - b', 'value', 3)} FROM ch JOIN f USING (roi_id)")
+def regress_background(spark, sf):
+    return rounded(S.regress_background(T.channels(spark, sf)), 3)
+
+
+@query(BASE + f", f AS (SELECT roi_id, sum(value * background) / nullif(sum(background * background), 0) AS a FROM ch GROUP BY 1) SELECT roi_id, frame, {R5('value - a * background', 'value', 3)} FROM ch JOIN f USING (roi_id)")
+def regress_through_origin(spark, sf):
+    return rounded(S.regress_background(T.channels(spark, sf), intercept=False), 3)
+
+
+@query(BASE + f"SELECT roi_id, frame, {R5('CASE WHEN count(*) OVER w = 15 THEN value - quantile_cont(value, 0.5) OVER w ELSE 0 END', 'value')} FROM tr WINDOW w AS (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)")
+def rolling_median_hpf(spark, sf):
+    return rounded(E.rolling_median_highpass(T.traces(spark, sf), 7))
+
+
+@query(BASE + f"SELECT roi_id, frame, {R5('avg(value) OVER w', 'mean')} FROM tr WINDOW w AS (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) QUALIFY count(*) OVER w = 5 AND (frame - 2) % 3 = 0")
+def rolling_window_means(spark, sf):
+    return rounded(E.rolling_windows(T.traces(spark, sf), 5, 3).select("roi_id", "frame", A.array_mean("window").alias("mean")))
+
+
+@query(BASE + f"SELECT frame, {R5('avg(value)', 'mean')}, {R5('quantile_cont(value, 0.0)', 'q0')}, {R5('quantile_cont(value, 0.25)', 'q25')}, {R5('quantile_cont(value, 0.75)', 'q75')}, {R5('quantile_cont(value, 1.0)', 'q100')} FROM tr GROUP BY 1")
+def quantile_spread(spark, sf):
+    return rounded(S.quantile_spread(T.traces(spark, sf)))
+
+
+@query(
+    BASE
+    + f""", k AS (SELECT roi_id, (frame - 5) // 15 AS k, frame, value FROM tr WHERE frame >= 5), w AS (SELECT roi_id, k FROM k GROUP BY ALL HAVING count(*) = 15)
+SELECT roi_id, printf('%.2f-%.2fs', (5 + k * 15) / 10.0, (5 + k * 15) / 10.0 + 1.5) AS id, frame - 5 - k * 15 AS frame, {R5('value', 'value')} FROM k JOIN w USING (roi_id, k)"""
+)
+def segment_traces(spark, sf):
+    return rounded(S.segment_traces(T.traces(spark, sf), 5, 15, FS))
+
+
+@query(BASE + "SELECT roi_id, (frame - 5) // 15 AS segment, (frame - 5) % 15 AS frame FROM ea WHERE frame >= 5 AND frame < 65")
+def segment_events(spark, sf):
+    return S.segment_events(_errors(spark, sf), 5, 15, 4)
+
+
+# Detection.
+
+
+_SPIKES = """, ma AS (SELECT roi_id, frame, -value AS raw, -(value - avg(value) OVER w) AS v FROM tr WINDOW w AS (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+nz AS (SELECT *, coalesce(stddev_pop(CASE WHEN v < 0 THEN v END) OVER (PARTITION BY roi_id), stddev_pop(v) OVER (PARTITION BY roi_id)) AS noise, min(raw) OVER (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM ma),
+ab AS (SELECT *, coalesce(v > 1.0 * noise, false) AS above FROM nz),
+st AS (SELECT *, CASE WHEN above AND NOT coalesce(lag(above) OVER (PARTITION BY roi_id ORDER BY frame), false) THEN 1 ELSE 0 END AS s FROM ab),
+il AS (SELECT *, sum(s) OVER (PARTITION BY roi_id ORDER BY frame) AS island FROM st),
+pk AS (SELECT *, row_number() OVER (PARTITION BY roi_id, island ORDER BY v DESC, frame) AS k FROM il WHERE above),
+sp AS (SELECT roi_id, row_number() OVER (PARTITION BY roi_id ORDER BY frame) - 1 AS event_idx, frame, coalesce(raw - before, 0) AS amplitude, CASE WHEN noise > 0 THEN coalesce(raw - before, 0) / noise ELSE coalesce(raw - before, 0) END AS sbr FROM pk WHERE k = 1)
+"""
+
+
+def _spikes(spark, sf):
+    return E.detect_spikes(T.traces(spark, sf), 1.0, 5)
+
+
+@query(BASE + _SPIKES + f"SELECT roi_id, event_idx, frame, {R5('amplitude', 'amplitude')}, {R5('sbr', 'sbr')} FROM sp")
+def detect_spikes(spark, sf):
+    return rounded(_spikes(spark, sf))
+
+
+@query(
+    BASE
+    + """, g AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY roi_id ORDER BY frame) > 4 THEN 1 ELSE 0 END AS s FROM ea), b AS (SELECT *, sum(s) OVER (PARTITION BY roi_id ORDER BY frame) AS burst FROM g)
+SELECT roi_id, CAST(burst AS BIGINT) AS burst, string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame) AS frames FROM b GROUP BY ALL UNION ALL SELECT DISTINCT roi_id, 0, '' FROM tr WHERE roi_id NOT IN (SELECT roi_id FROM ea)"""
+)
+def group_bursts(spark, sf):
+    return E.group_bursts(_errors(spark, sf), 4, T.traces(spark, sf)).withColumn("frames", F.array_join(F.col("frames").cast("array<string>"), ","))
+
+
+@query(BASE + f""", wv AS (SELECT roi_id, "offset", avg(value) AS w FROM win GROUP BY ALL), pt AS (SELECT n.roi_id, n.frame + n."offset" AS frame, sum(wv.w) AS w FROM win n JOIN wv USING (roi_id, "offset") GROUP BY ALL)
+SELECT t.roi_id, t.frame, {R5('t.value - coalesce(pt.w, 0)', 'value')} FROM tr t LEFT JOIN pt ON pt.roi_id = t.roi_id AND pt.frame = t.frame""")
+def despike(spark, sf):
+    return rounded(E.despike(T.traces(spark, sf), _errors(spark, sf), 3, 3))
+
+
+@query(
+    BASE
+    + f""", l AS (SELECT roi_id, max(frame) AS last FROM tr GROUP BY 1), sm AS (SELECT roi_id, frame, avg(value) OVER (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS s FROM tr)
+SELECT t.roi_id, t.frame, {R5('CASE WHEN t.frame < 2 OR t.frame > l.last - 2 OR EXISTS (SELECT 1 FROM ea e WHERE e.roi_id = t.roi_id AND abs(e.frame - t.frame) <= 2) THEN sm.s ELSE t.value END', 'value')} FROM tr t JOIN l USING (roi_id) JOIN sm USING (roi_id, frame)"""
+)
+def despike_impute(spark, sf):
+    t = T.traces(spark, sf)
+    smooth = E.moving_average(t, 5).select("roi_id", "frame", F.col("baseline").alias("value"))
+    return rounded(E.despike_impute(t, _errors(spark, sf), 2, smooth))
+
+
+@query(BASE + "SELECT roi_id, frame FROM (SELECT *, lag(value) OVER (PARTITION BY roi_id ORDER BY frame) AS b FROM tr) WHERE b < 50 AND value > 50")
+def rising_crossings(spark, sf):
+    return E.crossings(T.traces(spark, sf), 50.0)
+
+
+@query(
+    BASE
+    + f""", m AS (SELECT roi_id, frame, value - avg(value) OVER (PARTITION BY roi_id) AS v, background - avg(background) OVER (PARTITION BY roi_id) AS b, count(*) OVER (PARTITION BY roi_id) AS n FROM ch)
+SELECT x.roi_id, l.lag, {R5('sum(x.v * y.b) / max(x.n)', 'r', 3)} FROM m x CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS lag) l JOIN m y ON y.roi_id = x.roi_id AND x.frame = y.frame + l.lag GROUP BY ALL"""
+)
+def cross_correlation(spark, sf):
+    c = T.channels(spark, sf)
+    return rounded(E.cross_correlate(c.select("roi_id", "frame", "value"), c.select("roi_id", "frame", F.col("background").alias("value")), 3), 3)
+
+
+# Ragged arrays.
+
+
+def _lists(spark, sf):
+    return T.table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_totalprice")).alias("prices"))
+
+
+_EDGES = [0.0, 50000.0, 100000.0, 200000.0, 400000.0]
+
+
+@query("SELECT o_custkey, k.k AS bin, count(*) FILTER (o_totalprice >= k.a AND o_totalprice < k.b) AS n FROM orders CROSS JOIN (VALUES (0, 0, 50000), (1, 50000, 100000), (2, 100000, 200000), (3, 200000, 400000)) AS k(k, a, b) GROUP BY ALL")
+def boundsorted_counts(spark, sf):
+    counts = A.boundsorted_counts("prices", F.array(*map(F.lit, _EDGES)))
+    return _lists(spark, sf).select("o_custkey", F.posexplode(counts).alias("bin", "n")).select("o_custkey", "bin", F.col("n").cast("bigint").alias("n"))
+
+
+_DIGITS = "SELECT p_partkey, CAST((p_size {op} 10) AS INT) + CAST((p_size {op} 20) AS INT) + CAST((p_size {op} 30) AS INT) + CAST((p_size {op} 40) AS INT) AS bin FROM part"
+
+
+@query(_DIGITS.format(op=">"))
+def digitize_left(spark, sf):
+    return T.table(spark, sf, "part").select("p_partkey", A.digitize("p_size", F.array(*map(F.lit, (10, 20, 30, 40)))).alias("bin"))
+
+
+@query(_DIGITS.format(op=">="))
+def digitize_right(spark, sf):
+    return T.table(spark, sf, "part").select("p_partkey", A.digitize("p_size", F.array(*map(F.lit, (10, 20, 30, 40))), right=True).alias("bin"))
+
+
+@query(f"SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) - 1 AS k, {R5('o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey)', 'x', 3)} FROM orders")
+def ragged_demean(spark, sf):
+    return rounded(_lists(spark, sf).select("o_custkey", F.posexplode(A.demean("prices")).alias("k", "x")).select("o_custkey", F.col("k").cast("bigint").alias("k"), "x"), 3)
+
+
+@query(f"SELECT o_custkey, {R5('min(o_totalprice)', 'least', 3)}, {R5('max(o_totalprice)', 'most', 3)}, {R5('avg(o_totalprice)', 'mean', 3)}, {R5('stddev_pop(o_totalprice)', 'std', 3)} FROM orders GROUP BY 1")
+def ragged_reduce(spark, sf):
+    return rounded(_lists(spark, sf).select("o_custkey", F.array_min("prices").alias("least"), F.array_max("prices").alias("most"), A.array_mean("prices").alias("mean"), A.array_std("prices").alias("std")), 3)
+
+
+@query("SELECT DISTINCT p_size FROM part")
+def ragged_unique(spark, sf):
+    return T.table(spark, sf, "part").groupBy("p_brand").agg(F.collect_set("p_size").alias("a")).select(F.explode("a").alias("p_size")).distinct()
+
+
+@query("SELECT least(CAST(floor((p_retailprice - a) / nullif(b - a, 0) * 20) AS INT), 19) AS bin, count(*) AS n FROM part CROSS JOIN (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b FROM part) GROUP BY 1")
+def histogram(spark, sf):
+    return S.histogram(T.table(spark, sf, "part").select("p_retailprice"), "p_retailprice", 20)
+
+
+# Pixels.
+
+
+_COS = "list_dot_product(a.v, b.v) / (greatest(sqrt(list_dot_product(a.v, a.v)), 1e-10) * greatest(sqrt(list_dot_product(b.v, b.v)), 1e-10))"
+_CODES = ', ex AS (SELECT roi_id, unnest(v) AS x, unnest(generate_series(1, 64)) AS k FROM px), cd AS (SELECT roi_id, k, avg(x) AS x FROM ex GROUP BY ALL), co AS (SELECT roi_id, list(x ORDER BY k) AS v FROM cd GROUP BY 1)\n'
+
+
+@query(BASE + _CODES + f"SELECT roi_id, k - 1 AS k, {R5('x', 'x')} FROM cd")
+def roi_codes(spark, sf):
+    return rounded(V.roi_codes(T.pixel_codes(spark, sf), RANK).select("roi_id", F.posexplode("code").alias("k", "x")).select("roi_id", F.col("k").cast("bigint").alias("k"), "x"))
+
+
+@query(BASE + _CODES + f'SELECT b.roi_id, a."row", a.col, {R5(_COS, "r")} FROM px a CROSS JOIN co b')
+def correlation_map(spark, sf):
+    px = T.pixel_codes(spark, sf)
+    return rounded(V.correlation_map(px.select("row", "col", "v"), V.roi_codes(px, RANK)))
+
+
+@query(BASE + _CODES + f'SELECT b.roi_id, a."row", a.col, {R5(_COS, "r")} FROM px a JOIN co b USING (roi_id)')
+def pixel_correlations(spark, sf):
+    return rounded(V.pixel_correlations(T.pixel_codes(spark, sf), RANK))
+
+
+@query(
+    BASE
+    + f"""SELECT a."row", a.col, {R5(f'avg({_COS})', 'r')} FROM px a CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS dr) dr CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS dc) dc
+JOIN px b ON b."row" = greatest(0, least(a."row" + dr, 19)) AND b.col = greatest(0, least(a.col + dc, 24)) WHERE dr <> 0 OR dc <> 0 GROUP BY ALL"""
+)
+def local_correlation(spark, sf):
+    return rounded(V.local_correlation(T.pixel_codes(spark, sf), HEIGHT, WIDTH))
+
+
+@query(BASE + _CODES + f', c AS (SELECT b.roi_id, a."row", a.col, {_COS} AS r FROM px a JOIN co b USING (roi_id)), k AS (SELECT *, row_number() OVER (PARTITION BY roi_id ORDER BY ROUND(r, 9) DESC, "row", col) AS rank FROM c) SELECT roi_id, "row", col, {R5("r", "r")}, rank FROM k WHERE rank <= 5')
+def refine_ranking(spark, sf):
+    found = V.pixel_correlations(T.pixel_codes(spark, sf), RANK).withColumn("r", F.round("r", 9))
+    return rounded(V.refine(found, 5).withColumn("rank", F.col("rank").cast("bigint")))
+
+
+def _codes_in_time(spark, sf):
+    """frame, u: the embeddings read as the codes of consecutive frames."""
+    return T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("u"))
+
+
+@query(BASE + f', ex AS (SELECT unnest(v) AS x, unnest(generate_series(1, 64)) AS k FROM px), m AS (SELECT k, avg(x) AS x FROM ex GROUP BY 1), l AS (SELECT list(x ORDER BY k) AS v FROM m) SELECT a."row", a.col, {R5("list_dot_product(a.v, l.v)", "value")} FROM px a CROSS JOIN l')
+def mean_image(spark, sf):
+    return rounded(V.mean_image(_codes_in_time(spark, sf), T.pixel_codes(spark, sf), RANK))
+
+
+@query(BASE + ', w AS (SELECT "row", col, roi_id, 1.0 / count(*) OVER (PARTITION BY roi_id) AS w, v FROM px), ex AS (SELECT roi_id, w * unnest(v) AS x, unnest(generate_series(1, 64)) AS k FROM w), cd AS (SELECT roi_id, k, sum(x) AS x FROM ex GROUP BY ALL), co AS (SELECT roi_id, list(x ORDER BY k) AS v FROM cd GROUP BY 1)\n' + f"SELECT c.roi_id, e.vec_id AS frame, {R5('list_dot_product(c.v, CAST(e.embedding AS DOUBLE[]))', 'value')} FROM co c CROSS JOIN embeddings e")
+def extract_traces(spark, sf):
+    px = T.pixel_codes(spark, sf)
+    weights = R.uniform_weights(px.select("roi_id", "row", "col"))
+    return rounded(V.extract_from_codes(_codes_in_time(spark, sf), px, weights, RANK))
+
+
+@query(
+    BASE
+    + f""", e AS (SELECT CAST(label AS VARCHAR) AS roi_id, vec_id AS frame FROM embeddings WHERE vec_id % 10 = 3), s AS (SELECT e.roi_id, o.o AS "offset", unnest(CAST(m.embedding AS DOUBLE[])) AS x, unnest(generate_series(0, 63)) AS k FROM e CROSS JOIN (SELECT unnest(generate_series(-1, 2)) AS o) o JOIN embeddings m ON m.vec_id = e.frame + o.o)
+SELECT roi_id, "offset", k, {R5('avg(x)', 'x')} FROM s GROUP BY ALL"""
+)
+def event_mean_codes(spark, sf):
+    found = T.table(spark, sf, "embeddings").where("vec_id % 10 = 3").select(F.col("label").cast("string").alias("roi_id"), F.col("vec_id").alias("frame"))
+    mean = V.event_mean_codes(_codes_in_time(spark, sf), found, 1, 2, RANK)
+    return rounded(mean.select("roi_id", "offset", F.posexplode("code").alias("k", "x")).select("roi_id", "offset", F.col("k").cast("bigint").alias("k"), "x"))
+
+
+@query(
+    BASE
+    + """, e AS (SELECT DISTINCT roi_id, "row" AS r, col AS c FROM px), d AS (SELECT roi_id, r AS r0, c AS c0, r AS r1, c + 1 AS c1 FROM e UNION ALL SELECT roi_id, r + 1, c, r + 1, c + 1 FROM e UNION ALL SELECT roi_id, r, c, r + 1, c FROM e UNION ALL SELECT roi_id, r, c + 1, r + 1, c + 1 FROM e)
+SELECT roi_id, r0, c0, r1, c1 FROM d GROUP BY ALL HAVING count(*) = 1"""
+)
+def boundary_edges(spark, sf):
+    return R.boundary_edges(T.pixel_codes(spark, sf))
+
+
+@query(
+    BASE
+    + """, o AS (SELECT * FROM (SELECT unnest(generate_series(-3, 3)) AS dr) CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS dc)),
+bg AS (SELECT DISTINCT roi_id, CAST("row" + dr AS INT) AS "row", CAST(col + dc AS INT) AS col FROM px, o WHERE abs(dr) + abs(dc) <= 3), sm AS (SELECT DISTINCT roi_id, "row" + dr AS "row", col + dc AS col FROM px, o WHERE abs(dr) + abs(dc) <= 1)
+SELECT roi_id, "row", col FROM bg WHERE "row" BETWEEN 0 AND 19 AND col BETWEEN 0 AND 24 AND NOT EXISTS (SELECT 1 FROM sm WHERE sm.roi_id = bg.roi_id AND sm."row" = bg."row" AND sm.col = bg.col)"""
+)
+def annulus_pixels(spark, sf):
+    return R.annuli(T.pixel_codes(spark, sf), 1, 3, HEIGHT, WIDTH, threshold=2.0)
+
+
+@query(BASE + 'SELECT greatest(min("row") - 2, 0) AS row0, least(max("row") + 3, 20) AS row1, greatest(min(col) - 2, 0) AS col0, least(max(col) + 3, 25) AS col1 FROM px WHERE roi_id = \'3\'')
+def crop_bounds(spark, sf):
+    return R.crop_bounds(T.pixel_codes(spark, sf).where("roi_id = '3'"), 2, HEIGHT, WIDTH)
+
+
+@query(BASE + f', e AS (SELECT "row", col, roi_id, v[1] AS value FROM px), s AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM e WINDOW w AS (PARTITION BY roi_id)), z AS (SELECT *, coalesce((value - lo) / nullif(hi - lo, 0), 0) AS x FROM s), g AS (SELECT *, avg(ln(greatest(x, 1e-12))) OVER (PARTITION BY roi_id) AS g FROM z) SELECT roi_id, "row", col, {R5("pow(x, coalesce(ln(0.5) / nullif(g, 0), 1))", "value")} FROM g')
+def gamma_correct(spark, sf):
+    image = T.pixel_codes(spark, sf).select("roi_id", "row", "col", F.get("v", F.lit(0)).alias("value"))
+    return rounded(V.gamma_correct(image))
+
+
+@query()
+def quantile_normalize(spark, sf):
+    return rounded(V.quantile_normalize(T.pixel_codes(spark, sf).select("row", "col", F.get("v", F.lit(0)).alias("value"))))
+
+
+@query(BASE + 'SELECT "row", col, ROUND(max(value), 5) + 0.0 AS value FROM (SELECT "row", col, arg_max(CAST(roi_id AS DOUBLE) / 2, CAST(roi_id AS INT)) AS value FROM px GROUP BY ALL) GROUP BY ALL')
+def paint_regions(spark, sf):
+    px = T.pixel_codes(spark, sf)
+    values = px.select("roi_id").distinct().select("roi_id", F.col("roi_id").cast("int").alias("roi_ord"), (F.col("roi_id").cast("double") / 2).alias("value"))
+    return rounded(R.paint(px, values))
+
+
+# Ids.
+
+
+_IDS = """WITH ids AS (SELECT 'r' || r_regionkey AS id FROM region UNION SELECT 'r' || n_regionkey || '.n' || n_nationkey FROM nation UNION SELECT 'r' || n_regionkey || '.n' || n_nationkey || '.s' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+"""
+
+
+@query(_IDS + "SELECT id, len(string_split(id, '.')) AS depth, CASE WHEN len(string_split(id, '.')) > 1 THEN array_to_string(string_split(id, '.')[:-2], '.') END AS parent FROM ids")
+def id_tree(spark, sf):
+    return R.id_columns(T.region_ids(spark, sf)).select("id", F.col("depth").cast("bigint").alias("depth"), "parent")
+
+
+@query(_IDS + "SELECT a.id, b.id AS ancestor, len(string_split(a.id, '.')) - len(string_split(b.id, '.')) AS distance FROM ids a JOIN ids b ON starts_with(a.id, b.id || '.')")
+def roi_tree_closure(spark, sf):
+    return R.ancestors(T.region_ids(spark, sf)).withColumn("distance", F.col("distance").cast("bigint"))
+
+
+@query(_IDS + "SELECT id, len(string_split(id, '.')) AS depth, repeat('  ', len(string_split(id, '.')) - 1) || string_split(id, '.')[-1] AS label FROM ids")
+def id_outline(spark, sf):
+    return R.topological(T.region_ids(spark, sf)).select("id", F.col("depth").cast("bigint").alias("depth"), "label")
+
+
+# Sets of sessions.
+
+
+@query(f"SELECT o_orderkey, o_orderstatus AS session, {R5('CASE WHEN o_orderstatus = ' + chr(39) + 'F' + chr(39) + ' THEN o_totalprice * 2 ELSE o_totalprice END', 'value', 3)} FROM orders")
+def update_session(spark, sf):
+    rows = T.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("session"), F.col("o_totalprice").alias("value"))
+    return rounded(S.update_session(rows, rows.where("session = 'F'").withColumn("value", F.col("value") * 2)), 3)
+
+
+# Kernels on packed traces.
+
+
+def _packed(spark, sf):
+    return T.pack(T.traces(spark, sf))
+
+
+@query()
+def savgol_smooth(spark, sf):
+    return rounded(T.unpack(G.savgol(_packed(spark, sf), 7, 2)))
+
+
+@query()
+def savgol_dff(spark, sf):
+    return rounded(G.filter_dff(_packed(spark, sf), "savgol_mult", 11))
+
+
+@query()
+def double_exponential_dff(spark, sf):
+    return rounded(G.filter_dff(_packed(spark, sf), "2exp"), 3)
+
+
+@query()
+def highpass_filter(spark, sf):
+    return rounded(T.unpack(G.frequency_filter(_packed(spark, sf), FS, ["<0.5"])))
+
+
+@query()
+def power_spectrum(spark, sf):
+    return rounded(G.power_spectrum(_packed(spark, sf), FS, 16, 8), 4)
+
+
+@query()
+def pairwise_coherence(spark, sf):
+    """Coherence among event types on an hourly clock, all pairs."""
+    return rounded(G.pairwise_coherence(_hourly(spark, sf), 1.0, 16, 8), 4)
+
+
+@query()
+def pairwise_cross_correlation(spark, sf):
+    return rounded(G.pairwise_cross_correlation(_hourly(spark, sf), 5), 4)
+
+
+def _hourly(spark, sf):
+    rows = T.table(spark, sf, "events").select(F.col("event_type").alias("roi_id"), F.expr("cast(floor(unix_micros(cast(ts AS timestamp)) / 3600000000) AS bigint)").alias("frame"), "value")
+    return T.pack(rows.groupBy("roi_id", "frame").agg(F.avg("value").alias("value")))
+
+
+@query()
+def band_phase(spark, sf):
+    return rounded(T.unpack(G.phase(_hourly(spark, sf), 1.0, 0.05, 0.2)), 3)
+
+
+@query()
+def detect_peaks(spark, sf):
+    return rounded(G.detect_peaks(_packed(spark, sf), 60.0, 3, 20.0, 50))
+
+
+@query()
+def randomized_svd(spark, sf):
+    frames = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("pixels"))
+    u, s, _ = V.randomized_svd(frames, RANK, 8)
+    return rounded(u.select("frame", *[F.abs(F.get("u", F.lit(k)) * s[k]).alias(f"c{k}") for k in range(8)]), 3)
