@@ -78,7 +78,7 @@ def counts(docs: DataFrame, *keep: str) -> DataFrame:
     ).drop("_s")
     return starts.withColumn(
         "n_repeat_words",
-        F.expr("CASE WHEN _p IS NULL THEN 0L ELSE 8L + aggregate(sequence(0, size(_p) - 1), 0L, (a, k) -> a + coalesce(least(8, get(_p, k) - get(_p, k - 1)), 0)) END"),
+        F.expr("CASE WHEN _p IS NULL THEN 0L ELSE aggregate(sequence(0, size(_p) - 1), 0L, (a, k) -> a + CASE WHEN k = 0 THEN 8 ELSE least(8, get(_p, k) - get(_p, k - 1)) END) END"),
     ).drop("_p")
 
 

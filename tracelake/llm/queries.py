@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracelake.llm import oracles
 from tracelake.llm.chat_format import digests, format_chat
 from tracelake.llm.common import table
 from tracelake.llm.decontaminate import decontaminate
@@ -84,4 +85,4 @@ def op10_line_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup)}
 
-ORACLES = {}
+ORACLES = {"op2_chat_format": oracles.CHAT, "op6_quality_rules": oracles.QUALITY, "op8_decontaminate": oracles.LEAKS, "op10_line_dedup": oracles.LINES}
