@@ -5,8 +5,9 @@ fewer words is one window. The automaton over all windows passes each normalised
 text once. Hits are counted in words and mapped back to offsets in the original.
 
 The windows are counted before they are sent to the executors. Beyond
-``block_windows`` they are dealt by hash into blocks of about that many, one automaton
-and one pass over the texts each, so the broadcast has a bound at any size.
+``block_windows`` windows or ``BLOCK_CHARS`` characters they are dealt by hash into blocks
+of about that size, one automaton and one pass over the texts each, so the
+broadcast has a bound at any size.
 
 Defined results: a null or empty text has no words and no hits; a null item text
 has no windows. Items with equal windows all count. Equal rows give equal
@@ -29,7 +30,8 @@ from tracelake.llm.common import written
 from tracelake.llm.words import WORD_IN_TEXT, normal_words, raw_texts
 
 WINDOW = 10
-BLOCK_WINDOWS = 500_000
+BLOCK_WINDOWS = 50_000
+BLOCK_CHARS = 4_000_000
 RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -97,7 +99,8 @@ def spans_in_text(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, in
 def decontaminate(docs: DataFrame, items: DataFrame, texts: tuple[str, ...] = ("text",), block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with n_words, hit_runs (in words), hit_spans (in code points), items (hit, sorted) and n_hit."""
     windows = written(item_windows(items, texts), "windows")
-    blocks = max(1, math.ceil(windows.count() / block_windows))
+    count, chars = windows.agg(F.count("*"), F.coalesce(F.sum(F.length("win")), F.lit(0))).first()
+    blocks = max(1, math.ceil(count / block_windows), math.ceil(chars / BLOCK_CHARS))
     clash = [c for c in docs.columns if re.fullmatch(r"(?i)n_words|hit_runs|hit_spans|items|n_hit", c)]
     found = docs.drop(*clash).selectExpr(
         "*", "0L _n_words", "cast(array() AS array<struct<first:bigint,last:bigint>>) _runs", "cast(array() AS array<struct<start:bigint,end:bigint>>) _spans", "cast(array() AS array<bigint>) _items"
