@@ -101,13 +101,17 @@ def _encoded(docs: DataFrame, slots: np.ndarray) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, epochs: int = 100) -> tuple[dict[int, float], float]:
     """Weights by slot, and the bias, from documents outside the held-out fold."""
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    sizes = docs.select("doc_id", F.length("text").alias("_n")).join(told, "doc_id")
-    order = F.xxhash64("doc_id")
-    chosen, total = [], 0
-    for doc_id, n, _ in sizes.orderBy(order, "doc_id").limit(max_docs).select("doc_id", F.coalesce("_n", F.lit(0)), "toxic").collect():
-        total += n
-        if total > max_chars:
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.length("text")).alias("_n"), F.count("*").alias("_rows")).join(told, "doc_id")
+    # A share of the hash range holds about twice the sample, so what reaches the driver has a bound at any number of tasks.
+    labelled = sizes.count()
+    share = int(min(1.0, 2 * max_docs / max(labelled, 1)) * (1 << 20))
+    h = F.xxhash64("doc_id")
+    rows = sizes.where(F.pmod(h, F.lit(1 << 20)) < share).select(F.pmod(h, F.lit(1 << 20)).alias("h"), "doc_id", F.coalesce("_n", F.lit(0)).alias("n"), "_rows").collect()
+    chosen, total, many = [], 0, 0
+    for _, doc_id, n, k in sorted(map(tuple, rows)):
+        if total + n > max_chars or many + k > max_docs:
             break
+        total, many = total + n, many + k
         chosen.append(doc_id)
     if not chosen:
         return {}, float(np.log(PRIOR / (1 - PRIOR)))
