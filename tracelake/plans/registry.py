@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import arrays as A
+from tracelake.operators import display as D
 from tracelake.operators import event_joins as J
+from tracelake.operators import extraction as X
+from tracelake.operators import masks as M
 from tracelake.operators import regions as R
+from tracelake.operators import selection as L
 from tracelake.operators import signals as G
 from tracelake.operators import spikes as E
 from tracelake.operators import statistics as S
@@ -639,3 +643,183 @@ def randomized_svd(spark, sf):
     frames = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("pixels"))
     u, s, _ = V.randomized_svd(frames, RANK, 8)
     return rounded(u.select("frame", *[F.abs(F.get("u", F.lit(k)) * s[k]).alias(f"c{k}") for k in range(8)]), 3)
+
+
+# Selections.
+
+
+@query(BASE + "SELECT DISTINCT roi_id FROM tr WHERE roi_id IN (SELECT roi_id FROM ea)")
+def spiking_rois(spark, sf):
+    return L.spiking(T.traces(spark, sf).select("roi_id").distinct(), _errors(spark, sf))
+
+
+@query(BASE + "SELECT DISTINCT roi_id FROM tr WHERE roi_id NOT IN (SELECT roi_id FROM fe WHERE event_type = 'error' AND frame < 5)")
+def silent_rois(spark, sf):
+    return L.silent(T.traces(spark, sf).select("roi_id").distinct(), _errors(spark, sf).where("frame < 5"))
+
+
+@query(BASE + f"SELECT roi_id, frame, {R5('value', 'value')}, CASE roi_id WHEN '7' THEN 0 WHEN '3' THEN 1 ELSE 2 END AS ord FROM tr WHERE roi_id IN ('7', '3', '11')")
+def select_rois(spark, sf):
+    return rounded(L.select_rois(T.traces(spark, sf), ["7", "3", "11"]))
+
+
+def _event_lists(spark, sf):
+    return _errors(spark, sf).groupBy("roi_id").agg(F.array_sort(F.collect_list("frame")).alias("frames"))
+
+
+@query(BASE + "SELECT roi_id, min(frame) AS first, max(frame) AS last FROM ea GROUP BY 1")
+def select_events_by_index(spark, sf):
+    lists = _event_lists(spark, sf)
+    picks = lists.select("roi_id", F.array(F.lit(0), F.lit(-1)).alias("index"))
+    found = L.select_events_by_index(lists, picks)
+    return found.select("roi_id", F.get("frames", F.lit(0)).alias("first"), F.get("frames", F.lit(1)).alias("last"))
+
+
+@query(BASE + "SELECT roi_id, frame FROM ea WHERE frame % 2 = 0")
+def select_events_by_mask(spark, sf):
+    lists = _event_lists(spark, sf)
+    masks = lists.select("roi_id", F.transform("frames", lambda x: x % 2 == 0).alias("mask"))
+    return L.select_events_by_mask(lists, masks).select("roi_id", F.explode("frames").alias("frame"))
+
+
+@query(BASE + ', q AS (SELECT quantile_cont(v[1], 0.9) AS cut FROM px) SELECT "row", col FROM px, q WHERE v[1] >= cut')
+def top_share_pixels(spark, sf):
+    return L.top_share(_first_component(spark, sf), 90)
+
+
+# Masks.
+
+
+def _first_component(spark, sf):
+    return T.pixel_codes(spark, sf).select("row", "col", F.get("v", F.lit(0)).alias("value"))
+
+
+_SET = """, st AS (SELECT "row" AS r, col AS c FROM px WHERE CAST(roi_id AS INT) < 8), nb AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)),
+er AS (SELECT CAST(r + dr AS INT) AS r, CAST(c + dc AS INT) AS c FROM st, nb GROUP BY ALL HAVING count(*) = 5)
+"""
+
+
+def _mask(spark, sf):
+    return T.pixel_codes(spark, sf).where("cast(roi_id AS int) < 8").select("row", "col")
+
+
+@query(BASE + _SET + 'SELECT r AS "row", c AS col FROM er')
+def eroded_mask(spark, sf):
+    return M.erode(_mask(spark, sf))
+
+
+@query(BASE + _SET + 'SELECT DISTINCT CAST(r + dr AS INT) AS "row", CAST(c + dc AS INT) AS col FROM er, nb WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 24')
+def opened_mask(spark, sf):
+    return M.opened(_mask(spark, sf), HEIGHT, WIDTH)
+
+
+@query(
+    BASE
+    + """, q AS (SELECT quantile_cont(v[1], 0.6) AS cut FROM px), nb AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)), rg AS (SELECT DISTINCT "row" + dr AS r, col + dc AS c FROM px, nb WHERE roi_id = '3'),
+st AS (SELECT "row" AS r, col AS c FROM px, q WHERE v[1] <= cut AND NOT EXISTS (SELECT 1 FROM rg WHERE rg.r = px."row" AND rg.c = px.col)), er AS (SELECT r + dr AS r, c + dc AS c FROM st, nb GROUP BY ALL HAVING count(*) = 5)
+SELECT DISTINCT CAST(r + dr AS INT) AS "row", CAST(c + dc AS INT) AS col FROM er, nb WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 24"""
+)
+def dark_mask(spark, sf):
+    regions = T.pixel_codes(spark, sf).where("roi_id = '3'").select("row", "col")
+    return M.dark_mask(_first_component(spark, sf), regions, 0.6, 1, HEIGHT, WIDTH)
+
+
+@query(BASE + """, g AS (SELECT printf('r=%d c=%d', "row" // 5, col // 5) AS roi_id, "row", col FROM px WHERE CAST(roi_id AS INT) < 5) SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY roi_id) >= 12""")
+def grid_regions(spark, sf):
+    half = T.pixel_codes(spark, sf).where("cast(roi_id AS int) < 5").select("row", "col")
+    return M.grid_regions(half, 5, 12)
+
+
+@query(
+    BASE
+    + f""", ref AS (SELECT event_idx, frame FROM ea WHERE roi_id = '0'), m AS (SELECT r.event_idx, e.roi_id, arg_min(e.frame, abs(e.frame - r.frame) * 1000000 + e.frame) AS f FROM ref r JOIN ea e ON abs(e.frame - r.frame) <= 3 GROUP BY ALL),
+p AS (SELECT m.roi_id, m.event_idx, max(t.value) - min(t.value) AS ptt FROM m LEFT JOIN tr t ON t.roi_id = m.roi_id AND t.frame BETWEEN m.f AND m.f + 3 GROUP BY ALL), g AS (SELECT roi_id, avg(ptt) AS g FROM p GROUP BY 1)
+SELECT px.roi_id, "row", col, {R5('g', 'magnitude')} FROM px JOIN g USING (roi_id)"""
+)
+def spatial_magnitudes(spark, sf):
+    found = _errors(spark, sf)
+    reference = found.where("roi_id = '0'").select("event_idx", "frame")
+    return rounded(M.spatial_magnitudes(T.traces(spark, sf), reference, found, T.pixel_codes(spark, sf).select("roi_id", "row", "col"), 3, 3))
+
+
+@query()
+def grown_regions(spark, sf):
+    seeds = T.pixel_codes(spark, sf).where("row % 7 = 3 AND col % 7 = 3").select(F.concat_ws("-", "row", "col").alias("roi_id"), "row", "col")
+    return M.grow(seeds, T.pixel_codes(spark, sf), 0.05, RANK, 3)
+
+
+# Extraction.
+
+
+@query(
+    BASE
+    + """, o AS (SELECT * FROM (SELECT unnest(generate_series(-3, 3)) AS dr) CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS dc)), z AS (SELECT * FROM px WHERE CAST(roi_id AS INT) < 3),
+bg AS (SELECT DISTINCT roi_id, "row" + dr AS r, col + dc AS c FROM z, o WHERE abs(dr) + abs(dc) <= 2), sm AS (SELECT DISTINCT roi_id, "row" + dr AS r, col + dc AS c FROM z, o WHERE abs(dr) + abs(dc) <= 1),
+rg AS (SELECT bg.roi_id, p.v FROM bg JOIN px p ON p."row" = bg.r AND p.col = bg.c WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.roi_id = bg.roi_id AND sm.r = bg.r AND sm.c = bg.c)),
+ex AS (SELECT roi_id, unnest(v) AS x, unnest(generate_series(1, 64)) AS k FROM rg), cd AS (SELECT roi_id, k, avg(x) AS x FROM ex GROUP BY ALL), co AS (SELECT roi_id, list(x ORDER BY k) AS v FROM cd GROUP BY 1)
+"""
+    + f"SELECT c.roi_id, e.vec_id AS frame, {R5('list_dot_product(c.v, CAST(e.embedding AS DOUBLE[]))', 'value')} FROM co c CROSS JOIN embeddings e"
+)
+def neuropil_traces(spark, sf):
+    px = T.pixel_codes(spark, sf)
+    return rounded(X.neuropil_traces(_codes_in_time(spark, sf), px, px.where("cast(roi_id AS int) < 3"), 1, 2, HEIGHT, WIDTH, RANK))
+
+
+@query()
+def ols_traces(spark, sf):
+    px = T.pixel_codes(spark, sf)
+    weights = px.where("cast(roi_id AS int) < 4").select("roi_id", "row", "col", F.lit(1.0).alias("weight"))
+    return rounded(X.ols_traces(_codes_in_time(spark, sf), px, weights, RANK), 4)
+
+
+@query()
+def subtractive_lowpass(spark, sf):
+    found = X.subtractive_lowpass(_codes_in_time(spark, sf), 11, 2)
+    return rounded(found.select("frame", F.posexplode("u").alias("k", "x")), 4)
+
+
+@query()
+def motion_correct(spark, sf):
+    frames = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("pixels"))
+    return X.motion_correct(frames, 8, 8, 3)[0]
+
+
+@query()
+def phase_window_means(spark, sf):
+    return rounded(X.phase_means(X.phase_windows(_packed(spark, sf), FS, 0.5, 2.0, 0.0, 10, 3)), 4)
+
+
+@query(BASE + f", q AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS e FROM tr) SELECT roi_id, frame, {R5('value', 'value')}, CAST(value >= e[1] AS INT) + CAST(value >= e[2] AS INT) + CAST(value >= e[3] AS INT) AS bin FROM tr, q")
+def phase_bins(spark, sf):
+    return rounded(X.phase_bins(T.traces(spark, sf), 4))
+
+
+# Display.
+
+
+@query(BASE + f"SELECT roi_id, frame, {R5('value', 'value')}, {R5('(frame - 5) / 10.0', 't')} FROM tr")
+def time_axis(spark, sf):
+    return rounded(D.time_axis(T.traces(spark, sf), FS, 5))
+
+
+@query(BASE + f", s AS (SELECT 2.4 * max(abs(value)) AS s FROM tr), r AS (SELECT DISTINCT roi_id FROM tr) SELECT roi_id, {R5('CAST(roi_id AS INT) * CASE WHEN s > 0 THEN s ELSE 1 END', 'offset', 3)} FROM r, s")
+def trace_offsets(spark, sf):
+    t = T.traces(spark, sf)
+    return rounded(D.trace_offsets(t, t.select("roi_id", F.col("roi_id").cast("int").alias("roi_ord")).distinct()), 3)
+
+
+@query(BASE + f', e AS (SELECT max(abs(v[1])) AS m FROM px) SELECT "row", col, {R5("v[1]", "value")}, {R5("greatest(0, least(1, (v[1] + m) / (2 * m)))", "shade")} FROM px, e')
+def color_scale_centered(spark, sf):
+    return rounded(D.color_scale(_first_component(spark, sf), centered=True))
+
+
+@query(BASE + f', e AS (SELECT quantile_cont(v[1], 0.02) AS a, quantile_cont(v[1], 0.98) AS b FROM px) SELECT "row", col, {R5("v[1]", "value")}, {R5("greatest(0, least(1, (v[1] - a) / (b - a)))", "shade")} FROM px, e')
+def color_scale_robust(spark, sf):
+    return rounded(D.color_scale(_first_component(spark, sf), robust=True))
+
+
+@query(BASE + f'SELECT "row", col, {R5("greatest(0, least(1, v[1] * 0.5 * 2 + v[2] * 0.25))", "r")}, {R5("greatest(0, least(1, v[1] * 0.25 * 2))", "g")}, {R5("greatest(0, least(1, v[2] * 1.0))", "b")} FROM px')
+def compose_rgb(spark, sf):
+    px = T.pixel_codes(spark, sf)
+    layer = lambda k: px.select("row", "col", F.get("v", F.lit(k)).alias("value"))
+    return rounded(V.compose_rgb([(layer(0), (0.5, 0.25, 0.0), 2.0), (layer(1), (0.25, 0.0, 1.0), 1.0)]))
