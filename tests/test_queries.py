@@ -27,7 +27,7 @@ def test_entry_without_llm(monkeypatch, spark):
     import __spark_entry__ as entry
 
     find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("tracelake.llm", "corpus_pipeline") else find(name, *a))
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("tracelake.llm.queries", "corpus_pipeline") else find(name, *a))
     assert set(entry.queries()) == set(registry.QUERIES)
     assert set(entry.oracle_sql()) == set(registry.ORACLES)
     assert entry.entry(spark).count() > 0

@@ -148,11 +148,24 @@ def clip_center(traces: DataFrame, deviations: float = 10.0) -> DataFrame:
     return held.withColumn("value", F.col("value") - F.percentile("value", F.lit(0.5)).over(whole))
 
 
-def rank_average(rows: DataFrame, by: str = "value", group: str | None = None) -> DataFrame:
-    """rows with rank: 1 for the least, ties sharing their mean rank. From counts per distinct value, so equal values are one row."""
+def rank_average(rows: DataFrame, by: str = "value", group: str | None = None, ranges: int = 200) -> DataFrame:
+    """rows with rank: 1 for the least, ties sharing their mean rank.
+
+    Ranks come from counts per distinct value, so equal values are one row. Without a group the
+    values are cut into ranges by approximate quantiles: running sums stay within a range, and the
+    totals of the ranges before it, a few numbers, are added.
+    """
     keys = [group] if group else []
     counts = rows.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over((Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(by))
+    if group:
+        upto = F.sum("_n").over(Window.partitionBy(group).orderBy(by))
+    else:
+        edges = rows.agg(F.percentile_approx(by, [k / ranges for k in range(1, ranges)])).first()[0] or []
+        counts = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda e: e <= F.col(by))))
+        totals = counts.groupBy("_range").agg(F.sum("_n").alias("_t"))
+        before = totals.select("_range", (F.sum("_t").over(Window.orderBy("_range")) - F.col("_t")).alias("_before"))  # ranges rows at most
+        counts = counts.join(F.broadcast(before), "_range")
+        upto = F.sum("_n").over(Window.partitionBy("_range").orderBy(by)) + F.col("_before")
     ranks = counts.select(*keys, by, (upto - (F.col("_n") - 1) / 2).alias("rank"))
     return rows.join(ranks, [*keys, by])
 
