@@ -6,11 +6,19 @@ Packed form: (roi_id, values) and (roi_id, frames). Missing values are NULL in b
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver. Python workers are told where this package lies, as they may start anywhere."""
+    told = spark.sparkContext.environment
+    if ROOT not in told.get("PYTHONPATH", "").split(":"):
+        told["PYTHONPATH"] = ":".join(filter(None, (ROOT, told.get("PYTHONPATH"))))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
