@@ -18,7 +18,7 @@ FROM c GROUP BY conv_id
 _RATIO = "SELECT doc_id, l, s, '{0}' AS ratio, CAST({1} AS BIGINT) AS v FROM m WHERE n_words > 0"
 _RATIOS = (
     ("mean_word", "100 * word_chars // n_words", 100, True),
-    ("symbols", "100 * n_symbols // n_words", 15, False),
+    ("symbols", "100 * n_symbols // n_words", 8, False),
     ("shouts", "100 * n_shouts // n_words", 15, False),
     ("dup_lines", "100 * n_dup_lines // n_lines", 15, False),
     ("repeats", "100 * n_repeat_words // n_words", 10, False),

@@ -28,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 #: (in scaled units), and whether low values are outliers too.
 RATIOS = (
     ("mean_word", "100 * word_chars div n_words", 100, True),
-    ("symbols", "100 * n_symbols div n_words", 15, False),
+    ("symbols", "100 * n_symbols div n_words", 8, False),
     ("shouts", "100 * n_shouts div n_words", 15, False),
     ("dup_lines", "100 * n_dup_lines div n_lines", 15, False),
     ("repeats", "100 * n_repeat_words div n_words", 10, False),
