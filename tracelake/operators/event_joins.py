@@ -115,3 +115,17 @@ def match_labels(events: DataFrame, roots: DataFrame, labels: DataFrame, n_pre:
     return best.join(first, (best["roi_id"] == first["_r"]) & (best["root_frame"] == first["_f"]), "left").select(
         F.col("event_idx.own").alias("roi_id"), F.col("event_idx.event_idx").alias("event_idx"), "frame", "root_frame", F.coalesce("label", F.lit(default)).alias("label")
     )
+
+
+def against_reference(windows: DataFrame, reference: str) -> DataFrame:
+    """roi_id (of the event), event_idx, offset, trace_roi, value, reference: every cell of cross_windows beside that of one reference trace at the same event."""
+    other = windows.where(F.col("trace_roi") == reference).select("roi_id", "event_idx", "offset", F.col("value").alias("reference"))
+    return windows.join(other, ["roi_id", "event_idx", "offset"])
+
+
+def trailing_mean(points: DataFrame, seconds: int, least: int) -> DataFrame:
+    """points (roi_id, ts, value) with mean over the trailing time, its start left out; NULL with fewer than least points."""
+    micros = F.unix_micros("ts")
+    own = points.withColumn("_us", micros)
+    at = Window.partitionBy("roi_id").orderBy("_us").rangeBetween(-seconds * 1_000_000 + 1, 0)
+    return own.withColumn("mean", F.when(F.count("value").over(at) >= least, F.avg("value").over(at))).drop("_us")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import arrays as A
 from tracelake.operators import event_joins as J
+from tracelake.operators import masks, selection, statistics
 from tracelake.operators import regions as R
 from tracelake.operators import signals as G
 from tracelake.operators import spikes as E
@@ -130,9 +133,6 @@ def motion_correct(frames: DataFrame, height: int, width: int, max_shift: int, p
 
 def kmeans_codes(codes: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """cluster, code: centres of the codes (code) by k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     model = KMeans(k=k, seed=seed).fit(codes.select(array_to_vector("code").alias("features")))
     return codes.sparkSession.createDataFrame([(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())], "cluster int, code array<double>")
 
@@ -171,3 +171,32 @@ def despiked_dff(packed: DataFrame, mode: str, window: int) -> DataFrame:
     return G.filter_dff(packed, mode, window).select("roi_id", "frame", F.col("dff").alias("value"))
 
 
+
+
+def keyframes(phases: DataFrame, u: DataFrame, bins: int, rank: int) -> DataFrame:
+    """bin, code: mean code of the frames whose phase (frame, value) falls in each of bins quantile bins; reconstruct() makes images of it."""
+    return phase_bins(phases, bins).join(u, "frame").groupBy("bin").agg(V._mean_of("u", rank).alias("code"))
+
+
+def event_codes(u: DataFrame, events: DataFrame, n_pre: int, n_post: int) -> DataFrame:
+    """roi_id, event_idx, offset, u: the codes of the frames around each event; frames beyond the video have NULL."""
+    spine = events.select("roi_id", "event_idx", "frame", F.explode(F.sequence(F.lit(-n_pre), F.lit(n_post))).alias("offset"))
+    right = u.select(F.col("frame").alias("_f"), "u")
+    return spine.join(right, spine["frame"] + spine["offset"] == right["_f"], "left").select("roi_id", "event_idx", "offset", "u")
+
+
+def normalized_peaks(traces: DataFrame, half: int, spread_window: int, height: float, distance: int, prominence: float, reach: int) -> DataFrame:
+    """roi_id, frame, height of peaks of the median high-pass, sign turned, over the rolling deviation of its positive samples."""
+    flat = E.rolling_median_highpass(traces, half)
+    turned = E.positive_spread(flat.withColumn("value", -F.col("value")), spread_window)
+    ready = turned.select("roi_id", "frame", F.coalesce(F.try_divide("value", "spread"), F.lit(0.0)).alias("value"))
+    packed = ready.groupBy("roi_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"]).alias("values"))
+    return G.detect_peaks(packed, height, distance, prominence, reach)
+
+
+def spatial_survey(image: DataFrame, pixels: DataFrame, u: DataFrame, percentile: float, cell: int, least: int, sd_threshold: float, half: int, height: int, width: int, rank: int) -> tuple[DataFrame, DataFrame]:
+    """Traces (roi_id, frame, value, standardised) of a grid over the brightest pixels, and their events."""
+    bright = masks.closed(selection.top_share(image, percentile), height, width)
+    weights = R.uniform_weights(masks.grid_regions(bright, cell, least))
+    traces = statistics.zscore(statistics.dff_median(V.extract_from_codes(u, pixels, weights, rank)))
+    return traces, E.detect_spikes(traces, sd_threshold, half)

@@ -21,6 +21,7 @@ from tracelake.operators import spikes as E
 from tracelake.operators import statistics as S
 from tracelake.operators import video as V
 from tracelake.sources import tables as T
+from tracelake.streaming import incremental as I
 
 FS = 10.0
 RANK = 64
@@ -823,3 +824,148 @@ def compose_rgb(spark, sf):
     px = T.pixel_codes(spark, sf)
     layer = lambda k: px.select("row", "col", F.get("v", F.lit(k)).alias("value"))
     return rounded(V.compose_rgb([(layer(0), (0.5, 0.25, 0.0), 2.0), (layer(1), (0.25, 0.0, 1.0), 1.0)]))
+
+
+# Clocks.
+
+
+def _points(spark, sf):
+    return T.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("roi_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS roi_id, event_id, {R5('CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END', 'mean')} FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW)")
+def trailing_mean(spark, sf):
+    return rounded(J.trailing_mean(_points(spark, sf), 43200, 2).select("roi_id", "event_id", "mean"))
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS roi_id, epoch_us(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')) AS bin_start, {R5('avg(value)', 'mean')}, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_stats(spark, sf):
+    found = I.tumbling_stats(_points(spark, sf), "6 hours", "0 seconds")
+    return rounded(found.withColumn("bin_start", F.unix_micros("bin_start")))
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS roi_id, epoch_us(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')) - k.k * 21600000000 AS bin_start, {R5('avg(value)', 'mean')}, count(*) AS n FROM events CROSS JOIN (VALUES (0), (1)) AS k(k) GROUP BY ALL")
+def hopping_stats(spark, sf):
+    found = I.hopping_stats(_points(spark, sf), "12 hours", "6 hours", "0 seconds")
+    return rounded(found.withColumn("bin_start", F.unix_micros("bin_start")))
+
+
+@query(
+    """WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 14400000000 THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT user_id, us, sum(s) OVER (PARTITION BY user_id ORDER BY us) AS b FROM g) SELECT CAST(user_id AS VARCHAR) AS roi_id, min(us) AS start, count(*) AS n FROM b GROUP BY user_id, b"""
+)
+def session_bursts(spark, sf):
+    return I.session_bursts(_points(spark, sf), "4 hours", "0 seconds").withColumn("start", F.unix_micros("start"))
+
+
+# Codes in time.
+
+
+@query(
+    f"""WITH e AS (SELECT vec_id AS f, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(0, 63)) AS k FROM embeddings), t AS (SELECT * FROM (VALUES (-1, 0.25), (0, 0.5), (1, 0.25)) AS t(o, w))
+SELECT f + o AS frame, k, {R5('sum(x * w)', 'x')} FROM e CROSS JOIN t WHERE f + o BETWEEN 0 AND (SELECT max(vec_id) FROM embeddings) GROUP BY ALL"""
+)
+def temporal_convolution(spark, sf):
+    found = V.convolve_temporal(_codes_in_time(spark, sf), [0.25, 0.5, 0.25])
+    return rounded(found.select("frame", F.posexplode("u").alias("k", "x")).select("frame", F.col("k").cast("bigint").alias("k"), "x"))
+
+
+@query(
+    BASE
+    + f""", e AS (SELECT "row" AS r, col AS c, unnest(v) AS x, unnest(generate_series(0, 63)) AS k FROM px), t AS (SELECT dr, dc, CASE WHEN dr = 0 AND dc = 0 THEN 0.5 ELSE 0.0625 END AS w FROM (SELECT unnest(generate_series(-1, 1)) AS dr) CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS dc))
+SELECT r + dr AS "row", c + dc AS col, k, {R5('sum(x * w)', 'x')} FROM e CROSS JOIN t WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 24 GROUP BY ALL"""
+)
+def spatial_convolution(spark, sf):
+    kernel = [[0.0625, 0.0625, 0.0625], [0.0625, 0.5, 0.0625], [0.0625, 0.0625, 0.0625]]
+    found = V.convolve_spatial(T.pixel_codes(spark, sf), kernel).select("row", "col", F.posexplode("v").alias("k", "x"))
+    return rounded(found.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("k").cast("bigint").alias("k"), "x"))
+
+
+@query(f"SELECT vec_id AS frame, {R5('list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + vec_id / 100.0)))', 'total')} FROM embeddings")
+def temporal_gain(spark, sf):
+    u = _codes_in_time(spark, sf)
+    weighted = V.gain(u, u.select("frame", (1 + F.col("frame") / 100).alias("weight")))
+    return rounded(weighted.select("frame", A.array_sum("u").alias("total")))
+
+
+@query(
+    f"""WITH q AS (SELECT quantile_cont(CAST(embedding[1] AS DOUBLE), [0.25, 0.5, 0.75]) AS e FROM embeddings), b AS (SELECT CAST(embedding[1] >= e[1] AS INT) + CAST(embedding[1] >= e[2] AS INT) + CAST(embedding[1] >= e[3] AS INT) AS bin, embedding FROM embeddings, q),
+x AS (SELECT bin, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(0, 63)) AS k FROM b) SELECT bin, k, {R5('avg(x)', 'x')} FROM x GROUP BY ALL"""
+)
+def phase_keyframes(spark, sf):
+    u = _codes_in_time(spark, sf)
+    phases = u.select("frame", F.get("u", F.lit(0)).alias("value"))
+    return rounded(X.keyframes(phases, u, 4, RANK).select("bin", F.posexplode("code").alias("k", "x")).select("bin", F.col("k").cast("bigint").alias("k"), "x"))
+
+
+@query(f"SELECT CAST(e.label AS VARCHAR) AS roi_id, e.vec_id AS event_idx, o.o AS \"offset\", {R5('CAST(m.embedding[1] AS DOUBLE)', 'x')} FROM embeddings e CROSS JOIN (SELECT unnest(generate_series(-1, 2)) AS o) o LEFT JOIN embeddings m ON m.vec_id = e.vec_id + o.o WHERE e.vec_id % 10 = 3")
+def event_codes(spark, sf):
+    found = T.table(spark, sf, "embeddings").where("vec_id % 10 = 3").select(F.col("label").cast("string").alias("roi_id"), F.col("vec_id").alias("event_idx"), F.col("vec_id").alias("frame"))
+    return rounded(X.event_codes(_codes_in_time(spark, sf), found, 1, 2).select("roi_id", "event_idx", "offset", F.get("u", F.lit(0)).alias("x")))
+
+
+@query()
+def orthogonal_video(spark, sf):
+    px = T.pixel_codes(spark, sf)
+    u, s, _ = V.orthogonal(_codes_in_time(spark, sf), [1.0] * RANK, px)
+    return rounded(u.select("frame", F.abs(F.get("u", F.lit(0)) * s[0]).alias("first")), 4)
+
+
+# More of regions and events.
+
+
+@query(
+    BASE
+    + f""", r AS (SELECT * FROM (VALUES ('0'), ('1')) AS r(trace_roi)), c AS (SELECT r.trace_roi, e.roi_id, e.event_idx, o.o AS "offset", t.value FROM ea e CROSS JOIN r CROSS JOIN (SELECT unnest(generate_series(0, 1)) AS o) o LEFT JOIN tr t ON t.roi_id = r.trace_roi AND t.frame = e.frame + o.o)
+SELECT a.roi_id, a.event_idx, a."offset", a.trace_roi, {R5('a.value', 'value')}, {R5('b.value', 'reference')} FROM c a JOIN c b ON b.trace_roi = '0' AND b.roi_id = a.roi_id AND b.event_idx = a.event_idx AND b."offset" = a."offset" """
+)
+def against_reference(spark, sf):
+    both = T.traces(spark, sf).where("roi_id IN ('0', '1')")
+    found = J.against_reference(J.cross_windows(both, _errors(spark, sf), 0, 1), "0")
+    return rounded(found.select("roi_id", "event_idx", "offset", "trace_roi", "value", "reference"))
+
+
+@query(
+    BASE
+    + """, c AS (SELECT roi_id, frame FROM (SELECT *, lag(value) OVER (PARTITION BY roi_id ORDER BY frame) AS b FROM tr) WHERE b < 50 AND value > 50), n AS (SELECT roi_id, count(*) AS n FROM tr GROUP BY 1),
+i AS (SELECT c.roi_id, c.frame, row_number() OVER (PARTITION BY c.roi_id ORDER BY c.frame) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY c.roi_id) // 4) AS s FROM c JOIN n USING (roi_id) WHERE c.frame >= 3 AND c.frame < n.n - 3)
+SELECT roi_id, frame FROM i WHERE k % s = 0 AND k // s < 4"""
+)
+def thinned_crossings(spark, sf):
+    t = T.traces(spark, sf)
+    return E.thin_events(E.crossings(t, 50.0), t.groupBy("roi_id").agg(F.count(F.lit(1)).alias("n")), 3, 4)
+
+
+@query(BASE + """, a AS (SELECT roi_id, "row", col FROM px), b AS (SELECT roi_id, CAST("row" + 1 AS INT) AS "row", col FROM px)
+SELECT *, 1 AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, -1 FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def pixel_changes(spark, sf):
+    px = T.pixel_codes(spark, sf).select("roi_id", "row", "col")
+    return R.pixel_changes(px, px.withColumn("row", F.col("row") + 1))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS p, 'n' || n_nationkey AS c FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+t AS (SELECT p AS root, c AS node, 1 AS depth FROM e UNION ALL SELECT t.root, e.c, t.depth + 1 FROM t JOIN e ON e.p = t.node) SELECT root, node, depth FROM t"""
+)
+def recursive_closure(spark, sf):
+    n, s = T.table(spark, sf, "nation"), T.table(spark, sf, "supplier")
+    named = lambda tag, c: F.concat(F.lit(tag), c)
+    edges = n.select(named("r", "n_regionkey").alias("parent"), named("n", "n_nationkey").alias("child")).union(s.select(named("n", "s_nationkey"), named("s", "s_suppkey")))
+    return R.recursive_closure(spark, edges)
+
+
+@query(BASE + f'SELECT roi_id, "row", col, {R5("1.0 / count(*) OVER (PARTITION BY roi_id)", "weight")} FROM px')
+def uniform_weights(spark, sf):
+    return rounded(R.uniform_weights(T.pixel_codes(spark, sf).select("roi_id", "row", "col")))
+
+
+@query()
+def normalized_peaks(spark, sf):
+    return rounded(X.normalized_peaks(T.traces(spark, sf), 5, 20, 0.5, 3, 0.5, 50), 4)
+
+
+@query()
+def spatial_survey(spark, sf):
+    px = T.pixel_codes(spark, sf)
+    _, found = X.spatial_survey(_first_component(spark, sf), px, _codes_in_time(spark, sf), 40, 5, 3, 1.5, 10, HEIGHT, WIDTH, RANK)
+    return rounded(found, 4)
