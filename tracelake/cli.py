@@ -68,6 +68,14 @@ def extract(spark, a):
     V.extract_from_codes(u, v, R.uniform_weights(spark.read.parquet(a.rois)), len(v.first()["v"])).write.parquet(a.output)
 
 
+def survey(spark, a):
+    u, v = spark.read.parquet(f"{a.input}/u"), spark.read.parquet(f"{a.input}/v")
+    rank = len(v.first()["v"])
+    traces, events = X.spatial_survey(V.mean_image(u, v, rank), v, u, a.percentile, a.cell, a.least, a.threshold, a.half, a.height, a.width, rank)
+    traces.write.parquet(f"{a.output}/traces")
+    events.write.parquet(f"{a.output}/events")
+
+
 def trace_dff(spark, a):
     G.filter_dff(tables.pack(spark.read.parquet(a.input)), a.mode, a.window).write.parquet(a.output)
 
@@ -109,6 +117,7 @@ def parser() -> argparse.ArgumentParser:
     add("video-dff", video_dff, ("--window", 301), ("--order", 2))
     add("motion-correct", motion, *size, ("--max-shift", 10), ("--passes", 2))
     add("extract-traces", extract, extra=("rois",))
+    add("spatial-survey", survey, *size, ("--percentile", 90.0), ("--cell", 64), ("--least", 20), ("--threshold", 3.0), ("--half", 50))
     add("trace-dff", trace_dff, ("--mode", "savgol_mult"), ("--window", 301))
     add("detect-spikes", detect, ("--threshold", 3.0), ("--half", 50), ("--positive", False))
     add("qc-report", report, ("--fs", 500.0), ("--half", 250), ("--bin", 10.0), extra=("events",))

@@ -116,6 +116,7 @@ def motion_correct(frames: DataFrame, height: int, width: int, max_shift: int, p
     The reference is the mean image, of the corrected video from the second pass on; shifts are
     estimated frame by frame. Only the mean image comes to the driver.
     """
+
     def mean_of(rows):
         cells = rows.groupBy("row", "col").agg(F.avg("value").alias("value")).collect()
         out = np.zeros((height, width))

@@ -54,9 +54,8 @@ def detect_spikes(traces: DataFrame, sd_threshold: float, half: int | None = Non
     rows = flat.select("roi_id", "frame", (F.lit(sign) * F.col("value")).alias("raw"), (F.lit(sign) * (F.col("value") - F.col("baseline"))).alias("v"))
     whole = Window.partitionBy("roi_id")
     noise = F.coalesce(F.stddev_pop(F.when(F.col("v") < 0, F.col("v"))).over(whole), F.stddev_pop("v").over(whole))
-    before = F.max("raw").over(_order().rowsBetween(-3, -1))
-    least = F.min("raw").over(_order().rowsBetween(-3, -1))
-    marked = rows.withColumn("noise", noise).withColumn("before", least).withColumn("_top", before).withColumn("above", F.coalesce(F.col("v") > sd_threshold * F.col("noise"), F.lit(False)))
+    before = F.min("raw").over(_order().rowsBetween(-3, -1))
+    marked = rows.withColumn("noise", noise).withColumn("before", before).withColumn("above", F.coalesce(F.col("v") > sd_threshold * F.col("noise"), F.lit(False)))
     began = marked.withColumn("start", F.when(F.col("above") & ~F.coalesce(F.lag("above").over(_order()), F.lit(False)), 1).otherwise(0)).withColumn("island", F.sum("start").over(_order()))
     peaks = began.where("above").groupBy("roi_id", "island").agg(F.max_by(F.struct("frame", "raw", "before", "noise"), F.struct("v", -F.col("frame"))).alias("p"))
     amplitude = F.coalesce(F.col("p.raw") - F.col("p.before"), F.lit(0.0))
@@ -135,6 +134,7 @@ def positive_spread(traces: DataFrame, window: int) -> DataFrame:
 
 def cross_correlate(x: DataFrame, y: DataFrame, max_lag: int) -> DataFrame:
     """roi_id, lag, r for short lags: mean of x(t + lag) y(t) of demeaned traces; lag > 0 means that y leads."""
+
     def less_mean(t, name):
         mean = F.avg("value").over(Window.partitionBy("roi_id"))
         return t.select("roi_id", "frame", (F.col("value") - mean).alias(name), F.count(F.lit(1)).over(Window.partitionBy("roi_id")).alias(f"{name}_n"))
