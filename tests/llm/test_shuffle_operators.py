@@ -271,6 +271,15 @@ def test_packing_against_exhaustive():
         assert got <= 1.34 * cheapest(items, [])
 
 
+def test_packing_by_tokens(spark):
+    docs = P.token_lengths(awkward(spark), "/opt/tokenizers/byte_bpe_50k.json")
+    by = {r.doc_id: r.n_tokens for r in docs.collect() if r.doc_id}
+    assert by[4] == by[5] == 1
+    assert 1 < by[8] <= 5
+    bins = P.best_fit_packing(docs, (256, 512), "n_tokens").collect()
+    assert sum(p.size for b in bins for p in b.pieces if p.doc_id == 7) == by[7]
+
+
 def test_packing_edges(spark):
     assert sum(len(b.pieces) > 0 for b in P.best_fit_packing(awkward(spark)).collect()) > 0
     assert P.best_fit_packing(awkward(spark), length="n_words").count() > 0

@@ -9,7 +9,7 @@ cheapest result. Finally each bin shrinks to the smallest permitted length that
 holds its contents. Shards grow in number with the input, not in size.
 
 Lengths count UTF-8 bytes and one end mark, as a byte-level model does, unless a
-length column is named.
+length column is named; token_lengths makes one from a vocabulary file.
 
 Defined results: a null text is empty and takes one unit. A null or negative
 length counts as 0. Equal rows are packed one by one. An empty table gives no
@@ -21,6 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,25 @@ def best_pack(lengths: list[int], sizes: tuple[int, ...]) -> list[tuple[int, lis
     return min((pack(lengths, sizes, g) for g in GUESSES), key=lambda bins: sum(cost(shrunk(used, sizes)) for used, _ in bins))
 
 
+def token_lengths(docs: DataFrame, vocabulary: str, column: str = "n_tokens") -> DataFrame:
+    """docs with the number of tokens of each whole text and one end mark, by a tokenizer file that all executors can open."""
+    names = [c for c in docs.columns if c != column]
+    kept = docs.select(*names)
+
+    def run(batches):
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_file(vocabulary)
+        coder.encode_special_tokens = True  # their strings are ordinary text here
+        for batch in batches:
+            texts = [x or "" for x in batch.column(names.index("text")).to_pylist()]
+            counts = [len(x.ids) + 1 for x in coder.encode_batch(texts, add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*names, column])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(run, f"{ddl}, `{column}` bigint")
+
+
 def best_fit_packing(docs: DataFrame, sizes: tuple[int, ...] = SIZES, length: str | None = None, per_shard: int = PER_SHARD) -> DataFrame:
     """One row per bin: bin_id, capacity, used, doc_ids, and pieces (doc_id, start in the document, size, at: place in the bin)."""
     sizes = tuple(sorted(sizes))
