@@ -128,7 +128,10 @@ class Block:
 
 
 def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """block, ids, sizes, digests and data of texts taken as they come; a table bucketed by block."""
+    """block, ids, sizes, digests and data of texts taken as they come; files bucketed by block.
+
+    Only a catalog table can be bucketed. It has its own path, so its name goes at once and the files stay.
+    """
 
     def run(batches):
         task, no = TaskContext.get().partitionId(), 0
@@ -157,7 +160,9 @@ def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     name = f"packed_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(buckets, "block").sortBy("block").option("path", scratch(spark, "packed")).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def copies(blocks: DataFrame) -> DataFrame:
