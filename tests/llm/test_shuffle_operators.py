@@ -139,8 +139,8 @@ def plain_links(rows, threshold=0.8):
     return {i: (label[rep[s]], rep[s], len(links[rep[s]])) if s is not None else (i, i, 0) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_ngram_join_equals_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "block_bytes"), [(256, 1 << 25), (4, 1 << 25), (256, 5000)])
+def test_ngram_join_equals_brute_force(spark, block, block_bytes):
     r = random.Random(9)
     rows = []
     for g in range(12):
@@ -152,7 +152,7 @@ def test_ngram_join_equals_brute_force(spark, block):
             rows.append((len(rows), " ".join(t)))
     rows += [(len(rows) + k, t) for k, t in enumerate([rows[0][1].upper(), "a b", "A, b", "", None, words(30_000, 77)])]
     docs = spark.createDataFrame([(*x, 3) for x in rows], "doc_id bigint, text string, class_id int")
-    got = {x.doc_id: (x.class_id, x.text_id, x.n_links) for x in N.ngram_join(docs, block=block).collect()}
+    got = {x.doc_id: (x.class_id, x.text_id, x.n_links) for x in N.ngram_join(docs, block=block, block_bytes=block_bytes).collect()}
     assert got == plain_links(rows)
 
 

@@ -8,9 +8,9 @@
    its least one, never to each other, and the components of these links are
    the candidate groups.
 3. Within a group all pairs are verified on the full sets, by matrix products
-   over slices of the vocabulary. Groups beyond ``block`` members are cut into
-   blocks, and each pair of blocks is verified by itself: no task holds more
-   than two blocks, no pair becomes a row, and no partner is left out.
+   over slices of the vocabulary. Groups beyond ``block`` members or ``block_bytes``
+   of n-grams are cut into blocks, and each pair of blocks is verified by itself:
+   no task holds more than two blocks, no pair becomes a row, and no partner is left out.
 
 Defined results: a text of fewer than five words is one shingle; null and empty
 texts have no shingles and are alone in their class. Rows with a null doc_id are
@@ -38,6 +38,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 400
 BLOCK = 256
+BLOCK_BYTES = 32 << 20
 STEP = 1 << 15  # words hashed at a time
 
 _BASE = 0x9E3779B97F4A7C15
@@ -105,23 +106,26 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set_key (null without shingles) and the hashes of all bands."""
+    """doc_id, set_key (null without shingles), the number of shingles and the hashes of all bands."""
 
     def run(batches):
         for batch in batches:
-            keys, hashes = [], []
+            keys, sizes, hashes = [], [], []
             for raw in raw_texts(batch):
                 grams = shingles(raw, words)
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
+                sizes.append(len(grams))
                 hashes.append(band_hashes(grams, bands, rows) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "set_key", "n_grams", "bands"]
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set_key binary, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set_key binary, n_grams bigint, bands array<bigint>")
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:
     """(node, label): representatives that share a bucket with another, by group."""
-    rows = written(reps.select("rep", "bands"), "bands").select("rep", F.explode("bands").alias("h"))
+    rows = reps.select("rep", F.explode("bands").alias("h"))
     least = rows.groupBy("h").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     return components(rows.join(least, "h").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
 
@@ -167,9 +171,10 @@ def verified(reps: list[int], parts: list[int], sets: list[np.ndarray], threshol
     return linked.sum(axis=1).tolist(), lead.tolist()
 
 
-def verify(docs: DataFrame, groups: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
-    """(node, n_links, lead): one row per member and pair of blocks."""
-    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+def verify(docs: DataFrame, groups: DataFrame, words: int, threshold: float, block: int, block_bytes: int) -> DataFrame:
+    """(node, n_links, lead): one row per member and pair of blocks; groups are (node, label, n_grams)."""
+    needed = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_grams") * 8 / block_bytes))
+    sizes = groups.groupBy("label").agg(needed.cast("int").alias("n_blocks"))
     members = groups.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).hint("shuffle_hash")
     texts = docs.join(members, docs["doc_id"] == members["node"]).select("node", "label", "part", "n_blocks", "text")
 
@@ -209,14 +214,14 @@ def verify(docs: DataFrame, groups: DataFrame, words: int, threshold: float, blo
     return ordered.mapInArrow(check, "node bigint, n_links bigint, lead bigint")
 
 
-def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, class_id (least doc_id of all texts linked to it, directly or not), text_id (least doc_id with the same shingles), n_links (other texts at the threshold or above)."""
     bands, rows = bands_for(threshold, recall)
     signed = written(signatures(docs, words, bands, rows), "signatures")
     shingled = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    reps = shingled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    groups = candidate_groups(reps)
-    found = written(verify(docs.select("doc_id", "text"), groups, words, threshold, block), "links")
+    reps = written(shingled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_grams").alias("n_grams"), F.min_by("bands", "doc_id").alias("bands")), "reps")
+    groups = candidate_groups(reps).join(reps.select(F.col("rep").alias("node"), "n_grams"), "node")
+    found = written(verify(docs.select("doc_id", "text"), groups, words, threshold, block, block_bytes), "links")
     linked = found.where("lead <> node").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     labels = components(linked)
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
