@@ -25,7 +25,7 @@ from tracelake.streaming import incremental as I
 
 FS = 10.0
 RANK = 64
-HEIGHT, WIDTH = 20, 25
+WIDTH = 25
 NUDGE = 1.234e-9
 
 QUERIES, ORACLES = {}, {}
@@ -60,6 +60,11 @@ def R5(x: str, name: str, digits: int = 5) -> str:
     return f"ROUND({x} + {NUDGE}, {digits}) + 0.0 AS {name}"
 
 
+def _height(spark, sf) -> int:
+    """Rows of the image that the table's pixels are laid out on."""
+    return (T.pixel_codes(spark, sf, WIDTH).agg(F.max("row")).first()[0] or 0) + 1
+
+
 def _errors(spark, sf):
     return T.events(spark, sf, "error")
 
@@ -471,7 +476,7 @@ def pixel_correlations(spark, sf):
 JOIN px b ON b."row" = greatest(0, least(a."row" + dr, 19)) AND b.col = greatest(0, least(a.col + dc, 24)) WHERE dr <> 0 OR dc <> 0 GROUP BY ALL"""
 )
 def local_correlation(spark, sf):
-    return rounded(V.local_correlation(T.pixel_codes(spark, sf), HEIGHT, WIDTH))
+    return rounded(V.local_correlation(T.pixel_codes(spark, sf), _height(spark, sf), WIDTH))
 
 
 @query(BASE + _CODES + f', c AS (SELECT b.roi_id, a."row", a.col, {_COS} AS r FROM px a JOIN co b USING (roi_id)), k AS (SELECT *, row_number() OVER (PARTITION BY roi_id ORDER BY ROUND(r, 9) DESC, "row", col) AS rank FROM c) SELECT roi_id, "row", col, {R5("r", "r")}, rank FROM k WHERE rank <= 5')
@@ -524,12 +529,12 @@ bg AS (SELECT DISTINCT roi_id, CAST("row" + dr AS INT) AS "row", CAST(col + dc A
 SELECT roi_id, "row", col FROM bg WHERE "row" BETWEEN 0 AND 19 AND col BETWEEN 0 AND 24 AND NOT EXISTS (SELECT 1 FROM sm WHERE sm.roi_id = bg.roi_id AND sm."row" = bg."row" AND sm.col = bg.col)"""
 )
 def annulus_pixels(spark, sf):
-    return R.annuli(T.pixel_codes(spark, sf), 1, 3, HEIGHT, WIDTH, threshold=2.0)
+    return R.annuli(T.pixel_codes(spark, sf), 1, 3, _height(spark, sf), WIDTH, threshold=2.0)
 
 
 @query(BASE + 'SELECT greatest(min("row") - 2, 0) AS row0, least(max("row") + 3, 20) AS row1, greatest(min(col) - 2, 0) AS col0, least(max(col) + 3, 25) AS col1 FROM px WHERE roi_id = \'3\'')
 def crop_bounds(spark, sf):
-    return R.crop_bounds(T.pixel_codes(spark, sf).where("roi_id = '3'"), 2, HEIGHT, WIDTH)
+    return R.crop_bounds(T.pixel_codes(spark, sf).where("roi_id = '3'"), 2, _height(spark, sf), WIDTH)
 
 
 @query(BASE + f', e AS (SELECT "row", col, roi_id, v[1] AS value FROM px), s AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM e WINDOW w AS (PARTITION BY roi_id)), z AS (SELECT *, coalesce((value - lo) / nullif(hi - lo, 0), 0) AS x FROM s), g AS (SELECT *, avg(ln(greatest(x, 1e-12))) OVER (PARTITION BY roi_id) AS g FROM z) SELECT roi_id, "row", col, {R5("pow(x, coalesce(ln(0.5) / nullif(g, 0), 1))", "value")} FROM g')
@@ -711,7 +716,7 @@ def eroded_mask(spark, sf):
 
 @query(BASE + _SET + 'SELECT DISTINCT CAST(r + dr AS INT) AS "row", CAST(c + dc AS INT) AS col FROM er, nb WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 24')
 def opened_mask(spark, sf):
-    return M.opened(_mask(spark, sf), HEIGHT, WIDTH)
+    return M.opened(_mask(spark, sf), _height(spark, sf), WIDTH)
 
 
 @query(
@@ -722,7 +727,7 @@ SELECT DISTINCT CAST(r + dr AS INT) AS "row", CAST(c + dc AS INT) AS col FROM er
 )
 def dark_mask(spark, sf):
     regions = T.pixel_codes(spark, sf).where("roi_id = '3'").select("row", "col")
-    return M.dark_mask(_first_component(spark, sf), regions, 0.6, 1, HEIGHT, WIDTH)
+    return M.dark_mask(_first_component(spark, sf), regions, 0.6, 1, _height(spark, sf), WIDTH)
 
 
 @query(BASE + """, g AS (SELECT printf('r=%d c=%d', "row" // 5, col // 5) AS roi_id, "row", col FROM px WHERE CAST(roi_id AS INT) < 5) SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY roi_id) >= 12""")
@@ -763,7 +768,7 @@ ex AS (SELECT roi_id, unnest(v) AS x, unnest(generate_series(1, 64)) AS k FROM r
 )
 def neuropil_traces(spark, sf):
     px = T.pixel_codes(spark, sf)
-    return rounded(X.neuropil_traces(_codes_in_time(spark, sf), px, px.where("cast(roi_id AS int) < 3"), 1, 2, HEIGHT, WIDTH, RANK))
+    return rounded(X.neuropil_traces(_codes_in_time(spark, sf), px, px.where("cast(roi_id AS int) < 3"), 1, 2, _height(spark, sf), WIDTH, RANK))
 
 
 @query()
@@ -967,5 +972,5 @@ def normalized_peaks(spark, sf):
 @query()
 def spatial_survey(spark, sf):
     px = T.pixel_codes(spark, sf)
-    _, found = X.spatial_survey(_first_component(spark, sf), px, _codes_in_time(spark, sf), 40, 5, 3, 1.5, 10, HEIGHT, WIDTH, RANK)
+    _, found = X.spatial_survey(_first_component(spark, sf), px, _codes_in_time(spark, sf), 40, 5, 3, 1.5, 10, _height(spark, sf), WIDTH, RANK)
     return rounded(found, 4)
