@@ -71,3 +71,43 @@ def test_masks_have_all_rows(spark, tall, pixels):
     near = {q for at, (_, roi) in pixels.items() if roi == "3" for q in _ball(at, 1)}
     want = _opened({at for at, (v, _) in pixels.items() if v[0] <= cut} - near, height)
     assert got == want and max(r for r, _ in want) >= 20
+
+
+@pytest.fixture(scope="module")
+def uneven(spark, tmp_path_factory):
+    """A folder of events where one user has 260 rows and others few."""
+    path = str(tmp_path_factory.mktemp("uneven"))
+    rng = np.random.default_rng(4)
+    users = [u for u, n in ((0, 260), (1, 83), (2, 20), (3, 4), (7, 40), (25, 66)) for _ in range(n)]
+    kinds = ["error", "purchase", "view"]
+    rows = [(k, u, k, kinds[rng.integers(0, 3)] if u != 3 else "view", round(float(rng.uniform(0, 100)), 2)) for k, u in enumerate(rng.permutation(users).tolist())]
+    made = spark.createDataFrame(rows, "event_id bigint, user_id bigint, s bigint, event_type string, value double")
+    made.select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"), "event_type", "value").write.parquet(f"{path}/events.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def lists(spark, uneven):
+    """roi_id -> its values, and roi_id -> frames of its error events, in time order."""
+    values, errors = {}, {}
+    for r in spark.read.parquet(f"{uneven}/events.parquet").orderBy("ts").collect():
+        own = values.setdefault(str(r.user_id), [])
+        if r.event_type == "error":
+            errors.setdefault(str(r.user_id), []).append(len(own))
+        own.append(r.value)
+    return values, errors
+
+
+def test_segment_events_of_all_segments(spark, uneven, lists):
+    _, errors = lists
+    got = sorted(map(tuple, registry.QUERIES["segment_events"](spark, uneven).select("roi_id", "segment", "frame").collect()))
+    want = sorted((roi, (f - 5) // 15, (f - 5) % 15) for roi, at in errors.items() for f in at if f >= 5)
+    assert got == want and any(s >= 4 for _, s, _ in want)
+
+
+def test_events_to_trace_covers_the_last_frame(spark, uneven, lists):
+    values, errors = lists
+    got = {(r.roi_id, r.anchor): r.n for r in registry.QUERIES["events_to_trace"](spark, uneven).collect()}
+    ends = {roi: max(200, len(x) - 1 + 10) for roi, x in values.items()}
+    assert got == {(roi, a): sum(abs(f - a) <= 8 for f in errors.get(roi, [])) for roi, end in ends.items() for a in range(0, end, 10)}
+    assert ("0", 260) in got

@@ -84,14 +84,18 @@ def count_neighbors(events: DataFrame, n: int) -> DataFrame:
     return events.withColumn("n_neighbors", F.count(F.lit(1)).over(near) - 1)
 
 
-def hopping_counts(events: DataFrame, rois: DataFrame, hop: int, window: int, max_frame: int) -> DataFrame:
-    """roi_id, anchor, n: events within ceil(window / 2) frames of each anchor 0, hop, 2 hop, ... below max_frame, both ends closed."""
+def hopping_counts(events: DataFrame, rois: DataFrame, hop: int, window: int, max_frame: int | None = None, least: int = 0) -> DataFrame:
+    """roi_id, anchor, n: events within ceil(window / 2) frames of each anchor 0, hop, 2 hop, ... below max_frame, both ends closed.
+
+    Without max_frame, rois has the frames of the traces: the anchors of each roi go on until
+    they cover its last frame, and are those below least at any rate.
+    """
     half = math.ceil(window / 2)
-    last = (max_frame - 1) // hop
     low = F.greatest(F.ceil((F.col("frame") - half) / hop), F.lit(0))
-    high = F.least(F.floor((F.col("frame") + half) / hop), F.lit(last))
+    high = F.floor((F.col("frame") + half) / hop)
     hits = events.select("roi_id", F.explode(F.when(low <= high, F.sequence(low, high))).alias("k")).groupBy("roi_id", "k").agg(F.count(F.lit(1)).alias("n"))
-    spine = rois.select("roi_id").distinct().select("roi_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).alias("k"))
+    end = F.greatest(F.max("frame") + hop, F.lit(least)) if max_frame is None else F.lit(max_frame)
+    spine = rois.groupBy("roi_id").agg(F.floor((end - 1) / hop).alias("last")).select("roi_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("k"))
     return spine.join(hits, ["roi_id", "k"], "left").select("roi_id", (F.col("k") * hop).alias("anchor"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

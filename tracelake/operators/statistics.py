@@ -218,7 +218,10 @@ def segment_traces(trace: DataFrame, start: int, length: int, fs: float) -> Data
     return numbered.join(whole, ["roi_id", "k"]).select("roi_id", F.format_string("%.2f-%.2fs", begin, begin + length / fs).alias("id"), (F.col("frame") - start - F.col("k") * length).alias("frame"), "value")
 
 
-def segment_events(events: DataFrame, start: int, length: int, n_segments: int) -> DataFrame:
-    """roi_id, segment, frame (in the segment) of the events that fall in one."""
+def segment_events(events: DataFrame, start: int, length: int, n_segments: int | None = None) -> DataFrame:
+    """roi_id, segment, frame (in the segment) of the events that fall in one; without n_segments, segments go on to the last event, so none after start is lost."""
     k = F.expr(f"(frame - {start}) div {length}")
-    return events.where((F.col("frame") >= start) & (F.col("frame") < start + length * n_segments)).select("roi_id", k.alias("segment"), (F.col("frame") - start - k * length).alias("frame"))
+    inside = F.col("frame") >= start
+    if n_segments is not None:
+        inside &= F.col("frame") < start + length * n_segments
+    return events.where(inside).select("roi_id", k.alias("segment"), (F.col("frame") - start - k * length).alias("frame"))

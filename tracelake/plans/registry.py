@@ -119,7 +119,7 @@ def count_neighbors(spark, sf):
 
 @query(BASE + ", k AS (SELECT unnest(generate_series(0, 19)) * 10 AS anchor), r AS (SELECT DISTINCT roi_id FROM tr) SELECT r.roi_id, k.anchor, count(e.frame) AS n FROM r CROSS JOIN k LEFT JOIN ea e ON e.roi_id = r.roi_id AND abs(e.frame - k.anchor) <= 8 GROUP BY ALL")
 def events_to_trace(spark, sf):
-    return J.hopping_counts(_errors(spark, sf), T.traces(spark, sf), 10, 15, 200)
+    return J.hopping_counts(_errors(spark, sf), T.traces(spark, sf), 10, 15, least=200)
 
 
 @query(
@@ -332,7 +332,7 @@ def segment_traces(spark, sf):
 
 @query(BASE + "SELECT roi_id, (frame - 5) // 15 AS segment, (frame - 5) % 15 AS frame FROM ea WHERE frame >= 5 AND frame < 65")
 def segment_events(spark, sf):
-    return S.segment_events(_errors(spark, sf), 5, 15, 4)
+    return S.segment_events(_errors(spark, sf), 5, 15)
 
 
 # Detection.
