@@ -111,3 +111,30 @@ def test_events_to_trace_covers_the_last_frame(spark, uneven, lists):
     ends = {roi: max(200, len(x) - 1 + 10) for roi, x in values.items()}
     assert got == {(roi, a): sum(abs(f - a) <= 8 for f in errors.get(roi, [])) for roi, end in ends.items() for a in range(0, end, 10)}
     assert ("0", 260) in got
+
+
+@pytest.mark.parametrize("span", [4096, 16])
+def test_cross_event_means_of_all_traces(spark, uneven, lists, span, monkeypatch):
+    from tracelake.operators import event_joins as J
+
+    means = J.cross_means
+    monkeypatch.setattr(J, "cross_means", lambda *a: means(*a, block=2, span=span))
+    values, errors = lists
+    got = {(r.trace_roi, r.roi_id, r.offset): r["mean"] for r in registry.QUERIES["cross_event_means"](spark, uneven).collect()}
+    assert set(got) == {(t, e, o) for t in values for e in errors for o in (-1, 0, 1)}
+    for (t, e, o), mean in got.items():
+        seen = [values[t][f + o] for f in errors[e] if 0 <= f + o < len(values[t])]
+        assert mean == (pytest.approx(np.mean(seen), abs=2e-5) if seen else None)
+
+
+def test_cross_event_means_equal_sql_without_its_filter(spark):
+    con = connect("/root/testdata/sf0.001")
+    sql = registry.ORACLES["cross_event_means"].replace("WHERE CAST(roi_id AS BIGINT) % 25 = 0", "")
+    assert normal(registry.QUERIES["cross_event_means"](spark, "/root/testdata/sf0.001").toPandas()) == normal(con.execute(sql).df())
+
+
+@pytest.mark.parametrize("name", ["event_mean_codes", "event_codes"])
+def test_code_queries_take_all_rows(spark, name):
+    con = connect("/root/testdata/sf0.001")
+    sql = registry.ORACLES[name].replace("WHERE vec_id % 10 = 3", "").replace("WHERE e.vec_id % 10 = 3", "")
+    assert normal(registry.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()) == normal(con.execute(sql).df())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,50 @@ def cross_windows(traces: DataFrame, events: DataFrame, n_pre: int, n_post: int)
     return spine.join(right, (spine["trace_roi"] == right["_r"]) & (spine["frame"] + spine["offset"] == right["_f"]), "left").drop("_r", "_f")
 
 
+def cross_means(traces: DataFrame, events: DataFrame, n_pre: int, n_post: int, block: int = 256, span: int = 4096) -> DataFrame:
+    """trace_roi, roi_id (of the event), offset, mean: the means of cross_windows over the events of each roi, NULL where no frame has a value.
+
+    No event is paired with a trace as a row. Rois are dealt into blocks of about block and frames into spans; each
+    pair of blocks is, per span, one product of event counts per (roi_id, offset, frame) with the samples of the
+    traces. Sums of the spans are added up. One row of NULL frame names each roi in span 0, so that every pair is there.
+    """
+    n = lambda rows: max(1, math.ceil(rows.select("roi_id").distinct().count() / block))
+    n_events, n_traces = n(events), n(traces)
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    others = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    in_span = F.coalesce(F.floor(F.col("frame") / span), F.lit(0))
+    counts = events.select("roi_id", "frame", F.explode(F.sequence(F.lit(-n_pre), F.lit(n_post))).alias("offset")).groupBy("roi_id", "offset", (F.col("frame") + F.col("offset")).alias("frame")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    named = events.select("roi_id").distinct().select("roi_id", F.explode(F.sequence(F.lit(-n_pre), F.lit(n_post))).alias("offset"), F.lit(None).cast("bigint").alias("frame"), F.lit(0.0).alias("n"))
+    left = counts.union(named).select("roi_id", "offset", "frame", "n", of("roi_id", n_events).alias("a"), others(n_traces).alias("b"), in_span.alias("s"))
+    samples = traces.select("roi_id", "frame", "value").union(traces.select("roi_id", F.lit(None).cast("bigint"), F.lit(None).cast("double")).distinct())
+    right = samples.select("roi_id", "frame", "value", of("roi_id", n_traces).alias("b"), others(n_events).alias("a"), in_span.alias("s"))
+    keys = ["a", "b", "s"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_sums, "trace_roi string, roi_id string, offset int, x double, n double")
+    total = parts.groupBy("trace_roi", "roi_id", "offset").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return total.select("trace_roi", "roi_id", "offset", F.try_divide("x", "n").alias("mean"))
+
+
+def _block_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Sums and numbers of samples for each pair of (roi_id, offset) and trace of one block and span."""
+    columns = ["trace_roi", "roi_id", "offset", "x", "n"]
+    if left.empty or right.empty:
+        return pd.DataFrame({c: [] for c in columns}).astype({"trace_roi": object, "roi_id": object, "offset": "int32"})
+    line, lines = pd.factorize(pd.MultiIndex.from_frame(left[["roi_id", "offset"]]))
+    place, rois = pd.factorize(right["roi_id"])
+    first = int(np.nanmin([left["frame"].min(), right["frame"].min(), np.inf]) if left["frame"].notna().any() or right["frame"].notna().any() else 0)
+    at, to = (d["frame"].sub(first).fillna(-1).to_numpy().astype(int) for d in (left, right))
+    width = max(at.max(), to.max()) + 1
+    e, t = np.zeros((len(lines), width)), np.full((width, len(rois)), np.nan)
+    e[line[at >= 0], at[at >= 0]] = left["n"].to_numpy()[at >= 0]
+    t[to[to >= 0], place[to >= 0]] = right["value"].to_numpy(float)[to >= 0]
+    n, x = e @ ~np.isnan(t), e @ np.where(np.isfinite(t), t, 0)
+    if np.isinf(t).any():
+        x = x + np.where(e @ (t == np.inf) > 0, np.inf, 0) + np.where(e @ (t == -np.inf) > 0, -np.inf, 0)
+    keep = np.ones(n.shape, bool) if left["s"].iloc[0] == 0 else n > 0
+    i, j = np.nonzero(keep)
+    return pd.DataFrame({"trace_roi": np.asarray(rois, object)[j], "roi_id": lines.get_level_values(0).to_numpy()[i], "offset": lines.get_level_values(1).to_numpy()[i].astype("int32"), "x": x[i, j], "n": n[i, j]})
+
+
 def _few(rows: DataFrame, most: int = 100_000) -> bool:
     return rows.limit(most + 1).count() <= most
 

@@ -128,9 +128,8 @@ def events_to_trace(spark, sf):
 SELECT r.trace_roi, e.roi_id, o.o AS "offset", {R5("avg(t.value)", "mean")} FROM ea e CROSS JOIN r CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS o) o LEFT JOIN tr t ON t.roi_id = r.trace_roi AND t.frame = e.frame + o.o GROUP BY ALL"""
 )
 def cross_event_means(spark, sf):
-    """Events of every roi on the traces of the rois asked for: a selection is an argument of this operator."""
-    wanted = T.traces(spark, sf).where("cast(roi_id AS bigint) % 25 = 0")
-    return rounded(J.cross_windows(wanted, _errors(spark, sf), 1, 1).groupBy("trace_roi", "roi_id", "offset").agg(F.avg("value").alias("mean")))
+    """Events of every roi on the traces of every roi. The SQL has one roi in 25 of the traces."""
+    return rounded(J.cross_means(T.traces(spark, sf), _errors(spark, sf), 1, 1))
 
 
 @query(BASE + f", n AS (SELECT roi_id, count(*) AS n FROM tr GROUP BY 1), s AS (SELECT roi_id, unnest(generate_series(0, n - 1)) AS frame FROM n) SELECT s.roi_id, s.frame, {R5('e.event_idx * 1.5', 'value')} FROM s LEFT JOIN ea e ON e.roi_id = s.roi_id AND e.frame = s.frame")
@@ -508,7 +507,7 @@ def extract_traces(spark, sf):
 SELECT roi_id, "offset", k, {R5('avg(x)', 'x')} FROM s GROUP BY ALL"""
 )
 def event_mean_codes(spark, sf):
-    found = T.table(spark, sf, "embeddings").where("vec_id % 10 = 3").select(F.col("label").cast("string").alias("roi_id"), F.col("vec_id").alias("frame"))
+    found = T.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("roi_id"), F.col("vec_id").alias("frame"))
     mean = V.event_mean_codes(_codes_in_time(spark, sf), found, 1, 2, RANK)
     return rounded(mean.select("roi_id", "offset", F.posexplode("code").alias("k", "x")).select("roi_id", "offset", F.col("k").cast("bigint").alias("k"), "x"))
 
@@ -905,7 +904,7 @@ def phase_keyframes(spark, sf):
 
 @query(f"SELECT CAST(e.label AS VARCHAR) AS roi_id, e.vec_id AS event_idx, o.o AS \"offset\", {R5('CAST(m.embedding[1] AS DOUBLE)', 'x')} FROM embeddings e CROSS JOIN (SELECT unnest(generate_series(-1, 2)) AS o) o LEFT JOIN embeddings m ON m.vec_id = e.vec_id + o.o WHERE e.vec_id % 10 = 3")
 def event_codes(spark, sf):
-    found = T.table(spark, sf, "embeddings").where("vec_id % 10 = 3").select(F.col("label").cast("string").alias("roi_id"), F.col("vec_id").alias("event_idx"), F.col("vec_id").alias("frame"))
+    found = T.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("roi_id"), F.col("vec_id").alias("event_idx"), F.col("vec_id").alias("frame"))
     return rounded(X.event_codes(_codes_in_time(spark, sf), found, 1, 2).select("roi_id", "event_idx", "offset", F.get("u", F.lit(0)).alias("x")))
 
 
