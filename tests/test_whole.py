@@ -138,3 +138,39 @@ def test_code_queries_take_all_rows(spark, name):
     con = connect("/root/testdata/sf0.001")
     sql = registry.ORACLES[name].replace("WHERE vec_id % 10 = 3", "").replace("WHERE e.vec_id % 10 = 3", "")
     assert normal(registry.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()) == normal(con.execute(sql).df())
+
+
+def test_crop_bounds_of_all_regions(spark, tall, pixels):
+    got = {r.roi_id: (r.row0, r.row1, r.col0, r.col1) for r in registry.QUERIES["crop_bounds"](spark, tall).collect()}
+    height = max(r for r, _ in pixels) + 1
+    want = {}
+    for roi in {roi for _, roi in pixels.values()}:
+        rows, cols = zip(*[at for at, (_, x) in pixels.items() if x == roi], strict=True)
+        want[roi] = (max(min(rows) - 2, 0), min(max(rows) + 3, height), max(min(cols) - 2, 0), min(max(cols) + 3, WIDTH))
+    assert got == want
+
+
+def test_traces_of_all_regions(spark, tall, pixels):
+    video = np.array([v for _, (v, _) in sorted(pixels.items())])
+    labels = np.array([roi for _, (_, roi) in sorted(pixels.items())])
+    ids = sorted(set(labels))
+    # Every pixel is in a region, so regions and background are dependent: the least-norm solution is asked for.
+    design = np.array([*[(labels == roi).astype(float) for roi in ids], np.ones(len(labels))]).T
+    want = np.linalg.pinv(design) @ (video @ video.T)
+    got = {(r.roi_id, r.frame): r.value for r in registry.QUERIES["ols_traces"](spark, tall).collect()}
+    assert set(got) == {(roi, f) for roi in ids for f in range(len(video))}
+    assert np.allclose([[got[roi, f] for f in range(len(video))] for roi in ids], want[:-1], atol=2e-4)
+    rings = {roi: ring for roi, ring in _rings(pixels, 1, 3 - 1).items() if any(p in pixels for p in ring)}
+    got = {(r.roi_id, r.frame): r.value for r in registry.QUERIES["neuropil_traces"](spark, tall).collect()}
+    assert set(got) == {(roi, f) for roi in rings for f in range(len(video))} and len(rings) > 3
+    for roi, ring in rings.items():
+        # Places of the image's last row that have no pixel count as 0, as in extract_from_codes.
+        code = sum(pixels[p][0] for p in ring if p in pixels) / len(ring)
+        assert np.allclose([got[roi, f] for f in range(len(video))], video @ code, atol=2e-5)
+
+
+def test_against_reference_has_all_traces(spark, uneven, lists):
+    values, errors = lists
+    at = lambda roi, f: values[roi][f] if f < len(values[roi]) else None
+    got = {(r.roi_id, r.event_idx, r.offset, r.trace_roi): (r.value, r.reference) for r in registry.QUERIES["against_reference"](spark, uneven).collect()}
+    assert got == {(e, k, o, t): (at(t, f + o), at("0", f + o)) for e, frames in errors.items() for k, f in enumerate(frames) for o in (0, 1) for t in values}

@@ -173,6 +173,20 @@ def against_reference(windows: DataFrame, reference: str) -> DataFrame:
     return windows.join(other, ["roi_id", "event_idx", "offset"])
 
 
+def beside_reference(traces: DataFrame, events: DataFrame, n_pre: int, n_post: int, reference: str) -> DataFrame:
+    """The rows of against_reference(cross_windows(...)) for all traces: the reference is looked up once per event and offset, not per trace.
+
+    Then events meet a grid of all traces at the frames that they ask for, so the result is made by the last join and is not shuffled.
+    """
+    near = events.select("roi_id", "event_idx", "frame", F.explode(F.sequence(F.lit(-n_pre), F.lit(n_post))).alias("offset")).withColumn("_at", F.col("frame") + F.col("offset"))
+    one = traces.where(F.col("roi_id") == reference).select(F.col("frame").alias("_at"), F.col("value").alias("reference"))
+    known = near.join(one, "_at", "left")
+    rois = traces.select(F.col("roi_id").alias("trace_roi")).distinct()
+    samples = traces.select(F.col("roi_id").alias("trace_roi"), F.col("frame").alias("_at"), "value")
+    grid = near.select("_at").distinct().join(rois, how="cross").join(samples, ["trace_roi", "_at"], "left")
+    return known.join(grid, "_at").select("roi_id", "event_idx", "offset", "trace_roi", "value", "reference")
+
+
 def trailing_mean(points: DataFrame, seconds: int, least: int) -> DataFrame:
     """points (roi_id, ts, value) with mean over the trailing time, its start left out; NULL with fewer than least points."""
     micros = F.unix_micros("ts")

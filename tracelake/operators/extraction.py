@@ -35,7 +35,7 @@ def ols_traces(u: DataFrame, pixels: DataFrame, weights: DataFrame, rank: int) -
         g[place[a], place[b]] = x
     g[:-1, -1] = g[-1, :-1] = [total[r] for r in ids]
     g[-1, -1] = pixels.count()
-    inverse = np.linalg.pinv(g)
+    inverse = np.linalg.pinv(g, rcond=1e-10, hermitian=True)  # regions that cover the image make it singular
     joined = pixels.drop("roi_id").join(w, ["row", "col"])
     codes = {r.roi_id: np.array(r.code) for r in joined.groupBy("roi_id").agg(F.array(*[F.sum(F.col("weight") * F.get("v", F.lit(k))) for k in range(rank)]).alias("code")).collect()}
     whole = np.array(pixels.agg(V._sum_of("v", rank).alias("s")).first()[0])

@@ -38,8 +38,8 @@ def annuli(pixels: DataFrame, inner: int, outer: int, height: int, width: int, t
 
 
 def crop_bounds(pixels: DataFrame, pad: int, height: int, width: int) -> DataFrame:
-    """row0, row1, col0, col1 (ends exclusive) around all pixels, with a margin, inside the image."""
-    return pixels.agg(
+    """roi_id, row0, row1, col0, col1 (ends exclusive) around the pixels of each region, with a margin, inside the image."""
+    return pixels.groupBy("roi_id").agg(
         F.greatest(F.min("row") - pad, F.lit(0)).alias("row0"), F.least(F.max("row") + 1 + pad, F.lit(height)).alias("row1"), F.greatest(F.min("col") - pad, F.lit(0)).alias("col0"), F.least(F.max("col") + 1 + pad, F.lit(width)).alias("col1")
     )
 

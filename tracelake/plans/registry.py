@@ -533,7 +533,7 @@ def annulus_pixels(spark, sf):
 
 @query(BASE + 'SELECT greatest(min("row") - 2, 0) AS row0, least(max("row") + 3, 20) AS row1, greatest(min(col) - 2, 0) AS col0, least(max(col) + 3, 25) AS col1 FROM px WHERE roi_id = \'3\'')
 def crop_bounds(spark, sf):
-    return R.crop_bounds(T.pixel_codes(spark, sf).where("roi_id = '3'"), 2, _height(spark, sf), WIDTH)
+    return R.crop_bounds(T.pixel_codes(spark, sf), 2, _height(spark, sf), WIDTH)
 
 
 @query(BASE + f', e AS (SELECT "row", col, roi_id, v[1] AS value FROM px), s AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM e WINDOW w AS (PARTITION BY roi_id)), z AS (SELECT *, coalesce((value - lo) / nullif(hi - lo, 0), 0) AS x FROM s), g AS (SELECT *, avg(ln(greatest(x, 1e-12))) OVER (PARTITION BY roi_id) AS g FROM z) SELECT roi_id, "row", col, {R5("pow(x, coalesce(ln(0.5) / nullif(g, 0), 1))", "value")} FROM g')
@@ -767,13 +767,13 @@ ex AS (SELECT roi_id, unnest(v) AS x, unnest(generate_series(1, 64)) AS k FROM r
 )
 def neuropil_traces(spark, sf):
     px = T.pixel_codes(spark, sf)
-    return rounded(X.neuropil_traces(_codes_in_time(spark, sf), px, px.where("cast(roi_id AS int) < 3"), 1, 2, _height(spark, sf), WIDTH, RANK))
+    return rounded(X.neuropil_traces(_codes_in_time(spark, sf), px, px, 1, 2, _height(spark, sf), WIDTH, RANK))
 
 
 @query()
 def ols_traces(spark, sf):
     px = T.pixel_codes(spark, sf)
-    weights = px.where("cast(roi_id AS int) < 4").select("roi_id", "row", "col", F.lit(1.0).alias("weight"))
+    weights = px.select("roi_id", "row", "col", F.lit(1.0).alias("weight"))
     return rounded(X.ols_traces(_codes_in_time(spark, sf), px, weights, RANK), 4)
 
 
@@ -924,9 +924,7 @@ def orthogonal_video(spark, sf):
 SELECT a.roi_id, a.event_idx, a."offset", a.trace_roi, {R5('a.value', 'value')}, {R5('b.value', 'reference')} FROM c a JOIN c b ON b.trace_roi = '0' AND b.roi_id = a.roi_id AND b.event_idx = a.event_idx AND b."offset" = a."offset" """
 )
 def against_reference(spark, sf):
-    both = T.traces(spark, sf).where("roi_id IN ('0', '1')")
-    found = J.against_reference(J.cross_windows(both, _errors(spark, sf), 0, 1), "0")
-    return rounded(found.select("roi_id", "event_idx", "offset", "trace_roi", "value", "reference"))
+    return rounded(J.beside_reference(T.traces(spark, sf), _errors(spark, sf), 0, 1, "0"))
 
 
 @query(
