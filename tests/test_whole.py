@@ -174,3 +174,36 @@ def test_against_reference_has_all_traces(spark, uneven, lists):
     at = lambda roi, f: values[roi][f] if f < len(values[roi]) else None
     got = {(r.roi_id, r.event_idx, r.offset, r.trace_roi): (r.value, r.reference) for r in registry.QUERIES["against_reference"](spark, uneven).collect()}
     assert got == {(e, k, o, t): (at(t, f + o), at("0", f + o)) for e, frames in errors.items() for k, f in enumerate(frames) for o in (0, 1) for t in values}
+
+
+def _grown(seeds, codes, threshold):
+    """Breadth-first growth; seeds: roi_id -> pixels, codes: pixel -> code."""
+    out = set()
+    for roi, own in seeds.items():
+        mean = np.mean([codes[p] for p in own], axis=0)
+        fits = {p for p, v in codes.items() if v @ mean >= threshold * np.linalg.norm(v) * np.linalg.norm(mean)}
+        region, edge = set(own), set(own)
+        while edge:
+            edge = {q for p in edge for q in _ball(p, 1) if q in fits} - region
+            region |= edge
+        out |= {(roi, *p) for p in region}
+    return out
+
+
+def test_grow_until_it_stalls(spark):
+    from tracelake.operators import masks as M
+
+    snake = {(0, c) for c in range(9)} | {(1, 8), (2, 8)} | {(3, c) for c in range(9)}
+    codes = {(r, c): np.array([1.0, 0.1] if (r, c) in snake else [0.0, 1.0]) for r in range(4) for c in range(9)}
+    px = spark.createDataFrame([(r, c, v.tolist()) for (r, c), v in codes.items()], "row int, col int, v array<double>")
+    seeds = spark.createDataFrame([("a", 0, 0), ("b", 3, 4)], "roi_id string, row int, col int")
+    got = sorted(map(tuple, M.grow(seeds, px, 0.5, 2).select("roi_id", "row", "col").collect()))
+    assert got == sorted((roi, *p) for roi in "ab" for p in snake)
+
+
+def test_grown_regions_of_the_table(spark, tall, pixels):
+    seeds = {}
+    for at, (_, roi) in pixels.items():
+        seeds.setdefault(roi, set()).add(at)
+    got = [(r.roi_id, r.row, r.col) for r in registry.QUERIES["grown_regions"](spark, tall).collect()]
+    assert len(got) == len(set(got)) and set(got) == _grown(seeds, {at: v for at, (v, _) in pixels.items()}, 0.05)

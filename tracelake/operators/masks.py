@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import arrays as A
 from tracelake.operators.event_joins import nearest_event
 from tracelake.operators.statistics import peak_to_trough
+from tracelake.sources.tables import written
 
 CROSS = ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))
 
@@ -53,19 +54,27 @@ def grid_regions(pixels: DataFrame, cell: int, least: int) -> DataFrame:
     return named.join(enough, "roi_id", "left_semi")
 
 
-def grow(seeds: DataFrame, pixels: DataFrame, threshold: float, rank: int, steps: int) -> DataFrame:
-    """roi_id, row, col: regions grown by side neighbours whose cosine with the seed's mean code is at least threshold.
+def grow(seeds: DataFrame, pixels: DataFrame, threshold: float, rank: int) -> DataFrame:
+    """roi_id, row, col: regions grown by side neighbours whose cosine with the seed's mean code is at least threshold, until none is left to add.
 
-    A fixed number of steps keeps it one plan; a step that adds nothing changes nothing.
+    Each round's new pixels are written to the shared folder. Sides are mutual, so a neighbour of
+    a round's pixels that is known already is of that round or of the one before.
     """
-    codes = seeds.join(pixels.select("row", "col", "v"), ["row", "col"]).groupBy("roi_id").agg(F.array(*[F.avg(F.get("v", F.lit(k))) for k in range(rank)]).alias("code"))
-    region = seeds.select("roi_id", "row", "col")
-    for _ in range(steps):
-        m = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in CROSS[1:]])
-        edge = region.select("roi_id", F.explode(m).alias("m"), "row", "col").select("roi_id", (F.col("row") + F.col("m.r")).alias("row"), (F.col("col") + F.col("m.c")).alias("col")).distinct()
-        new = edge.join(pixels.select("row", "col", "v"), ["row", "col"]).join(codes, "roi_id").where(A.cosine("v", "code") >= threshold).select("roi_id", "row", "col")
-        region = region.union(new).distinct()
-    return region
+    keys = ["roi_id", "row", "col"]
+    image = pixels.select("row", "col", "v")
+    codes = written(seeds.join(image, ["row", "col"]).groupBy("roi_id").agg(F.array(*[F.avg(F.get("v", F.lit(k))) for k in range(rank)]).alias("code")), "codes")
+    m = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in CROSS[1:]])
+    rounds = [written(seeds.select(*keys).distinct(), "grown")]
+    while True:
+        edge = rounds[-1].select("roi_id", F.explode(m).alias("m"), "row", "col").select("roi_id", (F.col("row") + F.col("m.r")).alias("row"), (F.col("col") + F.col("m.c")).alias("col")).distinct()
+        for known in rounds[-2:]:
+            edge = edge.join(known, keys, "left_anti")
+        new = written(edge.join(image, ["row", "col"]).join(codes, "roi_id").where(A.cosine("v", "code") >= threshold).select(*keys), "grown")
+        if new.isEmpty():
+            break
+        rounds.append(new)
+    paths = [path for r in rounds for path in r.inputFiles()]
+    return seeds.sparkSession.read.schema(rounds[0].schema).parquet(*paths)
 
 
 def spatial_magnitudes(traces: DataFrame, reference: DataFrame, events: DataFrame, pixels: DataFrame, n_band: int, n_post: int) -> DataFrame:

@@ -749,8 +749,8 @@ def spatial_magnitudes(spark, sf):
 
 @query()
 def grown_regions(spark, sf):
-    seeds = T.pixel_codes(spark, sf).where("row % 7 = 3 AND col % 7 = 3").select(F.concat_ws("-", "row", "col").alias("roi_id"), "row", "col")
-    return M.grow(seeds, T.pixel_codes(spark, sf), 0.05, RANK, 3)
+    px = T.pixel_codes(spark, sf)
+    return M.grow(px.select("roi_id", "row", "col"), px, 0.05, RANK)
 
 
 # Extraction.

@@ -6,6 +6,8 @@ Packed form: (roi_id, values) and (roi_id, frames). Missing values are NULL in b
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        shared = context.getCheckpointDir()
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def framed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """roi_id, frame, value, event_type: each user's rows in time order, numbered from 0."""
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
