@@ -5,37 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import written
+from tracelake.llm.common import spread_join, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _starred(pairs: DataFrame, total: int) -> DataFrame:
+    """pairs (a, b) with m, the least b of each a; an a with many partners is split over tasks."""
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return spread_join(pairs, least, "a", "n", total)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbours and itself."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _starred(both, 2 * total).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node links its smaller neighbours and itself to the least of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    found = _starred(edges, total)
+    # (a, m) itself comes with the row whose b is m.
+    return found.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): every node of edges (a, b) with the least node of its component.
 
-    The tables of each round are written to the shared folder. Only counts and
+    The tables of each step are written to the shared folder. Only counts and
     sums of the edges reach the driver.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    total, state = edges.count(), None
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(written(_large_star(edges, total), "edges"), total), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        total, state = now[0], now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -16,8 +16,12 @@ def normal_words(raw: bytes) -> list[bytes]:
     return raw.translate(WORD_TABLE).split()
 
 
-def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+def as_bytes(column: pa.Array) -> list[bytes]:
     """The texts of a column as UTF-8, null as empty."""
-    column = batch.column(batch.schema.get_field_index(name))
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def raw_texts(batch: pa.RecordBatch, name: str | int = "text") -> list[bytes]:
+    """The texts of a column of a batch, by name or place."""
+    return as_bytes(batch.column(name if isinstance(name, int) else batch.schema.get_field_index(name)))
