@@ -1,18 +1,19 @@
 """Chat formatting with a grammar round trip.
 
 A turn is rendered as a start mark, its role, a line feed, its text, an end mark
-and a line feed. Every rendered turn is parsed again; where that does not give
-back the source, its content is escaped and tried again until it does. The
-escape puts a backslash into a control string, one more where there are some
-already, so parsing takes one away and nothing is lost.
+and a line feed. No role and no text may hold a mark. Every rendered turn is
+parsed again by that grammar; what does not come back as it went in is escaped and
+the turn tried again, until source and parse are identical. The escape puts a
+backslash into a control string, one more where there are some already, so
+parsing takes one away and nothing is lost.
 
 Turns are dealt by conversation, sorted, and streamed: memory does not grow with
-the length of a conversation.
+the length of a conversation, and a text of any length is one turn.
 
 Defined results: null role or text is empty. Turns without a number come first;
 turns with equal numbers follow role and text. Rows with a null conv_id are one
 conversation. Equal rows are turns of their own. An empty table gives an empty
-result. Extra columns are ignored.
+result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +21,20 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
 ESCAPED = re.compile(r"<\\(\\*)\|(im_start|im_end)\|>")
-TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
+TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>", re.DOTALL)
 LEARNED = "assistant"
 
+DIGESTS = pa.schema(
+    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+)
+
 
 def escape_text(text: str) -> str:
     return CONTROL.sub(r"<\\\1|\2|>", text)
@@ -52,59 +57,77 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
     turns, at = [], 0
     while at < len(rendered):
         m = TURN.match(rendered, at)
-        if not m or START in m[1] + m[2] or END in m[1]:
+        if not m or rendered[m.end() : m.end() + 1] != "\n" or START in m[1] or END in m[1] or START in m[2]:
             raise ValueError(f"no turn at {at}")
         turns.append((unescape_role(m[1]), unescape_text(m[2]), m.start(2), m.end(2)))
-        at = m.end()
+        at = m.end() + 1
     return turns
 
 
-def render(role: str, text: str) -> str:
-    """A turn as text that parses back to (role, text)."""
-    for r, t in ((role, text), (role, escape_text(text)), (escape_role(role), escape_text(text))):
-        rendered = f"{START}{r}\n{t}{END}\n"
+def _recovered(role: str, text: str) -> tuple[str | None, str | None]:
+    """What a parse gives back for role and text, each rendered beside an empty other; None where there is no parse."""
+    out = []
+    for place, rendered in enumerate((f"{START}{role}\n{END}\n", f"{START}\n{text}{END}\n")):
         try:
-            if [x[:2] for x in parse(rendered)] == [(role, text)]:
-                return rendered
+            turns = parse(rendered)
+            out.append(turns[0][place] if len(turns) == 1 else None)
         except ValueError:
-            pass
-    raise ValueError("a turn cannot be rendered")
+            out.append(None)
+    return out[0], out[1]
+
+
+def render(role: str, text: str) -> str:
+    """A turn as text that parses back to (role, text) and holds each mark once."""
+    r, t = role, text
+    while (got := _recovered(r, t)) != (role, text):
+        before = r, t
+        if got[0] != role:
+            r = escape_role(role)
+        if got[1] != text:
+            t = escape_text(text)
+        if (r, t) == before:  # the escapes leave no conflict, so this is not reached
+            raise AssertionError("an escape was not undone")
+    return f"{START}{r}\n{t}{END}\n"
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, rendered and start: the formatted text of a conversation is its rendered turns in order of start."""
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def run(frames):
+    def run(batches):
         conv, at = object(), 0
-        for frame in frames:
-            rows = []
-            for key, turn, role, text in zip(frame["conv_id"], frame["turn"], frame["role"], frame["text"], strict=True):
-                key, turn = None if pd.isna(key) else int(key), None if pd.isna(turn) else int(turn)
+        for batch in batches:
+            rendered, starts = [], []
+            for key, role, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 if key != conv:
                     conv, at = key, 0
-                rows.append((key, turn, out := render(role, text), at))
-                at += len(out)
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "rendered", "start"]).astype({"conv_id": "Int64", "turn": "Int64", "start": "int64"})
+                rendered.append(render(role, text))
+                starts.append(at)
+                at += len(rendered[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rendered, pa.string()), pa.array(starts, pa.int64())], ["conv_id", "turn", "rendered", "start"])
 
-    return ordered.mapInPandas(run, "conv_id bigint, turn bigint, rendered string, start bigint")
+    return ordered.mapInArrow(run, "conv_id bigint, turn bigint, rendered string, start bigint")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """One row per conversation, read back from what format_chat returned, in its order."""
 
-    def run(frames):
+    def run(batches):
         conv, state = None, None
 
         def row():
             n, turns, loss, loss_chars, chars = state
             return (conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars)
 
-        for frame in frames:
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(DIGESTS), DIGESTS, strict=True)], schema=DIGESTS)
+
+        for batch in batches:
             rows = []
-            for key, start, rendered in zip(frame["conv_id"], frame["start"], frame["rendered"], strict=True):
-                key = None if pd.isna(key) else int(key)
+            for key, start, rendered in zip(*(batch.column(k).to_pylist() for k in (0, 3, 2)), strict=True):
                 if start == 0:
                     if state:
                         rows.append(row())
@@ -116,13 +139,8 @@ def digests(formatted: DataFrame) -> DataFrame:
                         state[2].update(text.encode())
                         state[3] += len(text)
                 state[4] += len(rendered)
-            yield frame_of(rows)
+            yield batch_of(rows)
         if state:
-            yield frame_of([row()])
-
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-
-    def frame_of(rows):
-        return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+            yield batch_of([row()])
 
-    return formatted.mapInPandas(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
