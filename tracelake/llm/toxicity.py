@@ -7,14 +7,19 @@ cross-entropy of the noisy-or, and sentences learn their part of the blame.
 The same sentence scores then locate what offends.
 
 The fit uses a bounded sample of labelled rows: those with the lowest hash,
-``max_docs`` documents and ``max_chars`` characters at most. Words are hashed on
-the executors, so the driver gets numbers. Weights near zero are dropped, and
-scoring is one pass without a shuffle.
+``max_docs`` rows and ``max_chars`` characters at most. A document that does not fit
+into what is left of these bounds is passed over; if none fits, the shortest labelled
+one is the sample. Words are hashed on the executors, so the driver gets numbers.
+Weights near zero are dropped, and scoring is one pass without a shuffle.
 
 Defined results: a null or empty text is one sentence without words, whose score
 is the bias alone. Labels that are null are no labels; of several for a document
-the highest counts. Without labelled rows all weights are 0 and every score is
-the prior given. Equal texts get equal scores. Extra columns are ignored.
+the highest counts; true and false are 1 and 0. Without labelled rows all weights
+are 0 and every score is the prior given. Equal texts get equal scores. A text of
+any length is scored whole: noisy-or grows with the number of sentences, so n
+sentences without a telling word score 1 - (1 - p)^n with p the logistic of the bias.
+Input columns named score, predicted or offending give way to the results; all
+others are passed through under any name.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tracelake.llm.common import map_texts, without
 from tracelake.llm.words import WORD_TABLE, raw_texts
 
 FOLDS = 5
@@ -36,6 +43,8 @@ DIMS = 1 << 18
 MAX_DOCS = 8_000
 MAX_CHARS = 60_000_000
 PRIOR = 0.05
+HASHES = 1 << 40
+DECAY = 2e-6
 
 
 def held_out(column: str = "doc_id"):
@@ -100,27 +109,44 @@ def _encoded(docs: DataFrame, slots: np.ndarray) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, epochs: int = 100) -> tuple[dict[int, float], float]:
     """Weights by slot, and the bias, from documents outside the held-out fold."""
-    told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    sizes = docs.groupBy("doc_id").agg(F.sum(F.length("text")).alias("_n"), F.count("*").alias("_rows")).join(told, "doc_id")
+    told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
+    texts = docs.groupBy("doc_id", F.xxhash64("text")).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))  # equal rows are one
+    sizes = texts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).join(told, "doc_id")
     # A share of the hash range holds about twice the sample, so what reaches the driver has a bound at any number of tasks.
     labelled = sizes.count()
-    share = int(min(1.0, 2 * max_docs / max(labelled, 1)) * (1 << 20))
-    h = F.xxhash64("doc_id")
-    rows = sizes.where(F.pmod(h, F.lit(1 << 20)) < share).select(F.pmod(h, F.lit(1 << 20)).alias("h"), "doc_id", F.coalesce("_n", F.lit(0)).alias("n"), "_rows").collect()
+    share = math.ceil(min(1.0, 2 * max_docs / max(labelled, 1)) * HASHES)
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
+    rows = sizes.where(h < share).select(h.alias("h"), "doc_id", "n", "texts").collect()
     chosen, total, many = [], 0, 0
     for _, doc_id, n, k in sorted(map(tuple, rows)):
-        if total + n > max_chars or many + k > max_docs:
-            break
-        total, many = total + n, many + k
-        chosen.append(doc_id)
+        if total + n <= max_chars and many + k <= max_docs:
+            total, many = total + n, many + k
+            chosen.append(doc_id)
+    if not chosen:
+        chosen = [r[0] for r in sizes.orderBy("texts", "n", "doc_id").limit(1).select("doc_id").collect()]
     if not chosen:
         return {}, float(np.log(PRIOR / (1 - PRIOR)))
     spark = docs.sparkSession
     keys = F.broadcast(spark.createDataFrame([(x,) for x in chosen], "doc_id bigint"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(told.join(keys, "doc_id")), "doc_id")
+    sample = docs.join(F.broadcast(told.join(keys, "doc_id")), "doc_id").dropDuplicates(["doc_id", "text"])
     return _descend(_encoded(sample, _screened(sample)).toArrow(), epochs)
 
 
+def loss(w: np.ndarray, b: float, y: np.ndarray, bag: np.ndarray, instance: np.ndarray, word: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Mean cross-entropy of the noisy-or, and its gradients by weights and bias.
+
+    y: label of each bag; bag: that of each sentence; instance and word: sentence and weight of each word.
+    """
+    z = b + np.bincount(instance, w[word], len(bag))
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))  # log of the chance that no sentence offends
+    pos = np.maximum(-np.expm1(clean), 1e-9)
+    # d loss / d z of a sentence: p for a clean bag, -(p / pos) * (1 - pos) for a toxic one
+    g = p * np.where(y[bag] > 0, -(1 - pos[bag]) / pos[bag], 1.0) / len(y)
+    value = -np.where(y > 0, np.log(pos), clean).mean()
+    return value, np.bincount(word, g[instance], len(w)).astype(float), g.sum()
+
+
 def _descend(rows: pa.Table, epochs: int) -> tuple[dict[int, float], float]:
     """Weights and bias by full-batch Adam on the cross-entropy of the noisy-or, with a weak pull of weights to zero."""
     y = rows["toxic"].to_numpy().astype(float)
@@ -135,13 +161,8 @@ def _descend(rows: pa.Table, epochs: int) -> tuple[dict[int, float], float]:
     w, b = np.zeros(len(used)), -5.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, epochs + 1):
-        z = b + np.bincount(instance, w[word], len(per))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))  # log of the chance that no sentence offends
-        pos = np.maximum(-np.expm1(clean), 1e-9)
-        # d loss / d z of a sentence: p for a clean bag, -(p / pos) * (1 - pos) for a toxic one
-        g = p * np.where(y[bag] > 0, -(1 - pos[bag]) / pos[bag], 1.0) / len(y)
-        gw, gb = np.bincount(word, g[instance], len(used)) + 2e-6 * w, g.sum()
+        _, gw, gb = loss(w, b, y, bag, instance, word)
+        gw += DECAY * w
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.2 if step <= epochs * 0.6 else 0.05
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -178,23 +199,24 @@ def score_text(raw: bytes, weights: WordWeights, bias: float) -> tuple[float, li
 
 def toxicity(docs: DataFrame, labels: DataFrame, offending: float = 0.3, **fit_options) -> DataFrame:
     """docs with score, predicted (1 from 0.5) and offending: code points and score of the sentences at fault."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **fit_options))
-    passed = [c for c in docs.columns if c.lower() not in ("score", "predicted", "offending")]
-    kept = docs.select(*passed)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), **fit_options))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
-    def run(batches):
+    def start():
         slots, bias = model.value
         words = WordWeights(slots)
-        for batch in batches:
+
+        def judge(texts):
             scores, found = [], []
-            for raw in raw_texts(batch):
+            for raw in texts:
                 s, parts = score_text(raw, words, bias)
                 at = [x for x in parts if x[2] >= offending]
                 place = lambda k, raw=raw: len(raw[:k].decode(errors="ignore"))
                 found.append([{"start": place(a), "end": place(b), "score": p} for a, b, p in at])
                 scores.append(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, spans)], [*passed, "score", "predicted", "offending"])
+            return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(found, spans)]
+
+        return judge
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{ddl}, score double, predicted int, offending array<struct<start:bigint,end:bigint,score:double>>")
+    results = StructType.fromDDL("score double, predicted int, offending array<struct<start:bigint,end:bigint,score:double>>")
+    return map_texts(without(docs, *results.names), results, start)
