@@ -17,11 +17,11 @@ FROM c GROUP BY conv_id
 
 _RATIO = "SELECT doc_id, l, s, '{0}' AS ratio, CAST({1} AS BIGINT) AS v FROM m WHERE n_words > 0"
 _RATIOS = (
-    ("mean_word", "100 * word_chars // n_words", 100, True),
-    ("symbols", "100 * n_symbols // n_words", 8, False),
-    ("shouts", "100 * n_shouts // n_words", 15, False),
-    ("dup_lines", "100 * n_dup_lines // n_lines", 15, False),
-    ("repeats", "100 * n_repeat_words // n_words", 10, False),
+    ("mean_word", "100 * word_chars // n_words", True),
+    ("symbols", "10000 * (n_symbols + 1) // (n_words + 1)", False),
+    ("shouts", "10000 * (n_shouts + 1) // (n_words + 1)", False),
+    ("dup_lines", "10000 * (n_dup_lines + 1) // (n_words + 1)", False),
+    ("repeats", "10000 * (n_repeat_words + 1) // (n_words + 1)", False),
 )
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, chr(0)) AS l, coalesce(source, chr(0)) AS s, coalesce(text, '') AS t FROM documents),
@@ -37,10 +37,11 @@ b AS (SELECT *, (v >> greatest(0, length(bin(v)) - 7)) << greatest(0, length(bin
 h AS (SELECT 0 AS level, l, s, ratio, bucket, count(*) AS n FROM b GROUP BY ALL
   UNION ALL SELECT 1, l, NULL, ratio, bucket, count(*) FROM b GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, ratio, bucket, count(*) FROM b GROUP BY ALL),
 k AS (SELECT *, sum(n) OVER (PARTITION BY level, l, s, ratio ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, l, s, ratio) AS total FROM h),
-q AS (SELECT level, l, s, ratio, max(total) AS total, min(bucket) FILTER (4 * below >= total) AS q1, min(bucket) FILTER (4 * below >= 3 * total) AS q3 FROM k GROUP BY ALL),
-f AS (SELECT level, l, s, ratio, total, CASE WHEN ratio = 'mean_word' THEN q1 - 3 * greatest(q3 - q1, o.floor) ELSE -1 END AS low, q3 + 3 * greatest(q3 - q1, o.floor) AS high
-  FROM q JOIN (VALUES {", ".join(f"('{n}', {fl})" for n, _, fl, _ in _RATIOS)}) AS o(name, floor) ON o.name = q.ratio),
-t AS (SELECT a.l, a.s, a.ratio, CASE WHEN a.total >= 50 THEN a.low WHEN c.total >= 50 THEN c.low ELSE e.low END AS low, CASE WHEN a.total >= 50 THEN a.high WHEN c.total >= 50 THEN c.high ELSE e.high END AS high
+q AS (SELECT level, l, s, ratio, max(total) AS total, min(bucket) FILTER (100 * below >= 5 * total) AS q05, min(bucket) FILTER (100 * below >= 50 * total) AS q50,
+  min(bucket) FILTER (100 * below >= 95 * total) AS q95 FROM k GROUP BY ALL),
+f AS (SELECT level, l, s, ratio, total, CASE WHEN ratio = 'mean_word' THEN q50 - 3 * (q50 - q05) ELSE -1 END AS low,
+  q50 + 3 * (q95 + (CAST(1 AS BIGINT) << greatest(0, length(bin(q95)) - 7)) - 1 - q50) AS high FROM q),
+t AS (SELECT a.l, a.s, a.ratio, CASE WHEN a.total >= 200 THEN a.low WHEN c.total >= 200 THEN c.low ELSE e.low END AS low, CASE WHEN a.total >= 200 THEN a.high WHEN c.total >= 200 THEN c.high ELSE e.high END AS high
   FROM f a JOIN f c ON c.level = 1 AND c.l = a.l AND c.ratio = a.ratio JOIN f e ON e.level = 2 AND e.ratio = a.ratio WHERE a.level = 0),
 o AS (SELECT x.doc_id, string_agg(x.ratio, ',' ORDER BY list_position([{", ".join(f"'{n}'" for n, *_ in _RATIOS)}], x.ratio)) AS outlier FROM x JOIN t USING (l, s, ratio) WHERE x.v < t.low OR x.v > t.high GROUP BY 1)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, coalesce(o.outlier, '') AS outlier,

@@ -1,17 +1,25 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document gets counts (words, characters, symbols, repeated lines and
-words) and from them five integer ratios. Per (lang, source) every ratio has a
-quantile sketch: a histogram over buckets with 7 significant bits, so a
-quantile is within 1/64 of the true value. Sketches merge by adding counts;
-groups of fewer than ``min_docs`` documents take the sketch merged over their
-language, and small languages the one merged over everything. Quartiles of the
-sketch give outer fences, and the joined filter drops documents beyond them.
-All arithmetic is on integers, so results do not depend on partitioning.
+words) and from them five integer ratios. Counts that most documents lack are
+taken as (count + 1) / (words + 1), so that a group in which they are rare still has a
+spread: that of its documents' lengths. Per (lang, source) every ratio has a quantile
+sketch: a histogram over buckets with 7 significant bits, so a quantile is within
+1/64 of the true value. Sketches merge by adding counts; groups of fewer than
+``min_docs`` documents take the sketch merged over their language, and small languages
+the one merged over everything. A fence lies ``WIDTH`` times as far from the median as
+the outer quantile (5 or 95 of 100) does; all of it comes from the sketch, and no
+constant stands in where a group is uniform. The joined filter drops documents beyond
+the fences. All arithmetic is on integers, so results do not depend on partitioning.
+
+Fences are one row per (lang, source). They are counted and broadcast up to
+``BROADCAST_ROWS``; beyond that, documents of a group are spread over ``SALTS`` keys, so
+one language and source is never one task.
 
 Defined results: null or blank text has no words and fails the base rule. A
-null lang or source is a group of its own. Equal rows get equal verdicts. An
-empty table gives an empty result. Extra input columns are ignored.
+null lang or source is a group of its own. Equal rows get equal verdicts. A value on
+a fence is let through. A text of any length is counted whole. An empty table gives an
+empty result. Extra input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +32,19 @@ from tracelake.llm.common import text_or_empty, written
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-#: Ratio, scale of its integer form, least width of the interquartile range
-#: (in scaled units), and whether low values are outliers too.
+#: Ratio, its integer form, and whether low values are outliers too.
 RATIOS = (
-    ("mean_word", "100 * word_chars div n_words", 100, True),
-    ("symbols", "100 * n_symbols div n_words", 8, False),
-    ("shouts", "100 * n_shouts div n_words", 15, False),
-    ("dup_lines", "100 * n_dup_lines div n_lines", 15, False),
-    ("repeats", "100 * n_repeat_words div n_words", 10, False),
+    ("mean_word", "100 * word_chars div n_words", True),
+    ("symbols", "10000 * (n_symbols + 1) div (n_words + 1)", False),
+    ("shouts", "10000 * (n_shouts + 1) div (n_words + 1)", False),
+    ("dup_lines", "10000 * (n_dup_lines + 1) div (n_words + 1)", False),
+    ("repeats", "10000 * (n_repeat_words + 1) div (n_words + 1)", False),
 )
+#: Outer quantiles in hundredths, and how many times their distance from the median is let through.
+OUTER, WIDTH = 5, 3
+MIN_DOCS = 200
+BROADCAST_ROWS = 100_000
+SALTS = 64
 
 
 def _without(text: str, chars: str) -> Column:
@@ -95,25 +107,23 @@ def sketches(ratios: DataFrame) -> DataFrame:
     return whole.unionByName(by_lang).unionByName(over_all)
 
 
-def fences(sketch: DataFrame, width: int = 3) -> DataFrame:
+def fences(sketch: DataFrame) -> DataFrame:
     """Per group and ratio: number of documents, and lowest and highest value let through."""
-    floor = F.create_map(*[x for n, _, f, _ in RATIOS for x in (F.lit(n), F.lit(f))])
-    low_too = F.create_map(*[x for n, _, _, b in RATIOS for x in (F.lit(n), F.lit(b))])
+    low_too = F.create_map(*[F.lit(x) for n, _, both in RATIOS for x in (n, both)])
     at = "PARTITION BY level, _lang, _source, ratio"
+    quantile = lambda percent: F.min(F.expr(f"CASE WHEN 100 * below >= {percent} * total THEN bucket END"))
     found = (
         sketch.selectExpr("*", f"sum(n) OVER ({at} ORDER BY bucket) below", f"sum(n) OVER ({at}) total")
         .groupBy("level", "_lang", "_source", "ratio")
-        .agg(
-            F.max("total").alias("total"),
-            F.min(F.expr("CASE WHEN 4 * below >= total THEN bucket END")).alias("q1"),
-            F.min(F.expr("CASE WHEN 4 * below >= 3 * total THEN bucket END")).alias("q3"),
-        )
+        .agg(F.max("total").alias("total"), quantile(OUTER).alias("least"), quantile(50).alias("mid"), quantile(100 - OUTER).alias("most"))
+        # The last value of a bucket: those of one bucket are not told apart.
+        .withColumn("top", F.expr("most + shiftleft(1L, greatest(0, length(bin(most)) - 7)) - 1"))
     )
-    spread = width * F.greatest(F.col("q3") - F.col("q1"), floor[F.col("ratio")])
-    return found.select("level", "_lang", "_source", "ratio", "total", F.when(low_too[F.col("ratio")], F.col("q1") - spread).otherwise(F.lit(-1)).alias("low"), (F.col("q3") + spread).alias("high"))
+    low = F.when(low_too[F.col("ratio")], F.expr(f"mid - {WIDTH} * (mid - least)")).otherwise(F.lit(-1))
+    return found.select("level", "_lang", "_source", "ratio", "total", low.alias("low"), F.expr(f"mid + {WIDTH} * (top - mid)").alias("high"))
 
 
-def thresholds(ratios: DataFrame, min_docs: int = 50) -> DataFrame:
+def thresholds(ratios: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per (_lang, _source): a map from ratio to its (low, high)."""
     found = fences(sketches(ratios))
     own = found.where("level = 0").select("_lang", "_source", "ratio", "total", "low", "high")
@@ -124,12 +134,17 @@ def thresholds(ratios: DataFrame, min_docs: int = 50) -> DataFrame:
     return picked.groupBy("_lang", "_source").agg(F.map_from_entries(F.collect_list(F.struct("ratio", F.struct(choose("low").alias("low"), choose("high").alias("high"))))).alias("_fence"))
 
 
-def quality_rules(docs: DataFrame, min_docs: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, the counts, base_failed, outlier (names of the ratios beyond their fences) and kept."""
     named = docs.select("doc_id", F.coalesce("lang", F.lit("\x00")).alias("_lang"), F.coalesce("source", F.lit("\x00")).alias("_source"), "text")
     measured = written(counts(named, "doc_id", "_lang", "_source"), "quality")
     ratios = measured.selectExpr("*", *[f"CASE WHEN n_words > 0 THEN {e} END AS {n}" for n, e, *_ in RATIOS])
-    judged = ratios.join(thresholds(ratios, min_docs), ["_lang", "_source"], "left")
+    told = written(thresholds(ratios, min_docs), "fences")
+    if told.count() <= broadcast_rows:
+        judged = ratios.join(F.broadcast(told), ["_lang", "_source"], "left")
+    else:
+        salted = told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = ratios.withColumn("_salt", F.pmod(F.hash("doc_id", "n_words", "word_chars"), F.lit(SALTS))).join(salted, ["_lang", "_source", "_salt"], "left")
     out = F.filter(F.array(*[F.when((F.col(n) < F.col("_fence")[n]["low"]) | (F.col(n) > F.col("_fence")[n]["high"]), F.lit(n)) for n, *_ in RATIOS]), lambda x: x.isNotNull())
     failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
     return judged.select(
