@@ -4,19 +4,22 @@
    equal sets are one class, and its least doc_id stands for it, so copies are
    never compared with each other.
 2. Band and row counts follow from the target recall at the threshold. Rows of
-   (band hash, representative) are shuffled; each bucket links its members to
-   its least one, never to each other, and the components of these links are
-   the candidate groups.
-3. Within a group all pairs are verified on the full sets, by matrix products
-   over slices of the vocabulary. Groups beyond ``block`` members or ``block_bytes``
-   of n-grams are cut into blocks, and each pair of blocks is verified by itself:
-   no task holds more than two blocks, no pair becomes a row, and no partner is left out.
+   (band hash, representative) are shuffled, and hashes that one text alone has fall away.
+3. Each representative's home is the first of its bands that it shares; texts of one
+   home form a part, and homes beyond ``block`` members or ``block_bytes`` of n-grams are
+   cut into several. Two parts meet where some band hash stands in both. So texts that
+   share a band meet exactly once, and texts that share none hardly ever do,
+   however long the chains are that link them.
+4. Parts that meet are verified on the full sets, by matrix products over slices of the
+   vocabulary: no task holds more than two parts, no pair becomes a row, and no
+   partner is left out. Classes are the connected components of the verified links.
 
 Defined results: a text of fewer than five words is one shingle; null and empty
-texts have no shingles and are alone in their class. Rows with a null doc_id are
-returned with null class and text ids and no links. Rows of one doc_id with equal text
-are one document. An empty table gives an empty result. Extra columns are
-ignored.
+texts have no shingles and are alone in their class. Texts of any length enter
+whole. Rows with a null doc_id are returned with null class and text ids and no
+links. Rows of one doc_id with equal text are one document; a doc_id should not
+name different texts. Ties: the least doc_id stands for equal sets and for a class. An
+empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import written
+from tracelake.llm.common import spread_join, written
 from tracelake.llm.components import components
 from tracelake.llm.words import normal_words, raw_texts
 
@@ -123,11 +126,30 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set_key binary, n_grams bigint, bands array<bigint>")
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
-    """(node, label): representatives that share a bucket with another, by group."""
-    rows = reps.select("rep", F.explode("bands").alias("h"))
-    least = rows.groupBy("h").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return components(rows.join(least, "h").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
+def shared_bands(reps: DataFrame) -> DataFrame:
+    """(rep, h, no): the band hashes that a representative shares with another, and of which band."""
+    rows = reps.select("rep", F.posexplode("bands").alias("no", "h"))
+    several = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return spread_join(rows, several, "h", "n", total).select("rep", "h", "no")
+
+
+def parts(shared: DataFrame, reps: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """(rep, part): texts of one home, at most about ``block`` of them and ``block_bytes`` of n-grams."""
+    homes = written(shared.groupBy("rep").agg(F.min_by("h", "no").alias("home")).join(reps.select("rep", "n_grams"), "rep"), "homes")
+    cuts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_grams") * 8 / block_bytes)).cast("int")
+    cut = homes.groupBy("home").agg(cuts.alias("cuts"), F.count("*").alias("n")).where("cuts > 1")
+    told = spread_join(homes, cut, "home", "n", homes.count(), "left")
+    return told.select("rep", F.when(F.col("cuts").isNull(), F.col("home")).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("cuts")))).alias("part"))
+
+
+def meetings(shared: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(i, j), i <= j: parts in which one band hash stands; each with itself too."""
+    places = written(shared.join(dealt, "rep").select("h", "part").distinct(), "places")
+    several = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    inner = places.join(several, "h")
+    left, right = inner.select("h", F.col("part").alias("i")), inner.select("h", F.col("part").alias("j"))
+    return left.join(right, "h").where("i < j").select("i", "j").union(places.select(F.col("part").alias("i"), F.col("part").alias("j"))).distinct()
 
 
 def overlaps(sets: list[np.ndarray], slice_width: int = 4096) -> np.ndarray:
@@ -171,38 +193,32 @@ def verified(reps: list[int], parts: list[int], sets: list[np.ndarray], threshol
     return linked.sum(axis=1).tolist(), lead.tolist()
 
 
-def verify(docs: DataFrame, groups: DataFrame, words: int, threshold: float, block: int, block_bytes: int) -> DataFrame:
-    """(node, n_links, lead): one row per member and pair of blocks; groups are (node, label, n_grams)."""
-    needed = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_grams") * 8 / block_bytes))
-    sizes = groups.groupBy("label").agg(needed.cast("int").alias("n_blocks"))
-    members = groups.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).hint("shuffle_hash")
-    texts = docs.join(members, docs["doc_id"] == members["node"]).select("node", "label", "part", "n_blocks", "text")
+def verify(docs: DataFrame, dealt: DataFrame, met: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(node, n_links, lead): one row per member and meeting of parts (i, j); dealt are (rep, part)."""
+    texts = docs.join(dealt, docs["doc_id"] == dealt["rep"]).select("rep", "part", "text")
 
     def to_sets(batches):
         for batch in batches:
             grams = [shingles(raw, words).tobytes() for raw in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grams, pa.binary())], ["node", "label", "part", "n_blocks", "grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(grams, pa.binary())], ["rep", "part", "grams"])
 
-    sets = texts.mapInArrow(to_sets, "node bigint, label bigint, part int, n_blocks int, grams binary")
-    # A block of several meets every other one; each also meets itself, with the pairs inside it.
-    dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)"))).select(
-        "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part", "grams"
-    )
-    ordered = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
+    sets = texts.mapInArrow(to_sets, "rep bigint, part bigint, grams binary")
+    goes = met.select(F.col("i").alias("part"), "i", "j").union(met.where("i <> j").select(F.col("j").alias("part"), "i", "j"))
+    ordered = sets.join(goes, "part").select("i", "j", "rep", "part", "grams").repartition("i", "j").sortWithinPartitions("i", "j", "rep")
 
     def check(batches):
         def result(rows):
-            unique = {r[3]: r for r in rows}  # rows of one document are one
+            unique = {r[2]: r for r in rows}  # rows of one document are one
             nodes = list(unique)
             if len(nodes) == 1:
                 return nodes, [0], nodes
-            return nodes, *verified(nodes, [r[4] for r in unique.values()], [np.frombuffer(r[5], np.uint64) for r in unique.values()], threshold, rows[0][1] != rows[0][2])
+            return nodes, *verified(nodes, [r[3] for r in unique.values()], [np.frombuffer(r[4], np.uint64) for r in unique.values()], threshold, rows[0][0] != rows[0][1])
 
         held: list[tuple] = []
         for batch in batches:
             nodes, links, leads = [], [], []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:3] != row[:3]:
+                if held and held[-1][:2] != row[:2]:
                     for out, x in zip((nodes, links, leads), result(held), strict=True):
                         out.extend(x)
                     held = []
@@ -218,19 +234,24 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     """Per row: doc_id, class_id (least doc_id of all texts linked to it, directly or not), text_id (least doc_id with the same shingles), n_links (other texts at the threshold or above)."""
     bands, rows = bands_for(threshold, recall)
     signed = written(signatures(docs, words, bands, rows), "signatures")
+    plain = signed.select("doc_id", "set_key")
+    one = plain.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     shingled = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    reps = written(shingled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_grams").alias("n_grams"), F.min_by("bands", "doc_id").alias("bands")), "reps")
-    groups = candidate_groups(reps).join(reps.select(F.col("rep").alias("node"), "n_grams"), "node")
-    found = written(verify(docs.select("doc_id", "text"), groups, words, threshold, block, block_bytes), "links")
-    linked = found.where("lead <> node").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    labels = components(linked)
+    reps = written(
+        shingled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_grams").alias("n_grams"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies")), "reps"
+    )
+    shared = written(shared_bands(reps), "shared")
+    dealt = written(parts(shared, reps, block, block_bytes), "parts")
+    found = written(verify(docs.select("doc_id", "text"), dealt, meetings(shared, dealt), words, threshold), "links")
+    labels = components(found.where("lead <> node").select(F.col("node").alias("a"), F.col("lead").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     told = (
-        reps.select("set_key", "rep")
+        reps.select("set_key", "rep", "copies")
         .join(counts, F.col("rep") == counts["node"], "left")
         .drop("node")
         .join(labels, F.col("rep") == labels["node"], "left")
-        .select(F.col("set_key").alias("_key"), "rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("set_key", "copies", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("text_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
-    joined = signed.join(told, (signed["set_key"] == told["_key"]) & signed["doc_id"].isNotNull(), "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("text_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    joined = spread_join(one, written(told, "classes"), "set_key", "copies", one.count())
+    alone = plain.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"), F.lit(0).cast("long").alias("n_links"))
+    return joined.select(*alone.columns).unionByName(alone)
