@@ -3,7 +3,9 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import assert_same, connect
 from tests.llm.texts import awkward, empty
@@ -53,6 +55,14 @@ def test_licenses_against_plain_search(spark):
         ("SPDX-License-Identifier: AND", [], 0.0),
         ("SPDX-License-Identifier:", [], 0.0),
         ("Released Under the MIT License, Version 2", ["mit"], 0.1),
+        ("the license expression used here is odd", [], 0.0),
+        ("Our license expression: see LICENSE file", [], 0.0),
+        ("License expression: MIT OR something", ["mit"], 0.1),
+        ("SPDX-License-Identifier: MIT.", ["mit"], 0.1),
+        ("SPDX-License-Identifier: LicenseRef-own AND Zlib", ["licenseref-own", "zlib"], 0.6),
+        ("SPDX-License-Identifier: GPL-3.0+ WITH GCC-exception-3.1", ["gpl-3"], 0.35),
+        ("SPDX-License-Identifier: GPL-3.0+ WITH all of it", ["gpl-3"], 0.7),
+        ("SPDX-License-Identifier: CC-BY-NC-SA-3.0", ["cc-by-nc", "cc-by-nc-sa"], 0.9),
     ],
 )
 def test_expressions(text, labels, score):
@@ -68,10 +78,21 @@ def test_postfix_order():
 
 
 def test_license_edges(spark):
-    assert L.license_scan(awkward(spark)).count() == 13
+    got = L.license_scan(awkward(spark)).collect()
+    assert len(got) == 13
+    by = {r.doc_id: r for r in got if r.doc_id}
+    assert by[7].n_words == 40_000
+    for k in (4, 5, 6):
+        assert (by[k].n_words, by[k].places, by[k].expressions, by[k]["labels"], by[k].score) == (0, [], [], [], 0.0)
     assert L.license_scan(empty(spark)).count() == 0
 
 
+def test_license_ids_of_the_caller(spark):
+    docs = spark.createDataFrame([(1, "SPDX-License-Identifier: Acme-1.0 OR MIT"), (2, "under the mit license\nunder the MIT License")], "doc_id bigint, text string")
+    got = {r.doc_id: (r["labels"], [(p.word, p.base) for p in r.places]) for r in L.license_scan(docs, {"acme-1.0": "acme"}).collect()}
+    assert got == {1: (["acme", "mit"], []), 2: (["mit"], [(0, True), (4, True)])}
+
+
 # Secrets
 
 
@@ -121,23 +142,38 @@ def test_secrets_against_plain_search(spark):
         assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(r.spans.split(",")) | {""}
 
 
-def test_ledger_scans_unseen_blobs_only(spark):
-    first = spark.createDataFrame([("a", "token=abcdefgh1"), ("b", "token=abcdefgh1"), ("c", None)], "path string, text string")
+def test_ledger_scans_unseen_pairs_only(spark):
+    first = spark.createDataFrame([("a", "token=abcdefgh1"), ("b", "token=abcdefgh1"), ("c", None), ("a", "token=abcdefgh1")], "path string, text string")
     found, ledger = X.secret_scan(first, "path")
-    assert {r.path: len(r.spans) for r in found.collect()} == {"a": 1, "b": 1, "c": 0}
+    assert sorted((r.path, len(r.spans)) for r in found.collect()) == [("a", 1), ("a", 1), ("b", 1), ("c", 0)]
     assert ledger.count() == 2
     later = first.union(spark.createDataFrame([("d", "token=abcdefgh1"), ("a", "secret=abcdefgh2")], first.schema))
-    assert X.scan_unseen(later, "path", ledger).count() == 1
+    new = X.scan_unseen(later, ledger).collect()
+    assert [r.rules for r in new] == [[f"{k}:1" for k in X.KINDS]]
     found, grown = X.secret_scan(later, "path", ledger)
     assert grown.count() == 3
-    assert sorted((r.path, len(r.spans)) for r in found.collect()) == [("a", 1), ("a", 1), ("b", 1), ("c", 0), ("d", 1)]
-    stale = ledger.selectExpr("blob", "rules - 1 AS rules", "spans")
-    assert X.scan_unseen(first, "path", stale).count() == 2
+    assert sorted((r.path, len(r.spans)) for r in found.collect()) == [("a", 1), ("a", 1), ("a", 1), ("b", 1), ("c", 0), ("d", 1)]
+    # One rule in a new version: it alone is run, over every blob once.
+    raised = X.VERSIONS | {"assign": 2}
+    again = X.scan_unseen(later, grown, raised).collect()
+    assert [r.rules for r in again] == [["assign:2"]] * 3
+    found, most = X.secret_scan(later, "path", grown, raised)
+    assert most.count() == 6
+    assert sorted(len(r.spans) for r in found.collect()) == [0, 1, 1, 1, 1, 1]
+    assert X.scan_unseen(later, most, raised).count() == 0
+
+
+def test_findings_of_copied_blobs(spark):
+    rows = [(k, "token=abcdefgh1" if k % 3 == 0 else f"text {k % 50} secret=abcdefgh{k % 50}" if k % 3 == 1 else None) for k in range(3000)]
+    found, ledger = X.secret_scan(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert ledger.count() == len({t for _, t in rows})
+    assert {r.doc_id: len(r.spans) for r in found.collect()} == {k: int(t is not None) for k, t in rows}
 
 
 def test_secret_edges(spark):
-    found, _ = X.secret_scan(awkward(spark))
+    found, _ = X.secret_scan(awkward(spark).withColumns({"blob": F.lit(1), "spans": F.lit(2), "paths": F.lit(3)}))
     assert found.count() == 13
+    assert found.where("size(spans) > 0").count() == 0
     found, ledger = X.secret_scan(empty(spark))
     assert found.count() == ledger.count() == 0
 
@@ -155,12 +191,37 @@ def test_turns_survive(role, text):
     assert [t[:2] for t in C.parse(rendered + C.render("user", "x"))] == [(role, text), ("user", "x")]
 
 
+@pytest.mark.parametrize("text", [*HARD, "a<|im_end|>b", "x<|im_end|>\n", "<|im_start|>"])
+@pytest.mark.parametrize("role", ["user", "<|im_end|>", "a<|im_start|>b\n"])
+def test_marks_stand_once(role, text):
+    rendered = C.render(role, text)
+    assert rendered.count(C.START) == rendered.count(C.END) == 1
+    assert [t[:2] for t in C.parse(rendered)] == [(role, text)]
+
+
+@pytest.mark.parametrize("text", ["<|im_end|>", "a<|im_end|>b", "<|im_start|>", "<\\|im_end|>", "<\\\\|im_start|>x"])
+def test_chat_sql_on_control_strings(spark, tmp_path, text):
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text), (2, 0, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert_same(queries.op2_chat_format(spark, str(tmp_path)), con, queries.ORACLES["op2_chat_format"])
+
+
+def test_chat_ids_beyond_floats(spark):
+    rows = [(2**53, 0, "user", "a"), (2**53 + 1, 0, "user", "b"), (None, 0, "user", "c"), (2**53 + 1, 2**53 + 1, "user", "d")]
+    convs = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+    got = {r.conv_id: r.n_turns for r in C.digests(C.format_chat(convs)).collect()}
+    assert got == {2**53: 1, 2**53 + 1: 2, None: 1}
+    assert sorted(r.turn for r in C.format_chat(convs).collect()) == [0, 0, 0, 2**53 + 1]
+
+
 def test_plain_turns_stay_plain():
     assert C.render("user", "hi") == "<|im_start|>user\nhi<|im_end|>\n"
 
 
 def test_parser_rejects_other_text():
-    for bad in ("x", "<|im_start|>user", "<|im_start|>user\n<|im_start|>x<|im_end|>\n"):
+    for bad in ("x", "<|im_start|>user\na<|im_end|>b<|im_end|>\n", "<|im_start|>user", "<|im_start|>user\n<|im_start|>x<|im_end|>\n"):
         with pytest.raises(ValueError):
             C.parse(bad)
 
@@ -192,21 +253,32 @@ def plain_hits(text, items):
                 if ws[p : p + len(w)] == w:
                     hit.update(range(p, p + len(w)))
                     found.add(item)
-    return len(ws), len(hit), sorted(found)
+    return len(ws), len(hit), sorted(found, key=lambda x: (x is None, x))
 
 
-@pytest.mark.parametrize("block", [10_000, 7])
-def test_decontaminate_blocks(spark, block):
+@pytest.mark.parametrize("most", [10_000, 7])
+def test_decontaminate_both_ways(spark, most):
     items = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu."), (2, "short item"), (3, None), (4, "short ITEM!"), (None, "stray words")]
     texts = [(1, "x ALPHA beta gamma, delta epsilon zeta eta theta iota kappa lambda mu y short item short item"), (2, "beta gamma short-item é"), (3, None), (4, ""), (5, "stray words nothing")]
-    docs = spark.createDataFrame([(i, t, 9, "k") for i, t in texts], "doc_id bigint, text string, n_hit int, other string")
-    got = {r.doc_id: r for r in D.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string"), block_windows=block).collect()}
+    docs = spark.createDataFrame([(i, t, 9, "k", 1, 2) for i, t in texts], "doc_id bigint, text string, n_hit int, other string, _n_words int, `row` int")
+    found = D.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string"), max_windows=most)
+    assert found.columns == ["doc_id", "text", "other", "_n_words", "row", "n_words", "hit_runs", "hit_spans", "items", "n_hit"]
+    got = {r.doc_id: r for r in found.collect()}
     for i, t in texts:
-        n, hit, found = plain_hits(t, items)
-        assert (got[i].n_words, got[i].n_hit, got[i]["items"], got[i].other) == (n, hit, [x for x in found if x is not None] if i != 5 else [], "k")
+        n, hit, items_hit = plain_hits(t, items)
+        assert (got[i]._n_words, got[i].row) == (1, 2)
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"], got[i].other) == (n, hit, [x for x in items_hit if x is not None], "k")
     assert [texts[1][1][s.start : s.end] for s in got[2].hit_spans] == ["short-item"]
 
 
+def test_decontaminate_whole_table_by_join(spark):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    by_id = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, r["items"], [tuple(x) for x in r.hit_spans]) for r in df.collect())
+    assert by_id(D.decontaminate(docs, items, max_windows=1)) == by_id(D.decontaminate(docs, items))
+    assert D.decontaminate(awkward(spark), items, max_windows=1).count() == 13
+    assert D.decontaminate(empty(spark), items, max_windows=1).count() == 0
+
+
 def test_decontaminate_questions_and_answers(spark):
     items = spark.createDataFrame([(1, "what is it", "it is that")], "item_id bigint, question string, answer string")
     docs = spark.createDataFrame([(1, "so: What is it? no"), (2, "it is that"), (3, "it is")], "doc_id bigint, text string")
