@@ -125,6 +125,21 @@ def test_suffix_dedup_equals_brute_force(spark, block):
     assert [got[k] for k in range(len(texts))] == plain_removal(texts)
 
 
+def test_suffix_dedup_when_half_a_fingerprint_collides(spark):
+    texts = repetitive(2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in S.suffix_dedup(docs, block_bytes=9_000, bucket_bytes=50_000, bits=3).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_removal(texts)
+
+
+def test_halves_of_a_fingerprint_differ():
+    data = np.frombuffer(words(300, 1).encode(), np.uint8)
+    at = np.arange(0, len(data) - 200, 7)
+    a, b = (S.fingerprints(data, at, 200, half) for half in (0, 1))
+    assert len(np.intersect1d(a, b)) == 0
+    assert len(np.unique(a)) == len(np.unique(b)) == len(at)
+
+
 def test_cover():
     differences = Counter((a - b) % S.PERIOD for a in S.COVER for b in S.COVER if a != b)
     assert set(differences.values()) == {1}
