@@ -24,18 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the one named in spark.checkpoint.dir.
+
+    Only a session whose executors are threads of this process (a local master, as in
+    tests) may do without: a temporary folder takes its place. Elsewhere it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        shared = context.getCheckpointDir()
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, read many times.
+
+    Lineage ends here, so a lost executor costs a reread and no recomputation.
+    """
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def framed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
