@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +97,49 @@ def nan_concat(packed, gap: int = 5) -> Column:
 
 
 def double_exponential(t, a: float, b: float, c: float, d: float, e: float) -> Column:
-    """a exp(-t / b) + c exp(-t / d) + e, with exponents held below 700."""
-    hold = lambda x: F.exp(F.least(x, F.lit(700.0)))
-    return a * hold(-_col(t) / b) + c * hold(-_col(t) / d) + e
+    """a exp(b t) + c exp(d t) + e with a and c held at 0 or more, b and d at 0 or less."""
+    term = lambda x, y: F.lit(float(max(x, 0))) * F.exp(_col(t) * F.lit(float(min(y, 0))))
+    return term(a, b) + term(c, d) + F.lit(float(e))
+
+
+def resample(values, n: int) -> Column:
+    """n values on an even grid from the first to the last sample, linear between samples; NULL of an empty array."""
+    a = _col(values)
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k * (F.size(a) - 1) / F.lit(float(max(n - 1, 1))))
+
+    def between(x):
+        low = F.floor(x).cast("int")
+        left = F.get(a, low)
+        return left + (x - low) * (F.coalesce(F.get(a, low + 1), left) - left)
+
+    return F.when(F.size(a) > 0, F.transform(at, between))
+
+
+def bucket_bounds(values, most: int) -> Column:
+    """Counts of sorted values in the default bins 0, 1, ..., most + 1."""
+    return boundsorted_counts(values, F.transform(F.sequence(F.lit(0), F.lit(most + 1)), lambda k: k.cast("double")))
+
+
+def digitize_list(values, edges, right: bool = False) -> Column:
+    """digitize of each value of an array."""
+    return F.transform(_col(values), lambda x: digitize(x, edges, right))
+
+
+def apply_lists(kernel: Callable[[np.ndarray], np.ndarray], returns: str = "array<double>") -> Callable[[Column], Column]:
+    """A function on array columns from one on NumPy arrays: of the same length back, an empty one as it is, NULL for NULL. Arrow batches."""
+
+    @F.pandas_udf(returns)
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else kernel(np.asarray(x)).tolist() if len(x) else [] for x in column])
+
+    return lambda c: run(_col(c))
+
+
+def reduce_lists(kernel: Callable[[np.ndarray], float], returns: str = "double") -> Callable[[Column], Column]:
+    """A function on array columns from a reducer of NumPy arrays; NULL of an empty array or of NULL. Arrow batches."""
+
+    @F.pandas_udf(returns)
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or not len(x) else kernel(np.asarray(x)) for x in column], dtype=object)
+
+    return lambda c: run(_col(c))

@@ -30,6 +30,56 @@ def savgol(x: np.ndarray, window: int, order: int, mode: str = "interp") -> np.n
     return out
 
 
+def savgol_block(x: np.ndarray, window: int, order: int, mode: str, first: bool, last: bool) -> np.ndarray:
+    """Savitzky-Golay smoothing of a part of a trace (samples, or rows of several traces), NaN where a part that goes on lacks neighbours.
+
+    first and last: whether the trace begins and ends here. A whole trace shorter than the window is NaN in mode interp.
+    """
+    half = window // 2
+    columns = x[:, None] if x.ndim == 1 else x
+    out = np.full(columns.shape, np.nan)
+    weights = savgol_weights(window, order)[::-1]
+    for k in range(columns.shape[1]):
+        own = columns[:, k]
+        if mode == "nearest":
+            own = np.concatenate([np.repeat(own[:1], half * first), own, np.repeat(own[-1:], half * last)])
+        start = half * (not (mode == "nearest" and first))
+        if len(own) >= window:
+            inner = np.convolve(own, weights, "valid")
+            out[start : start + len(inner), k] = inner
+    if mode == "interp" and len(columns) >= window:
+        if first:
+            out[:half] = np.stack([savgol_weights(window, order, k) for k in range(half)]) @ columns[:window] if half else out[:0]
+        if last:
+            out[len(out) - half :] = np.stack([savgol_weights(window, order, half + 1 + k) for k in range(half)]) @ columns[-window:] if half else out[:0]
+    return out.reshape(x.shape)
+
+
+def _medians(x: np.ndarray, half: int) -> np.ndarray:
+    """Medians of all windows that lie inside, NaN left out."""
+    windows = np.lib.stride_tricks.sliding_window_view(x, 2 * half + 1)
+    if not np.isnan(x).any():
+        return np.median(windows, axis=1)
+    with np.errstate(all="ignore"):
+        some = ~np.isnan(windows).all(axis=1)
+        out = np.full(len(windows), np.nan)
+        out[some] = np.nanmedian(windows[some], axis=1)
+    return out
+
+
+def median_highpass_block(x: np.ndarray, half: int) -> np.ndarray:
+    """x less the median of the centred window, 0 where the window is not whole."""
+    out = np.zeros(len(x))
+    if len(x) > 2 * half:
+        out[half : len(x) - half] = x[half : len(x) - half] - _medians(x, half)
+    return out
+
+
+def medfilt_block(x: np.ndarray, half: int) -> np.ndarray:
+    """The median of the centred window, with zeros beyond either end."""
+    return _medians(np.pad(x, half), half)
+
+
 def butterworth(order: int, cut, kind: str) -> list[np.ndarray]:
     """Second-order sections (b0 b1 b2 a0 a1 a2) of a digital Butterworth filter; cut as a share of half the sampling rate."""
     warp = 4 * np.tan(np.pi * np.atleast_1d(np.asarray(cut, float)) / 2)
@@ -67,14 +117,16 @@ def butterworth(order: int, cut, kind: str) -> list[np.ndarray]:
 
 
 def _section(x: np.ndarray, s: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """One section over the last axis of x (traces by samples), from a state for each trace. Each step takes all traces at once."""
     b, a = s[:3], s[3:]
-    out = np.empty(len(x))
+    out = np.empty(x.shape)
     z0, z1 = state
-    for k, v in enumerate(x):
+    for k in range(x.shape[-1]):
+        v = x[..., k]
         y = b[0] * v + z0
         z0 = b[1] * v - a[1] * y + z1
         z1 = b[2] * v - a[2] * y
-        out[k] = y
+        out[..., k] = y
     return out
 
 
@@ -87,17 +139,18 @@ def _steady(s: np.ndarray) -> np.ndarray:
 
 
 def zero_phase(x: np.ndarray, sections: list[np.ndarray]) -> np.ndarray:
-    """Filter forwards and backwards, with the ends mirrored through their values and steady initial states."""
+    """Filter forwards and backwards over the last axis, with the ends mirrored through their values and steady initial states."""
     x = np.asarray(x, float)
-    pad = min(len(x) - 1, 3 * (2 * len(sections) + 1))
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
+    n = x.shape[-1]
+    pad = min(n - 1, 3 * (2 * len(sections) + 1))
+    y = np.concatenate([2 * x[..., :1] - x[..., pad:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -pad - 2 : -1]], axis=-1) if pad > 0 else x
     for _ in range(2):
-        level = y[0]
+        level = y[..., 0]
         for s in sections:
-            y = _section(y, s, _steady(s) * level)
+            y = _section(y, s, np.multiply.outer(_steady(s), level))
             level = level * s[:3].sum() / s[3:].sum()
-        y = y[::-1]
-    return y[pad : len(y) - pad] if pad > 0 else y
+        y = y[..., ::-1]
+    return y[..., pad : y.shape[-1] - pad] if pad > 0 else y
 
 
 def frequency_filter(x: np.ndarray, fs: float, specs: list[str], order: int = 4) -> np.ndarray:
@@ -142,23 +195,33 @@ def power_spectrum(x: np.ndarray, fs: float, size: int, overlap: int, mode: str
     return np.fft.rfftfreq(size, 1 / fs), power
 
 
-def cross_spectrum(x: np.ndarray, y: np.ndarray, fs: float, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and the mean of X conj(Y), as a one-sided density."""
-    found = (spectra(x, size, overlap) * np.conj(spectra(y, size, overlap))).mean(axis=0) / (fs * (hann(size) ** 2).sum())
+def cross_density(x: np.ndarray, y: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and the mean of X conj(Y) of transforms of the same segments, as a one-sided density."""
+    found = (x * np.conj(y)).mean(axis=0) / (fs * (hann(size) ** 2).sum())
     found[1 : len(found) - (size % 2 == 0)] *= 2
     return np.fft.rfftfreq(size, 1 / fs), found
 
 
+def cross_spectrum(x: np.ndarray, y: np.ndarray, fs: float, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and the mean of X conj(Y), as a one-sided density."""
+    return cross_density(spectra(x, size, overlap), spectra(y, size, overlap), fs, size)
+
+
+def coherence_of(x: np.ndarray, y: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and the squared coherence of transforms of the same segments, 0 where a side has no power."""
+    f, xy = cross_density(x, y, fs, size)
+    below = cross_density(x, x, fs, size)[1].real * cross_density(y, y, fs, size)[1].real
+    return f, np.clip(np.divide(np.abs(xy) ** 2, below, out=np.zeros(len(below)), where=below > 0), 0, 1)
+
+
 def coherence(x: np.ndarray, y: np.ndarray, fs: float, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequencies and the squared coherence, 0 where a side has no power."""
-    f, xy = cross_spectrum(x, y, fs, size, overlap)
-    below = power_spectrum(x, fs, size, overlap)[1] * power_spectrum(y, fs, size, overlap)[1]
-    return f, np.clip(np.divide(np.abs(xy) ** 2, below, out=np.zeros(len(below)), where=below > 0), 0, 1)
+    return coherence_of(spectra(x, size, overlap), spectra(y, size, overlap), fs, size)
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
-    """The signal with its Hilbert transform as imaginary part."""
-    n = len(x)
+    """The signal with its Hilbert transform as imaginary part, over the last axis."""
+    n = x.shape[-1]
     gain = np.zeros(n)
     gain[0] = 1
     gain[1 : (n + 1) // 2] = 2
@@ -204,11 +267,11 @@ def find_peaks(x: np.ndarray, height: float | None = None, distance: int | None
         peaks = peaks[x[peaks] >= height]
     if distance and len(peaks):
         keep = np.ones(len(peaks), bool)
+        first, end = np.searchsorted(peaks, peaks - distance, "right"), np.searchsorted(peaks, peaks + distance)
         for k in np.argsort(x[peaks], kind="stable")[::-1]:
             if keep[k]:
-                close = np.abs(peaks - peaks[k]) < distance
-                close[k] = False
-                keep &= ~close
+                keep[first[k] : end[k]] = False
+                keep[k] = True
         peaks = peaks[keep]
     if prominence is not None:
 
@@ -226,44 +289,69 @@ def find_peaks(x: np.ndarray, height: float | None = None, distance: int | None
     return peaks
 
 
-def two_exponentials(x: np.ndarray, steps: int = 60) -> np.ndarray:
-    """The fit a exp(-t / b) + c exp(-t / d) + e: Levenberg-Marquardt over log time constants, the linear part solved exactly."""
-    x = np.asarray(x, float)
-    t = np.arange(len(x)) / max(1, len(x) - 1)
-
-    def fitted(p):
-        base = np.stack([np.exp(-t / np.exp(p[0])), np.exp(-t / np.exp(p[1])), np.ones(len(t))], axis=1)
-        return base @ np.linalg.lstsq(base, x, rcond=None)[0]
-
-    p, damp = np.log([0.1, 1.0]), 1e-2
-    best = fitted(p)
-    for _ in range(steps):
-        jac = np.stack([(fitted(p + d) - best) / 1e-5 for d in np.eye(2) * 1e-5], axis=1)
-        move = np.linalg.solve(jac.T @ jac + damp * np.eye(2), jac.T @ (x - best))
-        trial = np.clip(p + move, np.log(1e-3), np.log(1e2))
-        now = fitted(trial)
-        if ((x - now) ** 2).sum() < ((x - best) ** 2).sum():
-            p, best, damp = trial, now, damp / 3
-        else:
-            damp = min(damp * 4, 1e8)
-    return best
+def _nonnegative(base: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Least squares with coefficients of 0 or more: the best over all sets of columns that may be used."""
+    best, least = np.zeros(base.shape[1]), float((y**2).sum())
+    for mask in range(1, 1 << base.shape[1]):
+        used = [k for k in range(base.shape[1]) if mask >> k & 1]
+        c = np.linalg.lstsq(base[:, used], y, rcond=None)[0]
+        error = float(((base[:, used] @ c - y) ** 2).sum())
+        if (c >= 0).all() and error < least:
+            best, least = np.zeros(base.shape[1]), error
+            best[used] = c
+    return best, least
 
 
-def filter_dff(x: np.ndarray, mode: str, window: int = 301, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Relative change and baseline by mode: savgol_add, savgol_mult, 2exp, 2exp_add, med_add."""
-    x = np.asarray(x, float)
-    if mode.startswith("savgol"):
-        base = savgol(x, min(window, len(x) - (len(x) % 2 == 0)), order)
-    elif mode.startswith("2exp"):
-        base = two_exponentials(x)
-    elif mode == "med_add":
-        half = window // 2
-        base = np.array([np.median(w) for w in np.lib.stride_tricks.sliding_window_view(np.pad(x, half), 2 * half + 1)])
-    else:
-        raise ValueError(f"no such mode: {mode}")
-    if mode.endswith("_add"):
-        return x - base, base
-    return np.divide(x, base, out=np.ones(len(x)), where=base != 0), base
+def double_exponential(t: np.ndarray, a: float, b: float, c: float, d: float, e: float) -> np.ndarray:
+    """a exp(b t) + c exp(d t) + e with a and c of 0 or more, b and d of 0 or less."""
+    return max(a, 0) * np.exp(min(b, 0) * t) + max(c, 0) * np.exp(min(d, 0) * t) + e
+
+
+def fit_exponentials(x: np.ndarray, window: int, rounds: int = 8) -> tuple[float, ...] | None:
+    """a, b, c, d, e of the double exponential nearest to the medians of bins of a trace; None for a constant trace or without a bin.
+
+    For any two rates the other three numbers are linear, so only rates are searched: a grid
+    over their logarithms that narrows around its best point.
+    """
+    bins = len(x) // window
+    if not bins or (x == x[0]).all():
+        return None
+    t = np.arange(bins * window).reshape(bins, window).mean(axis=1)
+    y = np.median(x[: bins * window].reshape(bins, window), axis=1)
+
+    def error(rates):
+        return _nonnegative(np.stack([np.exp(-rates[0] * t), np.exp(-rates[1] * t), np.ones(bins)], axis=1), y)[1]
+
+    middle, width = np.log([3.0 / len(x), 0.3 / len(x)]), np.log(100.0)
+    best = None
+    for _ in range(rounds):
+        steps = np.linspace(-width, width, 9)
+        found = min((error(np.exp(middle + [p, q])), p, q) for p in steps for q in steps)
+        if best is None or found[0] < best[0]:
+            best = (found[0], middle + [found[1], found[2]])
+        middle, width = best[1], width / 3
+    rates = np.exp(best[1])
+    a, c, e = _nonnegative(np.stack([np.exp(-rates[0] * t), np.exp(-rates[1] * t), np.ones(bins)], axis=1), y)[0]
+    return float(a), float(-rates[0]), float(c), float(-rates[1]), float(e)
+
+
+def detrend(x: np.ndarray, window: int, add: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Change against, and values of, a double exponential; a constant trace is its own change, with a baseline of 0.
+
+    Without a bin to fit, both are NaN.
+    """
+    if len(x) and (x == x[0]).all():
+        return x, np.zeros(len(x))
+    found = fit_exponentials(x, window)
+    base = np.full(len(x), np.nan) if found is None else double_exponential(np.arange(len(x)), *found)
+    return change(x, base, add), base
+
+
+def change(x: np.ndarray, base: np.ndarray, add: bool) -> np.ndarray:
+    """x less its baseline, or over it; NaN over a baseline of 0."""
+    if add:
+        return x - base
+    return np.divide(x, base, out=np.full(len(x), np.nan), where=base != 0)
 
 
 def phase_shift(reference: np.ndarray, image: np.ndarray, max_shift: int) -> tuple[int, int]:
@@ -273,3 +361,120 @@ def phase_shift(reference: np.ndarray, image: np.ndarray, max_shift: int) -> tup
     dy, dx = np.unravel_index(np.argmax(peak), peak.shape)
     dy, dx = (int(d) - n if d > n // 2 else int(d) for d, n in zip((dy, dx), peak.shape, strict=True))
     return (0, 0) if max(abs(dy), abs(dx)) > max_shift else (dy, dx)
+
+
+PADS = {"constant": "constant", "nearest": "edge", "reflect": "symmetric", "mirror": "reflect", "wrap": "wrap"}
+
+
+def convolve_lines(x: np.ndarray, kernel: np.ndarray, mode: str = "constant", constant: float = 0.0) -> np.ndarray:
+    """x convolved down its first axis by an odd kernel, gone on beyond its ends by a mode of PADS."""
+    half = len(kernel) // 2
+    if mode not in PADS:
+        raise ValueError(f"no such mode: {mode}")
+    more = {"constant_values": constant} if mode == "constant" else {}
+    padded = np.pad(x, ((half, half), (0, 0)), mode=PADS[mode], **more) if half else x
+    if len(kernel) > 64:  # by Fourier transform
+        size = 1 << (len(padded) + len(kernel)).bit_length()
+        full = np.fft.irfft(np.fft.rfft(padded, size, axis=0) * np.fft.rfft(kernel, size)[:, None], size, axis=0)
+        return full[len(kernel) - 1 : len(kernel) - 1 + len(x)]
+    return sum(w * padded[len(kernel) - 1 - k : len(kernel) - 1 - k + len(x)] for k, w in enumerate(kernel))
+
+
+def gaussian_kernel(sigma: float) -> np.ndarray:
+    """Weights of a Gaussian, 4 deviations to either side."""
+    reach = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return w / w.sum()
+
+
+def gaussian(image: np.ndarray, sigma: float) -> np.ndarray:
+    """An image smoothed both ways, mirrored at its edges."""
+    kernel = gaussian_kernel(sigma)
+    return convolve_lines(convolve_lines(image, kernel, "reflect").T, kernel, "reflect").T
+
+
+def sharpened(image: np.ndarray, hpf: float, sharp: float, amount: float) -> np.ndarray:
+    """An image less its Gaussian of hpf pixels, and amount times what lies between Gaussians of sharp and twice sharp pixels of that."""
+    high = image - gaussian(image, hpf)
+    return high + amount * (gaussian(high, 2 * sharp) - gaussian(high, sharp))
+
+
+def filled(image: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    """An image whose hidden pixels take the mean of their known side neighbours, from the rim inwards; as it is where nothing or all is hidden."""
+    if not hidden.any() or hidden.all():
+        return image
+    out, left = np.where(hidden, 0.0, image), hidden.copy()
+    while left.any():
+        known = np.pad((~left).astype(float), 1)
+        value = np.pad(np.where(left, 0.0, out), 1)
+        around = [(slice(0, -2), slice(1, -1)), (slice(2, None), slice(1, -1)), (slice(1, -1), slice(0, -2)), (slice(1, -1), slice(2, None))]
+        n, total = sum(known[a] for a in around), sum(value[a] for a in around)
+        rim = left & (n > 0)
+        out[rim] = total[rim] / n[rim]
+        left &= ~rim
+    return out
+
+
+def hull_pixels(points: np.ndarray) -> np.ndarray:
+    """All pixels inside or on the convex hull of points (row, col)."""
+    own = sorted(map(tuple, np.unique(points, axis=0).tolist()))
+
+    def chain(line):
+        out: list[tuple[int, int]] = []
+        for p in line:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    corners = chain(own) + chain(own[::-1])
+    low, high = points.min(axis=0), points.max(axis=0)
+    r, c = np.meshgrid(np.arange(low[0], high[0] + 1), np.arange(low[1], high[1] + 1), indexing="ij")
+    inside = np.ones(r.shape, bool)
+    for (a, b), (p, q) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        inside &= (p - a) * (c - b) - (q - b) * (r - a) >= 0
+    return np.stack([r[inside], c[inside]], axis=1)
+
+
+def smooth_both_ways(x: np.ndarray, alpha: float) -> np.ndarray:
+    """A first-order low-pass forwards, then backwards, over the last axis, each from a steady state at its first sample."""
+    for _ in range(2):
+        out = np.empty(x.shape)
+        level = x[..., 0]
+        for k in range(x.shape[-1]):
+            level = level + alpha * (x[..., k] - level)
+            out[..., k] = level
+        x = out[..., ::-1]
+    return x
+
+
+def bands(x: np.ndarray, windows: tuple[int, ...]) -> np.ndarray:
+    """Bands of traces (samples last) less their means, from slow to fast: below the first window's rate, between one and the next, above the last.
+
+    A window of w samples is a low-pass whose memory halves in w / 10 samples.
+    """
+    rest = x - x.mean(axis=-1, keepdims=True)
+    lows = [smooth_both_ways(rest, 1 - 0.5 ** (10 / w)) for w in windows]
+    return np.stack([lows[0], *[a - b for a, b in zip(lows[:-1], lows[1:], strict=True)], rest - lows[-1]])
+
+
+def cluster_products(g: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """Labels of k clusters of vectors that are known by their inner products: far-off first centres, then k-means."""
+    norm = np.diag(g)
+    chosen = [int(norm.argmax())]
+    while len(chosen) < k:
+        far = np.min([norm - 2 * g[:, c] + norm[c] for c in chosen], axis=0)
+        far[chosen] = -1
+        chosen.append(int(far.argmax()))
+    label = np.argmin([norm - 2 * g[:, c] + norm[c] for c in chosen], axis=0)
+    label[chosen] = np.arange(k)
+    for _ in range(rounds):
+        away = np.empty((k, len(g)))
+        for c in range(k):
+            own = np.flatnonzero(label == c)
+            away[c] = np.inf if not len(own) else norm - 2 * g[:, own].mean(axis=1) + g[np.ix_(own, own)].mean()
+        now = away.argmin(axis=0)
+        if (now == label).all():
+            break
+        label = now
+    return label

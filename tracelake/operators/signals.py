@@ -1,7 +1,13 @@
-"""Signal operators on packed traces: one Arrow batch holds many traces, and a kernel runs on each."""
+"""Signal operators on packed traces: one Arrow batch holds many traces, and a kernel runs on each.
+
+Filters, spectra and phases need a whole trace; those that need only a neighbourhood
+of each sample are in operators.spikes and run on blocks. Pairs of traces meet in
+blocks of traces: a task holds two blocks, and no pair becomes a row before it is reduced.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import dsp
+from tracelake.operators.blocks import blockwise, grouped
+from tracelake.sources.tables import pack
+
+PAIR_BLOCK = 64
 
 
 def map_traces(packed: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -23,43 +33,89 @@ def map_traces(packed: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
     return packed.select("roi_id", "values").mapInArrow(run, "roi_id string, values array<double>")
 
 
-def _table(packed: DataFrame, kernel, fields: list[tuple[str, pa.DataType]], ddl: str, inputs: int = 1) -> DataFrame:
-    """Rows that kernel yields for every row: its keys come first, its arrays last."""
+def map_together(packed: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """roi_id, values: kernel applied to the rows of a matrix, one for each trace; the traces of a batch that are of one length share a call."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            out: list[list[float]] = [[] for _ in rows]
+            lengths = np.array([len(x) for x in rows])
+            for n in np.unique(lengths[lengths > 0]):
+                same = np.flatnonzero(lengths == n)
+                for k, line in zip(same, kernel(np.array([rows[j] for j in same], float)), strict=True):
+                    out[k] = line.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["roi_id", "values"])
+
+    return packed.select("roi_id", "values").mapInArrow(run, "roi_id string, values array<double>")
+
+
+def _table(packed: DataFrame, kernel, fields: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
+    """Rows that kernel yields for the array, the last column, of every row."""
 
     def run(batches):
         for batch in batches:
             rows = []
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns, strict=True):
-                keys, arrays = row[: len(row) - inputs], row[len(row) - inputs :]
-                rows.extend((*keys, *x) for x in kernel(*(np.array(a, float) for a in arrays)))
+                rows.extend((*row[:-1], *x) for x in kernel(np.array(row[-1], float)))
             parts = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([pa.array(list(p), t) for p, (_, t) in zip(parts, fields, strict=True)], [n for n, _ in fields])
 
     return packed.mapInArrow(run, ddl)
 
 
-def savgol(packed: DataFrame, window: int, order: int, mode: str = "interp") -> DataFrame:
-    return map_traces(packed, lambda x: dsp.savgol(x, window, order, mode) if len(x) >= window or mode == "nearest" else x)
-
-
 def frequency_filter(packed: DataFrame, fs: float, specs: list[str], order: int = 4) -> DataFrame:
-    return map_traces(packed, lambda x: dsp.frequency_filter(x, fs, specs, order))
+    return map_together(packed, lambda x: dsp.frequency_filter(x, fs, specs, order))
 
 
 def bandpass(packed: DataFrame, fs: float, low: float, high: float, order: int = 4) -> DataFrame:
-    return map_traces(packed, lambda x: dsp.bandpass(x, fs, low, high, order))
+    return map_together(packed, lambda x: dsp.bandpass(x, fs, low, high, order))
 
 
-def filter_dff(packed: DataFrame, mode: str, window: int = 301, order: int = 2) -> DataFrame:
-    """roi_id, frame, dff, baseline."""
+def filter_dff(traces: DataFrame, mode: str, window: int = 301, order: int = 2) -> DataFrame:
+    """roi_id, frame, dff, baseline of traces (roi_id, frame, value), by mode.
 
-    def kernel(x):
-        dff, base = dsp.filter_dff(x, mode, window, order)
-        return [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(dff, base, strict=True))]
+    savgol_add and savgol_mult take a Savitzky-Golay baseline, med_add a running median (of an odd window,
+    zeros beyond the ends): local, so they run on blocks. 2exp and 2exp_add fit two exponentials to medians of
+    windows of each whole trace. _add gives differences, the others ratios. Where a trace is shorter
+    than the window, or a baseline is 0, the result is NULL.
+    """
+    if mode in ("savgol_add", "savgol_mult"):
+        if window % 2 == 0 or order >= window:
+            raise ValueError("the window must be odd and exceed the order")
+
+        def kernel(x, first, last):
+            base = dsp.savgol_block(x, window, order, "interp", first, last)
+            return dsp.change(x, base, mode == "savgol_add"), base
+
+        return blockwise(traces, kernel, window, results=("dff", "baseline"))
+    if mode == "med_add":
+        half = window // 2
+
+        def median(x, first, last):
+            base = dsp.medfilt_block(x, half)
+            return x - base, base
+
+        return blockwise(traces, median, half, results=("dff", "baseline"))
+    if mode not in ("2exp", "2exp_add"):
+        raise ValueError(f"no such mode: {mode}")
+
+    def fitted(x):
+        dff, base = dsp.detrend(x, window, mode == "2exp_add")
+        return [(k, *(None if math.isnan(v) else float(v) for v in pair)) for k, pair in enumerate(zip(dff, base, strict=True))]
 
     fields = [("roi_id", pa.string()), ("frame", pa.int64()), ("dff", pa.float64()), ("baseline", pa.float64())]
-    return _table(packed.select("roi_id", "values"), kernel, fields, "roi_id string, frame bigint, dff double, baseline double")
+    return _table(pack(traces), fitted, fields, "roi_id string, frame bigint, dff double, baseline double")
+
+
+def exponential_fits(traces: DataFrame, window: int = 301) -> DataFrame:
+    """roi_id, fit (a, b, c, d, e) of mode 2exp; NULL for a constant trace or one shorter than the window."""
+
+    def kernel(x):
+        return [(list(found) if (found := dsp.fit_exponentials(x, window)) else None,)] if len(x) else [(None,)]
+
+    return _table(pack(traces), kernel, [("roi_id", pa.string()), ("fit", pa.list_(pa.float64()))], "roi_id string, fit array<double>")
 
 
 def power_spectrum(packed: DataFrame, fs: float, size: int, overlap: int, mode: str = "density") -> DataFrame:
@@ -75,46 +131,77 @@ def power_spectrum(packed: DataFrame, fs: float, size: int, overlap: int, mode:
     return _table(packed.select("roi_id", "values"), kernel, fields, "roi_id string, frequency double, power double")
 
 
-def pairs(packed: DataFrame) -> DataFrame:
-    """x, y, a, b: every pair of rois with x <= y, once. All pairs are what is asked for; only packed traces meet."""
-    left = packed.select(F.col("roi_id").alias("x"), F.col("values").alias("a"))
-    right = packed.select(F.col("roi_id").alias("y"), F.col("values").alias("b"))
-    return left.join(right, left["x"] <= right["y"]).select("x", "y", "a", "b")
+def pairwise(packed: DataFrame, ready: Callable[[np.ndarray], object], kernel: Callable[[object, object], list[tuple]], fields: list[tuple[str, pa.DataType]], ddl: str, unique: bool = False, block: int = PAIR_BLOCK) -> DataFrame:
+    """x, y and what kernel gives for every pair of rois with x <= y, once; unique leaves out a roi with itself.
 
+    Rois are dealt into blocks of about ``block`` by hash, and each pair of blocks is one group: traces are
+    sent once to each block, made ready once in a group, and their pairs never stand in a table.
+    """
+    n = max(1, -(-packed.count() // block))
+    parts = F.pmod(F.xxhash64("roi_id"), F.lit(n)).cast("int")
+    dealt = packed.select("roi_id", "values", parts.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    ordered = dealt.select(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "roi_id", "values").repartition("i", "j").sortWithinPartitions("i", "j", "part", "roi_id")
+    names = ["x", "y", *[f for f, _ in fields]]
+    kinds = [pa.string(), pa.string(), *[t for _, t in fields]]
 
-def _cut(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = min(len(a), len(b))
-    return a[:n], b[:n]
+    def run(batches):
+        for (i, j), group in grouped(batches, 2):
+            held = [(roi, part, ready(np.array(v, float))) for roi, part, v in zip(*(group[c].to_pylist() for c in ("roi_id", "part", "values")), strict=True)]
+            for a, (roi, part, own) in enumerate(held):
+                rows = []
+                for other, its, value in held[a:]:
+                    if (i == j or part != its) and not (unique and roi == other):
+                        (x, p), (y, q) = sorted([(roi, own), (other, value)], key=lambda e: e[0])
+                        rows.extend((x, y, *found) for found in kernel(p, q))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
+    return ordered.mapInArrow(run, f"x string, y string, {ddl}")
 
-def pairwise_coherence(packed: DataFrame, fs: float, size: int, overlap: int) -> DataFrame:
-    """x, y, frequency, coherence of all pairs (x <= y), over the frames both have."""
+
+def pairwise_coherence(packed: DataFrame, fs: float, size: int, overlap: int, unique: bool = False) -> DataFrame:
+    """x, y, frequency, coherence of all pairs (x <= y), over the segments both have; spectra are taken once per trace and group."""
 
     def kernel(a, b):
-        a, b = _cut(a, b)
-        if len(a) < size:
+        n = min(len(a), len(b))
+        if not n:
             return []
-        f, c = dsp.coherence(a, b, fs, size, overlap)
+        f, c = dsp.coherence_of(a[:n], b[:n], fs, size)
         return list(zip(f.tolist(), c.tolist(), strict=True))
 
-    fields = [("x", pa.string()), ("y", pa.string()), ("frequency", pa.float64()), ("coherence", pa.float64())]
-    return _table(pairs(packed), kernel, fields, "x string, y string, frequency double, coherence double", 2)
+    return pairwise(packed, lambda x: dsp.spectra(x, size, overlap), kernel, [("frequency", pa.float64()), ("coherence", pa.float64())], "frequency double, coherence double", unique)
+
+
+def pairwise_cross_spectrum(packed: DataFrame, fs: float, size: int, overlap: int, unique: bool = False) -> DataFrame:
+    """x, y, frequency, re, im: the mean of X conj(Y) of all pairs (x <= y), as a one-sided density."""
+
+    def kernel(a, b):
+        n = min(len(a), len(b))
+        if not n:
+            return []
+        f, s = dsp.cross_density(a[:n], b[:n], fs, size)
+        return list(zip(f.tolist(), s.real.tolist(), s.imag.tolist(), strict=True))
+
+    fields = [("frequency", pa.float64()), ("re", pa.float64()), ("im", pa.float64())]
+    return pairwise(packed, lambda x: dsp.spectra(x, size, overlap), kernel, fields, "frequency double, re double, im double", unique)
 
 
-def pairwise_cross_correlation(packed: DataFrame, max_lag: int, normalize: bool = True) -> DataFrame:
-    """x, y, lag, r of all pairs (x <= y)."""
+def pairwise_cross_correlation(packed: DataFrame, max_lag: int, normalize: bool = True, unique: bool = False) -> DataFrame:
+    """x, y, lag, r of all pairs (x <= y), over the frames both have."""
 
     def kernel(a, b):
-        lags, r = dsp.cross_correlation(*_cut(a, b), max_lag, normalize)
+        n = min(len(a), len(b))
+        if not n:
+            return []
+        lags, r = dsp.cross_correlation(a[:n], b[:n], max_lag, normalize)
         return list(zip(lags.tolist(), r.tolist(), strict=True))
 
-    fields = [("x", pa.string()), ("y", pa.string()), ("lag", pa.int64()), ("r", pa.float64())]
-    return _table(pairs(packed), kernel, fields, "x string, y string, lag bigint, r double", 2)
+    return pairwise(packed, lambda x: x, kernel, [("lag", pa.int64()), ("r", pa.float64())], "lag bigint, r double", unique)
 
 
 def phase(packed: DataFrame, fs: float, low: float, high: float) -> DataFrame:
     """roi_id, values: the phase of the analytic signal of a band."""
-    return map_traces(packed, lambda x: np.angle(dsp.analytic(dsp.bandpass(x, fs, low, high))) if len(x) else x)
+    return map_together(packed, lambda x: np.angle(dsp.analytic(dsp.bandpass(x, fs, low, high))))
 
 
 def detect_peaks(packed: DataFrame, height: float, distance: int, prominence: float, reach: int) -> DataFrame:
@@ -141,3 +228,31 @@ def estimate_shifts(frames: DataFrame, reference: np.ndarray, max_shift: int) ->
 def roll(frames: DataFrame, shifts: DataFrame, height: int, width: int) -> DataFrame:
     """frame, row, col, value with each frame's shift taken back, around the edges."""
     return frames.join(shifts, "frame").select("frame", F.pmod(F.col("row") - F.col("dy"), F.lit(height)).alias("row"), F.pmod(F.col("col") - F.col("dx"), F.lit(width)).alias("col"), "value")
+
+
+def less_running_mean(traces: DataFrame, size: int) -> DataFrame:
+    """traces less the mean of size samples around each, the ends mirrored; by blocks. An even size reaches one sample further back."""
+
+    def kernel(x, first, last):
+        before, after = size // 2, size - 1 - size // 2
+        padded = np.concatenate([x[:before][::-1] if first else np.repeat(x[:1], before), x, x[::-1][:after] if last else np.repeat(x[-1:], after)])
+        while len(padded) < len(x) + size - 1:  # a trace shorter than the window
+            padded = np.pad(x, (before, after), mode="symmetric")
+        total = np.concatenate([[0.0], np.cumsum(padded)])
+        return x - (total[size:] - total[:-size])[: len(x)] / size
+
+    return blockwise(traces, kernel, size)
+
+
+def smooth_pictures(frames: DataFrame, sigma: float, height: int, width: int) -> DataFrame:
+    """frames (frame, row, col, value) with each picture smoothed by a Gaussian, mirrored at its edges; a picture is one group."""
+    ordered = frames.select("frame", "row", "col", "value").repartition("frame").sortWithinPartitions("frame")
+
+    def run(batches):
+        for (frame,), group in grouped(batches, 1):
+            picture = np.zeros((height, width))
+            r, c = group["row"].to_numpy(), group["col"].to_numpy()
+            picture[r, c] = group["value"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([frame] * len(r), pa.int64()), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(dsp.gaussian(picture, sigma)[r, c], pa.float64())], ["frame", "row", "col", "value"])
+
+    return ordered.mapInArrow(run, "frame bigint, row int, col int, value double")

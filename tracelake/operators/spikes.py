@@ -1,10 +1,16 @@
-"""Detection, grouping and removal of events, with windows over (roi, frame)."""
+"""Detection, grouping and removal of events.
+
+Windows of a fixed number of samples run on blocks of frames with a halo, so a roi
+that holds a third of all rows is many tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions import dsp
+from tracelake.operators.blocks import BLOCK, blockwise
 from tracelake.operators.event_joins import event_windows
 
 
@@ -12,28 +18,48 @@ def _order():
     return Window.partitionBy("roi_id").orderBy("frame")
 
 
+def odd(n: int) -> int:
+    """n, or the next number where n is even."""
+    return n + (n % 2 == 0)
+
+
+def savgol(traces: DataFrame, window: int, order: int = 2, mode: str = "interp", column: str = "value") -> DataFrame:
+    """roi_id, frame, value: Savitzky-Golay smoothing, by blocks. A trace shorter than the window has NULL in mode interp."""
+    if window % 2 == 0 or order >= window:
+        raise ValueError("the window must be odd and exceed the order")
+    return blockwise(traces, lambda x, first, last: dsp.savgol_block(x, window, order, mode, first, last), window, column)
+
+
 def rolling_median_highpass(traces: DataFrame, half: int) -> DataFrame:
     """Values less the median of the centred window; 0 within half frames of either end."""
-    at = _order().rowsBetween(-half, half)
-    whole = F.count(F.lit(1)).over(at) == 2 * half + 1
-    return traces.withColumn("value", F.when(whole, F.col("value") - F.percentile("value", F.lit(0.5)).over(at)).otherwise(0.0))
+    return blockwise(traces, lambda x, first, last: dsp.median_highpass_block(x, half), half)
 
 
 def rolling_median(traces: DataFrame, half: int) -> DataFrame:
     """The median of the centred window, with zeros beyond either end."""
-    at = _order().rowsBetween(-half, half)
-    full = F.concat(F.collect_list("value").over(at), F.array_repeat(F.lit(0.0), (2 * half + 1 - F.count("value").over(at)).cast("int")))
-    return traces.withColumn("value", F.get(F.array_sort(full), F.lit(half)))
+    return blockwise(traces, lambda x, first, last: dsp.medfilt_block(x, half), half)
 
 
-def rolling_windows(traces: DataFrame, length: int, hop: int = 1) -> DataFrame:
-    """roi_id, frame (centre), window: centred windows of odd length inside the trace, every hop frames from the first."""
+def rolling_windows(traces: DataFrame, length: int, hop: int = 1, pad: bool = False) -> DataFrame:
+    """roi_id, frame (centre), window: centred windows of odd length inside the trace, every hop frames from the first.
+
+    With pad every frame has a row, whose window is NULL where none is centred.
+    """
     if length <= 0:
         raise ValueError("a window needs a frame")
-    half = length // 2
+    half = odd(length) // 2
     at = _order().rowsBetween(-half, half)
-    found = traces.select("roi_id", "frame", F.collect_list("value").over(at).alias("window"))
-    return found.where((F.size("window") == 2 * half + 1) & ((F.col("frame") - half) % hop == 0))
+    found = traces.select("roi_id", "frame", F.collect_list(F.struct("value")).over(at).alias("w"))
+    whole = (F.size("w") == 2 * half + 1) & ((F.col("frame") - half) % hop == 0)
+    window = F.transform("w", lambda x: x["value"])
+    if pad:
+        return found.select("roi_id", "frame", F.when(whole, window).alias("window"))
+    return found.where(whole).select("roi_id", "frame", window.alias("window"))
+
+
+def rolling_windows_ms(traces: DataFrame, window_ms: float, fs: float, hop_ms: float | None = None, pad: bool = False) -> DataFrame:
+    """rolling_windows with lengths in milliseconds, rounded; without hop_ms windows are a window apart."""
+    return rolling_windows(traces, round(window_ms * fs / 1000), max(1, round((window_ms if hop_ms is None else hop_ms) * fs / 1000)), pad)
 
 
 def moving_average(traces: DataFrame, half: int) -> DataFrame:
@@ -41,25 +67,43 @@ def moving_average(traces: DataFrame, half: int) -> DataFrame:
     return traces.withColumn("baseline", F.avg("value").over(_order().rowsBetween(-half, half)))
 
 
-def detect_spikes(traces: DataFrame, sd_threshold: float, half: int | None = None, positive: bool = False) -> DataFrame:
+def highpass(traces: DataFrame, window: int | None) -> DataFrame:
+    """roi_id, frame, value, flat: value less its second-order Savitzky-Golay baseline, or value where there is no window."""
+    if window is None:
+        return traces.select("roi_id", "frame", "value", F.col("value").alias("flat"))
+    size = odd(window)
+    kernel = lambda x, first, last: (x, x - dsp.savgol_block(x, size, 2, "interp", first, last))
+    return blockwise(traces, kernel, size, results=("value", "flat"))
+
+
+def detect_spikes(traces: DataFrame, sd_threshold: float, window: int | None = None, positive: bool = False, block: int = BLOCK) -> DataFrame:
     """roi_id, event_idx, frame, amplitude, sbr: one event per run of samples beyond the threshold, at its first extreme.
 
-    half gives a centred moving mean to take off first. Noise is the population deviation of
-    the samples of the other sign, of all where there is none. Amplitude is the extreme against that of
-    up to three samples before it (0 at frame 0); sbr is amplitude over noise, or
-    amplitude where noise is 0.
+    window (made odd) gives a Savitzky-Golay baseline of order 2 to take off first; a trace that is
+    shorter has no events. Noise is the population deviation of the samples of the other
+    sign, of all where there is none. Amplitude is the extreme against that of up to three samples
+    before it (0 at frame 0); sbr is amplitude over noise, or amplitude where noise is 0.
+
+    Runs are found within blocks of frames and joined over their borders, so only runs, not samples, meet by roi.
     """
     sign = 1.0 if positive else -1.0
-    flat = moving_average(traces, half) if half is not None else traces.withColumn("baseline", F.lit(0.0))
-    rows = flat.select("roi_id", "frame", (F.lit(sign) * F.col("value")).alias("raw"), (F.lit(sign) * (F.col("value") - F.col("baseline"))).alias("v"))
-    whole = Window.partitionBy("roi_id")
-    noise = F.coalesce(F.stddev_pop(F.when(F.col("v") < 0, F.col("v"))).over(whole), F.stddev_pop("v").over(whole))
-    before = F.min("raw").over(_order().rowsBetween(-3, -1))
-    marked = rows.withColumn("noise", noise).withColumn("before", before).withColumn("above", F.coalesce(F.col("v") > sd_threshold * F.col("noise"), F.lit(False)))
-    began = marked.withColumn("start", F.when(F.col("above") & ~F.coalesce(F.lag("above").over(_order()), F.lit(False)), 1).otherwise(0)).withColumn("island", F.sum("start").over(_order()))
-    peaks = began.where("above").groupBy("roi_id", "island").agg(F.max_by(F.struct("frame", "raw", "before", "noise"), F.struct("v", -F.col("frame"))).alias("p"))
+    rows = highpass(traces, window).select("roi_id", "frame", (F.lit(sign) * F.col("value")).alias("raw"), (F.lit(sign) * F.col("flat")).alias("v"))
+    noise = rows.groupBy("roi_id").agg(F.coalesce(F.stddev_pop(F.when(F.col("v") < 0, F.col("v"))), F.stddev_pop("v")).alias("noise"))
+    known = rows.join(noise, "roi_id").withColumn("above", F.coalesce(F.col("v") > sd_threshold * F.col("noise"), F.lit(False)))
+    # A block also has the last three samples of the one before.
+    in_blocks = known.withColumn("block", F.explode(F.sequence(F.floor(F.col("frame") / block), F.floor((F.col("frame") + 3) / block))))
+    at = Window.partitionBy("roi_id", "block").orderBy("frame")
+    marked = in_blocks.withColumn("before", F.min("raw").over(at.rowsBetween(-3, -1))).where(F.col("frame") >= F.col("block") * block)
+    began = F.when(F.col("above") & ~F.coalesce(F.lag("above").over(at), F.lit(False)), 1).otherwise(0)
+    islands = marked.withColumn("island", F.sum(began).over(at)).where("above")
+    best = F.struct(F.col("v"), (-F.col("frame")).alias("no"), "frame", "raw", "before", "noise")
+    runs = islands.groupBy("roi_id", "block", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.max(best).alias("best"))
+    by_roi = Window.partitionBy("roi_id").orderBy("first")
+    apart = F.when(F.col("first") == F.lag("last").over(by_roi) + 1, 0).otherwise(1)
+    peaks = runs.withColumn("run", F.sum(apart).over(by_roi)).groupBy("roi_id", "run").agg(F.max("best").alias("p"))
     amplitude = F.coalesce(F.col("p.raw") - F.col("p.before"), F.lit(0.0))
-    found = peaks.select("roi_id", F.col("p.frame").alias("frame"), amplitude.alias("amplitude"), F.when(F.col("p.noise") > 0, F.try_divide(amplitude, F.col("p.noise"))).otherwise(amplitude).alias("sbr"))
+    ratio = F.when(F.col("p.noise") > 0, F.try_divide(amplitude, F.col("p.noise"))).otherwise(amplitude)
+    found = peaks.select("roi_id", F.col("p.frame").alias("frame"), amplitude.alias("amplitude"), ratio.alias("sbr"))
     return found.select("roi_id", (F.row_number().over(_order()) - 1).cast("bigint").alias("event_idx"), "frame", "amplitude", "sbr")
 
 
@@ -90,12 +134,12 @@ def near_events(traces: DataFrame, events: DataFrame, half: int) -> DataFrame:
     return around.union(edges).distinct()
 
 
-def despike_impute(traces: DataFrame, events: DataFrame, half: int, smooth: DataFrame) -> DataFrame:
-    """traces with the samples of near_events taken from smooth (roi_id, frame, value)."""
-    mask = near_events(traces, events, half).withColumn("_m", F.lit(True))
-    other = smooth.select("roi_id", "frame", F.col("value").alias("_s"))
-    joined = traces.join(mask, ["roi_id", "frame"], "left").join(other, ["roi_id", "frame"], "left")
-    return joined.select("roi_id", "frame", F.when(F.col("_m"), F.col("_s")).otherwise(F.col("value")).alias("value"))
+def despike_impute(traces: DataFrame, events: DataFrame, window: int, savgol_window: int) -> DataFrame:
+    """traces with the samples of near_events, half of the (odd) window wide, taken from a second-order Savitzky-Golay smooth."""
+    mask = near_events(traces, events, odd(window) // 2).withColumn("near", F.lit(True))
+    kernel = lambda x, first, last: (x, dsp.savgol_block(x, odd(savgol_window), 2, "interp", first, last))
+    both = blockwise(traces, kernel, odd(savgol_window), results=("value", "smooth"))
+    return both.join(mask, ["roi_id", "frame"], "left").select("roi_id", "frame", F.when(F.col("near"), F.col("smooth")).otherwise(F.col("value")).alias("value"))
 
 
 def crossings(phases: DataFrame, target: float) -> DataFrame:
