@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,10 +101,48 @@ def ancestors(ids: DataFrame) -> DataFrame:
     return named.join(split.select(F.array_join("parts", ".").alias("ancestor")).distinct(), "ancestor").select("id", "ancestor", "distance")
 
 
-def topological(ids: DataFrame) -> DataFrame:
-    """id, depth, label (indented), in pre-order by the column path."""
+def children(ids: DataFrame) -> DataFrame:
+    """id, children: the ids whose parent it is, in order; an empty list for a leaf."""
+    found = id_columns(ids)
+    own = found.where("parent IS NOT NULL").groupBy(F.col("parent").alias("_p")).agg(F.array_sort(F.collect_list("id")).alias("children"))
+    name = found.select("id", F.array_join("parts", ".").alias("_k"))
+    return name.join(own, name["_k"] == own["_p"], "left").select("id", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
+
+
+def roots(ids: DataFrame) -> DataFrame:
+    """id, root: the topmost of an unbroken line of parents above an id, itself where its parent is no id of the table."""
+    known = id_columns(ids).select("id", F.array_join("parts", ".").alias("name"), F.size("parts").alias("depth"), F.col("parent").isNull().alias("top"))
+    up = ancestors(ids).join(known.select(F.col("name").alias("ancestor"), "top", F.col("depth").alias("at")), "ancestor")
+    # The root is the deepest ancestor (or self) without a parent: above it the line is broken.
+    own = known.select("id", F.col("name").alias("ancestor"), "top", F.col("depth").alias("at"))
+    all_up = up.select("id", "ancestor", "top", "at").unionByName(own).where("top")
+    return all_up.groupBy("id").agg(F.max_by("ancestor", "at").alias("root"))
+
+
+def subtrees(ids: DataFrame) -> DataFrame:
+    """root (every id, by its name), id, place: the id and all below it through known parents, numbered from 0 in pre-order."""
+    known = id_columns(ids).select("id", F.array_join("parts", ".").alias("name"), F.array_join("parts", "\x01").alias("path"))
+    tops = roots(ids)
+    below = ancestors(ids).select(F.col("ancestor").alias("root"), "id").union(known.select("name", "id"))
+    # Where a parent between two ids is missing, their topmost ids differ.
+    own = below.join(known.select("id", "path"), "id").join(tops.select("id", F.col("root").alias("top")), "id")
+    named = known.join(tops, "id").select(F.col("name").alias("root"), tops["root"].alias("its_top"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1
+    return own.join(named, "root").where("top = its_top").select("root", "id", place.alias("place"))
+
+
+def topological(ids: DataFrame, ordered: DataFrame | None = None) -> DataFrame:
+    """id, depth, label (indented), in pre-order by the column path; siblings by id, or by ord of ordered (id, ord) where that is given."""
     found = id_columns(ids)
-    return found.select("id", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.element_at("parts", -1)).alias("label"), F.array_join("parts", "\x01").alias("path")).orderBy("path")
+    label = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.element_at("parts", -1))
+    if ordered is None:
+        path = F.transform("parts", lambda p: F.struct(F.lit(0).cast("bigint").alias("ord"), p.alias("part")))
+        return found.select("id", "depth", label.alias("label"), path.alias("path")).orderBy("path")
+    names = found.select("id", F.array_join("parts", ".").alias("name")).join(ordered.select("id", F.col("ord").cast("bigint").alias("ord")), "id").select("name", "ord")
+    steps = found.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice("parts", F.lit(1), k), "."))).alias("k", "name"))
+    told = steps.join(names, "name", "left").select("id", "k", F.struct(F.coalesce("ord", F.lit(-1).cast("bigint")).alias("ord"), F.col("name").alias("part")).alias("step"))
+    paths = told.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "step"))), lambda x: x["step"]).alias("path"))
+    return found.join(paths, "id").select("id", "depth", label.alias("label"), "path").orderBy("path")
 
 
 #: Kinds of region, in the order in which their prefixes are tried, and their short codes.
@@ -136,8 +176,12 @@ def color_cycle(ids: DataFrame, n_colors: int) -> DataFrame:
 
 
 def recursive_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """root, node, depth of every tree of edges (parent, child), by a recursive common table expression."""
-    edges.createOrReplaceTempView("_edges")
+    """root, node, depth of every tree of edges (parent, child), by a recursive common table expression.
+
+    spark.sql.cteRecursionRowLimit bounds what it may make; ancestors() does the same for dotted ids without a limit.
+    """
+    view = f"edges_{uuid.uuid4().hex}"  # a name of its own, so that no view of the caller's is touched
+    edges.createOrReplaceTempView(view)
     return spark.sql(
-        "WITH RECURSIVE tree(root, node, depth) AS (SELECT parent, child, 1 FROM _edges UNION ALL SELECT t.root, e.child, t.depth + 1 FROM tree t JOIN _edges e ON e.parent = t.node) SELECT root, node, depth FROM tree"
+        f"WITH RECURSIVE tree(root, node, depth) AS (SELECT parent, child, 1 FROM {view} UNION ALL SELECT t.root, e.child, t.depth + 1 FROM tree t JOIN {view} e ON e.parent = t.node) SELECT root, node, depth FROM tree"
     )

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.quantiles import quantiles
+
+RANGE = 100_000
+
 
 def select_rois(rows: DataFrame, ids: list[str]) -> DataFrame:
     """rows of the rois asked for, with ord, their place in the list. The ids come as literals, so a plain filter is pushed to the scan."""
@@ -50,19 +54,25 @@ def silent(rois: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def ordered_union(parts: list[DataFrame]) -> DataFrame:
-    """roi_id, ord: ids of all parts (roi_id, ord) in the order in which they first appear."""
-    numbered = [p.select("roi_id", F.struct(F.lit(k).alias("part"), F.col("ord").alias("at")).alias("first")) for k, p in enumerate(parts)]
+    """roi_id, ord: ids of all parts (roi_id, ord) in the order in which they first appear.
+
+    Places are cut into ranges; ids are numbered within a range, and the counts of the ranges before it are added.
+    """
+    numbered = [p.select("roi_id", F.struct(F.lit(k).alias("part"), F.col("ord").cast("bigint").alias("at")).alias("first")) for k, p in enumerate(parts)]
     out = numbered[0]
     for p in numbered[1:]:
         out = out.unionByName(p)
-    first = out.groupBy("roi_id").agg(F.min("first").alias("first"))
-    return first.select("roi_id", (F.row_number().over(Window.orderBy("first")) - 1).alias("ord"))
+    first = out.groupBy("roi_id").agg(F.min("first").alias("first")).withColumn("range", F.struct("first.part", F.expr(f"first.at div {RANGE}").alias("no")))
+    counts = first.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # one row for RANGE ids
+    own = F.row_number().over(Window.partitionBy("range").orderBy("first")) - 1
+    return first.withColumn("own", own).join(before, "range").select("roi_id", (F.col("own") + F.col("before")).cast("bigint").alias("ord"))
 
 
 def top_share(image: DataFrame, percentile: float) -> DataFrame:
     """row, col of pixels at or above a percentile of the image (linear between values)."""
-    cut = image.agg(F.percentile("value", F.lit(percentile / 100)).alias("_cut"))
-    return image.crossJoin(F.broadcast(cut)).where("value >= _cut").select("row", "col")
+    cut = quantiles(image, "value", [percentile / 100])[0]
+    return image.where(F.col("value") >= F.lit(cut)).select("row", "col")
 
 
 def event_attributes(events: DataFrame, values: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +48,21 @@ def onset_offset(traces: DataFrame, events: DataFrame, n_pre: int, n_post: int,
 
 
 def classify_events(traces: DataFrame, events: DataFrame, n_near: int, n_mean: int, inverted: bool = False) -> DataFrame:
-    """events with a label: BS where others are within n_near frames, else SS-ADP or SS-noADP by the sign of the change of the mean.
+    """events with n_neighbors, mean_diff and label: BS where others are within n_near frames, else SS-ADP or SS-noADP by the sign of mean_diff.
 
-    A rise is an ADP; inverted takes a fall for one, as fits indicators that go down.
+    mean_diff is the mean of the last n_mean samples of the window of n_near frames to either side of an
+    event, less that of its first n_mean; samples outside of the trace are left out. A rise is an ADP;
+    inverted takes a fall for one, as fits indicators that go down.
     """
+    if n_mean > 2 * n_near + 1:
+        raise ValueError("n_mean exceeds the window")
     near = count_neighbors(events, n_near)
-    means = event_windows(traces, events, n_mean, n_mean).groupBy("roi_id", "event_idx").agg((F.avg(F.when(F.col("offset") > 0, F.col("value"))) - F.avg(F.when(F.col("offset") < 0, F.col("value")))).alias("change"))
-    rise = F.col("change") < 0 if inverted else F.col("change") > 0
-    return near.join(means, ["roi_id", "event_idx"], "left").select("roi_id", "event_idx", "frame", F.when(F.col("n_neighbors") > 0, "BS").when(rise, "SS-ADP").otherwise("SS-noADP").alias("label"))
+    mean = lambda inside: F.avg(F.when(inside, F.col("value")))
+    change = mean(F.col("offset") > n_near - n_mean) - mean(F.col("offset") < n_mean - n_near)
+    means = event_windows(traces, events, n_near, n_near).groupBy("roi_id", "event_idx").agg(change.alias("mean_diff"))
+    rise = F.col("mean_diff") < 0 if inverted else F.col("mean_diff") > 0
+    label = F.when(F.col("n_neighbors") > 0, "BS").when(rise, "SS-ADP").otherwise("SS-noADP")
+    return near.join(means, ["roi_id", "event_idx"], "left").select("roi_id", "event_idx", "frame", "n_neighbors", "mean_diff", label.alias("label"))
 
 
 def label_proportions(labelled: DataFrame, labels: list[str]) -> DataFrame:
@@ -64,17 +73,31 @@ def label_proportions(labelled: DataFrame, labels: list[str]) -> DataFrame:
     return found.select("roi_id", *[f"n_{x}" for x in labels], *[F.coalesce(F.try_divide(F.col(f"n_{x}"), total), F.lit(0.0)).alias(f"p_{x}") for x in labels])
 
 
-def grouped_type_stats(traces: DataFrame, labelled: DataFrame, events: DataFrame, n_band: int, n_pre: int, n_post: int, mode: str = "pool") -> DataFrame:
-    """label, offset, mean, std: windows of each roi's event nearest to a labelled reference event.
+def grouped_type_stats(traces: DataFrame, labelled: DataFrame, events: DataFrame, n_band: int, n_pre: int, n_post: int, mode: str = "pool", groups: DataFrame | None = None, reference: str | None = None) -> DataFrame:
+    """label, (group,) offset, mean, std, n: windows of the event nearest to each labelled event of a reference.
 
-    labelled has (roi_id, event_idx, frame, label). Mode pool takes all windows alike; mean first averages within each roi.
+    labelled has (roi_id, event_idx, frame, label). Without groups every roi is its own reference. With groups
+    (roi_id, group) the labelled events of the roi ``reference`` are matched to the events of every member. Mode pool
+    takes all windows alike; mode mean first averages the windows with the same ordinal among the matched events
+    over the members of a group, then those means.
     """
-    matched = nearest_event(labelled.select("roi_id", "event_idx", "frame"), events, n_band, n_band).where("nearest IS NOT NULL")
-    named = matched.join(labelled.select("roi_id", "event_idx", "label"), ["roi_id", "event_idx"]).select("roi_id", F.struct("event_idx", "label").alias("event_idx"), F.col("nearest").alias("frame"))
-    windows = event_windows(traces, named, n_pre, n_post).withColumn("label", F.col("event_idx.label"))
+    if mode not in ("pool", "mean"):
+        raise ValueError(f"no such mode: {mode}")
+    keys = ["label", "offset"] if groups is None else ["label", "group", "offset"]
+    asked = labelled.select("roi_id", "event_idx", "frame", "label")
+    if groups is not None:
+        told = asked.where(F.col("roi_id") == reference).drop("roi_id")
+        asked = groups.select("roi_id").distinct().join(told, how="cross").select("roi_id", "event_idx", "frame", "label")
+    matched = nearest_event(asked.select("roi_id", "event_idx", "frame"), events, n_band, n_band).where("nearest IS NOT NULL")
+    named = matched.join(asked.select("roi_id", "event_idx", "label"), ["roi_id", "event_idx"])
+    ordinal = F.row_number().over(Window.partitionBy("roi_id", "label").orderBy("event_idx"))
+    tagged = named.withColumn("no", ordinal).select("roi_id", F.struct("event_idx", "label", "no").alias("event_idx"), F.col("nearest").alias("frame"))
+    windows = event_windows(traces, tagged, n_pre, n_post).select("roi_id", "event_idx.label", "event_idx.no", "offset", "value")
+    if groups is not None:
+        windows = windows.join(groups, "roi_id")
     if mode == "mean":
-        windows = windows.groupBy("label", "roi_id", "offset").agg(F.avg("value").alias("value"))
-    return windows.groupBy("label", "offset").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
+        windows = windows.groupBy(*keys, "no").agg(F.avg("value").alias("value"))
+    return windows.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
 
 
 def rolling_background(traces: DataFrame, half: int) -> DataFrame:
@@ -225,3 +248,8 @@ def segment_events(events: DataFrame, start: int, length: int, n_segments: int |
     if n_segments is not None:
         inside &= F.col("frame") < start + length * n_segments
     return events.where(inside).select("roi_id", k.alias("segment"), (F.col("frame") - start - k * length).alias("frame"))
+
+
+def event_magnitudes(traces: DataFrame, events: DataFrame, n_pre: int, n_post: int, magnitude: Callable[[Column], Column]) -> DataFrame:
+    """roi_id, event_idx, frame, magnitude: what a function of the column ``window`` (an array) makes of the samples around each event."""
+    return per_event(event_windows(traces, events, n_pre, n_post)).select("roi_id", "event_idx", "frame", magnitude(F.col("window")).alias("magnitude"))
