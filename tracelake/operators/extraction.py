@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -10,39 +12,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import arrays as A
+from tracelake.functions import dsp
 from tracelake.operators import event_joins as J
-from tracelake.operators import masks, selection, statistics
+from tracelake.operators import masks, selection
 from tracelake.operators import regions as R
 from tracelake.operators import signals as G
 from tracelake.operators import spikes as E
 from tracelake.operators import video as V
+from tracelake.operators.blocks import blockwise
+from tracelake.operators.least_squares import design, solve_codes, weighted_codes
+from tracelake.operators.quantiles import quantiles
+from tracelake.sources.tables import pack, written
 
 
 def ols_traces(u: DataFrame, pixels: DataFrame, weights: DataFrame, rank: int) -> DataFrame:
-    """roi_id, frame, value: least-squares traces of overlapping regions and a constant background.
-
-    The normal equations are sums over pixels: overlaps of weights, and codes per region. Their
-    size is the number of regions plus one, and only they are solved on the driver.
-    """
-    w = weights.select("roi_id", "row", "col", "weight")
-    other = w.select(F.col("roi_id").alias("other"), "row", "col", F.col("weight").alias("w2"))
-    overlap = w.join(other, ["row", "col"]).groupBy("roi_id", "other").agg(F.sum(F.col("weight") * F.col("w2")).alias("x")).collect()
-    total = {r.roi_id: r.s for r in w.groupBy("roi_id").agg(F.sum("weight").alias("s")).collect()}
-    ids = sorted(total)
-    place = {r: k for k, r in enumerate(ids)}
-    g = np.zeros((len(ids) + 1, len(ids) + 1))
-    for a, b, x in overlap:
-        g[place[a], place[b]] = x
-    g[:-1, -1] = g[-1, :-1] = [total[r] for r in ids]
-    g[-1, -1] = pixels.count()
-    inverse = np.linalg.pinv(g, rcond=1e-10, hermitian=True)  # regions that cover the image make it singular
-    joined = pixels.drop("roi_id").join(w, ["row", "col"])
-    codes = {r.roi_id: np.array(r.code) for r in joined.groupBy("roi_id").agg(F.array(*[F.sum(F.col("weight") * F.get("v", F.lit(k))) for k in range(rank)]).alias("code")).collect()}
-    whole = np.array(pixels.agg(V._sum_of("v", rank).alias("s")).first()[0])
-    solved = inverse @ np.vstack([*[codes[r] for r in ids], whole])
-    spark = u.sparkSession
-    rows = spark.createDataFrame([(r, solved[k].tolist()) for k, r in enumerate(ids)], "roi_id string, code array<double>")
-    return rows.join(u, how="cross").select("roi_id", "frame", A.dot("u", "code").alias("value"))
+    """roi_id, frame, value: least-squares coefficients of overlapping regions beside a constant background, over all pixels."""
+    ground = pixels.select("row", "col", F.lit(1.0).alias("mu"))
+    whole = list(pixels.agg(V._sum_of("v", rank).alias("s")).first()["s"])  # rank numbers
+    solved, _ = solve_codes(design(weights, ground), weighted_codes(pixels, weights, rank), whole, rank)
+    return solved.select("roi_id", "code").join(u, how="cross").select("roi_id", "frame", A.dot("u", "code").alias("value"))
 
 
 def neuropil_traces(u: DataFrame, pixels: DataFrame, regions: DataFrame, inner: int, outer: int, height: int, width: int, rank: int) -> DataFrame:
@@ -56,34 +44,35 @@ def subtract_neuropil(traces: DataFrame, neuropil: DataFrame, share: float = 1.0
     return traces.join(other, ["roi_id", "frame"], "left").select("roi_id", "frame", (F.col("value") - share * F.coalesce("_n", F.lit(0.0))).alias("value"))
 
 
-def _components(u: DataFrame) -> DataFrame:
-    """Each component of u as a packed trace: roi_id is its number."""
-    long = u.select("frame", F.posexplode("u").alias("k", "value")).select(F.col("k").cast("string").alias("roi_id"), "frame", "value")
-    return long.groupBy("roi_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"]).alias("values"))
-
-
-def _recombined(packed: DataFrame) -> DataFrame:
-    long = packed.select("roi_id", F.posexplode("values").alias("frame", "x"))
-    return long.groupBy(F.col("frame").cast("bigint").alias("frame")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("roi_id").cast("int").alias("k"), "x"))), lambda s: s["x"]).alias("u"))
-
-
 def lowpass_codes(u: DataFrame, window: int, order: int) -> DataFrame:
-    """u smoothed in time, component by component, with the end values repeated."""
-    return _recombined(G.savgol(_components(u), window, order, "nearest"))
+    """u smoothed in time, component by component, with the end values repeated; by blocks of frames, so length is no matter."""
+    if window % 2 == 0 or order >= window:
+        raise ValueError("the window must be odd and exceed the order")
+    named = u.select(F.lit("u").alias("roi_id"), "frame", "u")
+    return blockwise(named, lambda x, first, last: dsp.savgol_block(x, window, order, "nearest", first, last), window, "u", ("u",), block=1024).drop("roi_id")
 
 
 def subtractive_lowpass(u: DataFrame, window: int, order: int) -> DataFrame:
     """u less its smooth part: what is slow goes from every pixel."""
-    smooth = lowpass_codes(u, window, order).withColumnRenamed("u", "_s")
-    return u.join(smooth, "frame").select("frame", F.zip_with("u", "_s", lambda a, b: a - b).alias("u"))
+    if window % 2 == 0 or order >= window:
+        raise ValueError("the window must be odd and exceed the order")
+    named = u.select(F.lit("u").alias("roi_id"), "frame", "u")
+    return blockwise(named, lambda x, first, last: x - dsp.savgol_block(x, window, order, "nearest", first, last), window, "u", ("u",), block=1024).drop("roi_id")
 
 
 def divisive_lowpass(u: DataFrame, v: DataFrame, window: int, order: int, rank: int, least: float = 1e-8) -> DataFrame:
     """u over the slow part of the mean pixel, which is held off zero by least."""
-    mean = v.agg(V._mean_of("v", rank).alias("m"))
-    base = lowpass_codes(u, window, order).crossJoin(F.broadcast(mean)).select("frame", A.dot("u", "m").alias("b"))
-    held = F.when(F.abs("b") >= least, F.col("b")).otherwise(F.when(F.col("b") < 0, -least).otherwise(least))
-    return u.join(base.select("frame", held.alias("b")), "frame").select("frame", F.transform("u", lambda x: x / F.col("b")).alias("u"))
+    mean = np.array(v.agg(V._mean_of("v", rank).alias("m")).first()["m"], float)  # rank numbers
+
+    def kernel(x, first, last):
+        base = dsp.savgol_block(x, window, order, "nearest", first, last) @ mean
+        held = np.where(np.abs(base) >= least, base, np.where(base < 0, -least, least))
+        return x / held[:, None]
+
+    if window % 2 == 0 or order >= window:
+        raise ValueError("the window must be odd and exceed the order")
+    named = u.select(F.lit("u").alias("roi_id"), "frame", "u")
+    return blockwise(named, kernel, window, "u", ("u",), block=1024).drop("roi_id")
 
 
 def phase_windows(packed: DataFrame, fs: float, low: float, high: float, target: float, most: int, half: int) -> DataFrame:
@@ -105,31 +94,10 @@ def phase_means(windows: DataFrame) -> DataFrame:
 
 def phase_bins(phases: DataFrame, bins: int) -> DataFrame:
     """phases with bin: equal counts by quantile edges, an edge belonging to the bin above it."""
-    inner = [k / bins for k in range(1, bins)]
-    edges = phases.agg(F.percentile("value", F.array(*map(F.lit, inner))).alias("_e"))
-    return phases.crossJoin(F.broadcast(edges)).withColumn("bin", A.digitize("value", "_e", right=True)).drop("_e")
-
-
-def motion_correct(frames: DataFrame, height: int, width: int, max_shift: int, passes: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Shifts (frame, dy, dx) and the corrected pixels (frame, row, col, value) of a video (frame, pixels).
-
-    The reference is the mean image, of the corrected video from the second pass on; shifts are
-    estimated frame by frame. Only the mean image comes to the driver.
-    """
-
-    def mean_of(rows):
-        cells = rows.groupBy("row", "col").agg(F.avg("value").alias("value")).collect()
-        out = np.zeros((height, width))
-        for r, c, x in cells:
-            out[r, c] = x
-        return out
-
-    long = frames.select("frame", F.posexplode("pixels").alias("k", "value")).select("frame", F.expr(f"cast(k div {width} AS int)").alias("row"), F.expr(f"cast(k % {width} AS int)").alias("col"), "value")
-    moved, shifts = long, None
-    for _ in range(passes):
-        shifts = G.estimate_shifts(frames, mean_of(moved), max_shift)
-        moved = G.roll(long, shifts, height, width)
-    return shifts, moved
+    edges = quantiles(phases, "value", [k / bins for k in range(1, bins)])
+    if edges[:1] == [None]:
+        return phases.withColumn("bin", F.lit(None).cast("int"))
+    return phases.withColumn("bin", A.digitize("value", F.array(*map(F.lit, edges)), right=True))
 
 
 def kmeans_codes(codes: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -167,13 +135,6 @@ def robust_coherence(packed: DataFrame, fs: float, size: int, overlap: int, nois
     return G.pairwise_coherence(packed.select("roi_id", "values").mapInArrow(run, "roi_id string, values array<double>"), fs, size, overlap)
 
 
-def despiked_dff(packed: DataFrame, mode: str, window: int) -> DataFrame:
-    """roi_id, frame, value: relative change by a mode of dsp.filter_dff, standardised."""
-    return G.filter_dff(packed, mode, window).select("roi_id", "frame", F.col("dff").alias("value"))
-
-
-
-
 def keyframes(phases: DataFrame, u: DataFrame, bins: int, rank: int) -> DataFrame:
     """bin, code: mean code of the frames whose phase (frame, value) falls in each of bins quantile bins; reconstruct() makes images of it."""
     return phase_bins(phases, bins).join(u, "frame").groupBy("bin").agg(V._mean_of("u", rank).alias("code"))
@@ -191,13 +152,84 @@ def normalized_peaks(traces: DataFrame, half: int, spread_window: int, height: f
     flat = E.rolling_median_highpass(traces, half)
     turned = E.positive_spread(flat.withColumn("value", -F.col("value")), spread_window)
     ready = turned.select("roi_id", "frame", F.coalesce(F.try_divide("value", "spread"), F.lit(0.0)).alias("value"))
-    packed = ready.groupBy("roi_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"]).alias("values"))
-    return G.detect_peaks(packed, height, distance, prominence, reach)
+    return G.detect_peaks(pack(ready), height, distance, prominence, reach)
+
+
+@dataclass(frozen=True)
+class Survey:
+    """What spatial_survey finds: regions (roi_id, row, col), events, and traces by stage (roi_id, frame, value)."""
+
+    regions: DataFrame
+    events: DataFrame
+    raw: DataFrame
+    highpass: DataFrame
+    baseline: DataFrame
+    standard: DataFrame
+    despiked: DataFrame | None
+
+
+def spatial_survey(
+    u: DataFrame,
+    pixels: DataFrame,
+    height: int,
+    width: int,
+    rank: int,
+    *,
+    grid: int = 8,
+    percentile: float = 90.0,
+    closing: int = 5,
+    least: int = 50,
+    dff_mode: str = "savgol_add",
+    dff_window: int = 201,
+    spike_window: int | None = 75,
+    sd_threshold: float = 4.0,
+    despike_window: int | None = 3,
+    despike_smooth: int = 51,
+) -> Survey:
+    """Traces and events of a grid of regions over the brightest pixels of the mean image; lengths are in frames.
+
+    Pixels at or above the percentile are closed by a square and cut into grid x grid cells; cells
+    with fewer than ``least`` pixels go. Traces are plain means, changed by dff_mode, over their own
+    deviation; events are taken out by despike_impute unless despike_window is None.
+    """
+    image = V.mean_image(u, pixels, rank)
+    bright = masks.closed_square(selection.top_share(image, percentile), closing, height, width)
+    tall, wide = height // grid, width // grid
+    inside = bright.where((F.col("row") < tall * grid) & (F.col("col") < wide * grid))
+    place = F.format_string("r=%d c=%d", F.floor(F.col("row") / tall) + 1, F.floor(F.col("col") / wide) + 1)
+    named = inside.select(place.alias("roi_id"), "row", "col")
+    regions = written(named.join(named.groupBy("roi_id").agg(F.count("*").alias("n")).where(F.col("n") >= least), "roi_id", "left_semi"), "regions")
+    raw = written(V.extract_from_codes(u, pixels, R.uniform_weights(regions), rank), "raw")
+    changed = written(G.filter_dff(raw, dff_mode, dff_window), "changed")
+    flat, base = (changed.select("roi_id", "frame", F.col(c).alias("value")) for c in ("dff", "baseline"))
+    deviation = flat.groupBy("roi_id").agg(F.stddev_pop("value").alias("sd"))
+    standard = written(flat.join(deviation, "roi_id").select("roi_id", "frame", F.try_divide("value", "sd").alias("value")), "standard")
+    events = written(E.detect_spikes(standard, sd_threshold, spike_window), "events")
+    despiked = None if despike_window is None else E.despike_impute(standard, events, despike_window, despike_smooth)
+    return Survey(regions, events, raw, flat, base, standard, despiked)
 
 
-def spatial_survey(image: DataFrame, pixels: DataFrame, u: DataFrame, percentile: float, cell: int, least: int, sd_threshold: float, half: int, height: int, width: int, rank: int) -> tuple[DataFrame, DataFrame]:
-    """Traces (roi_id, frame, value, standardised) of a grid over the brightest pixels, and their events."""
-    bright = masks.closed(selection.top_share(image, percentile), height, width)
-    weights = R.uniform_weights(masks.grid_regions(bright, cell, least))
-    traces = statistics.zscore(statistics.dff_median(V.extract_from_codes(u, pixels, weights, rank)))
-    return traces, E.detect_spikes(traces, sd_threshold, half)
+def double_filtered(traces: DataFrame, window: int) -> DataFrame:
+    """roi_id, frame, low, value: value less half the difference of two smooths, a moving mean and a line in each window."""
+
+    def kernel(x, first, last):
+        low = (dsp.savgol_block(x, window, 0, "interp", first, last) - dsp.savgol_block(x, window, 1, "interp", first, last)) / 2
+        return low, x - low
+
+    return blockwise(traces, kernel, window, results=("low", "value"))
+
+
+def peaks_of_deviation(traces: DataFrame, window: int, method: str, height: float, distance: int | None = None, reach: int | None = None) -> DataFrame:
+    """roi_id, frame, height of peaks, 2 at least above their bases, of the high-pass less its mean, sign turned, over the deviation of its positive samples.
+
+    method median takes a running median off (0 within half a window of the ends), double_filt what double_filtered does.
+    """
+    if method == "median":
+        flat = E.rolling_median_highpass(traces, window // 2)
+    elif method == "double_filt":
+        flat = double_filtered(traces, E.odd(window)).select("roi_id", "frame", "value")
+    else:
+        raise ValueError(f"no such method: {method}")
+    own = flat.groupBy("roi_id").agg(F.avg("value").alias("m"), F.stddev_pop(F.when(F.col("value") > 0, F.col("value"))).alias("sd"))
+    ready = flat.join(own, "roi_id").select("roi_id", "frame", F.coalesce(F.try_divide(F.col("m") - F.col("value"), "sd"), F.lit(0.0)).alias("value"))
+    return G.detect_peaks(pack(ready), height, distance, 2.0, reach)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tracelake.functions import arrays as A
+from tracelake.functions import dsp
+from tracelake.operators.blocks import blockwise, column_of, grouped, samples
+from tracelake.operators.images import odd_kernel
+from tracelake.operators.quantiles import quantiles
+from tracelake.sources.tables import pack, unpack, written
 
 
 def _sum_of(arrays: str, rank: int):
@@ -59,6 +66,14 @@ def local_correlation(pixels: DataFrame, height: int, width: int) -> DataFrame:
     return wanted.join(other, ["_r", "_c"]).groupBy("row", "col").agg(F.avg(A.dot("v", "w")).alias("r"))
 
 
+def refine_threshold(correlations: DataFrame, n: int) -> DataFrame:
+    """roi_id, threshold at a prefix of n pixels: the correlation of the last one taken, infinity for none, 0 where all are taken."""
+    ranked = refine(correlations, max(n, 1)).where(F.col("rank") == n).select("roi_id", F.col("r").alias("last"))
+    sizes = correlations.groupBy("roi_id").agg(F.count("*").alias("size"))
+    threshold = F.when(F.lit(n) == 0, F.lit(float("inf"))).when(F.lit(n) >= F.col("size"), F.lit(0.0)).otherwise(F.col("last"))
+    return sizes.join(ranked, "roi_id", "left").select("roi_id", threshold.alias("threshold"))
+
+
 def refine(correlations: DataFrame, n: int) -> DataFrame:
     """roi_id, row, col, r, rank: the n pixels of each region that fit best, ties by place."""
     order = Window.partitionBy("roi_id").orderBy(F.desc("r"), "row", "col")
@@ -96,24 +111,79 @@ def add_component(u: DataFrame, v: DataFrame, temporal: DataFrame, spatial: Data
     )
 
 
-def convolve_temporal(u: DataFrame, kernel: list[float]) -> DataFrame:
-    """u convolved in time with an odd kernel, zeros beyond the ends: shifted sums over an exploded kernel."""
-    half = len(kernel) // 2
-    taps = F.array(*[F.struct(F.lit(k - half).alias("o"), F.lit(float(w)).alias("w")) for k, w in enumerate(kernel)])
-    moved = u.select((F.col("frame")).alias("f"), "u", F.explode(taps).alias("t")).select((F.col("f") + F.col("t.o")).alias("frame"), F.posexplode(F.transform("u", lambda x: x * F.col("t.w"))).alias("k", "x"))
-    summed = moved.groupBy("frame", "k").agg(F.sum("x").alias("x"))
-    out = summed.groupBy("frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("u"))
-    return out.join(u.select("frame"), "frame", "left_semi")
-
-
-def convolve_spatial(v: DataFrame, kernel: list[list[float]]) -> DataFrame:
-    """v convolved over the image with an odd kernel, zeros beyond it."""
-    hr, hc = len(kernel) // 2, len(kernel[0]) // 2
-    taps = F.array(*[F.struct(F.lit(r - hr).alias("r"), F.lit(c - hc).alias("c"), F.lit(float(w)).alias("w")) for r, line in enumerate(kernel) for c, w in enumerate(line)])
-    moved = v.select("row", "col", "v", F.explode(taps).alias("t")).select((F.col("row") + F.col("t.r")).alias("row"), (F.col("col") + F.col("t.c")).alias("col"), F.posexplode(F.transform("v", lambda x: x * F.col("t.w"))).alias("k", "x"))
-    summed = moved.groupBy("row", "col", "k").agg(F.sum("x").alias("x"))
-    out = summed.groupBy("row", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
-    return out.join(v.select("row", "col"), ["row", "col"], "left_semi")
+def gain_spatial(v: DataFrame, weights: DataFrame) -> DataFrame:
+    """v with each pixel's code times its weight (row, col, weight)."""
+    return v.join(weights, ["row", "col"]).select("row", "col", F.transform("v", lambda x: x * F.col("weight")).alias("v"))
+
+
+def convolve_temporal(u: DataFrame, kernel: list[float], mode: str = "constant", constant: float = 0.0) -> DataFrame:
+    """u convolved in time with an odd kernel, by blocks of frames. Beyond the ends: a constant, the end value (nearest), mirrored with (reflect) or without it (mirror)."""
+    weights = odd_kernel(kernel)
+    if mode not in ("constant", "nearest", "reflect", "mirror"):
+        raise ValueError(f"no such mode in time: {mode}")
+    half = len(weights) // 2
+
+    def run(x, first, last):
+        # Inside the video the neighbours are there, and what is made up beyond a part is in its halo.
+        return dsp.convolve_lines(x, weights, mode if first or last else "constant", constant)
+
+    named = u.select(F.lit("u").alias("roi_id"), "frame", "u")
+    return blockwise(named, run, 2 * half + 1, "u", ("u",), block=1024).drop("roi_id")
+
+
+def slice_components(rows: DataFrame, column: str, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
+    """rows with the components of an array column that a Python slice takes; negative ends count from the last."""
+    if step < 1:
+        raise ValueError("a step is 1 or more")
+    found = rows.select(F.size(column).alias("n")).first()
+    low, high, _ = slice(start, stop, step).indices(found["n"] if found else 0)
+    places = list(range(low, high, step))
+    taken = F.slice(column, low + 1, len(places)) if step == 1 else F.array(*[F.get(column, F.lit(k)) for k in places])
+    return rows.withColumn(column, taken if places else F.slice(column, 1, 0))
+
+
+def slice_pixels(v: DataFrame, rows: tuple[int | None, int | None, int] = (None, None, 1), cols: tuple[int | None, int | None, int] = (None, None, 1)) -> DataFrame:
+    """The pixels that a Python slice of rows and one of columns take, numbered anew from 0."""
+    top, right = v.agg(F.max("row"), F.max("col")).first()
+    out = v
+    for name, last, (start, stop, step) in (("row", top, rows), ("col", right, cols)):
+        if step < 1:
+            raise ValueError("a step is 1 or more")
+        low, high, _ = slice(start, stop, step).indices(0 if last is None else last + 1)
+        kept = (F.col(name) >= low) & (F.col(name) < high) & ((F.col(name) - low) % step == 0)
+        out = out.where(kept).withColumn(name, F.expr(f"cast(({name} - {low}) div {step} AS int)"))
+    return out
+
+
+def frames_of(u: DataFrame, v: DataFrame, most: int = 16_000_000) -> DataFrame:
+    """frame, row0, pixels (row by row): the pictures of a low-rank video, in bands of image rows whose codes are at most ``most`` numbers."""
+    height, width, rank = v.agg(F.max("row") + 1, F.max("col") + 1, F.max(F.size("v"))).first()
+    rows = max(1, most // max(width * rank, 1))
+    out = None
+    for low in range(0, height, rows):
+        band = v.where((F.col("row") >= low) & (F.col("row") < low + rows)).select("row", "col", "v").collect()  # most numbers
+        codes = np.zeros((min(rows, height - low) * width, rank))
+        for r, c, x in band:
+            codes[(r - low) * width + c] = x
+        told = u.sparkSession.sparkContext.broadcast(codes)
+
+        def run(batches, told=told, low=low):
+            for batch in batches:
+                for k in range(0, batch.num_rows, 64):
+                    part = batch.slice(k, 64)
+                    pictures = np.array(part.column(1).to_pylist(), float) @ told.value.T
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([low] * len(pictures), pa.int32()), pa.array(list(pictures), pa.list_(pa.float64()))], ["frame", "row0", "pixels"])
+
+        found = u.select(F.col("frame").cast("bigint").alias("frame"), "u").mapInArrow(run, "frame bigint, row0 int, pixels array<double>")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def filtered(u: DataFrame, fs: float, function: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
+    """u with each component's trace (roi_id, values) changed by a function of packed traces and the rate."""
+    long = u.select("frame", F.posexplode("u").alias("k", "value")).select(F.col("k").cast("string").alias("roi_id"), "frame", "value")
+    back = unpack(function(pack(long), fs))
+    return back.groupBy("frame").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("roi_id").cast("int").alias("k"), "value"))), lambda x: x["value"]).alias("u"))
 
 
 def gramian(rows: DataFrame, column: str, rank: int) -> np.ndarray:
@@ -135,8 +205,17 @@ def gramian(rows: DataFrame, column: str, rank: int) -> np.ndarray:
 
 def _times(rows: DataFrame, column: str, matrix: np.ndarray) -> DataFrame:
     """rows with the array column multiplied from the right by a small matrix."""
-    lines = [F.array(*map(F.lit, map(float, m))) for m in matrix.T]
-    return rows.withColumn(column, F.array(*[A.dot(column, line) for line in lines]))
+    told = rows.sparkSession.sparkContext.broadcast(np.asarray(matrix, float))
+    place = rows.columns.index(column)
+    schema = StructType([StructField(f.name, ArrayType(DoubleType())) if k == place else f for k, f in enumerate(rows.schema.fields)])
+
+    def run(batches):
+        for batch in batches:
+            own = samples(pa.chunked_array([batch.column(place)]))
+            made = column_of(own @ told.value) if len(own) else pa.array([], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([made if k == place else c for k, c in enumerate(batch.columns)], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def orthogonal(u: DataFrame, s: list[float], v: DataFrame, rcond: float = 1e-10) -> tuple[DataFrame, list[float], DataFrame]:
@@ -160,45 +239,73 @@ def orthogonal(u: DataFrame, s: list[float], v: DataFrame, rcond: float = 1e-10)
     return _times(u, "u", iu @ left), sigma.tolist(), _times(v, "v", iv @ right.T)
 
 
-def randomized_svd(frames: DataFrame, width: int, rank: int, seed: int = 0) -> tuple[DataFrame, list[float], np.ndarray]:
-    """u (frame, u), singular values, and right vectors of a matrix of frames (frame, pixels of fixed width).
+COLUMNS = 4096
+
+
+def _omega(seed: int, block: int, columns: int, over: int) -> np.ndarray:
+    """The sketch's random numbers for one block of columns: made where they are needed, alike everywhere."""
+    return np.random.default_rng([seed, block]).standard_normal((columns, over))
 
-    Two passes: a seeded sketch of the rows is orthonormalised by its Gramian, then the projected
-    matrix, rank by width, is summed from partial products. Needs rank by width numbers on the driver.
+
+def randomized_svd(frames: DataFrame, width: int, rank: int, seed: int = 0, columns: int = COLUMNS) -> tuple[DataFrame, list[float], DataFrame]:
+    """u (frame, u), singular values, and v (pixel, v) of a matrix of frames (frame, pixels of fixed width).
+
+    Two passes: a seeded sketch of the rows is made orthonormal by its Gramian, then projections of the frames
+    are summed by blocks of columns, which stay in a table. Only Gramians of rank by rank numbers reach the driver.
     """
-    over = rank + 8
-    omega = np.random.default_rng(seed).standard_normal((width, over))
+    over = min(rank + 8, width)
+    starts = range(0, width, columns)
 
     def sketch(batches):
         for batch in batches:
-            y = np.array(batch.column(1).to_pylist(), float).reshape(-1, width) @ omega
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(y.tolist(), pa.list_(pa.float64()))], ["frame", "pixels", "y"])
+            a = samples(pa.chunked_array([batch.column(1)]))
+            y = sum(a[:, k : k + columns] @ _omega(seed, k // columns, min(columns, width - k), over) for k in starts) if len(a) else np.zeros((0, over))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column_of(y)], ["frame", "pixels", "y"])
 
-    sketched = frames.select(F.col("frame").cast("bigint"), F.col("pixels").cast("array<double>").alias("pixels")).mapInArrow(sketch, "frame bigint, pixels array<double>, y array<double>")
+    told = frames.select(F.col("frame").cast("bigint").alias("frame"), F.col("pixels").cast("array<double>").alias("pixels"))
+    sketched = written(told.mapInArrow(sketch, "frame bigint, pixels array<double>, y array<double>"), "sketch")
     w, q = np.linalg.eigh(gramian(sketched, "y", over))
     keep = w > 1e-12 * w.max()
     basis = q[:, keep] / np.sqrt(w[keep])  # y @ basis has orthonormal columns
+    n = basis.shape[1]
 
     def project(batches):
-        total = np.zeros((basis.shape[1], width))
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            y, a = (samples(pa.chunked_array([c])) for c in batch.columns)
+            for k in starts if len(y) else ():
+                part = (y @ basis).T @ a[:, k : k + columns]
+                total[k] = total[k] + part if k in total else part
+        for k, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.ravel()], pa.list_(pa.float64()))], ["start", "part"])
+
+    def add(batches):
+        for (k,), group in grouped(batches, 1):
+            total = sum(np.array(x) for x in group["part"].to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total], pa.list_(pa.float64()))], ["start", "part"])
+
+    parts = sketched.select("y", "pixels").mapInArrow(project, "start bigint, part array<double>").repartition("start").sortWithinPartitions("start")
+    blocks = written(parts.mapInArrow(add, "start bigint, part array<double>"), "projected")
+
+    def turn(batches):
         for batch in batches:
-            y, a = (np.array(c.to_pylist(), float) for c in batch.columns)
-            if len(y):
-                total += (y.reshape(len(y), -1) @ basis).T @ a
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "line"])
+            for k, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = np.array(part).reshape(n, -1).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(lines)), pa.int64()), column_of(lines)], ["pixel", "v"])
 
-    lines = sketched.select("y", "pixels").mapInArrow(project, "i int, line array<double>").select("i", F.posexplode("line").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
-    b = np.zeros((basis.shape[1], width))
-    for i, j, x in lines.collect():
-        b[i, j] = x
-    left, sigma, right = np.linalg.svd(b, full_matrices=False)
-    u = _times(sketched.select("frame", F.col("y").alias("u")), "u", basis @ left[:, :rank])
-    return u, sigma[:rank].tolist(), right[:rank]
+    pixels = blocks.mapInArrow(turn, "pixel bigint, v array<double>")
+    w2, left = np.linalg.eigh(gramian(pixels, "v", n))
+    order = np.argsort(w2)[::-1][:rank]
+    sigma = np.sqrt(np.clip(w2[order], 0, None))
+    left = left[:, order]
+    u = _times(sketched.select("frame", F.col("y").alias("u")), "u", basis @ left)
+    back = left * np.where(sigma > 1e-12 * sigma.max(initial=0), 1 / np.where(sigma > 0, sigma, 1), 0)
+    return u, sigma.tolist(), _times(pixels, "v", back)
 
 
 def quantile_normalize(image: DataFrame, n: int = 256) -> DataFrame:
     """image with value mapped to its place among n quantiles, linear between them; a constant image is a ValueError."""
-    q = image.agg(F.percentile("value", F.array(*[F.lit(k / (n - 1)) for k in range(n)])).alias("q")).first()[0]  # n numbers
+    q = quantiles(image, "value", [k / (n - 1) for k in range(n)])  # n numbers
     edges, first = np.unique(np.array(q, float), return_index=True)
     if len(edges) < 2:
         raise ValueError("a constant image has no quantiles")
@@ -208,13 +315,15 @@ def quantile_normalize(image: DataFrame, n: int = 256) -> DataFrame:
     return image.withColumn("_s", at).withColumn("value", F.col("_s.p") + (F.least(F.col("value"), F.col("_s.b")) - F.col("_s.a")) / (F.col("_s.b") - F.col("_s.a")) * (F.col("_s.r") - F.col("_s.p"))).drop("_s")
 
 
-def gamma_correct(images: DataFrame, target: float = 0.5) -> DataFrame:
-    """Per image (roi_id), values scaled to 0..1 and raised so that their geometric mean is target."""
-    own = Window.partitionBy("roi_id")
-    low, high = F.min("value").over(own), F.max("value").over(own)
-    scaled = images.withColumn("value", F.coalesce(F.try_divide(F.col("value") - low, high - low), F.lit(0.0)))
-    gmean = F.avg(F.ln(F.greatest("value", F.lit(1e-12)))).over(own)
-    return scaled.withColumn("_g", gmean).withColumn("value", F.pow("value", F.coalesce(F.try_divide(F.lit(float(np.log(target))), F.col("_g")), F.lit(1.0)))).drop("_g")
+def gamma_correct(images: DataFrame, target: float = 0.5, shared: bool = False) -> DataFrame:
+    """Per image (roi_id), or over all of them alike where shared, values scaled to 0..1 and raised so that their geometric mean is target."""
+    keys = [] if shared else ["roi_id"]
+    meet = lambda d, other: d.crossJoin(F.broadcast(other)) if shared else d.join(other, keys)
+    scaled = meet(images, images.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")))
+    scaled = scaled.withColumn("value", F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))).drop("_lo", "_hi")
+    means = scaled.groupBy(*keys).agg(F.avg(F.ln(F.greatest("value", F.lit(1e-12)))).alias("_g"))
+    raised = F.pow("value", F.coalesce(F.try_divide(F.lit(float(np.log(target))), F.col("_g")), F.lit(1.0)))
+    return meet(scaled, means).withColumn("value", raised).drop("_g").select(*images.columns)
 
 
 def compose_rgb(layers: list[tuple[DataFrame, tuple[float, float, float], float]]) -> DataFrame:
