@@ -5,14 +5,17 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.operators import extraction as X
-from tracelake.operators import regions as R
+from tracelake.operators import guided
+from tracelake.operators import motion as M
 from tracelake.operators import signals as G
 from tracelake.operators import spikes as E
 from tracelake.operators import statistics as S
 from tracelake.operators import video as V
-from tracelake.sources import files, tables
+from tracelake.operators.extract import LowRank, extract_traces
+from tracelake.sources import files
 
 
 def parse_slice(text: str) -> tuple[int | None, int | None, int]:
@@ -26,7 +29,24 @@ def parse_slice(text: str) -> tuple[int | None, int | None, int]:
     return start, stop, step or 1
 
 
+def video(spark, path: str) -> LowRank:
+    """A low-rank video as convert writes it: u holds the singular values."""
+    u, v = spark.read.parquet(f"{path}/u"), spark.read.parquet(f"{path}/v")
+    return LowRank(u, v, len(v.first()["v"]))
+
+
+def save_video(spark, u, s: list[float], v, path: str) -> None:
+    """u with the singular values in it, s, and v, a table each."""
+    LowRank.of(u, s, v).u.write.parquet(f"{path}/u")
+    spark.createDataFrame([(s,)], "s array<double>").write.parquet(f"{path}/s")
+    v.select("row", "col", "v").write.parquet(f"{path}/v")
+
+
 def convert(spark, a):
+    if files.is_low_rank(a.input):
+        low = video(spark, a.input)
+        files.save_video(V.frames_of(low.u, low.v), a.output, a.batch)
+        return
     spark.dataSource.register(files.RawFrames)
     raw = spark.read.format("rawframes").options(path=a.input, width=a.width, height=a.height, offset=a.offset, gap=a.gap, dtype=a.dtype).load()
     files.save_video(raw.select("frame", "pixels"), a.output, a.batch)
@@ -35,53 +55,90 @@ def convert(spark, a):
 def svd(spark, a):
     frames = spark.read.parquet(a.input).select("frame", "pixels")
     u, s, right = V.randomized_svd(frames, a.width * a.height, a.rank, a.seed)
-    u.write.parquet(f"{a.output}/u")
-    spark.createDataFrame([(s,)], "s array<double>").write.parquet(f"{a.output}/s")
-    spark.createDataFrame([(k // a.width, k % a.width, right[:, k].tolist()) for k in range(right.shape[1])], "row int, col int, v array<double>").write.parquet(f"{a.output}/v")
+    place = [F.expr(f"cast(pixel div {a.width} AS int)").alias("row"), F.expr(f"cast(pixel % {a.width} AS int)").alias("col")]
+    save_video(spark, u, s, right.select(*place, "v"), a.output)
+
+
+def svd_guided(spark, a):
+    frames = spark.read.parquet(a.input).select("frame", F.posexplode("pixels").alias("p", "value"))
+    long = frames.selectExpr("frame", f"cast(p div {a.width} AS int) AS row", f"cast(p % {a.width} AS int) AS col", "cast(value AS double) AS value")
+    numbers = lambda text: tuple(int(x) for x in text.split(","))
+    found = guided.guided_svd(long, spark.read.parquet(a.rois), sizes=numbers(a.sizes), hops=numbers(a.hops), windows=numbers(a.windows), clusters=a.clusters, rank=a.rank or None)
+    save_video(spark, *found, a.output)
 
 
 def info(spark, a):
-    spark.read.parquet(a.input).printSchema()
+    for name in "usv" if files.is_low_rank(a.input) else ("",):
+        table = spark.read.parquet(f"{a.input}/{name}")
+        print(name or "frames", table.count())
+        table.printSchema()
 
 
 def cut(spark, a):
-    V.slice_frames(spark.read.parquet(a.input), *parse_slice(a.temporal)).write.parquet(a.output)
+    if not files.is_low_rank(a.input):
+        V.slice_frames(spark.read.parquet(a.input), *parse_slice(a.temporal)).write.parquet(a.output)
+        return
+    low, (start, stop, step) = video(spark, a.input), parse_slice(a.component)
+    rows, cols = ([parse_slice(x) for x in a.spatial.split(",")] + [(None, None, 1)])[:2]
+    V.slice_components(V.slice_frames(low.u, *parse_slice(a.temporal)), "u", start, stop, step).write.parquet(f"{a.output}/u")
+    V.slice_components(spark.read.parquet(f"{a.input}/s"), "s", start, stop, step).write.parquet(f"{a.output}/s")
+    V.slice_components(V.slice_pixels(low.v, rows, cols), "v", start, stop, step).write.parquet(f"{a.output}/v")
+
+
+def changed(spark, a, u):
+    """The video of a.input with other codes of frames."""
+    u.write.parquet(f"{a.output}/u")
+    for name in "sv":
+        spark.read.parquet(f"{a.input}/{name}").write.parquet(f"{a.output}/{name}")
 
 
 def video_sub(spark, a):
-    X.subtractive_lowpass(spark.read.parquet(f"{a.input}/u"), a.window, a.order).write.parquet(a.output)
+    changed(spark, a, X.subtractive_lowpass(video(spark, a.input).u, a.window, a.order))
 
 
 def video_dff(spark, a):
-    v = spark.read.parquet(f"{a.input}/v")
-    X.divisive_lowpass(spark.read.parquet(f"{a.input}/u"), v, a.window, a.order, len(v.first()["v"])).write.parquet(a.output)
+    low = video(spark, a.input)
+    changed(spark, a, X.divisive_lowpass(low.u, low.v, a.window, a.order, low.rank))
 
 
 def motion(spark, a):
-    frames = spark.read.parquet(a.input).select("frame", "pixels")
-    shifts, _ = X.motion_correct(frames, a.height, a.width, a.max_shift, a.passes)
-    shifts.write.option("header", True).csv(a.output)
+    mask = spark.read.parquet(a.mask) if a.mask else None
+    fixed, shifts = M.motion_correct(video(spark, a.input), a.height, a.width, a.max_shift, a.passes, mask=mask, hpf=a.hpf, max_rank=a.rank or None)
+    left, sigma, right = V.orthogonal(fixed.u, [1.0] * fixed.rank, fixed.v)
+    save_video(spark, left, sigma, right, a.output)
+    shifts.selectExpr("frame", "dy AS est_row_shift", "dx AS est_col_shift").write.option("header", True).csv(f"{a.output}/shifts")
 
 
 def extract(spark, a):
-    u, v = spark.read.parquet(f"{a.input}/u"), spark.read.parquet(f"{a.input}/v")
-    V.extract_from_codes(u, v, R.uniform_weights(spark.read.parquet(a.rois)), len(v.first()["v"])).write.parquet(a.output)
+    weights = spark.read.parquet(a.rois)
+    if "weight" not in weights.columns:
+        weights = weights.withColumn("weight", F.lit(1.0))
+    if files.is_low_rank(a.input):
+        source = video(spark, a.input)
+    else:
+        pixels = spark.read.parquet(a.input).select("frame", F.posexplode("pixels").alias("p", "value"))
+        source = pixels.selectExpr("frame", f"cast(p div {a.width} AS int) AS row", f"cast(p % {a.width} AS int) AS col", "cast(value AS double) AS value")
+    found, rings = extract_traces(source, weights, a.height, a.width, (a.inner, a.outer), ols=a.ols, weighted=not a.uniform, remove_neuropil=not a.keep_neuropil, normalize=a.normalize, smooth=a.smooth)
+    found.write.parquet(a.output)
+    if rings is not None and a.neuropil:
+        rings.write.parquet(a.neuropil)
 
 
 def survey(spark, a):
-    u, v = spark.read.parquet(f"{a.input}/u"), spark.read.parquet(f"{a.input}/v")
-    rank = len(v.first()["v"])
-    traces, events = X.spatial_survey(V.mean_image(u, v, rank), v, u, a.percentile, a.cell, a.least, a.threshold, a.half, a.height, a.width, rank)
-    traces.write.parquet(f"{a.output}/traces")
-    events.write.parquet(f"{a.output}/events")
+    low = video(spark, a.input)
+    found = X.spatial_survey(
+        low.u, low.v, a.height, a.width, low.rank, grid=a.grid, percentile=a.percentile, closing=a.closing, least=a.least, dff_window=a.dff_window, spike_window=a.spike_window, sd_threshold=a.threshold, despike_window=a.despike_window, despike_smooth=a.despike_smooth
+    )
+    for name in ("regions", "events", "raw", "highpass", "baseline", "standard", "despiked"):
+        getattr(found, name).write.parquet(f"{a.output}/{name}")
 
 
 def trace_dff(spark, a):
-    G.filter_dff(tables.pack(spark.read.parquet(a.input)), a.mode, a.window).write.parquet(a.output)
+    G.filter_dff(spark.read.parquet(a.input), a.mode, a.window).write.parquet(a.output)
 
 
 def detect(spark, a):
-    E.detect_spikes(spark.read.parquet(a.input), a.threshold, a.half, a.positive).write.parquet(a.output)
+    E.detect_spikes(spark.read.parquet(a.input), a.threshold, a.window or None, a.positive).write.parquet(a.output)
 
 
 def report(spark, a):
@@ -111,15 +168,19 @@ def parser() -> argparse.ArgumentParser:
     size = (("--width", 588), ("--height", 624))
     add("h5-convert", convert, *size, ("--offset", 0), ("--gap", 1728), ("--dtype", "uint8"), ("--batch", 1000))
     add("convert", svd, *size, ("--rank", 50), ("--seed", 0))
+    bands = (("--sizes", "21,11,5"), ("--hops", "10,5,2"), ("--windows", "5000,1000,200"))
+    add("convert-guided", svd_guided, *size, *bands, ("--clusters", 10), ("--rank", 0), extra=("rois",))
     add("svd-info", info)
-    add("slice", cut, ("--temporal", ":"))
+    add("slice", cut, ("--temporal", ":"), ("--spatial", ":"), ("--component", ":"))
     add("video-sub-dff", video_sub, ("--window", 301), ("--order", 2))
     add("video-dff", video_dff, ("--window", 301), ("--order", 2))
-    add("motion-correct", motion, *size, ("--max-shift", 10), ("--passes", 2))
-    add("extract-traces", extract, extra=("rois",))
-    add("spatial-survey", survey, *size, ("--percentile", 90.0), ("--cell", 64), ("--least", 20), ("--threshold", 3.0), ("--half", 50))
+    add("motion-correct", motion, *size, ("--max-shift", 10), ("--passes", 2), ("--mask", ""), ("--hpf", 10.0), ("--rank", 0))
+    ring = (("--inner", -1), ("--outer", -1), ("--smooth", 0), ("--neuropil", ""))
+    add("extract-traces", extract, *size, *ring, ("--ols", False), ("--uniform", False), ("--keep-neuropil", False), ("--normalize", False), extra=("rois",))
+    lengths = (("--dff-window", 201), ("--spike-window", 75), ("--despike-window", 3), ("--despike-smooth", 51))
+    add("spatial-survey", survey, *size, ("--grid", 8), ("--percentile", 90.0), ("--closing", 5), ("--least", 50), ("--threshold", 4.0), *lengths)
     add("trace-dff", trace_dff, ("--mode", "savgol_mult"), ("--window", 301))
-    add("detect-spikes", detect, ("--threshold", 3.0), ("--half", 50), ("--positive", False))
+    add("detect-spikes", detect, ("--threshold", 3.0), ("--window", 0), ("--positive", False))
     add("qc-report", report, ("--fs", 500.0), ("--half", 250), ("--bin", 10.0), extra=("events",))
     return out
 

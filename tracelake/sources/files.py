@@ -1,29 +1,65 @@
-"""Files: raw camera recordings as a data source, traces and events as Parquet, session files, NPZ regions."""
+"""Files: raw camera recordings as a data source, traces, events and regions as Parquet, session files, NPZ regions."""
 
 from __future__ import annotations
 
+import glob
 import os
 import re
+import struct
 import tomllib
+import warnings
 from dataclasses import dataclass, fields
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Lines of a recording's import file, and the option that each gives.
+IMPORT_LINES = {
+    "width": r"- Width: (\d+)",
+    "height": r"- Height: (\d+)",
+    "gap": r"- Gap between images: (\d+)",
+    "offset": r"- Offset to first image: (\d+)",
+    "dtype": r"- Image Type: '(\d+)-bit\s*\w*'",
+}
+#: A header of this many bytes tells the camera's region, in these of its 16-bit numbers (from 0 on disk).
+REGION_HEADER, REGION_PLACES = 80, (29, 30, 32, 33)
+
 
 class FrameRange(InputPartition):
     def __init__(self, path: str, start: int, stop: int, first: int):
         self.path, self.start, self.stop, self.first = path, start, stop, first
 
 
+def read_import_file(folder: str) -> dict[str, str]:
+    """The options that a folder's only *import*.txt file gives; none where there is no such file, or several."""
+    found = glob.glob(os.path.join(folder, "*import*.txt"))
+    if len(found) != 1:
+        return {}
+    with open(found[0], encoding="utf-8", errors="replace") as file:
+        text = file.read()
+    told = {name: m[1] for name, pattern in IMPORT_LINES.items() if (m := re.search(pattern, text))}
+    return told | ({"dtype": f"uint{told['dtype']}"} if "dtype" in told else {})
+
+
+def camera_region(path: str) -> list[int] | None:
+    """The camera's region of a recording whose header has REGION_HEADER bytes, counted from 1; None of a shorter file."""
+    with open(path, "rb") as file:
+        head = file.read(REGION_HEADER)
+    if len(head) < REGION_HEADER:
+        return None
+    numbers = struct.unpack(f"<{REGION_HEADER // 2}H", head)
+    return [numbers[k] + 1 for k in REGION_PLACES]
+
+
 class RawFrames(DataSource):
     """Frames of raw camera files: a header, then pictures of one size with gaps between them.
 
     Options: width, height, offset, gap, dtype (uint8 or uint16, little endian), batch
-    (frames in a task). A folder is read file after file, by the number in the name. Paths
-    must be open to all executors.
+    (frames in a task), max_frames. What is not given is taken from the folder's import file. A folder
+    is read file after file, by the number in the name. Paths must be open to all executors.
     """
 
     @classmethod
@@ -40,34 +76,63 @@ class RawFrames(DataSource):
 class RawReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
-        self.width, self.height = int(options["width"]), int(options["height"])
-        self.offset, self.gap = int(options.get("offset", 0)), int(options.get("gap", 0))
-        self.kind = np.dtype(options.get("dtype", "uint8")).newbyteorder("<")
-        self.batch = int(options.get("batch", 1000))
+        told = read_import_file(self.path if os.path.isdir(self.path) else os.path.dirname(self.path))
+        known = {**told, **dict(options)}
+        if "width" not in known or "height" not in known:
+            raise ValueError("width and height are neither given nor in an import file")
+        self.width, self.height = int(known["width"]), int(known["height"])
+        self.offset, self.gap = int(known.get("offset", 0)), int(known.get("gap", 0))
+        if known.get("dtype", "uint8") not in ("uint8", "uint16"):
+            raise ValueError(f"no such type of pixels: {known['dtype']}")
+        self.kind = np.dtype(known.get("dtype", "uint8")).newbyteorder("<")
+        self.batch = int(known.get("batch", 1000))
+        self.most = int(known["max_frames"]) if "max_frames" in known else None
         self.size = self.width * self.height * self.kind.itemsize
 
     def files(self) -> list[str]:
         if not os.path.isdir(self.path):
             return [self.path]
         names = [x for x in os.listdir(self.path) if x.lower().endswith(".raw")]
+        if not names:
+            raise ValueError(f"no raw files in {self.path}")
         return [os.path.join(self.path, x) for x in sorted(names, key=lambda x: (int((re.findall(r"\d+", x) or ["0"])[-1]), x))]
 
     def count(self, path: str) -> int:
-        return max(0, (os.path.getsize(path) - self.offset + self.gap) // (self.size + self.gap))
+        """Whole pictures in a file; a warning where its size is more than a fiftieth of a picture off."""
+        length = os.path.getsize(path) - self.offset
+        exact = length / (self.size + self.gap)
+        if abs(exact - round(exact)) > 1 / 50 and abs(length + self.gap - round(exact) * (self.size + self.gap)) > 0:
+            warnings.warn(f"{path} holds {exact:.2f} pictures", stacklevel=2)
+        return max(0, (length + self.gap) // (self.size + self.gap))
 
     def partitions(self):
         out, before = [], 0
         for path in self.files():
             n = self.count(path)
+            if self.most is not None:
+                n = min(n, self.most - before)
             out += [FrameRange(path, k, min(n, k + self.batch), before) for k in range(0, n, self.batch)]
             before += n
         return out
 
     def read(self, part):
+        pixels = self.width * self.height
         with open(part.path, "rb") as file:
-            for k in range(part.start, part.stop):
-                file.seek(self.offset + k * (self.size + self.gap))
-                yield part.first + k, self.height, self.width, np.frombuffer(file.read(self.size), self.kind).astype(int).tolist()
+            for low in range(part.start, part.stop, 64):
+                high = min(low + 64, part.stop)
+                file.seek(self.offset + low * (self.size + self.gap))
+                raw = file.read((high - low) * (self.size + self.gap))
+                pictures = [np.frombuffer(raw, self.kind, pixels, k * (self.size + self.gap)).astype(np.int32) for k in range(high - low)]
+                n = len(pictures)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(part.first + low, part.first + high), pa.int64()),
+                        pa.array(np.full(n, self.height), pa.int32()),
+                        pa.array(np.full(n, self.width), pa.int32()),
+                        pa.ListArray.from_arrays(np.arange(0, (n + 1) * pixels, pixels, dtype=np.int32), np.concatenate(pictures)),
+                    ],
+                    ["frame", "height", "width", "pixels"],
+                )
 
 
 def save_video(frames: DataFrame, path: str, block: int = 1000) -> None:
@@ -80,6 +145,11 @@ def read_frames(spark: SparkSession, path: str, start: int, stop: int, block: in
     return spark.read.parquet(path).where((F.col("block") >= start // block) & (F.col("block") <= (stop - 1) // block) & (F.col("frame") >= start) & (F.col("frame") < stop))
 
 
+def is_low_rank(path: str) -> bool:
+    """Whether a folder that this machine can list holds a low-rank video: tables u, s and v."""
+    return all(os.path.isdir(os.path.join(path, name)) for name in "usv")
+
+
 def save_traces(traces: DataFrame, path: str) -> None:
     traces.write.parquet(path)
 
@@ -93,10 +163,41 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("frame", F.col("frame") - 1)
 
 
+def save_regions(pixels: DataFrame, path: str) -> None:
+    """Regions (roi_id, row, col and whatever belongs to a pixel) as Parquet."""
+    pixels.write.parquet(path)
+
+
+def read_regions(spark: SparkSession, path: str, height: int | None = None) -> DataFrame:
+    """Regions with row and col; where the table has a 1-based column-major index (pixel_idx or PixelIdxList) instead, these follow from it and the image's height."""
+    found = spark.read.parquet(path)
+    index = next((c for c in ("pixel_idx", "PixelIdxList") if c in found.columns), None)
+    if index is None:
+        return found
+    if height is None:
+        raise ValueError("an index of pixels needs the height of the image")
+    at = F.col(index) - 1
+    return found.withColumns({"row": (at % height).cast("int"), "col": F.floor(at / height).cast("int")}).drop(index)
+
+
+def save_npz_regions(pixels: DataFrame, path: str) -> None:
+    """Regions (roi_id, ord, row, col, weight) as an NPZ file of plain arrays: ids, offsets of their pixels, rows, cols, weights.
+
+    The file is one list of pixels, read on the driver: for collections that a person drew.
+    """
+    rows = pixels.select("roi_id", "ord", "row", "col", "weight").orderBy("roi_id", "ord").collect()
+    ids = list(dict.fromkeys(r.roi_id for r in rows))
+    ends = np.cumsum([sum(r.roi_id == i for r in rows) for i in ids]) if ids else np.zeros(0, int)
+    np.savez(path, ids=np.array(ids, str), offsets=np.concatenate([[0], ends]).astype(int), rows=np.array([r.row for r in rows], int), cols=np.array([r.col for r in rows], int), weights=np.array([r.weight for r in rows], float))
+
+
 def read_npz_regions(spark: SparkSession, path: str) -> DataFrame:
-    """roi_id, ord, row, col, weight from an NPZ file of footprints and weights (lists of arrays)."""
-    with np.load(path, allow_pickle=True) as held:
-        rows = [(str(i), k, int(r), int(c), float(w)) for i, (f, ws) in enumerate(zip(held["footprints"], held["weights"], strict=True)) for k, ((r, c), w) in enumerate(zip(f, ws, strict=True))]
+    """roi_id, ord, row, col, weight from a file of save_npz_regions. Nothing in the file is executed."""
+    with np.load(path, allow_pickle=False) as held:
+        sizes = np.diff(held["offsets"])
+        ids = np.repeat(held["ids"], sizes).tolist()
+        order = np.concatenate([np.arange(n) for n in sizes]).tolist() if len(sizes) else []
+        rows = list(zip(ids, order, held["rows"].tolist(), held["cols"].tolist(), held["weights"].tolist(), strict=True))
     return spark.createDataFrame(rows, "roi_id string, ord int, row int, col int, weight double")
 
 
