@@ -13,13 +13,17 @@ from tracelake.functions import arrays as A
 from tracelake.operators import display as D
 from tracelake.operators import event_joins as J
 from tracelake.operators import extraction as X
+from tracelake.operators import images as N
 from tracelake.operators import masks as M
+from tracelake.operators import motion as MC
 from tracelake.operators import regions as R
 from tracelake.operators import selection as L
 from tracelake.operators import signals as G
 from tracelake.operators import spikes as E
 from tracelake.operators import statistics as S
 from tracelake.operators import video as V
+from tracelake.operators.extract import LowRank
+from tracelake.operators.quantiles import quantiles
 from tracelake.sources import tables as T
 from tracelake.streaming import incremental as I
 
@@ -117,18 +121,23 @@ def count_neighbors(spark, sf):
     return J.count_neighbors(_errors(spark, sf), 4)
 
 
-@query(BASE + ", k AS (SELECT unnest(generate_series(0, 19)) * 10 AS anchor), r AS (SELECT DISTINCT roi_id FROM tr) SELECT r.roi_id, k.anchor, count(e.frame) AS n FROM r CROSS JOIN k LEFT JOIN ea e ON e.roi_id = r.roi_id AND abs(e.frame - k.anchor) <= 8 GROUP BY ALL")
+@query(
+    BASE
+    + """, r AS (SELECT roi_id, greatest(max(frame) + 10, 200) AS n FROM tr GROUP BY 1),
+k AS (SELECT roi_id, unnest(generate_series(0, CAST(n - 1 AS BIGINT), 10)) AS anchor FROM r)
+SELECT k.roi_id, k.anchor, count(e.frame) AS n FROM k LEFT JOIN ea e ON e.roi_id = k.roi_id AND abs(e.frame - k.anchor) <= 8 GROUP BY ALL"""
+)
 def events_to_trace(spark, sf):
     return J.hopping_counts(_errors(spark, sf), T.traces(spark, sf), 10, 15, least=200)
 
 
 @query(
     BASE
-    + f""", r AS (SELECT roi_id AS trace_roi FROM tr WHERE CAST(roi_id AS BIGINT) % 25 = 0 GROUP BY 1)
+    + f""", r AS (SELECT roi_id AS trace_roi FROM tr  GROUP BY 1)
 SELECT r.trace_roi, e.roi_id, o.o AS "offset", {R5("avg(t.value)", "mean")} FROM ea e CROSS JOIN r CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS o) o LEFT JOIN tr t ON t.roi_id = r.trace_roi AND t.frame = e.frame + o.o GROUP BY ALL"""
 )
 def cross_event_means(spark, sf):
-    """Events of every roi on the traces of every roi. The SQL has one roi in 25 of the traces."""
+    """Events of every roi on the traces of every roi."""
     return rounded(J.cross_means(T.traces(spark, sf), _errors(spark, sf), 1, 1))
 
 
@@ -165,8 +174,10 @@ def onset_offset(spark, sf):
     return rounded(S.onset_offset(T.traces(spark, sf), _errors(spark, sf), 3, 3, 2), 4)
 
 
-_LABELLED = """, lb AS (SELECT a.roi_id, a.event_idx, a.frame, CASE WHEN (SELECT count(*) FROM ea b WHERE b.roi_id = a.roi_id AND abs(b.frame - a.frame) <= 4) > 1 THEN 'BS'
-WHEN (SELECT avg(w.value) FILTER (w."offset" > 0) - avg(w.value) FILTER (w."offset" < 0) FROM win w WHERE w.roi_id = a.roi_id AND w.event_idx = a.event_idx) > 0 THEN 'SS-ADP' ELSE 'SS-noADP' END AS label FROM ea a)
+_LABELLED = """, l0 AS (SELECT a.roi_id, a.event_idx, a.frame, (SELECT count(*) FROM ea b WHERE b.roi_id = a.roi_id AND abs(b.frame - a.frame) <= 4) - 1 AS n_neighbors,
+(SELECT avg(t.value) FROM tr t WHERE t.roi_id = a.roi_id AND t.frame BETWEEN a.frame + 2 AND a.frame + 4)
+- (SELECT avg(t.value) FROM tr t WHERE t.roi_id = a.roi_id AND t.frame BETWEEN a.frame - 4 AND a.frame - 2) AS mean_diff FROM ea a),
+lb AS (SELECT *, CASE WHEN n_neighbors > 0 THEN 'BS' WHEN mean_diff > 0 THEN 'SS-ADP' ELSE 'SS-noADP' END AS label FROM l0)
 """
 
 
@@ -174,9 +185,9 @@ def _labels(spark, sf):
     return S.classify_events(T.traces(spark, sf), _errors(spark, sf), 4, 3)
 
 
-@query(BASE + _LABELLED + "SELECT * FROM lb")
+@query(BASE + _LABELLED + f"SELECT roi_id, event_idx, frame, n_neighbors, {R5('mean_diff', 'mean_diff')}, label FROM lb")
 def classify_events(spark, sf):
-    return _labels(spark, sf)
+    return rounded(_labels(spark, sf))
 
 
 _KINDS = ["BS", "SS-ADP", "SS-noADP"]
@@ -329,7 +340,7 @@ def segment_traces(spark, sf):
     return rounded(S.segment_traces(T.traces(spark, sf), 5, 15, FS))
 
 
-@query(BASE + "SELECT roi_id, (frame - 5) // 15 AS segment, (frame - 5) % 15 AS frame FROM ea WHERE frame >= 5 AND frame < 65")
+@query(BASE + "SELECT roi_id, (frame - 5) // 15 AS segment, (frame - 5) % 15 AS frame FROM ea WHERE frame >= 5")
 def segment_events(spark, sf):
     return S.segment_events(_errors(spark, sf), 5, 15)
 
@@ -337,18 +348,43 @@ def segment_events(spark, sf):
 # Detection.
 
 
-_SPIKES = """, ma AS (SELECT roi_id, frame, -value AS raw, -(value - avg(value) OVER w) AS v FROM tr WINDOW w AS (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
-nz AS (SELECT *, coalesce(stddev_pop(CASE WHEN v < 0 THEN v END) OVER (PARTITION BY roi_id), stddev_pop(v) OVER (PARTITION BY roi_id)) AS noise, min(raw) OVER (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM ma),
+def _quadratic(size: int, at: int) -> list[float]:
+    """What each of size samples counts in the value at one of them of the parabola nearest to all: by the normal equations."""
+    x = [k - at for k in range(size)]
+    p = [sum(v**n for v in x) for n in range(5)]
+    c = (p[2] * p[4] - p[3] ** 2, p[2] * p[3] - p[1] * p[4], p[1] * p[3] - p[2] ** 2)
+    whole = p[0] * c[0] + p[1] * c[1] + p[2] * c[2]
+    return [(c[0] + c[1] * v + c[2] * v * v) / whole for v in x]
+
+
+def smoothed(size: int, source: str = "tr") -> str:
+    """sg (roi_id, frame, s): parabolas through windows of a table of traces, those of the first and last window near the ends."""
+    half = size // 2
+    weights = ", ".join(f"({a}, {k}, {w!r})" for a in range(size) for k, w in enumerate(_quadratic(size, a)))
+    return f""", sw AS (SELECT * FROM (VALUES {weights}) AS t(a, k, w)), ln AS (SELECT roi_id, max(frame) + 1 AS n FROM {source} GROUP BY 1),
+ps AS (SELECT t.roi_id, t.frame, CASE WHEN t.frame < {half} THEN t.frame WHEN t.frame >= n - {half} THEN t.frame - n + {size} ELSE {half} END AS a,
+CASE WHEN t.frame < {half} THEN 0 WHEN t.frame >= n - {half} THEN n - {size} ELSE t.frame - {half} END AS b FROM {source} t JOIN ln USING (roi_id) WHERE n >= {size}),
+sg AS (SELECT p.roi_id, p.frame, sum(w.w * x.value) AS s FROM ps p JOIN sw w ON w.a = p.a JOIN {source} x ON x.roi_id = p.roi_id AND x.frame = p.b + w.k GROUP BY ALL)
+"""
+
+
+_SPIKES = (
+    smoothed(11)
+    + """, ma AS (SELECT t.roi_id, t.frame, -t.value AS raw, -(t.value - sg.s) AS v FROM tr t LEFT JOIN sg USING (roi_id, frame)),
+nz AS (SELECT *, coalesce(stddev_pop(CASE WHEN v < 0 THEN v END) OVER r, stddev_pop(v) OVER r) AS noise,
+min(raw) OVER (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before FROM ma WINDOW r AS (PARTITION BY roi_id)),
 ab AS (SELECT *, coalesce(v > 1.0 * noise, false) AS above FROM nz),
 st AS (SELECT *, CASE WHEN above AND NOT coalesce(lag(above) OVER (PARTITION BY roi_id ORDER BY frame), false) THEN 1 ELSE 0 END AS s FROM ab),
 il AS (SELECT *, sum(s) OVER (PARTITION BY roi_id ORDER BY frame) AS island FROM st),
 pk AS (SELECT *, row_number() OVER (PARTITION BY roi_id, island ORDER BY v DESC, frame) AS k FROM il WHERE above),
-sp AS (SELECT roi_id, row_number() OVER (PARTITION BY roi_id ORDER BY frame) - 1 AS event_idx, frame, coalesce(raw - before, 0) AS amplitude, CASE WHEN noise > 0 THEN coalesce(raw - before, 0) / noise ELSE coalesce(raw - before, 0) END AS sbr FROM pk WHERE k = 1)
+sp AS (SELECT roi_id, row_number() OVER (PARTITION BY roi_id ORDER BY frame) - 1 AS event_idx, frame, coalesce(raw - before, 0) AS amplitude,
+CASE WHEN noise > 0 THEN coalesce(raw - before, 0) / noise ELSE coalesce(raw - before, 0) END AS sbr FROM pk WHERE k = 1)
 """
+)
 
 
 def _spikes(spark, sf):
-    return E.detect_spikes(T.traces(spark, sf), 1.0, 5)
+    return E.detect_spikes(T.traces(spark, sf), 1.0, 11)
 
 
 @query(BASE + _SPIKES + f"SELECT roi_id, event_idx, frame, {R5('amplitude', 'amplitude')}, {R5('sbr', 'sbr')} FROM sp")
@@ -373,13 +409,12 @@ def despike(spark, sf):
 
 @query(
     BASE
-    + f""", l AS (SELECT roi_id, max(frame) AS last FROM tr GROUP BY 1), sm AS (SELECT roi_id, frame, avg(value) OVER (PARTITION BY roi_id ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS s FROM tr)
-SELECT t.roi_id, t.frame, {R5('CASE WHEN t.frame < 2 OR t.frame > l.last - 2 OR EXISTS (SELECT 1 FROM ea e WHERE e.roi_id = t.roi_id AND abs(e.frame - t.frame) <= 2) THEN sm.s ELSE t.value END', 'value')} FROM tr t JOIN l USING (roi_id) JOIN sm USING (roi_id, frame)"""
+    + smoothed(11)
+    + f"""SELECT t.roi_id, t.frame, {R5('CASE WHEN t.frame < 2 OR t.frame > ln.n - 3 OR EXISTS (SELECT 1 FROM ea e WHERE e.roi_id = t.roi_id AND abs(e.frame - t.frame) <= 2) THEN sg.s ELSE t.value END', 'value')}
+FROM tr t JOIN ln USING (roi_id) LEFT JOIN sg USING (roi_id, frame)"""
 )
 def despike_impute(spark, sf):
-    t = T.traces(spark, sf)
-    smooth = E.moving_average(t, 5).select("roi_id", "frame", F.col("baseline").alias("value"))
-    return rounded(E.despike_impute(t, _errors(spark, sf), 2, smooth))
+    return rounded(E.despike_impute(T.traces(spark, sf), _errors(spark, sf), 5, 11))
 
 
 @query(BASE + "SELECT roi_id, frame FROM (SELECT *, lag(value) OVER (PARTITION BY roi_id ORDER BY frame) AS b FROM tr) WHERE b < 50 AND value > 50")
@@ -472,7 +507,7 @@ def pixel_correlations(spark, sf):
 @query(
     BASE
     + f"""SELECT a."row", a.col, {R5(f'avg({_COS})', 'r')} FROM px a CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS dr) dr CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS dc) dc
-JOIN px b ON b."row" = greatest(0, least(a."row" + dr, 19)) AND b.col = greatest(0, least(a.col + dc, 24)) WHERE dr <> 0 OR dc <> 0 GROUP BY ALL"""
+JOIN px b ON b."row" = greatest(0, least(a."row" + dr, (SELECT max("row") FROM px))) AND b.col = greatest(0, least(a.col + dc, 24)) WHERE dr <> 0 OR dc <> 0 GROUP BY ALL"""
 )
 def local_correlation(spark, sf):
     return rounded(V.local_correlation(T.pixel_codes(spark, sf), _height(spark, sf), WIDTH))
@@ -503,7 +538,7 @@ def extract_traces(spark, sf):
 
 @query(
     BASE
-    + f""", e AS (SELECT CAST(label AS VARCHAR) AS roi_id, vec_id AS frame FROM embeddings WHERE vec_id % 10 = 3), s AS (SELECT e.roi_id, o.o AS "offset", unnest(CAST(m.embedding AS DOUBLE[])) AS x, unnest(generate_series(0, 63)) AS k FROM e CROSS JOIN (SELECT unnest(generate_series(-1, 2)) AS o) o JOIN embeddings m ON m.vec_id = e.frame + o.o)
+    + f""", e AS (SELECT CAST(label AS VARCHAR) AS roi_id, vec_id AS frame FROM embeddings), s AS (SELECT e.roi_id, o.o AS "offset", unnest(CAST(m.embedding AS DOUBLE[])) AS x, unnest(generate_series(0, 63)) AS k FROM e CROSS JOIN (SELECT unnest(generate_series(-1, 2)) AS o) o JOIN embeddings m ON m.vec_id = e.frame + o.o)
 SELECT roi_id, "offset", k, {R5('avg(x)', 'x')} FROM s GROUP BY ALL"""
 )
 def event_mean_codes(spark, sf):
@@ -525,13 +560,17 @@ def boundary_edges(spark, sf):
     BASE
     + """, o AS (SELECT * FROM (SELECT unnest(generate_series(-3, 3)) AS dr) CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS dc)),
 bg AS (SELECT DISTINCT roi_id, CAST("row" + dr AS INT) AS "row", CAST(col + dc AS INT) AS col FROM px, o WHERE abs(dr) + abs(dc) <= 3), sm AS (SELECT DISTINCT roi_id, "row" + dr AS "row", col + dc AS col FROM px, o WHERE abs(dr) + abs(dc) <= 1)
-SELECT roi_id, "row", col FROM bg WHERE "row" BETWEEN 0 AND 19 AND col BETWEEN 0 AND 24 AND NOT EXISTS (SELECT 1 FROM sm WHERE sm.roi_id = bg.roi_id AND sm."row" = bg."row" AND sm.col = bg.col)"""
+SELECT roi_id, "row", col FROM bg WHERE "row" BETWEEN 0 AND (SELECT max("row") FROM px) AND col BETWEEN 0 AND 24 AND NOT EXISTS (SELECT 1 FROM sm WHERE sm.roi_id = bg.roi_id AND sm."row" = bg."row" AND sm.col = bg.col)"""
 )
 def annulus_pixels(spark, sf):
     return R.annuli(T.pixel_codes(spark, sf), 1, 3, _height(spark, sf), WIDTH, threshold=2.0)
 
 
-@query(BASE + 'SELECT greatest(min("row") - 2, 0) AS row0, least(max("row") + 3, 20) AS row1, greatest(min(col) - 2, 0) AS col0, least(max(col) + 3, 25) AS col1 FROM px WHERE roi_id = \'3\'')
+@query(
+    BASE
+    + """SELECT roi_id, greatest(min("row") - 2, 0) AS row0, least(max("row") + 3, (SELECT max("row") FROM px) + 1) AS row1,
+greatest(min(col) - 2, 0) AS col0, least(max(col) + 3, 25) AS col1 FROM px GROUP BY 1"""
+)
 def crop_bounds(spark, sf):
     return R.crop_bounds(T.pixel_codes(spark, sf), 2, _height(spark, sf), WIDTH)
 
@@ -542,7 +581,13 @@ def gamma_correct(spark, sf):
     return rounded(V.gamma_correct(image))
 
 
-@query()
+@query(
+    BASE
+    + f""", q AS (SELECT unnest(quantile_cont(v[1], [{', '.join(repr(k / 255) for k in range(256))}])) AS e, unnest(generate_series(0, 255)) AS k FROM px),
+ed AS (SELECT e, min(k) / 255.0 AS p FROM q GROUP BY 1), st AS (SELECT e AS a, p, lead(e) OVER w AS b, lead(p) OVER w AS r FROM ed WINDOW w AS (ORDER BY e)),
+lo AS (SELECT * FROM st WHERE b IS NOT NULL)
+SELECT x."row", x.col, {R5('s.p + (least(x.v[1], s.b) - s.a) / (s.b - s.a) * (s.r - s.p)', 'value')} FROM px x ASOF JOIN lo s ON x.v[1] >= s.a"""
+)
 def quantile_normalize(spark, sf):
     return rounded(V.quantile_normalize(T.pixel_codes(spark, sf).select("row", "col", F.get("v", F.lit(0)).alias("value"))))
 
@@ -592,19 +637,19 @@ def _packed(spark, sf):
     return T.pack(T.traces(spark, sf))
 
 
-@query()
+@query(BASE + smoothed(7) + f"SELECT t.roi_id, t.frame, {R5('sg.s', 'value')} FROM tr t LEFT JOIN sg USING (roi_id, frame)")
 def savgol_smooth(spark, sf):
-    return rounded(T.unpack(G.savgol(_packed(spark, sf), 7, 2)))
+    return rounded(E.savgol(T.traces(spark, sf), 7))
 
 
-@query()
+@query(BASE + smoothed(11) + f"SELECT t.roi_id, t.frame, {R5('t.value / nullif(sg.s, 0)', 'dff')}, {R5('sg.s', 'baseline')} FROM tr t LEFT JOIN sg USING (roi_id, frame)")
 def savgol_dff(spark, sf):
-    return rounded(G.filter_dff(_packed(spark, sf), "savgol_mult", 11))
+    return rounded(G.filter_dff(T.traces(spark, sf), "savgol_mult", 11))
 
 
 @query()
 def double_exponential_dff(spark, sf):
-    return rounded(G.filter_dff(_packed(spark, sf), "2exp"), 3)
+    return rounded(G.filter_dff(T.traces(spark, sf), "2exp", 5), 3)
 
 
 @query()
@@ -612,18 +657,49 @@ def highpass_filter(spark, sf):
     return rounded(T.unpack(G.frequency_filter(_packed(spark, sf), FS, ["<0.5"])))
 
 
-@query()
+def spectra_sql(source: str) -> str:
+    """df (roi_id, seg, k, re, im): transforms of segments of 16 samples, 8 apart, under a Hann window, of a table (roi_id, frame, value)."""
+    return f""", j AS (SELECT unnest(generate_series(0, 15)) AS j), hn AS (SELECT j, 0.5 - 0.5 * cos(2 * pi() * j / 16) AS h FROM j), kk AS (SELECT unnest(generate_series(0, 8)) AS k),
+n0 AS (SELECT roi_id, max(frame) + 1 AS n FROM {source} GROUP BY 1), sn AS (SELECT roi_id, unnest(generate_series(0, CAST((n - 16) // 8 AS BIGINT))) AS seg FROM n0 WHERE n >= 16),
+df AS (SELECT s.roi_id, s.seg, kk.k, sum(x.value * hn.h * cos(2 * pi() * kk.k * hn.j / 16)) AS re, -sum(x.value * hn.h * sin(2 * pi() * kk.k * hn.j / 16)) AS im
+FROM sn s CROSS JOIN hn CROSS JOIN kk JOIN {source} x ON x.roi_id = s.roi_id AND x.frame = s.seg * 8 + hn.j GROUP BY ALL)
+"""
+
+
+_HOURLY = """WITH hh AS (SELECT event_type AS roi_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, avg(value) AS value FROM events GROUP BY ALL),
+ho AS (SELECT roi_id, row_number() OVER (PARTITION BY roi_id ORDER BY hour) - 1 AS frame, value FROM hh)
+"""
+
+
+@query(
+    BASE
+    + spectra_sql("tr")
+    + f"""SELECT roi_id, k / 16.0 * 10 AS frequency, {R5('avg(re * re + im * im) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END / (10 * (SELECT sum(h * h) FROM hn))', 'power', 4)} FROM df GROUP BY roi_id, k"""
+)
 def power_spectrum(spark, sf):
     return rounded(G.power_spectrum(_packed(spark, sf), FS, 16, 8), 4)
 
 
-@query()
+@query(
+    _HOURLY
+    + spectra_sql("ho")
+    + f"""SELECT a.roi_id AS x, b.roi_id AS y, a.k / 16.0 AS frequency, {R5('least(1, greatest(0, coalesce((avg(a.re * b.re + a.im * b.im) ** 2 + avg(a.im * b.re - a.re * b.im) ** 2) / nullif(avg(a.re * a.re + a.im * a.im) * avg(b.re * b.re + b.im * b.im), 0), 0)))', 'coherence', 4)}
+FROM df a JOIN df b ON a.roi_id <= b.roi_id AND a.seg = b.seg AND a.k = b.k GROUP BY a.roi_id, b.roi_id, a.k"""
+)
 def pairwise_coherence(spark, sf):
     """Coherence among event types on an hourly clock, all pairs."""
     return rounded(G.pairwise_coherence(_hourly(spark, sf), 1.0, 16, 8), 4)
 
 
-@query()
+@query(
+    _HOURLY
+    + f""", n0 AS (SELECT roi_id, count(*) AS n FROM ho GROUP BY 1), pr AS (SELECT a.roi_id AS x, b.roi_id AS y, least(a.n, b.n) AS n FROM n0 a JOIN n0 b ON a.roi_id <= b.roi_id),
+z AS (SELECT p.x, p.y, p.n, h.frame, h.roi_id = p.x AS own, h.roi_id = p.y AS other, h.value FROM pr p JOIN ho h ON h.roi_id IN (p.x, p.y) AND h.frame < p.n),
+m AS (SELECT x, y, n, avg(value) FILTER (own) AS mx, stddev_pop(value) FILTER (own) AS sx, avg(value) FILTER (other) AS my, stddev_pop(value) FILTER (other) AS sy FROM z GROUP BY ALL)
+SELECT m.x, m.y, l.lag, {R5('sum((a.value - mx) / CASE WHEN sx = 0 THEN 1 ELSE sx END * (b.value - my) / CASE WHEN sy = 0 THEN 1 ELSE sy END) / any_value(m.n)', 'r', 4)}
+FROM m CROSS JOIN (SELECT unnest(generate_series(-5, 5)) AS lag) l JOIN ho a ON a.roi_id = m.x AND a.frame < m.n JOIN ho b ON b.roi_id = m.y AND b.frame < m.n AND a.frame = b.frame + l.lag
+GROUP BY m.x, m.y, l.lag"""
+)
 def pairwise_cross_correlation(spark, sf):
     return rounded(G.pairwise_cross_correlation(_hourly(spark, sf), 5), 4)
 
@@ -653,14 +729,20 @@ def randomized_svd(spark, sf):
 # Selections.
 
 
+def _loud(spark, sf):
+    cut = quantiles(T.traces(spark, sf), "value", [0.99])[0]
+    return T.framed_events(spark, sf).where((F.col("event_type") == "error") & (F.col("value") > F.lit(cut)))
+
+
 @query(BASE + "SELECT DISTINCT roi_id FROM tr WHERE roi_id IN (SELECT roi_id FROM ea)")
 def spiking_rois(spark, sf):
     return L.spiking(T.traces(spark, sf).select("roi_id").distinct(), _errors(spark, sf))
 
 
-@query(BASE + "SELECT DISTINCT roi_id FROM tr WHERE roi_id NOT IN (SELECT roi_id FROM fe WHERE event_type = 'error' AND frame < 5)")
+@query(BASE + "SELECT DISTINCT roi_id FROM tr WHERE roi_id NOT IN (SELECT roi_id FROM fe WHERE event_type = 'error' AND value > (SELECT quantile_cont(value, 0.99) FROM tr))")
 def silent_rois(spark, sf):
-    return L.silent(T.traces(spark, sf).select("roi_id").distinct(), _errors(spark, sf).where("frame < 5"))
+    """Rois without an error among the loudest hundredth of all samples."""
+    return L.silent(T.traces(spark, sf).select("roi_id").distinct(), _loud(spark, sf))
 
 
 @query(BASE + f"SELECT roi_id, frame, {R5('value', 'value')}, CASE roi_id WHEN '7' THEN 0 WHEN '3' THEN 1 ELSE 2 END AS ord FROM tr WHERE roi_id IN ('7', '3', '11')")
@@ -699,13 +781,14 @@ def _first_component(spark, sf):
     return T.pixel_codes(spark, sf).select("row", "col", F.get("v", F.lit(0)).alias("value"))
 
 
-_SET = """, st AS (SELECT "row" AS r, col AS c FROM px WHERE CAST(roi_id AS INT) < 8), nb AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)),
+_SET = """, st AS (SELECT "row" AS r, col AS c FROM px WHERE v[1] >= 0), nb AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)),
 er AS (SELECT CAST(r + dr AS INT) AS r, CAST(c + dc AS INT) AS c FROM st, nb GROUP BY ALL HAVING count(*) = 5)
 """
 
 
 def _mask(spark, sf):
-    return T.pixel_codes(spark, sf).where("cast(roi_id AS int) < 8").select("row", "col")
+    """Pixels whose first component is not negative."""
+    return _first_component(spark, sf).where("value >= 0").select("row", "col")
 
 
 @query(BASE + _SET + 'SELECT r AS "row", c AS col FROM er')
@@ -713,26 +796,31 @@ def eroded_mask(spark, sf):
     return M.erode(_mask(spark, sf))
 
 
-@query(BASE + _SET + 'SELECT DISTINCT CAST(r + dr AS INT) AS "row", CAST(c + dc AS INT) AS col FROM er, nb WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 24')
+@query(BASE + _SET + 'SELECT DISTINCT CAST(r + dr AS INT) AS "row", CAST(c + dc AS INT) AS col FROM er, nb WHERE r + dr BETWEEN 0 AND (SELECT max("row") FROM px) AND c + dc BETWEEN 0 AND 24')
 def opened_mask(spark, sf):
     return M.opened(_mask(spark, sf), _height(spark, sf), WIDTH)
 
 
 @query(
     BASE
-    + """, q AS (SELECT quantile_cont(v[1], 0.6) AS cut FROM px), nb AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)), rg AS (SELECT DISTINCT "row" + dr AS r, col + dc AS c FROM px, nb WHERE roi_id = '3'),
+    + """, q AS (SELECT quantile_cont(v[1], 0.9) AS cut, quantile_cont(v[2], 0.98) AS top FROM px),
+nb AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)), rg AS (SELECT DISTINCT "row" + dr AS r, col + dc AS c FROM px, nb, q WHERE v[2] >= top),
 st AS (SELECT "row" AS r, col AS c FROM px, q WHERE v[1] <= cut AND NOT EXISTS (SELECT 1 FROM rg WHERE rg.r = px."row" AND rg.c = px.col)), er AS (SELECT r + dr AS r, c + dc AS c FROM st, nb GROUP BY ALL HAVING count(*) = 5)
-SELECT DISTINCT CAST(r + dr AS INT) AS "row", CAST(c + dc AS INT) AS col FROM er, nb WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 24"""
+SELECT DISTINCT CAST(r + dr AS INT) AS "row", CAST(c + dc AS INT) AS col FROM er, nb WHERE r + dr BETWEEN 0 AND (SELECT max("row") FROM px) AND c + dc BETWEEN 0 AND 24"""
 )
 def dark_mask(spark, sf):
-    regions = T.pixel_codes(spark, sf).where("roi_id = '3'").select("row", "col")
-    return M.dark_mask(_first_component(spark, sf), regions, 0.6, 1, _height(spark, sf), WIDTH)
+    """Dark pixels of the first component, off the brightest of the second."""
+    second = T.pixel_codes(spark, sf).select("row", "col", F.get("v", F.lit(1)).alias("value"))
+    return M.dark_mask(_first_component(spark, sf), L.top_share(second, 98), 0.9, 1, _height(spark, sf), WIDTH)
 
 
-@query(BASE + """, g AS (SELECT printf('r=%d c=%d', "row" // 5, col // 5) AS roi_id, "row", col FROM px WHERE CAST(roi_id AS INT) < 5) SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY roi_id) >= 12""")
+@query(
+    BASE
+    + """, q AS (SELECT quantile_cont(v[1], 0.5) AS cut FROM px),
+g AS (SELECT printf('r=%d c=%d', "row" // 5, col // 5) AS roi_id, "row", col FROM px, q WHERE v[1] >= cut) SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY roi_id) >= 12"""
+)
 def grid_regions(spark, sf):
-    half = T.pixel_codes(spark, sf).where("cast(roi_id AS int) < 5").select("row", "col")
-    return M.grid_regions(half, 5, 12)
+    return M.grid_regions(L.top_share(_first_component(spark, sf), 50), 5, 12)
 
 
 @query(
@@ -747,7 +835,14 @@ def spatial_magnitudes(spark, sf):
     return rounded(M.spatial_magnitudes(T.traces(spark, sf), reference, found, T.pixel_codes(spark, sf).select("roi_id", "row", "col"), 3, 3))
 
 
-@query()
+@query(
+    BASE.replace("WITH ", "WITH RECURSIVE ", 1)
+    + _CODES
+    + f""", fit AS (SELECT b.roi_id, a."row" AS r, a.col AS c FROM px a CROSS JOIN co b WHERE {_COS} >= 0.05),
+nb AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS t(dr, dc)),
+g AS (SELECT roi_id, "row" AS r, col AS c FROM px UNION SELECT f.roi_id, f.r, f.c FROM g CROSS JOIN nb JOIN fit f ON f.roi_id = g.roi_id AND f.r = g.r + nb.dr AND f.c = g.c + nb.dc)
+SELECT roi_id, r AS "row", c AS col FROM g"""
+)
 def grown_regions(spark, sf):
     px = T.pixel_codes(spark, sf)
     return M.grow(px.select("roi_id", "row", "col"), px, 0.05, RANK)
@@ -758,7 +853,7 @@ def grown_regions(spark, sf):
 
 @query(
     BASE
-    + """, o AS (SELECT * FROM (SELECT unnest(generate_series(-3, 3)) AS dr) CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS dc)), z AS (SELECT * FROM px WHERE CAST(roi_id AS INT) < 3),
+    + """, o AS (SELECT * FROM (SELECT unnest(generate_series(-3, 3)) AS dr) CROSS JOIN (SELECT unnest(generate_series(-3, 3)) AS dc)), z AS (SELECT * FROM px),
 bg AS (SELECT DISTINCT roi_id, "row" + dr AS r, col + dc AS c FROM z, o WHERE abs(dr) + abs(dc) <= 2), sm AS (SELECT DISTINCT roi_id, "row" + dr AS r, col + dc AS c FROM z, o WHERE abs(dr) + abs(dc) <= 1),
 rg AS (SELECT bg.roi_id, p.v FROM bg JOIN px p ON p."row" = bg.r AND p.col = bg.c WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.roi_id = bg.roi_id AND sm.r = bg.r AND sm.c = bg.c)),
 ex AS (SELECT roi_id, unnest(v) AS x, unnest(generate_series(1, 64)) AS k FROM rg), cd AS (SELECT roi_id, k, avg(x) AS x FROM ex GROUP BY ALL), co AS (SELECT roi_id, list(x ORDER BY k) AS v FROM cd GROUP BY 1)
@@ -770,23 +865,41 @@ def neuropil_traces(spark, sf):
     return rounded(X.neuropil_traces(_codes_in_time(spark, sf), px, px, 1, 2, _height(spark, sf), WIDTH, RANK))
 
 
-@query()
+@query(
+    BASE
+    + _CODES
+    + f""", t AS (SELECT c.roi_id, e.vec_id AS frame, list_dot_product(c.v, CAST(e.embedding AS DOUBLE[])) AS x FROM co c CROSS JOIN embeddings e)
+SELECT roi_id, frame, {R5('x - sum(x) OVER (PARTITION BY frame) / (1 + count(*) OVER (PARTITION BY frame))', 'value', 4)} FROM t"""
+)
 def ols_traces(spark, sf):
+    """All pixels are in one region each, so the background is a mixture of regions: of all solutions the SQL has the one of least norm."""
     px = T.pixel_codes(spark, sf)
     weights = px.select("roi_id", "row", "col", F.lit(1.0).alias("weight"))
     return rounded(X.ols_traces(_codes_in_time(spark, sf), px, weights, RANK), 4)
 
 
-@query()
+_SLOW = f"""WITH e AS (SELECT vec_id AS f, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(0, 63)) AS k FROM embeddings),
+w AS (SELECT * FROM (VALUES {", ".join(f"({k - 5}, {w!r})" for k, w in enumerate(_quadratic(11, 5)))}) AS t(j, w)), n AS (SELECT max(f) AS last FROM e),
+sl AS (SELECT a.f, a.k, any_value(a.x) AS x, sum(w.w * b.x) AS s FROM e a CROSS JOIN n CROSS JOIN w JOIN e b ON b.k = a.k AND b.f = greatest(0, least(a.f + w.j, n.last)) GROUP BY a.f, a.k)
+"""
+
+
+@query(_SLOW + f"SELECT f AS frame, k, {R5('x - s', 'x', 4)} FROM sl")
 def subtractive_lowpass(spark, sf):
     found = X.subtractive_lowpass(_codes_in_time(spark, sf), 11, 2)
-    return rounded(found.select("frame", F.posexplode("u").alias("k", "x")), 4)
+    return rounded(found.select("frame", F.posexplode("u").alias("k", "x")).select("frame", F.col("k").cast("bigint").alias("k"), "x"), 4)
 
 
 @query()
 def motion_correct(spark, sf):
-    frames = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("pixels"))
-    return X.motion_correct(frames, 8, 8, 3)[0]
+    """Shifts of the embeddings read as pictures of 8 by 8 pixels, a component for each pixel."""
+    return MC.find_shifts(_pictures(spark, sf), 8, 8, 3, hpf=2.0)
+
+
+def _pictures(spark, sf) -> LowRank:
+    one = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(k == F.col("id"), 1.0).otherwise(0.0))
+    v = spark.range(64).select(F.expr("cast(id div 8 AS int)").alias("row"), F.expr("cast(id % 8 AS int)").alias("col"), one.alias("v"))
+    return LowRank(_codes_in_time(spark, sf), v, RANK)
 
 
 @query()
@@ -877,11 +990,11 @@ def temporal_convolution(spark, sf):
 @query(
     BASE
     + f""", e AS (SELECT "row" AS r, col AS c, unnest(v) AS x, unnest(generate_series(0, 63)) AS k FROM px), t AS (SELECT dr, dc, CASE WHEN dr = 0 AND dc = 0 THEN 0.5 ELSE 0.0625 END AS w FROM (SELECT unnest(generate_series(-1, 1)) AS dr) CROSS JOIN (SELECT unnest(generate_series(-1, 1)) AS dc))
-SELECT r + dr AS "row", c + dc AS col, k, {R5('sum(x * w)', 'x')} FROM e CROSS JOIN t WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 24 GROUP BY ALL"""
+SELECT r + dr AS "row", c + dc AS col, k, {R5('sum(x * w)', 'x')} FROM e CROSS JOIN t WHERE r + dr BETWEEN 0 AND (SELECT max("row") FROM px) AND c + dc BETWEEN 0 AND 24 GROUP BY ALL"""
 )
 def spatial_convolution(spark, sf):
     kernel = [[0.0625, 0.0625, 0.0625], [0.0625, 0.5, 0.0625], [0.0625, 0.0625, 0.0625]]
-    found = V.convolve_spatial(T.pixel_codes(spark, sf), kernel).select("row", "col", F.posexplode("v").alias("k", "x"))
+    found = N.convolve_image(T.pixel_codes(spark, sf), kernel, _height(spark, sf), WIDTH, RANK).select("row", "col", F.posexplode("v").alias("k", "x"))
     return rounded(found.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("k").cast("bigint").alias("k"), "x"))
 
 
@@ -902,7 +1015,7 @@ def phase_keyframes(spark, sf):
     return rounded(X.keyframes(phases, u, 4, RANK).select("bin", F.posexplode("code").alias("k", "x")).select("bin", F.col("k").cast("bigint").alias("k"), "x"))
 
 
-@query(f"SELECT CAST(e.label AS VARCHAR) AS roi_id, e.vec_id AS event_idx, o.o AS \"offset\", {R5('CAST(m.embedding[1] AS DOUBLE)', 'x')} FROM embeddings e CROSS JOIN (SELECT unnest(generate_series(-1, 2)) AS o) o LEFT JOIN embeddings m ON m.vec_id = e.vec_id + o.o WHERE e.vec_id % 10 = 3")
+@query(f"SELECT CAST(e.label AS VARCHAR) AS roi_id, e.vec_id AS event_idx, o.o AS \"offset\", {R5('CAST(m.embedding[1] AS DOUBLE)', 'x')} FROM embeddings e CROSS JOIN (SELECT unnest(generate_series(-1, 2)) AS o) o LEFT JOIN embeddings m ON m.vec_id = e.vec_id + o.o")
 def event_codes(spark, sf):
     found = T.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("roi_id"), F.col("vec_id").alias("event_idx"), F.col("vec_id").alias("frame"))
     return rounded(X.event_codes(_codes_in_time(spark, sf), found, 1, 2).select("roi_id", "event_idx", "offset", F.get("u", F.lit(0)).alias("x")))
@@ -920,7 +1033,7 @@ def orthogonal_video(spark, sf):
 
 @query(
     BASE
-    + f""", r AS (SELECT * FROM (VALUES ('0'), ('1')) AS r(trace_roi)), c AS (SELECT r.trace_roi, e.roi_id, e.event_idx, o.o AS "offset", t.value FROM ea e CROSS JOIN r CROSS JOIN (SELECT unnest(generate_series(0, 1)) AS o) o LEFT JOIN tr t ON t.roi_id = r.trace_roi AND t.frame = e.frame + o.o)
+    + f""", r AS (SELECT DISTINCT roi_id AS trace_roi FROM tr), c AS (SELECT r.trace_roi, e.roi_id, e.event_idx, o.o AS "offset", t.value FROM ea e CROSS JOIN r CROSS JOIN (SELECT unnest(generate_series(0, 1)) AS o) o LEFT JOIN tr t ON t.roi_id = r.trace_roi AND t.frame = e.frame + o.o)
 SELECT a.roi_id, a.event_idx, a."offset", a.trace_roi, {R5('a.value', 'value')}, {R5('b.value', 'reference')} FROM c a JOIN c b ON b.trace_roi = '0' AND b.roi_id = a.roi_id AND b.event_idx = a.event_idx AND b."offset" = a."offset" """
 )
 def against_reference(spark, sf):
@@ -969,5 +1082,8 @@ def normalized_peaks(spark, sf):
 @query()
 def spatial_survey(spark, sf):
     px = T.pixel_codes(spark, sf)
-    _, found = X.spatial_survey(_first_component(spark, sf), px, _codes_in_time(spark, sf), 40, 5, 3, 1.5, 10, _height(spark, sf), WIDTH, RANK)
-    return rounded(found, 4)
+    options = {"grid": 4, "percentile": 40, "closing": 3, "least": 3, "dff_window": 51, "spike_window": 21, "sd_threshold": 1.5, "despike_window": 3, "despike_smooth": 21}
+    return rounded(X.spatial_survey(_codes_in_time(spark, sf), px, _height(spark, sf), WIDTH, RANK, **options).events, 4)
+
+
+from tracelake.plans import more  # noqa: E402, F401  its queries are registered too
