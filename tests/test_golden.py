@@ -2,14 +2,18 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import arrays as A
+from tracelake.functions import dsp
 from tracelake.operators import event_joins as J
 from tracelake.operators import regions as R
 from tracelake.operators import spikes as E
 from tracelake.operators import statistics as S
+from tracelake.operators.blocks import blockwise
+from tracelake.operators.quantiles import quantiles
 
 
 def lit(values):
@@ -104,12 +108,102 @@ def test_peak_to_trough(spark):
 
 def test_classify(spark):
     close = S.classify_events(traces(spark, [range(20)]), events(spark, [[8, 10]]), 3, 2)
-    assert {r.label for r in close.collect()} == {"BS"}
+    assert {(r.label, r.n_neighbors) for r in close.collect()} == {("BS", 1)}
     step = traces(spark, [[0] * 10 + [1] * 10])
     assert S.classify_events(step, events(spark, [[10]]), 3, 2).first()["label"] == "SS-ADP"
     assert S.classify_events(step, events(spark, [[10]]), 3, 2, inverted=True).first()["label"] == "SS-noADP"
 
 
+def test_classify_takes_the_ends_of_the_window(spark):
+    # Around the event the trace falls, between the ends of the window it rises.
+    trace = [0, 0, 9, 9, 9, 5, 1, 1, 1, 4, 4]
+    got = S.classify_events(traces(spark, [trace]), events(spark, [[5]]), 5, 2).first()
+    assert (got.mean_diff, got.label) == (4, "SS-ADP")
+    assert S.classify_events(traces(spark, [trace]), events(spark, [[5]]), 2, 2).first()["label"] == "SS-noADP"
+    with pytest.raises(ValueError):
+        S.classify_events(traces(spark, [trace]), events(spark, [[5]]), 1, 4)
+
+
+def spikes_by_hand(x, threshold, window, positive):
+    x = np.asarray(x, float) * (1 if positive else -1)
+    v = x - dsp.savgol(x, window, 2) if window else x
+    below = v[v < 0]
+    noise = below.std() if len(below) else v.std()
+    out, k = [], 0
+    while k < len(v):
+        end = k
+        while end < len(v) and v[end] > threshold * noise:
+            end += 1
+        if end > k:
+            at = k + int(v[k:end].argmax())
+            amplitude = x[at] - x[max(0, at - 3) : at].min() if at else 0.0
+            out.append((at, amplitude, amplitude / noise if noise > 0 else amplitude))
+        k = max(end, k + 1)
+    return out
+
+
+@pytest.mark.parametrize("positive", [True, False])
+@pytest.mark.parametrize(("window", "block"), [(None, 8192), (None, 7), (9, 8192), (9, 5)])
+def test_detect_spikes_by_hand(spark, positive, window, block):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2, 90)).cumsum(axis=1) / 3
+    x[:, [0, 1, 40, 41, 42, 89]] += 4 if positive else -4
+    got = E.detect_spikes(traces(spark, x), 1.0, window, positive, block).orderBy("roi_id", "frame").collect()
+    want = [(str(r), k, *s) for r in range(2) for k, s in enumerate(spikes_by_hand(x[r], 1.0, window, positive))]
+    assert [(r.roi_id, r.event_idx, r.frame) for r in got] == [w[:3] for w in want]
+    assert np.allclose([(r.amplitude, r.sbr) for r in got], [w[3:] for w in want])
+
+
+def test_blocks_equal_whole_traces(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2, 70))
+    long = traces(spark, x)
+    kernel = lambda v, first, last: dsp.savgol_block(v, 11, 2, "interp", first, last)
+    for block in (12, 20, 70, 1000):
+        got = blockwise(long, kernel, 11, block=block).orderBy("roi_id", "frame").collect()
+        assert np.allclose([r.value for r in got], np.concatenate([dsp.savgol(r, 11, 2) for r in x]))
+    assert all(r.value is None for r in E.savgol(traces(spark, [[1, 2, 3]]), 5).collect())
+
+
+def test_despike_impute(spark):
+    x = np.random.default_rng(10).standard_normal(40)
+    got = [r.value for r in E.despike_impute(traces(spark, [x]), events(spark, [[12]]), 4, 7).orderBy("frame").collect()]
+    near = [k < 2 or k > 37 or abs(k - 12) <= 2 for k in range(40)]
+    assert np.allclose(got, np.where(near, dsp.savgol(x, 7, 2), x))
+
+
+def test_exact_quantiles_without_one_task(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.standard_normal(3000), np.full(900, 0.25), [1e9, -1e9]])
+    rows = spark.createDataFrame([(float(v),) for v in x], "value double").repartition(4)
+    shares = [0, 0.001, 0.25, 0.5, 0.77, 0.999, 1]
+    for small in (50, 10**6):
+        assert np.allclose(quantiles(rows, "value", shares, small), np.quantile(x, shares), rtol=1e-12)
+    assert quantiles(rows.limit(0), "value", [0.5]) == [None]
+
+
+def test_hierarchy(spark):
+    ids = spark.createDataFrame([(i,) for i in ("1", "1.b2", "1.b2.3", "1.b1", "1.x.y", "7.2")], "id string")
+    assert {r.id: r.root for r in R.roots(ids).collect()} == {"1": "1", "1.b2": "1", "1.b2.3": "1", "1.b1": "1", "1.x.y": "1.x.y", "7.2": "7.2"}
+    assert {r.id: r.children for r in R.children(ids).collect()} == {"1": ["1.b1", "1.b2"], "1.b2": ["1.b2.3"], "1.b2.3": [], "1.b1": [], "1.x.y": [], "7.2": []}
+    below = [r.id for r in R.subtrees(ids).where("root = '1'").orderBy("place").collect()]
+    assert below == ["1", "1.b1", "1.b2", "1.b2.3"]
+    order = spark.createDataFrame([("1", 1), ("7.2", 0), ("1.b2", 0), ("1.b1", 1), ("1.b2.3", 0), ("1.x.y", 2)], "id string, ord int")
+    known = [r.id for r in R.topological(ids, order).collect() if r.id != "1.x.y"]
+    assert known.index("1.b2") < known.index("1.b2.3") < known.index("1.b1")
+
+
+def test_list_hooks(spark):
+    rows = spark.createDataFrame([([1.0, 2.0, 6.0],), ([],), (None,)], "a array<double>")
+    got = rows.select(A.reduce_lists(lambda x: float(np.median(x)))("a").alias("m"), A.apply_lists(lambda x: x - x.mean())("a").alias("d"), A.resample("a", 5).alias("r")).collect()
+    assert [r.m for r in got] == [2.0, None, None]
+    assert [r.d for r in got] == [[-2.0, -1.0, 3.0], [], None]
+    assert got[0].r == [1.0, 1.5, 2.0, 4.0, 6.0]
+    assert one(spark, A.digitize_list(lit([0.5, 1.0, 2.5]), lit([1.0, 2.0]))) == [0, 0, 2]
+    assert one(spark, A.bucket_bounds(lit([0.0, 0.0, 2.0]), 3)) == [2, 0, 1, 0]
+    assert one(spark, A.double_exponential(F.lit(2.0), 3, -0.5, -1, 4, 1)) == pytest.approx(3 * math.exp(-1) + 1)
+
+
 def test_hopping_counts(spark):
     rois = spark.createDataFrame([("0",)], "roi_id string")
     got = J.hopping_counts(events(spark, [[15]]), rois, 10, 20, 31).orderBy("anchor").collect()

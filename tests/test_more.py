@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake import cli
+from tracelake.functions import dsp
 from tracelake.operators import display as D
 from tracelake.operators import extraction as X
 from tracelake.operators import masks as M
@@ -120,15 +121,50 @@ def test_cli(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "q")).count() == 3
     cli.main(["trace-dff", str(tmp_path / "t"), str(tmp_path / "d"), "--window", "31"])
     assert spark.read.parquet(str(tmp_path / "d")).count() == 120
-    frames = spark.createDataFrame([(k, rng.standard_normal(12).tolist()) for k in range(20)], "frame bigint, pixels array<double>")
-    frames.write.parquet(str(tmp_path / "f"))
-    cli.main(["convert", str(tmp_path / "f"), str(tmp_path / "svd"), "--width", "4", "--height", "3", "--rank", "3"])
-    tables_ = {n: spark.read.parquet(str(tmp_path / "svd" / n)).count() for n in "usv"}
-    assert tables_ == {"u": 20, "s": 1, "v": 12}
-    cli.main(["slice", str(tmp_path / "f"), str(tmp_path / "cut"), "--temporal", "2:8:2"])
+    cli.main(["slice", str(tmp_path / "t"), str(tmp_path / "cut"), "--temporal", "2:8:2"])
     assert sorted(r.frame for r in spark.read.parquet(str(tmp_path / "cut")).collect()) == [2, 4, 6]
 
 
+def test_cli_on_a_video(spark, tmp_path):
+    """Commands on a converted video against the pixels it came from."""
+    at = lambda name: str(tmp_path / name)
+    times = rng.standard_normal((60, 2)) + [8, 3]
+    movie = times @ (rng.random((2, 12)) + 1)
+    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(movie)], "frame bigint, pixels array<double>").write.parquet(at("f"))
+    size = ["--width", "4", "--height", "3"]
+    cli.main(["convert", at("f"), at("svd"), *size, "--rank", "3"])
+    read = lambda name: spark.read.parquet(at(name))
+    assert {n: read(f"svd/{n}").count() for n in "usv"} == {"u": 60, "s": 1, "v": 12}
+    rois = [("a", 0, 0), ("a", 0, 1), ("b", 2, 3)]
+    spark.createDataFrame([(*r, 1.0) for r in rois], "roi_id string, row int, col int, weight double").write.parquet(at("rois"))
+    cli.main(["extract-traces", at("svd"), at("rois"), at("x"), *size, "--uniform"])
+    got = {(r.roi_id, r.frame): r.value for r in read("x").collect()}
+    assert np.allclose([got["a", k] for k in range(60)], movie[:, :2].mean(axis=1))
+    assert np.allclose([got["b", k] for k in range(60)], movie[:, 11])
+    cli.main(["extract-traces", at("f"), at("rois"), at("y"), *size, "--uniform"])
+    assert all(r.value == pytest.approx(got[r.roi_id, r.frame]) for r in read("y").collect())
+    cli.main(["video-dff", at("svd"), at("dff"), "--window", "11"])
+    slow = dsp.savgol(movie.mean(axis=1), 11, 2, "nearest")
+    made = {(r.frame, r.row, r.col): r.value for r in V.reconstruct(read("dff/u"), read("dff/v")).collect()}
+    assert np.allclose([made[k, 1, 2] for k in range(60)], movie[:, 6] / slow)
+    cli.main(["video-sub-dff", at("svd"), at("sub"), "--window", "11"])
+    made = {(r.frame, r.row, r.col): r.value for r in V.reconstruct(read("sub/u"), read("sub/v")).collect()}
+    assert np.allclose([made[k, 1, 2] for k in range(60)], movie[:, 6] - dsp.savgol(movie[:, 6], 11, 2, "nearest"))
+    cli.main(["slice", at("svd"), at("part"), "--temporal", "10:20", "--spatial", "1:,:2", "--component", ":2"])
+    made = {(r.frame, r.row, r.col): r.value for r in V.reconstruct(read("part/u"), read("part/v")).collect()}
+    assert set(made) == {(k, r, c) for k in range(10, 20) for r in range(2) for c in range(2)}
+    assert made[12, 0, 1] == pytest.approx(movie[12, 5])
+    cli.main(["h5-convert", at("svd"), at("frames"), "--batch", "25"])
+    assert np.allclose([r.pixels for r in read("frames").orderBy("frame").collect()], movie)
+    cli.main(["spatial-survey", at("svd"), at("survey"), *size, "--grid", "1", "--percentile", "10", "--closing", "1", "--least", "1", "--dff-window", "11", "--spike-window", "11", "--threshold", "2"])
+    region = {(r.row, r.col) for r in read("survey/regions").collect()}
+    own = movie[:, [r * 4 + c for r, c in region]].mean(axis=1)
+    assert np.allclose([r.value for r in read("survey/raw").orderBy("frame").collect()], own)
+    flat = own - dsp.savgol(own, 11, 2)
+    assert np.allclose([r.value for r in read("survey/standard").orderBy("frame").collect()], flat / flat.std())
+    cli.main(["svd-info", at("svd")])
+
+
 def test_pack_round_trip(spark):
     long = spark.createDataFrame([("a", k, float(k)) for k in range(5)], "roi_id string, frame bigint, value double")
     assert sorted(map(tuple, tables.unpack(tables.pack(long)).collect())) == sorted(map(tuple, long.collect()))

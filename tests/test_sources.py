@@ -36,13 +36,34 @@ def test_session(tmp_path):
         files.load_session(str(p))
 
 
-def test_npz(spark, tmp_path):
-    held = np.empty(2, object)
-    held[:] = [np.array([[1, 2], [3, 4]]), np.array([[5, 6]])]
-    weights = np.empty(2, object)
-    weights[:] = [np.array([0.5, 0.5]), np.array([1.0])]
-    np.savez(tmp_path / "r.npz", footprints=held, weights=weights)
-    assert [tuple(r) for r in files.read_npz_regions(spark, str(tmp_path / "r.npz")).orderBy("roi_id", "ord").collect()] == [("0", 0, 1, 2, 0.5), ("0", 1, 3, 4, 0.5), ("1", 0, 5, 6, 1.0)]
+def test_import_file_and_region(spark, tmp_path):
+    frames = np.arange(4 * 6, dtype="<u2").reshape(4, 2, 3)
+    head = np.zeros(40, "<u2")
+    head[[29, 30, 32, 33]] = [9, 19, 29, 39]
+    (tmp_path / "a_1.raw").write_bytes(head.tobytes() + b"".join(f.tobytes() + b"GG" for f in frames))
+    (tmp_path / "import_it.txt").write_text("- Image Type: '16-bit Unsigned'\n- Width: 3\n- Height: 2\n- Offset to first image: 80\n- Gap between images: 2\n")
+    spark.dataSource.register(files.RawFrames)
+    got = spark.read.format("rawframes").options(path=str(tmp_path), max_frames=3).load().orderBy("frame").collect()
+    assert [r.pixels for r in got] == frames[:3].reshape(3, -1).tolist()
+    assert files.camera_region(str(tmp_path / "a_1.raw")) == [10, 20, 30, 40]
+    reader = files.RawReader({"path": str(tmp_path / "a_1.raw"), "width": 3, "height": 2, "offset": 85, "gap": 2, "dtype": "uint16"})
+    with pytest.warns(UserWarning, match="pictures"):
+        assert reader.count(str(tmp_path / "a_1.raw")) == 3
+
+
+def test_regions_in_files(spark, tmp_path):
+    px = spark.createDataFrame([("a", 0, 1, 2, 0.5), ("a", 1, 3, 4, 0.5), ("b", 0, 5, 6, 1.0)], "roi_id string, ord int, row int, col int, weight double")
+    files.save_npz_regions(px, str(tmp_path / "r.npz"))
+    assert sorted(map(tuple, files.read_npz_regions(spark, str(tmp_path / "r.npz")).collect())) == sorted(map(tuple, px.collect()))
+    held = np.empty(1, object)
+    held[0] = [1]
+    np.savez(tmp_path / "code.npz", ids=held, offsets=np.array([0]), rows=held, cols=held, weights=held)
+    with pytest.raises(ValueError):
+        files.read_npz_regions(spark, str(tmp_path / "code.npz"))
+    files.save_regions(px, str(tmp_path / "p"))
+    assert files.read_regions(spark, str(tmp_path / "p")).count() == 3
+    spark.createDataFrame([("a", 11), ("a", 4)], "roi_id string, pixel_idx int").write.parquet(str(tmp_path / "i"))
+    assert sorted((r.row, r.col) for r in files.read_regions(spark, str(tmp_path / "i"), 10).collect()) == [(0, 1), (3, 0)]
 
 
 def _run(spark, tmp_path, make):
@@ -81,3 +102,18 @@ def test_blocks_are_written_once(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_changed_frames_are_an_error(spark, tmp_path):
+    frames = spark.range(20).selectExpr("id AS frame", "id * 2 AS value")
+    frames.write.parquet(str(tmp_path / "in"))
+    frames.where("frame = 7").selectExpr("frame", "value + 1 AS value").write.parquet(str(tmp_path / "other"))
+    for k, name in enumerate(("in", "other")):
+        q = incremental.write_blocks(spark.readStream.schema(frames.schema).parquet(str(tmp_path / name)), str(tmp_path / "out"), str(tmp_path / f"cp{k}"), 10).start()
+        if k:
+            with pytest.raises(Exception, match="other content"):
+                q.processAllAvailable()
+        else:
+            q.processAllAvailable()
+        q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
