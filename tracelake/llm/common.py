@@ -2,57 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracelake.llm.words import as_bytes
-from tracelake.sources.tables import table
-
-__all__ = ["map_texts", "quoted", "scratch", "shared_dir", "spread_join", "table", "text_or_empty", "without", "written"]
-
-#: A key is heavy when more than one row in this many carries it, so heavy keys are fewer than this.
-HEAVY_SHARE = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one named in ``spark.checkpoint.dir``. Only a session whose executors
-    are threads of this process (a local master, as in tests) may do without: a
-    temporary folder takes its place. Elsewhere a missing setting is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, read many times.
-
-    Lineage ends here, so a lost executor costs a reread and no recomputation.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tracelake.operators.graphs import spread_join
+from tracelake.sources.tables import scratch, table, written
 
+__all__ = ["map_texts", "quoted", "scratch", "spread_join", "table", "text_or_empty", "without", "written"]
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
@@ -85,18 +46,3 @@ def map_texts(docs: DataFrame, results: StructType, start: Callable[[], Callable
 
     done = row.mapInArrow(run, StructType([*row.schema.fields, *results.fields]))
     return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *results.names)
-
-
-def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
-    """left joined to right, whose keys are unique; a key that many rows of left carry is not shuffled to one task.
-
-    Column ``rows`` of right says how many rows of left (of ``total``) carry the key. Keys of more
-    than total / HEAVY_SHARE rows are fewer than HEAVY_SHARE, so they are broadcast; all others are
-    joined as usual. left is read twice and should be a written table.
-    """
-    most = max(total // HEAVY_SHARE, 1)
-    heavy = right.where(F.col(rows) > most).drop(rows)
-    light = right.where(F.col(rows) <= most).drop(rows)
-    broadcast = left.join(F.broadcast(heavy), key)
-    others = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
-    return broadcast.select(*others.columns).unionByName(others)
