@@ -1,10 +1,10 @@
 """Exact removal of repeated substrings, with a difference cover and suffix buckets.
 
 Every start of a 200-byte string is a suffix; strings that occur twice are ties at
-that depth. Only equality matters, so suffixes are ordered by a 128-bit fingerprint of
+that depth. Only equality matters, so suffixes are ordered by a 96-bit fingerprint of
 their first 200 bytes, two polynomials with unrelated bases and byte values, and not
 alphabetically: the bytes of all suffixes would be many times the input. The high
-bits of the first half name the suffix bucket.
+bits name the suffix bucket.
 
 Cover sample. Positions whose residue modulo V = 133 lies in a perfect difference set
 of 12 are sampled, 9 % of all. For any two positions some offset below V leads both
@@ -206,7 +206,7 @@ def ties(blocks: DataFrame, entries, width: int, buckets: int, *more: str) -> Da
     """(block, answers): which distinct keys of each block occur elsewhere or twice.
 
     entries gives the keys of a row of blocks. A key is told apart by its bucket and ``width`` bytes:
-    both halves, 16, or 4 of the first where the answer only narrows a search.
+    the first half and 4 bytes of the second, 12, or 4 of the first where the answer only narrows a search.
     """
 
     def send(batches):
@@ -227,10 +227,14 @@ def ties(blocks: DataFrame, entries, width: int, buckets: int, *more: str) -> Da
                 )
 
     def answer(batches):
-        kind, halves = (np.uint32, 1) if width == 4 else (np.uint64, 2)
+        def read(keys):
+            if width == 4:
+                return np.frombuffer(keys, "<u4")[:, None]
+            own = np.frombuffer(keys, [("first", "<u8"), ("second", "<u4")])
+            return np.stack([own["first"], own["second"].astype(np.uint64)], axis=1)
 
         def sort_bucket(rows):
-            parts = [np.frombuffer(r[2], kind).reshape(-1, halves) for r in rows]
+            parts = [read(r[2]) for r in rows]
             sizes = np.array([len(p) for p in parts])
             twice = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)]).astype(bool)
             _, place, counts = _distinct(np.concatenate(parts))
@@ -283,7 +287,7 @@ def suffix_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes:
 
     ranks = ties(blocks, sample, 4, few, "copies").withColumnRenamed("answers", "ranks")
     blocks = blocks.join(ranks, "block", "left")
-    blocks = blocks.join(ties(blocks, suffixes, 16, many, "copies", "ranks"), "block", "left")
+    blocks = blocks.join(ties(blocks, suffixes, 12, many, "copies", "ranks"), "block", "left")
 
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
