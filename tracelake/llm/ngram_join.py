@@ -5,8 +5,8 @@
    never compared with each other.
 2. Band and row counts follow from the target recall at the threshold. Rows of
    (band hash, representative) are shuffled, and hashes that one text alone has fall away.
-3. Each representative's home is the first of its bands that it shares; texts of one
-   home form a part, and homes beyond ``block`` members or ``block_bytes`` of n-grams are
+3. Each representative's home is the band hash that it shares with most others, and small
+   homes join a populous one they touch; texts of one home form a part, and homes beyond ``block`` members or ``block_bytes`` of n-grams are
    cut into several. Two parts meet where some band hash stands in both. So texts that
    share a band meet exactly once, and texts that share none hardly ever do,
    however long the chains are that link them.
@@ -29,18 +29,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import spread_join, written
 from tracelake.llm.words import normal_words, raw_texts
+from tracelake.operators.blocks import grouped
 from tracelake.operators.graphs import components
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 400
-BLOCK = 256
+BLOCK = 1024
 BLOCK_BYTES = 32 << 20
 STEP = 1 << 15  # words hashed at a time
 
@@ -127,19 +129,30 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def shared_bands(reps: DataFrame) -> DataFrame:
-    """(rep, h, no): the band hashes that a representative shares with another, and of which band."""
-    rows = reps.select("rep", F.posexplode("bands").alias("no", "h"))
-    several = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    """(rep, h, size): the band hashes that a representative shares with others, and how many texts have them."""
+    rows = reps.select("rep", F.explode("bands").alias("h"))
+    several = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "several")
     total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return spread_join(rows, several, "h", "n", total).select("rep", "h", "no")
+    return spread_join(rows, several, "h", "n", total).select("rep", "h", "size")
 
 
 def parts(shared: DataFrame, reps: DataFrame, block: int, block_bytes: int) -> DataFrame:
-    """(rep, part): texts of one home, at most about ``block`` of them and ``block_bytes`` of n-grams."""
-    homes = written(shared.groupBy("rep").agg(F.min_by("h", "no").alias("home")).join(reps.select("rep", "n_grams"), "rep"), "homes")
+    """(rep, part): texts of one home, at most about ``block`` of them and ``block_bytes`` of n-grams.
+
+    A home of fewer than half a block joins the most populous home among the texts that have its band hash.
+    """
+    first = F.min_by("h", F.struct(-F.col("size"), "h")).alias("home")
+    homes = written(shared.groupBy("rep").agg(first).join(reps.select("rep", "n_grams"), "rep"), "homes")
+    homed = written(shared.select("rep", "h").join(homes.select("rep", "home"), "rep").select("h", "home"), "homed")
+    weights = homed.groupBy("home").agg(F.count("*").alias("n")).withColumn("weight", F.col("n"))
+    parents = spread_join(homed, weights, "home", "n", homed.count()).groupBy("h").agg(F.max_by("home", F.struct("weight", "home")).alias("parent")).withColumnRenamed("h", "home")
+    sizes = homes.groupBy("home").agg(F.count("*").alias("n")).join(parents, "home")
+    total = homes.count()
+    joined = spread_join(homes, sizes.withColumn("size", F.col("n")), "home", "n", total)
+    homes = written(joined.select("rep", "n_grams", F.when(F.col("size") < block / 2, F.col("parent")).otherwise(F.col("home")).alias("home")), "homes")
     cuts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_grams") * 8 / block_bytes)).cast("int")
     cut = homes.groupBy("home").agg(cuts.alias("cuts"), F.count("*").alias("n")).where("cuts > 1")
-    told = spread_join(homes, cut, "home", "n", homes.count(), "left")
+    told = spread_join(homes, cut, "home", "n", total, "left")
     return told.select("rep", F.when(F.col("cuts").isNull(), F.col("home")).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("cuts")))).alias("part"))
 
 
@@ -195,37 +208,47 @@ def verified(reps: list[int], parts: list[int], sets: list[np.ndarray], threshol
 
 def verify(docs: DataFrame, dealt: DataFrame, met: DataFrame, words: int, threshold: float) -> DataFrame:
     """(node, n_links, lead): one row per member and meeting of parts (i, j); dealt are (rep, part)."""
+    # A sort-merge join at any size: it spills, and texts move alike whether dealt is small or not.
+    dealt = dealt.hint("merge")
     texts = docs.join(dealt, docs["doc_id"] == dealt["rep"]).select("rep", "part", "text")
 
     def to_sets(batches):
         for batch in batches:
             grams = [shingles(raw, words).tobytes() for raw in raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(grams, pa.binary())], ["rep", "part", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(grams, pa.binary())], ["part", "rep", "grams"])
+
+    def pack(batches):
+        """A part as one row: its members, the sizes of their sets, its vocabulary once, and the sets as places in that."""
+        for (part,), group in grouped(batches, 1):
+            unique = dict(zip(group["rep"].to_pylist(), group["grams"].to_pylist(), strict=True))  # rows of one document are one
+            sets = [np.frombuffer(g, np.uint64) for g in unique.values()]
+            vocabulary, places = np.unique(np.concatenate(sets), return_inverse=True)
+            row = (
+                part,
+                np.array(list(unique), np.int64).tobytes(),
+                np.array([len(x) for x in sets], np.int64).tobytes(),
+                zstandard.compress(vocabulary.tobytes(), 1),
+                zstandard.compress(places.astype(np.int32).tobytes(), 1),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["part", *fields])
 
-    sets = texts.mapInArrow(to_sets, "rep bigint, part bigint, grams binary")
+    fields = ["members", "sizes", "vocabulary", "places"]
+    sets = texts.mapInArrow(to_sets, "part bigint, rep bigint, grams binary").repartition("part").sortWithinPartitions("part", "rep")
+    packed = sets.mapInArrow(pack, "part bigint, members binary, sizes binary, vocabulary binary, places binary")
     goes = met.select(F.col("i").alias("part"), "i", "j").union(met.where("i <> j").select(F.col("j").alias("part"), "i", "j"))
-    ordered = sets.join(goes, "part").select("i", "j", "rep", "part", "grams").repartition("i", "j").sortWithinPartitions("i", "j", "rep")
+    ordered = packed.join(goes, "part").select("i", "j", "part", *fields).repartition("i", "j").sortWithinPartitions("i", "j", "part")
 
     def check(batches):
-        def result(rows):
-            unique = {r[2]: r for r in rows}  # rows of one document are one
-            nodes = list(unique)
-            if len(nodes) == 1:
-                return nodes, [0], nodes
-            return nodes, *verified(nodes, [r[3] for r in unique.values()], [np.frombuffer(r[4], np.uint64) for r in unique.values()], threshold, rows[0][0] != rows[0][1])
-
-        held: list[tuple] = []
-        for batch in batches:
-            nodes, links, leads = [], [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:2] != row[:2]:
-                    for out, x in zip((nodes, links, leads), result(held), strict=True):
-                        out.extend(x)
-                    held = []
-                held.append(row)
+        for (i, j), group in grouped(batches, 2):
+            nodes, parts_of, sets = [], [], []
+            for part, members, sizes, vocabulary, places in zip(*(group[c].to_pylist() for c in ("part", *fields)), strict=True):
+                own = np.frombuffer(members, np.int64).tolist()
+                grams = np.frombuffer(zstandard.decompress(vocabulary), np.uint64)[np.frombuffer(zstandard.decompress(places), np.int32)]
+                nodes += own
+                parts_of += [part] * len(own)
+                sets += np.split(grams, np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
+            links, leads = verified(nodes, parts_of, sets, threshold, i != j) if len(nodes) > 1 else ([0], nodes)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, links, leads)], ["node", "n_links", "lead"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in result(held)], ["node", "n_links", "lead"])
 
     return ordered.mapInArrow(check, "node bigint, n_links bigint, lead bigint")
 
