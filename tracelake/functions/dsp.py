@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 
+@cache
 def savgol_weights(window: int, order: int, at: int | None = None) -> np.ndarray:
     """Weights of the least-squares polynomial over a window, evaluated at a place in it (the middle)."""
     half = window // 2
