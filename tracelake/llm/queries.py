@@ -10,6 +10,7 @@ from tracelake.llm.common import table
 from tracelake.llm.decontaminate import decontaminate
 from tracelake.llm.license_scan import license_scan
 from tracelake.llm.line_dedup import line_dedup
+from tracelake.llm.merkle import folded, lowered, manifest, proof
 from tracelake.llm.ngram_join import ngram_join
 from tracelake.llm.packing import best_fit_packing
 from tracelake.llm.quality_rules import quality_rules
@@ -83,6 +84,14 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup)}
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = manifest(docs, {"text": F.when(struck, lowered("text")).otherwise(F.col("text"))})
+    found = found.withColumn("folded_root", folded("other_leaf"))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup, op12_merkle_manifest)}
 
 ORACLES = {"op2_chat_format": oracles.CHAT, "op6_quality_rules": oracles.QUALITY, "op8_decontaminate": oracles.LEAKS, "op10_line_dedup": oracles.LINES}
