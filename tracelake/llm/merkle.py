@@ -113,13 +113,13 @@ def with_paths(levels: list[DataFrame], group: list[str], tops: DataFrame, told:
     tops: of each group, the path of its single node and the columns ``told``, which all nodes below it get.
     """
     named, more = [F.col(g).alias(f"_{g}") for g in group], ["path", *told]
-    above, found = None, None
+    found = None
     for level in reversed(levels):
+        above = None if found is None else children(found, group, "", told)
         found = level.where("n = 1").join(tops.select(*named, *more), same_group(group)).select(*level.columns, *more)
         if above is not None:
             parents = above.select(*named, F.col("place").alias("_place"), *more)
             found = found.unionByName(level.where("n > 1").join(parents, same_group(group, with_place=True)).select(*level.columns, *more))
-        above = children(found, group, "", told)
     return found
 
 
