@@ -72,3 +72,59 @@ e AS (SELECT doc_id, i, ls[i] AS line FROM l, unnest(generate_series(1, len(ls))
 k AS (SELECT e.doc_id, count(*) FILTER (r.i IS NOT NULL) AS n_removed, coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (r.i IS NULL), '') AS text FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.i = e.i GROUP BY 1)
 SELECT l.doc_id, coalesce(len(l.ls), 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, CASE WHEN k.n_removed > 0 THEN k.text ELSE l.text END AS text FROM l LEFT JOIN k USING (doc_id)
 """
+
+MERKLE = r"""
+WITH RECURSIVE
+digits AS (SELECT 0 AS k, i AS v, i FROM range(256) t(i) UNION ALL SELECT k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i FROM digits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM digits WHERE k = 8),
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id, source, lang, n_chars, text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) % 3 = 0 AS struck
+  FROM documents, crc),
+leaves AS (
+  SELECT row, doc_id, lang, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(front || coalesce(strlen(text) || ':' || CASE WHEN struck THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS other
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front FROM docs)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (
+  SELECT lang, 0 AS level, place, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT lang, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY lang, level, place // 8, n),
+subroots AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place)) FROM tops WHERE n > 1 GROUP BY level, place // 8, n),
+ways AS (
+  SELECT row, k.level, coalesce(string_agg(k.digest, '' ORDER BY k.place) FILTER (k.place < p.place // (8 ** k.level)::BIGINT), '') AS before, coalesce(string_agg(k.digest, '' ORDER BY k.place) FILTER (k.place > p.place // (8 ** k.level)::BIGINT), '') AS behind
+  FROM placed p JOIN nodes k ON k.lang IS NOT DISTINCT FROM p.lang AND k.n > 1 AND k.place // 8 = p.place // (8 ** (k.level + 1))::BIGINT GROUP BY row, k.level
+  UNION ALL
+  SELECT row, 100 + k.level, coalesce(string_agg(k.digest, '' ORDER BY k.place) FILTER (k.place < s.place // (8 ** k.level)::BIGINT), ''), coalesce(string_agg(k.digest, '' ORDER BY k.place) FILTER (k.place > s.place // (8 ** k.level)::BIGINT), '')
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN tops k ON k.n > 1 AND k.place // 8 = s.place // (8 ** (k.level + 1))::BIGINT GROUP BY row, k.level),
+steps AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY level) AS step FROM ways),
+folds AS (
+  SELECT row, 0 AS step, other AS digest FROM placed
+  UNION ALL
+  SELECT f.row, s.step, sha256(s.before || f.digest || s.behind) FROM folds f JOIN steps s ON s.row = f.row AND s.step = f.step + 1),
+proofs AS (SELECT row, string_agg(before || behind, '' ORDER BY level) AS proof FROM ways GROUP BY row)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.digest AS folded_root, f.digest = r.digest AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT digest FROM tops WHERE n = 1) r
+LEFT JOIN proofs USING (row) JOIN (SELECT row, arg_max(digest, step) AS digest FROM folds GROUP BY row) f USING (row)
+"""
+
+NEGATIVES = r"""
+WITH kept AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""

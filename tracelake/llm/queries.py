@@ -8,6 +8,7 @@ from tracelake.llm import oracles
 from tracelake.llm.chat_format import digests, format_chat
 from tracelake.llm.common import table
 from tracelake.llm.decontaminate import decontaminate
+from tracelake.llm.hard_negatives import hard_negatives
 from tracelake.llm.license_scan import license_scan
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.merkle import folded, lowered, manifest, proof
@@ -92,6 +93,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup, op12_merkle_manifest)}
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
 
-ORACLES = {"op2_chat_format": oracles.CHAT, "op6_quality_rules": oracles.QUALITY, "op8_decontaminate": oracles.LEAKS, "op10_line_dedup": oracles.LINES}
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup, op12_merkle_manifest, op13_hard_negatives)}
+
+ORACLES = {"op2_chat_format": oracles.CHAT, "op6_quality_rules": oracles.QUALITY, "op8_decontaminate": oracles.LEAKS, "op10_line_dedup": oracles.LINES, "op12_merkle_manifest": oracles.MERKLE, "op13_hard_negatives": oracles.NEGATIVES}
