@@ -14,6 +14,7 @@ from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.merkle import folded, lowered, manifest, proof
 from tracelake.llm.ngram_join import ngram_join
 from tracelake.llm.packing import best_fit_packing
+from tracelake.llm.pii import pii
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.secret_scan import secret_scan
 from tracelake.llm.suffix_dedup import suffix_dedup
@@ -85,6 +86,14 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_pii(spark, sf_dir):
+    found = pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
@@ -97,6 +106,6 @@ def op13_hard_negatives(spark, sf_dir):
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup, op12_merkle_manifest, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_secret_scan, op4_suffix_dedup, op5_toxicity, op6_quality_rules, op7_ngram_join, op8_decontaminate, op9_license_scan, op10_line_dedup, op11_pii, op12_merkle_manifest, op13_hard_negatives)}
 
 ORACLES = {"op2_chat_format": oracles.CHAT, "op6_quality_rules": oracles.QUALITY, "op8_decontaminate": oracles.LEAKS, "op10_line_dedup": oracles.LINES, "op12_merkle_manifest": oracles.MERKLE, "op13_hard_negatives": oracles.NEGATIVES}
