@@ -124,16 +124,29 @@ OTHER = (
 )
 KINDS = (*BASE, *OTHER)
 VOTES = 6  # labelers
+PIECE = "struct<n:int,head:string,tail:string>"
+ZIPPED = f"struct<span:string,before:{PIECE},after:{PIECE},last:int>"
 SPANS = "array<struct<start:int,kind:int,end:int,base:boolean,votes:string,features:array<int>>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is made once, however often body uses it: the one element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def cumulated(steps: Column, part: int = 256) -> Column:
     """Running sums of an array, part by part: what an element costs does not grow with the array."""
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("int"), operator.add)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / part).cast("int")), lambda b: F.slice(steps, b * part + 1, part))
-    sums = F.transform(parts, total)
-    inner = F.transform(parts, lambda xs, b: F.transform(xs, lambda _, i: total(F.slice(sums, 1, b)) + total(F.slice(xs, 1, i + 1))))
-    return F.flatten(inner)
+
+    def of_parts(parts: Column) -> Column:
+        one = lambda sums: lambda xs, b: let(total(F.slice(sums, 1, b)), lambda before: F.transform(xs, lambda _, i: before + total(F.slice(xs, 1, i + 1))))
+        return let(F.transform(parts, total), lambda sums: F.flatten(F.transform(parts, one(sums))))
+
+    def in_parts(xs: Column) -> Column:
+        n = F.floor((F.size(xs) - 1) / part).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), n), lambda b: F.slice(xs, b * part + 1, part)), of_parts)
+
+    return let(steps, in_parts)
 
 
 def vote(for_: Column | None, against: Column | None) -> Column:
@@ -182,22 +195,20 @@ def candidates(docs: DataFrame) -> DataFrame:
     cut = lambda i, k: F.when(F.size(f"m{i}") > 0, F.transform(F.split("text", k.pattern, -1), piece)).alias(f"p{i}")
     found = found.select("doc_id", *[f"m{i}" for i in range(len(KINDS))], *[cut(i, k) for i, k in enumerate(KINDS)])
 
-    def starts(i: int) -> Column:
-        m, p = F.col(f"m{i}"), F.col(f"p{i}")
-        steps = F.transform(m, lambda x, j: (p[j]["n"] + F.when(j > 0, F.length(F.get(m, j - 1))).otherwise(0)).cast("int"))
-        return F.when(F.size(m) > 0, cumulated(steps)).alias(f"s{i}")
-
-    found = found.select("*", *[starts(i) for i in range(len(KINDS))])
-
     def spans(i: int, kind: Kind) -> Column:
-        m, p, s = (F.col(f"{c}{i}") for c in "mps")
-
-        def one(span: Column, j: Column) -> Column:
-            before, after, start = p[j]["tail"], p[j + 1]["head"], s[j]
+        # Arrays go through arguments of lambdas, never into them from outside, where they would be made for each element.
+        def one(x: Column) -> Column:
+            span, before, after, start = x["span"], x["before"]["tail"], x["after"]["head"], x["last"] - F.length(x["span"])
             valid = kind.form(span) if kind.base else F.lit(False)
-            return F.struct(start.alias("start"), F.lit(i).alias("kind"), (start + F.length(span)).alias("end"), valid.alias("base"), votes(kind, span, before, after).alias("votes"), features(span, before, after).alias("features"))
+            return F.struct(start.alias("start"), F.lit(i).alias("kind"), x["last"].alias("end"), valid.alias("base"), votes(kind, span, before, after).alias("votes"), features(span, before, after).alias("features"))
 
-        return F.coalesce(F.when(F.size(m) > 0, F.transform(m, one)), F.array().cast(SPANS))
+        def zipped(m: Column, p: Column) -> Column:
+            ends = cumulated(F.zip_with(m, F.slice(p, 1, F.size(m)), lambda span, piece: piece["n"] + F.length(span)))
+            around = F.arrays_zip(m.alias("span"), F.slice(p, 1, F.size(m)).alias("before"), F.slice(p, 2, F.size(m)).alias("after"), ends.alias("last"))
+            return F.transform(around, lambda x: one(x.cast(ZIPPED)))
+
+        m, p = F.col(f"m{i}"), F.col(f"p{i}")
+        return F.when(F.size(m) > 0, let(p, lambda p: let(m, lambda m: zipped(m, p)))).otherwise(F.array().cast(SPANS))
 
     return found.select("doc_id", F.array_sort(F.concat(*[spans(i, k) for i, k in enumerate(KINDS)])).alias("spans"))
 
@@ -223,21 +234,19 @@ def vote_chances(counted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def learned(state: Column) -> Column:
         """prior: log odds; w: of each labeler's votes, 3 numbers each."""
-        total = {y: weight(state, y) for y in (0, 1)}
-        of = lambda y: lambda i: weight(state, y, lambda p: F.get(p["v"], F.floor(i / 3).cast("int")) == i % 3)
-        cast = {y: F.transform(F.sequence(F.lit(0), F.lit(3 * VOTES - 1)), of(y)) for y in (0, 1)}
-        fore = {y: F.array(*[F.lit(x) for x in FORE[y]]) for y in (0, 1)}
-        rate = lambda y, i: (F.get(cast[y], i) + F.get(fore[y], i % 3)) / (total[y] + sum(FORE[y]))
+        def rate(y: int, i: Column) -> Column:
+            cast = weight(state, y, lambda p: F.get(p["v"], F.floor(i / 3).cast("int")) == i % 3)
+            return (cast + F.get(F.array(*[F.lit(x) for x in FORE[y]]), i % 3)) / (weight(state, y) + sum(FORE[y]))
+
         w = F.transform(F.sequence(F.lit(0), F.lit(3 * VOTES - 1)), lambda i: F.ln(rate(1, i)) - F.ln(rate(0, i)))
-        return F.struct((F.ln(total[1] + 1) - F.ln(total[0] + 1)).alias("prior"), w.alias("w"))
+        return F.struct((F.ln(weight(state, 1) + 1) - F.ln(weight(state, 0) + 1)).alias("prior"), w.alias("w"))
 
     def expected(p: Column, told: Column) -> Column:
         odds = F.aggregate(F.sequence(F.lit(0), F.lit(VOTES - 1)), told["prior"], lambda a, j: a + F.get(told["w"], 3 * j + F.get(p["v"], j)))
         return F.struct(p["votes"].alias("votes"), p["v"].alias("v"), p["n"].alias("n"), (1 / (1 + F.exp(-odds))).alias("q"))
 
     def step(state: Column, _: Column) -> Column:
-        # The learned numbers are made once, as the one element of an array.
-        return F.element_at(F.transform(F.array(learned(state)), lambda told: F.transform(state, lambda p: expected(p, told))), 1)
+        return let(learned(state), lambda told: F.transform(state, lambda p: expected(p, told)))
 
     done = rows.select("kind", F.explode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("state"), step)).alias("p"))
     return done.select("kind", "p.votes", F.round(F.col("p.q") * UNIT).cast("long").alias("chance"))
