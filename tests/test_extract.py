@@ -230,9 +230,6 @@ def test_pairs_meet_once(spark):
     for unique in (False, True):
         got = sorted((r.x, r.y, r.n) for r in G.pairwise(packed, len, lambda a, b: [(a + b,)], fields, ddl, unique, block=2).collect())
         assert got == [(a, b, len(x[a]) + len(x[b])) for a in x for b in x if a < b or (a == b and not unique)]
-    one = G.pairwise_coherence(packed, 10.0, 16, 8).where("x = 'r01' AND y = 'r05'").orderBy("frequency").collect()
-    a, b = (np.array(x[k])[:65] for k in ("r01", "r05"))
-    assert np.allclose([r.coherence for r in one], dsp.coherence(a, b, 10.0, 16, 8)[1])
 
 
 def test_running_means(spark):

@@ -70,19 +70,10 @@ def test_lowpass(spark):
     assert np.allclose([r.value for r in V.reconstruct(X.divisive_lowpass(flat, v, 11, 2, 2), v).collect()], 1)
 
 
-def test_guided_basis_and_kmeans(spark):
-    rows = [[1.0, 0.0, 0.0, 0.0], [1.1, 0.0, 0.0, 0.0], [0.0, 0.0, 5.0, 0.0], [0.0, 0.0, 5.1, 0.0]]
-    codes = spark.createDataFrame([(r,) for r in rows], "code array<double>")
-    b = X.guided_basis(codes, 3)
-    assert np.allclose(b.T @ b, np.eye(3))
-    assert np.allclose(b @ (b.T @ np.ones(4)), np.ones(4))
-    centers = sorted(round(sum(r.code), 2) for r in X.kmeans_codes(codes, 2).collect())
-    assert centers == [1.05, 5.05]
-
-
 def test_robust_coherence(spark):
-    packed = spark.createDataFrame([("a", [0.0] * 200), ("b", rng.standard_normal(200).tolist())], "roi_id string, values array<double>")
-    got = {(r.x, r.y): r.m for r in X.robust_coherence(packed, 10.0, 32, 16).groupBy("x", "y").agg(F.avg("coherence").alias("m")).collect()}
+    rows = [("a", k, 0.0) for k in range(200)] + [("b", k, float(v)) for k, v in enumerate(rng.standard_normal(200))]
+    long = spark.createDataFrame(rows, "roi_id string, frame bigint, value double")
+    got = {(r.x, r.y): r.m for r in X.robust_coherence(long, 10.0, 32, 16).groupBy("x", "y").agg(F.avg("coherence").alias("m")).collect()}
     assert got["a", "a"] == pytest.approx(1)
     assert got["a", "b"] < 0.5
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from tracelake.operators import event_joins as J
 from tracelake.operators import masks, selection
 from tracelake.operators import regions as R
 from tracelake.operators import signals as G
+from tracelake.operators import spectra as S
 from tracelake.operators import spikes as E
 from tracelake.operators import video as V
 from tracelake.operators.blocks import blockwise
@@ -75,13 +73,11 @@ def divisive_lowpass(u: DataFrame, v: DataFrame, window: int, order: int, rank:
     return blockwise(named, kernel, window, "u", ("u",), block=1024).drop("roi_id")
 
 
-def phase_windows(packed: DataFrame, fs: float, low: float, high: float, target: float, most: int, half: int) -> DataFrame:
+def phase_windows(traces: DataFrame, fs: float, low: float, high: float, target: float, most: int, half: int) -> DataFrame:
     """roi_id, event_idx, frame, offset, value: windows of each trace around rises of its band's phase through target."""
-    numbered = G.phase(packed, fs, low, high).select("roi_id", F.posexplode("values").alias("frame", "value")).withColumn("frame", F.col("frame").cast("bigint"))
-    n = packed.select("roi_id", F.size("values").alias("n"))
-    picked = E.thin_events(E.crossings(numbered, target), n, half, most)
+    n = traces.groupBy("roi_id").agg((F.max("frame") + 1).alias("n"))
+    picked = E.thin_events(E.crossings(G.phase(traces, fs, low, high), target), n, half, most)
     events = picked.select("roi_id", (F.row_number().over(Window.partitionBy("roi_id").orderBy("frame")) - 1).alias("event_idx"), "frame")
-    traces = packed.select("roi_id", F.posexplode("values").alias("frame", "value")).withColumn("frame", F.col("frame").cast("bigint"))
     return J.event_windows(traces, events, half, half)
 
 
@@ -100,39 +96,14 @@ def phase_bins(phases: DataFrame, bins: int) -> DataFrame:
     return phases.withColumn("bin", A.digitize("value", F.array(*map(F.lit, edges)), right=True))
 
 
-def kmeans_codes(codes: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """cluster, code: centres of the codes (code) by k-means."""
-    model = KMeans(k=k, seed=seed).fit(codes.select(array_to_vector("code").alias("features")))
-    return codes.sparkSession.createDataFrame([(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())], "cluster int, code array<double>")
-
-
-def guided_basis(codes: DataFrame, rank: int) -> np.ndarray:
-    """An orthonormal basis of the codes' span together with the constant, rank vectors at most, from their Gramian."""
-    n = len(codes.first()["code"])
-    w, q = np.linalg.eigh(V.gramian(codes, "code", n))
-    lead = q[:, np.argsort(w)[::-1][: rank - 1]]
-    basis, _ = np.linalg.qr(np.hstack([np.ones((n, 1)), lead]))
-    return basis[:, :rank]
-
-
 def project(rows: DataFrame, column: str, basis: np.ndarray) -> DataFrame:
     """rows with an array column multiplied by a basis."""
     return V._times(rows, column, basis)
 
 
-def robust_coherence(packed: DataFrame, fs: float, size: int, overlap: int, noise: float = 0.1, seed: int = 0) -> DataFrame:
+def robust_coherence(traces: DataFrame, fs: float, size: int, overlap: int, noise: float = 0.1, seed: int = 0) -> DataFrame:
     """Pairwise coherence of traces with a little seeded noise, so that silence coheres with nothing."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for roi, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.array(x, float)
-                rng = np.random.default_rng([seed, *roi.encode()])
-                out.append((x + noise * (x.std() or 1.0) * rng.standard_normal(len(x))).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["roi_id", "values"])
-
-    return G.pairwise_coherence(packed.select("roi_id", "values").mapInArrow(run, "roi_id string, values array<double>"), fs, size, overlap)
+    return S.pairwise_coherence(S.with_noise(traces, noise, seed), fs, size, overlap)
 
 
 def keyframes(phases: DataFrame, u: DataFrame, bins: int, rank: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Signal operators on packed traces: one Arrow batch holds many traces, and a kernel runs on each.
 
-Filters, spectra and phases need a whole trace; those that need only a neighbourhood
-of each sample are in operators.spikes and run on blocks. Pairs of traces meet in
+Peaks, exponential fits and lags need a whole trace. Filters with feedback (operators.recursive), phases
+(operators.fourier), spectra (operators.spectra) and what needs only a neighbourhood of each sample (operators.spikes,
+operators.smoothing) run on blocks of time. Pairs of traces meet in
 blocks of traces: a task holds two blocks, and no pair becomes a row before it is reduced.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import dsp
+from tracelake.operators import fourier, recursive
 from tracelake.operators.blocks import blockwise, grouped
 from tracelake.sources.tables import pack
 
@@ -65,14 +67,6 @@ def _table(packed: DataFrame, kernel, fields: list[tuple[str, pa.DataType]], ddl
     return packed.mapInArrow(run, ddl)
 
 
-def frequency_filter(packed: DataFrame, fs: float, specs: list[str], order: int = 4) -> DataFrame:
-    return map_together(packed, lambda x: dsp.frequency_filter(x, fs, specs, order))
-
-
-def bandpass(packed: DataFrame, fs: float, low: float, high: float, order: int = 4) -> DataFrame:
-    return map_together(packed, lambda x: dsp.bandpass(x, fs, low, high, order))
-
-
 def filter_dff(traces: DataFrame, mode: str, window: int = 301, order: int = 2) -> DataFrame:
     """roi_id, frame, dff, baseline of traces (roi_id, frame, value), by mode.
 
@@ -118,19 +112,6 @@ def exponential_fits(traces: DataFrame, window: int = 301) -> DataFrame:
     return _table(pack(traces), kernel, [("roi_id", pa.string()), ("fit", pa.list_(pa.float64()))], "roi_id string, fit array<double>")
 
 
-def power_spectrum(packed: DataFrame, fs: float, size: int, overlap: int, mode: str = "density") -> DataFrame:
-    """roi_id, frequency, power. Traces shorter than a segment give no rows."""
-
-    def kernel(x):
-        if len(x) < size:
-            return []
-        f, p = dsp.power_spectrum(x, fs, size, overlap, mode)
-        return list(zip(f.tolist(), p.tolist(), strict=True))
-
-    fields = [("roi_id", pa.string()), ("frequency", pa.float64()), ("power", pa.float64())]
-    return _table(packed.select("roi_id", "values"), kernel, fields, "roi_id string, frequency double, power double")
-
-
 def pairwise(packed: DataFrame, ready: Callable[[np.ndarray], object], kernel: Callable[[object, object], list[tuple]], fields: list[tuple[str, pa.DataType]], ddl: str, unique: bool = False, block: int = PAIR_BLOCK) -> DataFrame:
     """x, y and what kernel gives for every pair of rois with x <= y, once; unique leaves out a roi with itself.
 
@@ -159,33 +140,6 @@ def pairwise(packed: DataFrame, ready: Callable[[np.ndarray], object], kernel: C
     return ordered.mapInArrow(run, f"x string, y string, {ddl}")
 
 
-def pairwise_coherence(packed: DataFrame, fs: float, size: int, overlap: int, unique: bool = False) -> DataFrame:
-    """x, y, frequency, coherence of all pairs (x <= y), over the segments both have; spectra are taken once per trace and group."""
-
-    def kernel(a, b):
-        n = min(len(a), len(b))
-        if not n:
-            return []
-        f, c = dsp.coherence_of(a[:n], b[:n], fs, size)
-        return list(zip(f.tolist(), c.tolist(), strict=True))
-
-    return pairwise(packed, lambda x: dsp.spectra(x, size, overlap), kernel, [("frequency", pa.float64()), ("coherence", pa.float64())], "frequency double, coherence double", unique)
-
-
-def pairwise_cross_spectrum(packed: DataFrame, fs: float, size: int, overlap: int, unique: bool = False) -> DataFrame:
-    """x, y, frequency, re, im: the mean of X conj(Y) of all pairs (x <= y), as a one-sided density."""
-
-    def kernel(a, b):
-        n = min(len(a), len(b))
-        if not n:
-            return []
-        f, s = dsp.cross_density(a[:n], b[:n], fs, size)
-        return list(zip(f.tolist(), s.real.tolist(), s.imag.tolist(), strict=True))
-
-    fields = [("frequency", pa.float64()), ("re", pa.float64()), ("im", pa.float64())]
-    return pairwise(packed, lambda x: dsp.spectra(x, size, overlap), kernel, fields, "frequency double, re double, im double", unique)
-
-
 def pairwise_cross_correlation(packed: DataFrame, max_lag: int, normalize: bool = True, unique: bool = False) -> DataFrame:
     """x, y, lag, r of all pairs (x <= y), over the frames both have."""
 
@@ -199,9 +153,9 @@ def pairwise_cross_correlation(packed: DataFrame, max_lag: int, normalize: bool
     return pairwise(packed, lambda x: x, kernel, [("lag", pa.int64()), ("r", pa.float64())], "lag bigint, r double", unique)
 
 
-def phase(packed: DataFrame, fs: float, low: float, high: float) -> DataFrame:
-    """roi_id, values: the phase of the analytic signal of a band."""
-    return map_together(packed, lambda x: np.angle(dsp.analytic(dsp.bandpass(x, fs, low, high))))
+def phase(traces: DataFrame, fs: float, low: float, high: float) -> DataFrame:
+    """roi_id, frame, value: the phase of the analytic signal of a band of traces (roi_id, frame, value)."""
+    return fourier.phase(recursive.bandpass(traces, fs, low, high))
 
 
 def detect_peaks(packed: DataFrame, height: float, distance: int, prominence: float, reach: int) -> DataFrame:
@@ -214,22 +168,6 @@ def detect_peaks(packed: DataFrame, height: float, distance: int, prominence: fl
     return _table(packed.select("roi_id", "values"), kernel, fields, "roi_id string, frame bigint, height double")
 
 
-def estimate_shifts(frames: DataFrame, reference: np.ndarray, max_shift: int) -> DataFrame:
-    """frame, dy, dx of images (frame, pixels row by row) against a reference image."""
-    shape = reference.shape
-
-    def kernel(x):
-        return [dsp.phase_shift(reference, x.reshape(shape), max_shift)]
-
-    fields = [("frame", pa.int64()), ("dy", pa.int32()), ("dx", pa.int32())]
-    return _table(frames.select(F.col("frame").cast("bigint"), "pixels"), kernel, fields, "frame bigint, dy int, dx int")
-
-
-def roll(frames: DataFrame, shifts: DataFrame, height: int, width: int) -> DataFrame:
-    """frame, row, col, value with each frame's shift taken back, around the edges."""
-    return frames.join(shifts, "frame").select("frame", F.pmod(F.col("row") - F.col("dy"), F.lit(height)).alias("row"), F.pmod(F.col("col") - F.col("dx"), F.lit(width)).alias("col"), "value")
-
-
 def less_running_mean(traces: DataFrame, size: int) -> DataFrame:
     """traces less the mean of size samples around each, the ends mirrored; by blocks. An even size reaches one sample further back."""
 

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import dsp
-from tracelake.operators.blocks import BLOCK, blockwise
+from tracelake.operators import smoothing
+from tracelake.operators.blocks import blockwise
 from tracelake.operators.event_joins import event_windows
+from tracelake.operators.smoothing import SPAN, block_of, with_halo, with_smooth
 
 
 def _order():
@@ -27,6 +29,8 @@ def savgol(traces: DataFrame, window: int, order: int = 2, mode: str = "interp",
     """roi_id, frame, value: Savitzky-Golay smoothing, by blocks. A trace shorter than the window has NULL in mode interp."""
     if window % 2 == 0 or order >= window:
         raise ValueError("the window must be odd and exceed the order")
+    if mode == "interp" and order <= 3:
+        return smoothing.savgol(traces.select("roi_id", "frame", F.col(column).alias("value")), window, order).select("roi_id", "frame", F.col("smooth").alias("value"))
     return blockwise(traces, lambda x, first, last: dsp.savgol_block(x, window, order, mode, first, last), window, column)
 
 
@@ -67,16 +71,7 @@ def moving_average(traces: DataFrame, half: int) -> DataFrame:
     return traces.withColumn("baseline", F.avg("value").over(_order().rowsBetween(-half, half)))
 
 
-def highpass(traces: DataFrame, window: int | None) -> DataFrame:
-    """roi_id, frame, value, flat: value less its second-order Savitzky-Golay baseline, or value where there is no window."""
-    if window is None:
-        return traces.select("roi_id", "frame", "value", F.col("value").alias("flat"))
-    size = odd(window)
-    kernel = lambda x, first, last: (x, x - dsp.savgol_block(x, size, 2, "interp", first, last))
-    return blockwise(traces, kernel, size, results=("value", "flat"))
-
-
-def detect_spikes(traces: DataFrame, sd_threshold: float, window: int | None = None, positive: bool = False, block: int = BLOCK) -> DataFrame:
+def detect_spikes(traces: DataFrame, sd_threshold: float, window: int | None = None, positive: bool = False, block: int = SPAN) -> DataFrame:
     """roi_id, event_idx, frame, amplitude, sbr: one event per run of samples beyond the threshold, at its first extreme.
 
     window (made odd) gives a Savitzky-Golay baseline of order 2 to take off first; a trace that is
@@ -84,16 +79,18 @@ def detect_spikes(traces: DataFrame, sd_threshold: float, window: int | None = N
     sign, of all where there is none. Amplitude is the extreme against that of up to three samples
     before it (0 at frame 0); sbr is amplitude over noise, or amplitude where noise is 0.
 
-    Runs are found within blocks of frames and joined over their borders, so only runs, not samples, meet by roi.
+    Samples are dealt once, into blocks of frames with a halo, for the baseline, the noise and the runs
+    alike. Runs are joined over the borders of blocks, so only runs, not samples, meet by roi.
     """
-    sign = 1.0 if positive else -1.0
-    rows = highpass(traces, window).select("roi_id", "frame", (F.lit(sign) * F.col("value")).alias("raw"), (F.lit(sign) * F.col("flat")).alias("v"))
-    noise = rows.groupBy("roi_id").agg(F.coalesce(F.stddev_pop(F.when(F.col("v") < 0, F.col("v"))), F.stddev_pop("v")).alias("noise"))
-    known = rows.join(noise, "roi_id").withColumn("above", F.coalesce(F.col("v") > sd_threshold * F.col("noise"), F.lit(False)))
-    # A block also has the last three samples of the one before.
-    in_blocks = known.withColumn("block", F.explode(F.sequence(F.floor(F.col("frame") / block), F.floor((F.col("frame") + 3) / block))))
+    size = odd(window) if window else 3
+    block = block_of(size, block)
+    turned = traces.select("roi_id", "frame", (F.lit(1.0 if positive else -1.0) * F.col("value")).alias("raw"))
     at = Window.partitionBy("roi_id", "block").orderBy("frame")
-    marked = in_blocks.withColumn("before", F.min("raw").over(at.rowsBetween(-3, -1))).where(F.col("frame") >= F.col("block") * block)
+    dealt = with_halo(turned, size, block).withColumn("before", F.min("raw").over(at.rangeBetween(-3, -1)))
+    flat = with_smooth(dealt, size, 2, block, "raw").withColumn("v", F.col("raw") - F.col("smooth")) if window else dealt.withColumn("v", F.col("raw"))
+    rows = flat.where("own").select("roi_id", "block", "frame", "raw", "before", "v")
+    noise = rows.groupBy("roi_id").agg(F.coalesce(F.stddev_pop(F.when(F.col("v") < 0, F.col("v"))), F.stddev_pop("v")).alias("noise"))
+    marked = rows.join(noise, "roi_id").withColumn("above", F.coalesce(F.col("v") > sd_threshold * F.col("noise"), F.lit(False)))
     began = F.when(F.col("above") & ~F.coalesce(F.lag("above").over(at), F.lit(False)), 1).otherwise(0)
     islands = marked.withColumn("island", F.sum(began).over(at)).where("above")
     best = F.struct(F.col("v"), (-F.col("frame")).alias("no"), "frame", "raw", "before", "noise")
@@ -137,8 +134,7 @@ def near_events(traces: DataFrame, events: DataFrame, half: int) -> DataFrame:
 def despike_impute(traces: DataFrame, events: DataFrame, window: int, savgol_window: int) -> DataFrame:
     """traces with the samples of near_events, half of the (odd) window wide, taken from a second-order Savitzky-Golay smooth."""
     mask = near_events(traces, events, odd(window) // 2).withColumn("near", F.lit(True))
-    kernel = lambda x, first, last: (x, dsp.savgol_block(x, odd(savgol_window), 2, "interp", first, last))
-    both = blockwise(traces, kernel, odd(savgol_window), results=("value", "smooth"))
+    both = smoothing.savgol(traces.select("roi_id", "frame", "value"), odd(savgol_window))
     return both.join(mask, ["roi_id", "frame"], "left").select("roi_id", "frame", F.when(F.col("near"), F.col("smooth")).otherwise(F.col("value")).alias("value"))
 
 

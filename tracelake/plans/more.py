@@ -16,6 +16,7 @@ from tracelake.operators import motion as MC
 from tracelake.operators import regions as R
 from tracelake.operators import selection as L
 from tracelake.operators import signals as G
+from tracelake.operators import spectra as SP
 from tracelake.operators import spikes as E
 from tracelake.operators import statistics as S
 from tracelake.operators import video as V
@@ -347,7 +348,7 @@ def mapped_by_hook(spark, sf):
 FROM df a JOIN df b ON a.roi_id < b.roi_id AND a.seg = b.seg AND a.k = b.k GROUP BY a.roi_id, b.roi_id, a.k"""
 )
 def pairwise_cross_spectrum(spark, sf):
-    return rounded(G.pairwise_cross_spectrum(P._hourly(spark, sf), 1.0, 16, 8, unique=True), 3)
+    return rounded(SP.pairwise_cross_spectrum(P._hourly(spark, sf), 1.0, 16, 8, unique=True), 3)
 
 
 @query()

@@ -16,9 +16,11 @@ from tracelake.operators import extraction as X
 from tracelake.operators import images as N
 from tracelake.operators import masks as M
 from tracelake.operators import motion as MC
+from tracelake.operators import recursive as RF
 from tracelake.operators import regions as R
 from tracelake.operators import selection as L
 from tracelake.operators import signals as G
+from tracelake.operators import spectra as SP
 from tracelake.operators import spikes as E
 from tracelake.operators import statistics as S
 from tracelake.operators import video as V
@@ -654,7 +656,7 @@ def double_exponential_dff(spark, sf):
 
 @query()
 def highpass_filter(spark, sf):
-    return rounded(T.unpack(G.frequency_filter(_packed(spark, sf), FS, ["<0.5"])))
+    return rounded(RF.frequency_filter(T.traces(spark, sf), FS, ["<0.5"]))
 
 
 def spectra_sql(source: str) -> str:
@@ -677,7 +679,7 @@ ho AS (SELECT roi_id, row_number() OVER (PARTITION BY roi_id ORDER BY hour) - 1
     + f"""SELECT roi_id, k / 16.0 * 10 AS frequency, {R5('avg(re * re + im * im) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END / (10 * (SELECT sum(h * h) FROM hn))', 'power', 4)} FROM df GROUP BY roi_id, k"""
 )
 def power_spectrum(spark, sf):
-    return rounded(G.power_spectrum(_packed(spark, sf), FS, 16, 8), 4)
+    return rounded(SP.power_spectrum(T.traces(spark, sf), FS, 16, 8), 4)
 
 
 @query(
@@ -688,7 +690,7 @@ FROM df a JOIN df b ON a.roi_id <= b.roi_id AND a.seg = b.seg AND a.k = b.k GROU
 )
 def pairwise_coherence(spark, sf):
     """Coherence among event types on an hourly clock, all pairs."""
-    return rounded(G.pairwise_coherence(_hourly(spark, sf), 1.0, 16, 8), 4)
+    return rounded(SP.pairwise_coherence(_hourly(spark, sf), 1.0, 16, 8), 4)
 
 
 @query(
@@ -701,17 +703,17 @@ FROM m CROSS JOIN (SELECT unnest(generate_series(-5, 5)) AS lag) l JOIN ho a ON
 GROUP BY m.x, m.y, l.lag"""
 )
 def pairwise_cross_correlation(spark, sf):
-    return rounded(G.pairwise_cross_correlation(_hourly(spark, sf), 5), 4)
+    return rounded(G.pairwise_cross_correlation(T.pack(_hourly(spark, sf)), 5), 4)
 
 
 def _hourly(spark, sf):
     rows = T.table(spark, sf, "events").select(F.col("event_type").alias("roi_id"), F.expr("cast(floor(unix_micros(cast(ts AS timestamp)) / 3600000000) AS bigint)").alias("frame"), "value")
-    return T.pack(rows.groupBy("roi_id", "frame").agg(F.avg("value").alias("value")))
+    return SP.renumbered(rows.groupBy("roi_id", "frame").agg(F.avg("value").alias("value")))
 
 
 @query()
 def band_phase(spark, sf):
-    return rounded(T.unpack(G.phase(_hourly(spark, sf), 1.0, 0.05, 0.2)), 3)
+    return rounded(G.phase(_hourly(spark, sf), 1.0, 0.05, 0.2), 3)
 
 
 @query()
@@ -904,7 +906,7 @@ def _pictures(spark, sf) -> LowRank:
 
 @query()
 def phase_window_means(spark, sf):
-    return rounded(X.phase_means(X.phase_windows(_packed(spark, sf), FS, 0.5, 2.0, 0.0, 10, 3)), 4)
+    return rounded(X.phase_means(X.phase_windows(T.traces(spark, sf), FS, 0.5, 2.0, 0.0, 10, 3)), 4)
 
 
 @query(BASE + f", q AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS e FROM tr) SELECT roi_id, frame, {R5('value', 'value')}, CAST(value >= e[1] AS INT) + CAST(value >= e[2] AS INT) + CAST(value >= e[3] AS INT) AS bin FROM tr, q")
