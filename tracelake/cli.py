@@ -15,6 +15,7 @@ from tracelake.operators import spikes as E
 from tracelake.operators import statistics as S
 from tracelake.operators import video as V
 from tracelake.operators.extract import LowRank, extract_traces
+from tracelake.operators.sketches import randomized_svd
 from tracelake.sources import files
 
 
@@ -31,19 +32,19 @@ def parse_slice(text: str) -> tuple[int | None, int | None, int]:
 
 def video(spark, path: str) -> LowRank:
     """A low-rank video as convert writes it: u holds the singular values."""
-    u, v = spark.read.parquet(f"{path}/u"), spark.read.parquet(f"{path}/v")
-    return LowRank(u, v, len(v.first()["v"]))
+    u = spark.read.parquet(f"{path}/u")
+    return LowRank(u, files.read_codes(spark, f"{path}/v"), len(u.first()["u"]))
 
 
 def save_video(spark, u, s: list[float], v, path: str) -> None:
     """u with the singular values in it, s, and v, a table each."""
     LowRank.of(u, s, v).u.write.parquet(f"{path}/u")
     spark.createDataFrame([(s,)], "s array<double>").write.parquet(f"{path}/s")
-    v.select("row", "col", "v").write.parquet(f"{path}/v")
+    files.save_codes(v.select("row", "col", "v"), f"{path}/v")
 
 
 def convert(spark, a):
-    if files.is_low_rank(a.input):
+    if files.is_low_rank(spark, a.input):
         low = video(spark, a.input)
         files.save_video(V.frames_of(low.u, low.v), a.output, a.batch)
         return
@@ -54,7 +55,10 @@ def convert(spark, a):
 
 def svd(spark, a):
     frames = spark.read.parquet(a.input).select("frame", "pixels")
-    u, s, right = V.randomized_svd(frames, a.width * a.height, a.rank, a.seed)
+    work = f"{a.output}/passes"
+    if not a.restart and files.stored(spark, f"{work}/settings") is not None:
+        raise ValueError(f"{work} holds a conversion under way; --restart goes on with it")
+    u, s, right = randomized_svd(frames, a.width * a.height, a.rank, a.seed, passes=a.passes, path=work, each=a.each or None, block=a.batch)
     place = [F.expr(f"cast(pixel div {a.width} AS int)").alias("row"), F.expr(f"cast(pixel % {a.width} AS int)").alias("col")]
     save_video(spark, u, s, right.select(*place, "v"), a.output)
 
@@ -68,28 +72,30 @@ def svd_guided(spark, a):
 
 
 def info(spark, a):
-    for name in "usv" if files.is_low_rank(a.input) else ("",):
+    for name in "usv" if files.is_low_rank(spark, a.input) else ("",):
         table = spark.read.parquet(f"{a.input}/{name}")
         print(name or "frames", table.count())
         table.printSchema()
 
 
 def cut(spark, a):
-    if not files.is_low_rank(a.input):
+    if not files.is_low_rank(spark, a.input):
         V.slice_frames(spark.read.parquet(a.input), *parse_slice(a.temporal)).write.parquet(a.output)
         return
     low, (start, stop, step) = video(spark, a.input), parse_slice(a.component)
     rows, cols = ([parse_slice(x) for x in a.spatial.split(",")] + [(None, None, 1)])[:2]
+    ahead = lambda x: (x[0] or 0, x[1]) if (x[0] or 0) >= 0 and (x[1] or 0) > 0 else None  # noqa: E731  what prunes folders
+    pixels = files.read_codes(spark, f"{a.input}/v", ahead(rows), ahead(cols), (0, stop) if (stop or 0) > 0 and (start or 0) >= 0 else None)
     V.slice_components(V.slice_frames(low.u, *parse_slice(a.temporal)), "u", start, stop, step).write.parquet(f"{a.output}/u")
     V.slice_components(spark.read.parquet(f"{a.input}/s"), "s", start, stop, step).write.parquet(f"{a.output}/s")
-    V.slice_components(V.slice_pixels(low.v, rows, cols), "v", start, stop, step).write.parquet(f"{a.output}/v")
+    files.save_codes(V.slice_components(V.slice_pixels(pixels, rows, cols), "v", start, stop, step), f"{a.output}/v")
 
 
 def changed(spark, a, u):
     """The video of a.input with other codes of frames."""
     u.write.parquet(f"{a.output}/u")
-    for name in "sv":
-        spark.read.parquet(f"{a.input}/{name}").write.parquet(f"{a.output}/{name}")
+    spark.read.parquet(f"{a.input}/s").write.parquet(f"{a.output}/s")
+    files.save_codes(files.read_codes(spark, f"{a.input}/v"), f"{a.output}/v")
 
 
 def video_sub(spark, a):
@@ -113,7 +119,7 @@ def extract(spark, a):
     weights = spark.read.parquet(a.rois)
     if "weight" not in weights.columns:
         weights = weights.withColumn("weight", F.lit(1.0))
-    if files.is_low_rank(a.input):
+    if files.is_low_rank(spark, a.input):
         source = video(spark, a.input)
     else:
         pixels = spark.read.parquet(a.input).select("frame", F.posexplode("pixels").alias("p", "value"))
@@ -126,6 +132,11 @@ def extract(spark, a):
 
 def survey(spark, a):
     low = video(spark, a.input)
+    if a.fs or a.hpf_ms or a.spike_hpf_ms:
+        # Lengths in time, at the rate of the session file beside the video or of --fs.
+        fs = files.session_rate(spark, a.input, a.fs or 500.0)
+        a.dff_window = E.odd(round(a.hpf_ms * fs / 1000)) if a.hpf_ms else a.dff_window
+        a.spike_window = E.odd(round(a.spike_hpf_ms * fs / 1000)) if a.spike_hpf_ms else a.spike_window
     found = X.spatial_survey(
         low.u, low.v, a.height, a.width, low.rank, grid=a.grid, percentile=a.percentile, closing=a.closing, least=a.least, dff_window=a.dff_window, spike_window=a.spike_window, sd_threshold=a.threshold, despike_window=a.despike_window, despike_smooth=a.despike_smooth
     )
@@ -167,7 +178,7 @@ def parser() -> argparse.ArgumentParser:
 
     size = (("--width", 588), ("--height", 624))
     add("h5-convert", convert, *size, ("--offset", 0), ("--gap", 1728), ("--dtype", "uint8"), ("--batch", 1000))
-    add("convert", svd, *size, ("--rank", 50), ("--seed", 0))
+    add("convert", svd, *size, ("--rank", 50), ("--seed", 0), ("--passes", 2), ("--batch", 1000), ("--each", 0), ("--restart", False))
     bands = (("--sizes", "21,11,5"), ("--hops", "10,5,2"), ("--windows", "5000,1000,200"))
     add("convert-guided", svd_guided, *size, *bands, ("--clusters", 10), ("--rank", 0), extra=("rois",))
     add("svd-info", info)
@@ -178,7 +189,7 @@ def parser() -> argparse.ArgumentParser:
     ring = (("--inner", -1), ("--outer", -1), ("--smooth", 0), ("--neuropil", ""))
     add("extract-traces", extract, *size, *ring, ("--ols", False), ("--uniform", False), ("--keep-neuropil", False), ("--normalize", False), extra=("rois",))
     lengths = (("--dff-window", 201), ("--spike-window", 75), ("--despike-window", 3), ("--despike-smooth", 51))
-    add("spatial-survey", survey, *size, ("--grid", 8), ("--percentile", 90.0), ("--closing", 5), ("--least", 50), ("--threshold", 4.0), *lengths)
+    add("spatial-survey", survey, *size, ("--grid", 8), ("--percentile", 90.0), ("--closing", 5), ("--least", 50), ("--threshold", 4.0), *lengths, ("--fs", 0.0), ("--hpf-ms", 0.0), ("--spike-hpf-ms", 0.0))
     add("trace-dff", trace_dff, ("--mode", "savgol_mult"), ("--window", 301))
     add("detect-spikes", detect, ("--threshold", 3.0), ("--window", 0), ("--positive", False))
     add("qc-report", report, ("--fs", 500.0), ("--half", 250), ("--bin", 10.0), extra=("events",))

@@ -15,6 +15,7 @@ from tracelake.functions import dsp
 from tracelake.operators import signals as G
 from tracelake.operators import video as V
 from tracelake.operators.blocks import grouped
+from tracelake.operators.sketches import randomized_svd
 from tracelake.sources.tables import pack, unpack, written
 
 
@@ -141,6 +142,6 @@ def array_svd(frames: DataFrame, rank: int, highpass: int = 200, sigma: float =
     spread = moved.groupBy("row", "col").agg(F.greatest(F.stddev_pop("value"), F.lit(1e-10)).alias("sd"))
     standard = moved.join(spread, ["row", "col"]).select("frame", (F.col("row") * width + F.col("col")).alias("p"), (F.col("value") / F.col("sd")).alias("value"))
     packed = standard.groupBy("frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))), lambda x: x["value"]).alias("pixels"))
-    u, s, v = V.randomized_svd(packed, height * width, rank)
+    u, s, v = randomized_svd(packed, height * width, rank)
     codes = F.zip_with("v", F.array(*map(F.lit, s)), lambda x, y: x * y)
     return u, v.select(F.expr(f"cast(pixel div {width} AS int)").alias("row"), F.expr(f"cast(pixel % {width} AS int)").alias("col"), codes.alias("v"))

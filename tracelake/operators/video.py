@@ -13,10 +13,14 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tracelake.functions import arrays as A
 from tracelake.functions import dsp
-from tracelake.operators.blocks import blockwise, column_of, grouped, samples
+from tracelake.operators.blocks import blockwise, column_of, samples
 from tracelake.operators.images import odd_kernel
 from tracelake.operators.quantiles import quantiles
-from tracelake.sources.tables import pack, unpack, written
+from tracelake.sources.tables import pack, unpack
+
+
+#: Tasks that add up the matrices of all tasks.
+FEW = 8
 
 
 def _sum_of(arrays: str, rank: int):
@@ -187,20 +191,25 @@ def filtered(u: DataFrame, fs: float, function: Callable[[DataFrame, float], Dat
 
 
 def gramian(rows: DataFrame, column: str, rank: int) -> np.ndarray:
-    """The rank by rank sum of outer products of an array column, from one partial sum per batch."""
+    """The rank by rank sum of outer products of an array column: one matrix from each task, added up in a few more tasks, then on the driver."""
 
     def run(batches):
         total = np.zeros((rank, rank))
         for batch in batches:
-            m = np.array(batch.column(0).to_pylist(), float).reshape(-1, rank)
+            m = samples(pa.chunked_array([batch.column(0)])).reshape(-1, rank)
             total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["g"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
+
+    def add(batches):
+        total = np.zeros(rank * rank)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
 
-    parts = rows.select(column).mapInArrow(run, "g array<double>").select(F.posexplode("g").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
-    out = np.zeros(rank * rank)
-    for k, x in parts.collect():  # rank squared numbers
-        out[k] = x
-    return out.reshape(rank, rank)
+    parts = rows.select(column).mapInArrow(run, "g binary")
+    added = parts.repartition(FEW).mapInArrow(add, "g binary").collect()  # FEW matrices at most
+    return sum((np.frombuffer(r.g) for r in added), np.zeros(rank * rank)).reshape(rank, rank)
 
 
 def _times(rows: DataFrame, column: str, matrix: np.ndarray) -> DataFrame:
@@ -239,70 +248,6 @@ def orthogonal(u: DataFrame, s: list[float], v: DataFrame, rcond: float = 1e-10)
     return _times(u, "u", iu @ left), sigma.tolist(), _times(v, "v", iv @ right.T)
 
 
-COLUMNS = 4096
-
-
-def _omega(seed: int, block: int, columns: int, over: int) -> np.ndarray:
-    """The sketch's random numbers for one block of columns: made where they are needed, alike everywhere."""
-    return np.random.default_rng([seed, block]).standard_normal((columns, over))
-
-
-def randomized_svd(frames: DataFrame, width: int, rank: int, seed: int = 0, columns: int = COLUMNS) -> tuple[DataFrame, list[float], DataFrame]:
-    """u (frame, u), singular values, and v (pixel, v) of a matrix of frames (frame, pixels of fixed width).
-
-    Two passes: a seeded sketch of the rows is made orthonormal by its Gramian, then projections of the frames
-    are summed by blocks of columns, which stay in a table. Only Gramians of rank by rank numbers reach the driver.
-    """
-    over = min(rank + 8, width)
-    starts = range(0, width, columns)
-
-    def sketch(batches):
-        for batch in batches:
-            a = samples(pa.chunked_array([batch.column(1)]))
-            y = sum(a[:, k : k + columns] @ _omega(seed, k // columns, min(columns, width - k), over) for k in starts) if len(a) else np.zeros((0, over))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column_of(y)], ["frame", "pixels", "y"])
-
-    told = frames.select(F.col("frame").cast("bigint").alias("frame"), F.col("pixels").cast("array<double>").alias("pixels"))
-    sketched = written(told.mapInArrow(sketch, "frame bigint, pixels array<double>, y array<double>"), "sketch")
-    w, q = np.linalg.eigh(gramian(sketched, "y", over))
-    keep = w > 1e-12 * w.max()
-    basis = q[:, keep] / np.sqrt(w[keep])  # y @ basis has orthonormal columns
-    n = basis.shape[1]
-
-    def project(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            y, a = (samples(pa.chunked_array([c])) for c in batch.columns)
-            for k in starts if len(y) else ():
-                part = (y @ basis).T @ a[:, k : k + columns]
-                total[k] = total[k] + part if k in total else part
-        for k, part in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.ravel()], pa.list_(pa.float64()))], ["start", "part"])
-
-    def add(batches):
-        for (k,), group in grouped(batches, 1):
-            total = sum(np.array(x) for x in group["part"].to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total], pa.list_(pa.float64()))], ["start", "part"])
-
-    parts = sketched.select("y", "pixels").mapInArrow(project, "start bigint, part array<double>").repartition("start").sortWithinPartitions("start")
-    blocks = written(parts.mapInArrow(add, "start bigint, part array<double>"), "projected")
-
-    def turn(batches):
-        for batch in batches:
-            for k, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = np.array(part).reshape(n, -1).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(lines)), pa.int64()), column_of(lines)], ["pixel", "v"])
-
-    pixels = blocks.mapInArrow(turn, "pixel bigint, v array<double>")
-    w2, left = np.linalg.eigh(gramian(pixels, "v", n))
-    order = np.argsort(w2)[::-1][:rank]
-    sigma = np.sqrt(np.clip(w2[order], 0, None))
-    left = left[:, order]
-    u = _times(sketched.select("frame", F.col("y").alias("u")), "u", basis @ left)
-    back = left * np.where(sigma > 1e-12 * sigma.max(initial=0), 1 / np.where(sigma > 0, sigma, 1), 0)
-    return u, sigma.tolist(), _times(pixels, "v", back)
-
-
 def quantile_normalize(image: DataFrame, n: int = 256) -> DataFrame:
     """image with value mapped to its place among n quantiles, linear between them; a constant image is a ValueError."""
     q = quantiles(image, "value", [k / (n - 1) for k in range(n)])  # n numbers

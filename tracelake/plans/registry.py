@@ -20,6 +20,7 @@ from tracelake.operators import recursive as RF
 from tracelake.operators import regions as R
 from tracelake.operators import selection as L
 from tracelake.operators import signals as G
+from tracelake.operators import sketches as K
 from tracelake.operators import spectra as SP
 from tracelake.operators import spikes as E
 from tracelake.operators import statistics as S
@@ -724,7 +725,7 @@ def detect_peaks(spark, sf):
 @query()
 def randomized_svd(spark, sf):
     frames = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("pixels"))
-    u, s, _ = V.randomized_svd(frames, RANK, 8)
+    u, s, _ = K.randomized_svd(frames, RANK, 8)
     return rounded(u.select("frame", *[F.abs(F.get("u", F.lit(k)) * s[k]).alias(f"c{k}") for k in range(8)]), 3)
 
 

@@ -8,13 +8,15 @@ import re
 import struct
 import tomllib
 import warnings
+from collections import Counter
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: Lines of a recording's import file, and the option that each gives.
 IMPORT_LINES = {
@@ -58,7 +60,8 @@ class RawFrames(DataSource):
     """Frames of raw camera files: a header, then pictures of one size with gaps between them.
 
     Options: width, height, offset, gap, dtype (uint8 or uint16, little endian), batch
-    (frames in a task), max_frames. What is not given is taken from the folder's import file. A folder
+    (frames in a task), max_frames, start and stop (frames; stop exclusive). With pushdown, which
+    needs spark.sql.python.filterPushdown.enabled, ranges of frame in a filter narrow what is read, too. What is not given is taken from the folder's import file. A folder
     is read file after file, by the number in the name. Paths must be open to all executors.
     """
 
@@ -70,7 +73,8 @@ class RawFrames(DataSource):
         return "frame bigint, height int, width int, pixels array<int>"
 
     def reader(self, schema) -> RawReader:
-        return RawReader(self.options)
+        pushed = str(self.options.get("pushdown", "false")).lower() == "true"
+        return PrunedRawReader(self.options) if pushed else RawReader(self.options)
 
 
 class RawReader(DataSourceReader):
@@ -87,6 +91,7 @@ class RawReader(DataSourceReader):
         self.kind = np.dtype(known.get("dtype", "uint8")).newbyteorder("<")
         self.batch = int(known.get("batch", 1000))
         self.most = int(known["max_frames"]) if "max_frames" in known else None
+        self.low, self.high = int(known.get("start", 0)), int(known["stop"]) if "stop" in known else None
         self.size = self.width * self.height * self.kind.itemsize
 
     def files(self) -> list[str]:
@@ -111,7 +116,9 @@ class RawReader(DataSourceReader):
             n = self.count(path)
             if self.most is not None:
                 n = min(n, self.most - before)
-            out += [FrameRange(path, k, min(n, k + self.batch), before) for k in range(0, n, self.batch)]
+            low, high = max(self.low - before, 0), n if self.high is None else min(n, self.high - before)
+            first = low - low % self.batch
+            out += [FrameRange(path, max(k, low), min(high, k + self.batch), before) for k in range(first, high, self.batch)]
             before += n
         return out
 
@@ -135,6 +142,30 @@ class RawReader(DataSourceReader):
                 )
 
 
+class PrunedRawReader(RawReader):
+    """A reader that takes filters; Spark lets no reader have the method where the setting is off."""
+
+    def pushFilters(self, filters):
+        """Narrows the range of frames; every filter is given back, as Spark may well look at what is left."""
+        for x in filters:
+            if getattr(x, "attribute", None) != ("frame",):
+                continue
+            if isinstance(x, In):
+                known = [v for v in x.value if v is not None]
+                low, high = min(known, default=0), max(known, default=-1) + 1
+            elif isinstance(x, EqualTo):
+                low, high = x.value, x.value + 1
+            elif isinstance(x, (GreaterThan, GreaterThanOrEqual)):
+                low, high = x.value + isinstance(x, GreaterThan), None
+            elif isinstance(x, (LessThan, LessThanOrEqual)):
+                low, high = 0, x.value + isinstance(x, LessThanOrEqual)
+            else:
+                continue
+            self.low = max(self.low, low)
+            self.high = high if self.high is None else self.high if high is None else min(self.high, high)
+        return filters
+
+
 def save_video(frames: DataFrame, path: str, block: int = 1000) -> None:
     """Frames as Parquet, a folder per block, so that a range of frames reads its blocks only."""
     frames.withColumn("block", F.expr(f"frame div {block}")).write.partitionBy("block").parquet(path)
@@ -145,9 +176,52 @@ def read_frames(spark: SparkSession, path: str, start: int, stop: int, block: in
     return spark.read.parquet(path).where((F.col("block") >= start // block) & (F.col("block") <= (stop - 1) // block) & (F.col("frame") >= start) & (F.col("frame") < stop))
 
 
-def is_low_rank(path: str) -> bool:
-    """Whether a folder that this machine can list holds a low-rank video: tables u, s and v."""
-    return all(os.path.isdir(os.path.join(path, name)) for name in "usv")
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table on any file system that Spark reads, or None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def is_low_rank(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a low-rank video: tables u, s and v."""
+    return all(stored(spark, f"{path}/{name}") is not None for name in "usv")
+
+
+def save_codes(v: DataFrame, path: str, tile: int = 64, chunk: int = 16) -> None:
+    """Codes of pixels (row, col, v) as Parquet, a folder for each tile of the image and chunk of components.
+
+    So a part of the image, or the leading components, read their folders only.
+    """
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("v") - 1) / chunk).cast("int"))), lambda k: F.struct(k.alias("chunk"), F.slice("v", k * chunk + 1, chunk).alias("v")))
+    told = v.select("row", "col", F.explode(parts).alias("x"))
+    placed = told.select("row", "col", "x.v", F.floor(F.col("row") / tile).cast("int").alias("tile_row"), F.floor(F.col("col") / tile).cast("int").alias("tile_col"), "x.chunk")
+    keys = ["tile_row", "tile_col", "chunk"]
+    placed.repartition(*keys).sortWithinPartitions("row", "col").write.partitionBy(*keys).option("parquet.enable.dictionary", "false").parquet(path)
+
+
+def read_codes(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, components: tuple[int, int] | None = None, tile: int = 64, chunk: int = 16) -> DataFrame:
+    """row, col, v of codes as save_codes stores them: rows, cols and components from the first to the second number (exclusive).
+
+    Folders outside of the ranges are pruned. A table without folders is read whole and cut.
+    """
+    found = spark.read.parquet(path)
+    for name, own in (("row", rows), ("col", cols)):
+        if own is not None:
+            found = found.where((F.col(name) >= own[0]) & (F.col(name) < own[1]))
+            if f"tile_{name}" in found.columns:
+                found = found.where((F.col(f"tile_{name}") >= own[0] // tile) & (F.col(f"tile_{name}") <= (own[1] - 1) // tile))
+    if "chunk" not in found.columns:
+        return found if components is None else found.withColumn("v", F.slice("v", components[0] + 1, components[1] - components[0]))
+    low = 0
+    if components is not None:
+        low = components[0] // chunk
+        found = found.where((F.col("chunk") >= low) & (F.col("chunk") <= (components[1] - 1) // chunk))
+    whole = found.groupBy("row", "col").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "v"))), lambda x: x["v"])).alias("v"))
+    return whole if components is None else whole.withColumn("v", F.slice("v", components[0] - low * chunk + 1, components[1] - components[0]))
 
 
 def save_traces(traces: DataFrame, path: str) -> None:
@@ -186,8 +260,8 @@ def save_npz_regions(pixels: DataFrame, path: str) -> None:
     The file is one list of pixels, read on the driver: for collections that a person drew.
     """
     rows = pixels.select("roi_id", "ord", "row", "col", "weight").orderBy("roi_id", "ord").collect()
-    ids = list(dict.fromkeys(r.roi_id for r in rows))
-    ends = np.cumsum([sum(r.roi_id == i for r in rows) for i in ids]) if ids else np.zeros(0, int)
+    counts = Counter(r.roi_id for r in rows)  # in order of the ids
+    ids, ends = list(counts), np.cumsum(list(counts.values()))
     np.savez(path, ids=np.array(ids, str), offsets=np.concatenate([[0], ends]).astype(int), rows=np.array([r.row for r in rows], int), cols=np.array([r.col for r in rows], int), weights=np.array([r.weight for r in rows], float))
 
 
@@ -220,5 +294,17 @@ def load_session(path: str) -> SessionConfig:
     return SessionConfig(**{f.name: found[f.name] for f in fields(SessionConfig)})
 
 
+def session_rate(spark: SparkSession, video: str, fs: float) -> float:
+    """The rate that the session file beside a video names, else fs. The file is read by Spark, wherever it lies."""
+    path = f"{video.rstrip('/').rpartition('/')[0]}/session.toml"
+    try:
+        lines = [r.value for r in spark.read.text(path).collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return fs
+    return float(tomllib.loads("\n".join(lines)).get("fs", fs))
+
+
 def soma_ids(ids: DataFrame) -> DataFrame:
     return ids.where(F.lower("id").contains("soma"))
