@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracelake.llm.common import map_texts, without
+from tracelake.llm.common import map_texts, without, written
 from tracelake.llm.words import WORD_TABLE, raw_texts
 
 FOLDS = 5
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars:
     """Weights by slot, and the bias, from documents outside the held-out fold."""
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
     texts = docs.groupBy("doc_id", F.xxhash64("text")).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))  # equal rows are one
-    sizes = texts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).join(told, "doc_id")
+    sizes = written(texts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).join(told, "doc_id"), "sizes")
     # A share of the hash range holds about twice the sample, so what reaches the driver has a bound at any number of tasks.
     labelled = sizes.count()
     share = math.ceil(min(1.0, 2 * max_docs / max(labelled, 1)) * HASHES)
@@ -128,8 +128,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars:
         return {}, float(np.log(PRIOR / (1 - PRIOR)))
     spark = docs.sparkSession
     keys = F.broadcast(spark.createDataFrame([(x,) for x in chosen], "doc_id bigint"))
-    sample = docs.join(F.broadcast(told.join(keys, "doc_id")), "doc_id").dropDuplicates(["doc_id", "text"])
-    return _descend(_encoded(sample, _screened(sample)).toArrow(), epochs)
+    sample = written(docs.join(F.broadcast(told.join(keys, "doc_id")), "doc_id").dropDuplicates(["doc_id", "text"]), "sample")
+
+    def descend(batches):
+        rows = [b for b in batches if b.num_rows]
+        weights, bias = _descend(pa.Table.from_batches(rows), epochs) if rows else ({}, 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array([*weights, None], pa.int64()), pa.array([*weights.values(), bias], pa.float64())], ["slot", "w"])
+
+    # The sample is bounded by max_docs and max_chars, so one task fits it; DIMS weights at most come back.
+    found = _encoded(sample, _screened(sample)).repartition(1).mapInArrow(descend, "slot bigint, w double").collect()
+    return {r.slot: r.w for r in found if r.slot is not None}, next(r.w for r in found if r.slot is None)
 
 
 def loss(w: np.ndarray, b: float, y: np.ndarray, bag: np.ndarray, instance: np.ndarray, word: np.ndarray) -> tuple[float, np.ndarray, float]:
