@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import dsp
 from tracelake.operators import recursive as R
+from tracelake.operators import smoothing
+from tracelake.operators import spikes as E
 
 
 def walks(seed, lengths):
@@ -73,3 +75,29 @@ def test_cascade_equals_its_sections():
     again, last = cascade(x[:, 100:], halves[1])
     assert np.abs(np.concatenate([halves[0], again], axis=1) - y).max() < 1e-11
     assert np.abs(last - state).max() < 1e-11
+
+
+def test_missing_frames_are_missing_samples(spark):
+    # k squared without frames 10 and 11: a window that reaches them has no smooth, all others are exact.
+    left = spark.createDataFrame([("a", k, float(k * k)) for k in range(40) if k not in (10, 11)], "roi_id string, frame bigint, value double")
+    for order, mode in ((2, "interp"), (2, "nearest"), (4, "interp")):
+        got = {r.frame: r.value for r in E.savgol(left, 5, order, mode).collect()}
+        assert set(got) == set(range(40)) - {10, 11}
+        for k in range(2, 38):
+            if k not in (10, 11):
+                assert (got[k] is None) if 8 <= k <= 13 else got[k] == pytest.approx(k * k), (order, mode, k)
+    with pytest.raises(Exception, match="there twice"):
+        E.savgol(left.union(left.where("frame = 7")), 5, 2, "nearest").collect()
+
+
+@pytest.mark.parametrize(("window", "order"), [(5, 2), (9, 3), (21, 1), (7, 0)])
+def test_smoothing_in_windows_equals_the_kernel(spark, window, order):
+    traces = walks(6, [300, window, window - 1, window + 1, 64, 65, 1])
+    got = {(r.roi_id, r.frame): r.smooth for r in smoothing.savgol(rows(spark, traces), window, order, block=32).collect()}
+    assert len(got) == sum(map(len, traces.values()))
+    for roi, x in traces.items():
+        own = np.array([got[roi, k] for k in range(len(x))], float)
+        if len(x) < window:
+            assert np.isnan(own).all()
+        else:
+            assert np.allclose(own, dsp.savgol(x, window, order), atol=1e-8)

@@ -117,3 +117,18 @@ def test_changed_frames_are_an_error(spark, tmp_path):
             q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_twin_frames_in_one_batch(spark, tmp_path):
+    schema = "frame bigint, value bigint"
+    spark.createDataFrame([(1, 5), (1, 5), (2, 6), (12, 7)], schema).repartition(3).write.parquet(str(tmp_path / "twins"))
+    spark.createDataFrame([(3, 5), (4, 6), (4, 7)], schema).repartition(3).write.parquet(str(tmp_path / "bad"))
+    for k, name in enumerate(("twins", "bad")):
+        q = incremental.write_blocks(spark.readStream.schema(schema).parquet(str(tmp_path / name)), str(tmp_path / "out"), str(tmp_path / f"cp{k}"), 10).start()
+        if k:
+            with pytest.raises(Exception, match="frame 4 came twice with other content"):
+                q.processAllAvailable()
+        else:
+            q.processAllAvailable()
+        q.stop()
+    assert sorted((r.frame, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 5), (2, 6), (12, 7)]

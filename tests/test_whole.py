@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.operators import event_joins as J
+from tracelake.operators import references as RS
 from tracelake.plans import registry
+from tracelake.sources import tables as T
 
 WIDTH, RANK = 25, 64
 
@@ -158,8 +161,19 @@ def test_traces_of_all_regions(spark, tall, pixels):
 def test_against_reference_has_all_traces(spark, uneven, lists):
     values, errors = lists
     at = lambda roi, f: values[roi][f] if f < len(values[roi]) else None
-    got = {(r.roi_id, r.event_idx, r.offset, r.trace_roi): (r.value, r.reference) for r in registry.QUERIES["against_reference"](spark, uneven).collect()}
+    rows = J.beside_reference(T.traces(spark, uneven), registry._errors(spark, uneven), 0, 1, "0")
+    got = {(r.roi_id, r.event_idx, r.offset, r.trace_roi): (r.value, r.reference) for r in rows.collect()}
     assert got == {(e, k, o, t): (at(t, f + o), at("0", f + o)) for e, frames in errors.items() for k, f in enumerate(frames) for o in (0, 1) for t in values}
+    stats = {(r.trace_roi, r.roi_id, r.offset): r for r in RS.reference_stats(T.traces(spark, uneven), registry._errors(spark, uneven), 0, 1, "0", block=3, span=7).collect()}
+    assert set(stats) == {(t, e, o) for t in values for e in errors if errors[e] for o in (0, 1)}
+    for (t, e, o), r in stats.items():
+        both = np.array([(at(t, f + o), at("0", f + o)) for f in errors[e] if at(t, f + o) is not None and at("0", f + o) is not None], float).reshape(-1, 2)
+        assert r.n == len(both)
+        if r.n:
+            assert np.allclose([r.mean, r.std, r.ref_mean, r.ref_std], [*both.mean(axis=0)[:1], *both.std(axis=0)[:1], *both.mean(axis=0)[1:], *both.std(axis=0)[1:]], atol=1e-5)
+            assert np.isclose(r.cov, np.cov(both.T, bias=True)[0, 1], atol=1e-6)
+        else:
+            assert (r.mean, r.std, r.cov) == (None, None, None)
 
 
 def _grown(seeds, codes, threshold):

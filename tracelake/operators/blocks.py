@@ -3,7 +3,7 @@
 A trace that holds a third of all rows becomes many blocks, each the work of one
 task and a few thousand samples in memory. Kernels that need no more than
 ``halo`` samples on either side give the same values as on the whole trace.
-Frames number the samples of a trace from 0 without gaps.
+Frames number the samples of a trace from 0; a missing frame is a missing sample (NaN) to the kernel.
 """
 
 from __future__ import annotations
@@ -82,9 +82,16 @@ def blockwise(rows: DataFrame, kernel: Kernel, halo: int, column: str = "value",
             own = (frames >= number * block) & (frames < (number + 1) * block)
             if not own.any():
                 continue
-            made = kernel(samples(group[column]), bool(frames[0] == 0), bool(frames[-1] < (number + 1) * block + halo - 1))
+            values, place = samples(group[column]), frames - frames[0]
+            if place[-1] + 1 != len(frames):  # a missing frame is a missing sample
+                if (np.diff(frames) < 1).any():
+                    raise ValueError(f"trace {group['roi_id'][0].as_py()}: a frame is there twice in block {number}")
+                whole = np.full((place[-1] + 1, *values.shape[1:]), np.nan)
+                whole[place] = values
+                values = whole
+            made = kernel(values, bool(frames[0] == 0), bool(frames[-1] < (number + 1) * block + halo - 1))
             made = made if isinstance(made, tuple) else (made,)
             kept = group.filter(pa.array(own))
-            yield pa.RecordBatch.from_arrays([kept["roi_id"].combine_chunks(), kept["frame"].combine_chunks(), *[column_of(m[own]) for m in made]], schema.names)
+            yield pa.RecordBatch.from_arrays([kept["roi_id"].combine_chunks(), kept["frame"].combine_chunks(), *[column_of(m[place][own]) for m in made]], schema.names)
 
     return ordered.mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from tracelake.operators import images as N
 from tracelake.operators import masks as M
 from tracelake.operators import motion as MC
 from tracelake.operators import recursive as RF
+from tracelake.operators import references as RS
 from tracelake.operators import regions as R
 from tracelake.operators import selection as L
 from tracelake.operators import signals as G
@@ -1036,11 +1037,15 @@ def orthogonal_video(spark, sf):
 
 @query(
     BASE
-    + f""", r AS (SELECT DISTINCT roi_id AS trace_roi FROM tr), c AS (SELECT r.trace_roi, e.roi_id, e.event_idx, o.o AS "offset", t.value FROM ea e CROSS JOIN r CROSS JOIN (SELECT unnest(generate_series(0, 1)) AS o) o LEFT JOIN tr t ON t.roi_id = r.trace_roi AND t.frame = e.frame + o.o)
-SELECT a.roi_id, a.event_idx, a."offset", a.trace_roi, {R5('a.value', 'value')}, {R5('b.value', 'reference')} FROM c a JOIN c b ON b.trace_roi = '0' AND b.roi_id = a.roi_id AND b.event_idx = a.event_idx AND b."offset" = a."offset" """
+    + f""", r AS (SELECT DISTINCT roi_id AS trace_roi FROM tr),
+w AS (SELECT e.roi_id, o.o AS "offset", e.frame + o.o AS at, b.value AS ref FROM ea e CROSS JOIN (SELECT unnest(generate_series(0, 1)) AS o) o LEFT JOIN tr b ON b.roi_id = '0' AND b.frame = e.frame + o.o),
+m AS (SELECT t.roi_id AS trace_roi, w.roi_id, w."offset", count(*) AS n, avg(t.value) AS x, stddev_pop(t.value) AS sx, avg(ref) AS r, stddev_pop(ref) AS sr, covar_pop(t.value, ref) AS c FROM w JOIN tr t ON t.frame = w.at WHERE t.value IS NOT NULL AND ref IS NOT NULL GROUP BY ALL)
+SELECT r.trace_roi, g.roi_id, g."offset", coalesce(m.n, 0) AS n, {R5('m.x', 'mean')}, {R5('m.sx', 'std')}, {R5('m.r', 'ref_mean')}, {R5('m.sr', 'ref_std')}, {R5('m.c', 'cov')}
+FROM r CROSS JOIN (SELECT DISTINCT roi_id, "offset" FROM w) g LEFT JOIN m ON m.trace_roi = r.trace_roi AND m.roi_id = g.roi_id AND m."offset" = g."offset" """
 )
 def against_reference(spark, sf):
-    return rounded(J.beside_reference(T.traces(spark, sf), _errors(spark, sf), 0, 1, "0"))
+    """All traces around the events of all rois, compared with the trace of roi 0."""
+    return rounded(RS.reference_stats(T.traces(spark, sf), _errors(spark, sf), 0, 1, "0"))
 
 
 @query(
