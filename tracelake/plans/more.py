@@ -9,6 +9,7 @@ from tracelake.operators import display as D
 from tracelake.operators import event_joins as J
 from tracelake.operators import extract as Y
 from tracelake.operators import extraction as X
+from tracelake.operators import growth as W
 from tracelake.operators import guided as Z
 from tracelake.operators import images as N
 from tracelake.operators import masks as M
@@ -445,3 +446,28 @@ def touched_edges(spark, sf):
 def concatenate(spark, sf):
     named = lambda name, key: T.table(spark, sf, name).select(F.col(key).cast("string").alias("roi_id"), F.lit(10.0).alias("fs"))
     return S.concatenate([named("supplier", "s_suppkey"), named("customer", "c_custkey")])
+
+
+# Growth.
+
+
+def _brightest(spark, sf):
+    """roi_id, row, col: of each label the pixel whose mean over the video is greatest."""
+    px = T.pixel_codes(spark, sf)
+    value = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    best = px.groupBy("roi_id").agg(F.max_by(F.struct("row", "col"), F.struct(value, -F.col("row"), -F.col("col"))).alias("p"))
+    return best.select("roi_id", "p.row", "p.col")
+
+
+@query()
+def adaptive_regions(spark, sf):
+    return rounded(W.adaptive(_brightest(spark, sf), T.pixel_codes(spark, sf), RANK, 0.5), 4)
+
+
+@query()
+def watershed_regions(spark, sf):
+    """The image of the codes' sums, in whole numbers, as basins of the brightest pixels."""
+    value = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    image = T.pixel_codes(spark, sf).select(F.lit("all").alias("picture"), "row", "col", F.round(value * 100).cast("bigint").alias("elevation"))
+    marks = _brightest(spark, sf).select(F.lit("all").alias("picture"), "row", "col", F.col("roi_id").cast("bigint").alias("label"))
+    return W.watershed(image, marks)
