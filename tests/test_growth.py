@@ -43,7 +43,7 @@ def test_adaptive_growth(spark, share, most):
     long = spark.createDataFrame([(i, j, v.tolist()) for (i, j), v in codes.items()], "row int, col int, v array<double>")
     begun = spark.createDataFrame([(roi, i, j, w) for roi, own in seeds.items() for (i, j), w in own.items()], "roi_id string, row int, col int, weight double")
     got = defaultdict(dict)
-    for q in W.adaptive(begun, long, 3, share, most).collect():
+    for q in W.adaptive(begun, long, 3, share, most, tile=4).collect():
         got[q.roi_id][q.row, q.col] = q.weight
     assert set(got) == {"a", "b", "dark"}
     for roi, found in got.items():

@@ -1,12 +1,12 @@
 """Regions that grow: by codes that follow the grown set, and by a watershed as a shortest-path forest.
 
-Growth by codes goes in rounds over all regions at once; a round's work follows the rims of the regions that still grow.
-The watershed is solved in tiles of the image: a tile relaxes its own pixels, then tiles exchange their rims, until
+Growth by codes is a group state of each region, which meets the tiles of codes around it. The watershed is solved in tiles of the image: a tile relaxes its own pixels, then tiles exchange their rims, until
 nothing changes. So an image of any size is many tasks, and rounds are as many as paths cross tiles.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions import arrays as A
 from tracelake.operators.blocks import grouped
 from tracelake.operators.masks import CROSS
 from tracelake.sources.tables import written
@@ -22,59 +21,112 @@ from tracelake.sources.tables import written
 KEYS = ["roi_id", "row", "col"]
 
 
-def _beside(pixels: DataFrame) -> DataFrame:
-    m = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in CROSS[1:]])
-    spread = pixels.select("roi_id", "row", "col", F.explode(m).alias("m"))
-    return spread.select("roi_id", (F.col("row") + F.col("m.r")).alias("row"), (F.col("col") + F.col("m.c")).alias("col")).distinct()
+GROWN = "roi_id string, done boolean, row binary, col binary, weight binary, code binary"
 
 
-def adaptive(seeds: DataFrame, pixels: DataFrame, rank: int, share: float = 0.2, most: int = 10_000) -> DataFrame:
+def _rim(own: set, new: set) -> set:
+    return {(r + a, c + b) for r, c in new for a, b in CROSS[1:]} - own
+
+
+def _asked(own: set, rim: set, tile: int) -> set:
+    """The tiles of a region and its rim, and those around them."""
+    held = {(r // tile, c // tile) for r, c in own | rim}
+    return {(r + a, c + b) for r, c in held for a in (-1, 0, 1) for b in (-1, 0, 1)}
+
+
+def _grow(own: set, code: np.ndarray, codes: dict, there: set, tile: int, share: float, most: int) -> tuple[set, np.ndarray, bool]:
+    """Rounds of growth as far as the tiles that are there reach: the set, its code, and whether it has stopped for good."""
+    rim = _rim(own, own)
+    while len(own) < most:
+        if any((r // tile, c // tile) not in there for r, c in rim):
+            return own, code, False
+        near = [p for p in rim if p in codes]
+        if not near:
+            break
+        p = np.array([codes[q] for q in near]) @ code
+        new = {q for q, x in zip(near, p.tolist(), strict=True) if x > max(0.0, p.max() * share)}
+        if not new:
+            break
+        own |= new
+        code = np.sum([codes[q] for q in sorted(own)], axis=0) / (len(own) + 1e-10)
+        rim = (rim - new) | _rim(own, new)
+    return own, code, True
+
+
+def adaptive(seeds: DataFrame, pixels: DataFrame, rank: int, share: float = 0.2, most: int = 10_000, tile: int = 32) -> DataFrame:
     """roi_id, row, col, weight: regions grown from seeds (roi_id, row, col, weight if there is one) over pixels (row, col, v).
 
-    In each round the pixels beside a region are projected onto its code, and those above ``share`` of the
+    In each round of growth the pixels beside a region are projected onto its code, and those above ``share`` of the
     round's greatest projection (and above 0) join it; then the code is the mean of the grown set. The first code is
     weighted. A region stops when a round adds nothing or when it has ``most`` pixels. Weights are the projections
     onto the last code, 0 at least, at unit length.
+
+    Codes are stored by tiles. A region meets the tiles around it in one task, which holds nothing else, and grows as far as they reach;
+    regions that came to the edge of their tiles meet those around them in another pass. As a region has ``most`` pixels at
+    most (and the last round's more), so has what a task holds a bound.
     """
-    image = written(pixels.select("row", "col", "v"), "image")
+    at = lambda c: F.floor(F.col(c) / tile).cast("int")
+    cells = pixels.select(at("row").alias("tr"), at("col").alias("tc"), F.struct("row", "col", "v").alias("p")).groupBy("tr", "tc").agg(F.collect_list("p").alias("cell"))  # tile * tile pixels at most
+    cells = written(cells, "cells")
     weight = F.col("weight").cast("double") if "weight" in seeds.columns else F.lit(1.0)
-    own = seeds.select("roi_id", "row", "col", weight.alias("weight")).join(image, ["row", "col"]).dropDuplicates(KEYS)
-    sums = lambda factor: F.array(*[F.sum(factor * F.get("v", F.lit(k))) for k in range(rank)])
-    over = lambda array, by: F.transform(array, lambda x: x / (by + 1e-10))
-    first = own.groupBy("roi_id").agg(over(sums(F.col("weight")), F.sum("weight")).alias("code"), sums(F.lit(1.0)).alias("total"), F.count("*").alias("n"))
-    state = written(first.withColumn("grew", F.lit(True)), "codes")
-    rounds = [written(own.select(*KEYS), "grown")]
-    rim = written(_beside(rounds[0]).join(rounds[0], KEYS, "left_anti").join(image, ["row", "col"]).select(*KEYS, "v"), "rim")
-    while True:
-        active = state.where(F.col("grew") & (F.col("n") < most)).select("roi_id", "code")
-        held = written(rim.join(active, "roi_id").select(*KEYS, "v", A.dot("v", "code").alias("p")), "held")
-        peak = held.groupBy("roi_id").agg(F.greatest(F.lit(0.0), F.max("p") * share).alias("least"))
-        new = written(held.join(peak, "roi_id").where("p > least").select(*KEYS, "v"), "grown")
-        if new.isEmpty():
-            break
-        added = new.groupBy("roi_id").agg(sums(F.lit(1.0)).alias("more"), F.count("*").alias("k"))
-        total = F.zip_with("total", "more", lambda x, y: x + y)
-        met = state.join(added, "roi_id", "left")
-        grew = F.col("k").isNotNull()
-        state = written(
-            met.select(
-                "roi_id",
-                F.when(grew, over(total, F.col("n") + F.col("k"))).otherwise(F.col("code")).alias("code"),
-                F.when(grew, total).otherwise(F.col("total")).alias("total"),
-                (F.col("n") + F.coalesce("k", F.lit(0))).alias("n"),
-                grew.alias("grew"),
-            ),
-            "codes",
-        )
-        rounds.append(new.select(*KEYS))
-        known = seeds.sparkSession.read.schema(rounds[0].schema).parquet(*[path for r in rounds for path in r.inputFiles()])
-        fresh = _beside(new).join(known, KEYS, "left_anti").join(image, ["row", "col"]).select(*KEYS, "v")
-        rim = written(held.select(*KEYS, "v").join(new, KEYS, "left_anti").union(fresh).dropDuplicates(KEYS), "rim")
-    whole = seeds.sparkSession.read.schema(rounds[0].schema).parquet(*[path for r in rounds for path in r.inputFiles()])
-    drawn = whole.join(image, ["row", "col"]).join(state.select("roi_id", "code"), "roi_id").select(*KEYS, F.greatest(F.lit(0.0), A.dot("v", "code")).alias("w"))
-    drawn = written(drawn, "drawn")
-    length = drawn.groupBy("roi_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + 1e-10).alias("length"))
-    return drawn.join(length, "roi_id").select(*KEYS, (F.col("w") / F.col("length")).alias("weight"))
+    own = seeds.select("roi_id", "row", "col", weight.alias("weight")).join(pixels.select("row", "col"), ["row", "col"], "left_semi").dropDuplicates(KEYS)
+    names, kinds = [c.split()[0] for c in GROWN.split(", ")], [pa.string(), pa.bool_(), *[pa.binary()] * 4]
+
+    def batch_of(roi, done, own, weights, code):
+        r, c = (np.array([p[k] for p in own], np.int32).tobytes() for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((roi, done, r, c, np.array(weights, float).tobytes(), code.tobytes()), kinds, strict=True)], names)
+
+    def begin(batches):
+        for (roi,), group in grouped(batches, 1):
+            own = list(zip(group["row"].to_pylist(), group["col"].to_pylist(), strict=True))
+            yield batch_of(roi, False, own, group["weight"].to_pylist(), np.zeros(0))
+
+    def pixels_of(raw_rows, raw_cols):
+        return list(zip(np.frombuffer(raw_rows, np.int32).tolist(), np.frombuffer(raw_cols, np.int32).tolist(), strict=True))
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = set(pixels_of(row["row"], row["col"]))
+                tiles = sorted(_asked(own, _rim(own, own), tile))
+                yield pa.RecordBatch.from_arrays([pa.array([row["roi_id"]] * len(tiles), pa.string()), *[pa.array([t[k] for t in tiles], pa.int32()) for k in (0, 1)]], ["roi_id", "tr", "tc"])
+
+    def go_on(batches):
+        for (roi,), group in grouped(batches, 1):
+            rows = group.to_pylist()
+            mine = next((r for r in rows if r["row"] is not None), None)
+            if mine is None:
+                continue
+            codes = {(p["row"], p["col"]): np.array(p["v"], float) for r in rows if r["cell"] is not None for p in r["cell"]}
+            begun, weights, code = pixels_of(mine["row"], mine["col"]), np.frombuffer(mine["weight"]), np.frombuffer(mine["code"])
+            own = set(begun)
+            if not len(code):
+                code = (weights[:, None] * np.array([codes[p] for p in begun])).sum(axis=0) / (weights.sum() + 1e-10)
+            own, code, done = _grow(own, code, codes, _asked(own, _rim(own, own), tile), tile, share, most)
+            drawn = sorted(own)
+            w = np.maximum(np.array([codes[p] for p in drawn]) @ code, 0.0)
+            yield batch_of(roi, done, drawn, w / np.sqrt((w**2).sum() + 1e-10), code)
+
+    dealt = own.select("roi_id", "row", "col", "weight").repartition("roi_id").sortWithinPartitions("roi_id")
+    state, finished = written(dealt.mapInArrow(begin, GROWN), "regions"), []
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    while not state.isEmpty():
+        asked = state.select("roi_id", "row", "col").mapInArrow(ask, "roi_id string, tr int, tc int")
+        told = asked.join(cells, ["tr", "tc"]).select("roi_id", *[nothing("binary", c) for c in names[2:]], "cell")
+        mine = state.select("roi_id", *names[2:], nothing(cells.schema["cell"].dataType, "cell"))
+        met = mine.union(told).repartition("roi_id").sortWithinPartitions("roi_id")
+        grown = written(met.mapInArrow(go_on, GROWN), "regions")
+        finished.append(grown.where("done"))
+        state = grown.where("NOT done")
+
+    def flat(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = pixels_of(row["row"], row["col"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["roi_id"]] * len(own), pa.string()), *[pa.array([p[k] for p in own], pa.int32()) for k in (0, 1)], pa.array(np.frombuffer(row["weight"]))], [*KEYS, "weight"])
+
+    ends = functools.reduce(DataFrame.union, finished, state)
+    return ends.mapInArrow(flat, "roi_id string, row int, col int, weight double")
 
 
 FAR, NONE = np.iinfo(np.int64).max, np.iinfo(np.int64).max
