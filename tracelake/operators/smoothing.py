@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Frames of a block; longer where the window is long.
@@ -29,12 +29,12 @@ def block_of(window: int, block: int = SPAN) -> int:
     return max(block, 4 * window)
 
 
-def power(x, n: int):
-    """x to a small whole power, by products."""
-    out = 1.0
-    for k in range(n):
-        out = x if k == 0 else out * x
-    return out
+def _product(*factors: str) -> str:
+    return " * ".join(f for f in factors if f) or "1D"
+
+
+def _power(x: str, n: int) -> str:
+    return " * ".join([x] * n)
 
 
 def with_smooth(blocks: DataFrame, window: int, order: int, block: int, column: str = "value") -> DataFrame:
@@ -47,24 +47,20 @@ def with_smooth(blocks: DataFrame, window: int, order: int, block: int, column:
     half, powers = window // 2, range(order + 1)
     design = np.vander(np.arange(window) - half, order + 1, increasing=True).astype(float)
     inverse = np.linalg.inv(design.T @ design)
-    part = Window.partitionBy("roi_id", "block")
-    near = part.orderBy("frame").rangeBetween(-half, half)
-    frame, value = F.col("frame"), F.col(column)
-    at = (frame - F.col("block") * block - block // 2).cast("double")
-    about = [F.sum(value * power(at, j)).over(near) for j in powers]  # moments about the block's middle
-    own = [sum((about[i] * power(-at, j - i) * math.comb(j, i) for i in range(1, j + 1)), about[0] * power(-at, j)) for j in powers]
-    moments = F.when(F.count(value).over(near) == window, F.array(*own))
-
-    def read(moments: str, e: Column | float) -> Column:
-        """The polynomial of a window, e samples from its centre."""
-        terms = [sum(float(inverse[i, j]) * power(e, i) for i in powers) * F.get(moments, F.lit(j)) for j in powers]
-        return sum(terms[1:], terms[0])
-
-    told = blocks.withColumns({"_own": moments, "_last": F.max("frame").over(part)})
-    told = told.withColumns({"_first": F.max(F.when(frame == half, F.col("_own"))).over(part), "_end": F.max(F.when(frame == F.col("_last") - half, F.col("_own"))).over(part)})
-    ahead = (frame - F.col("_last") + half).cast("double")
-    found = F.when(frame < half, read("_first", (frame - half).cast("double"))).when(ahead > 0, read("_end", ahead)).otherwise(read("_own", 0.0))
-    return told.withColumn("smooth", found).drop("_own", "_last", "_first", "_end")
+    part = "PARTITION BY roi_id, block"
+    near = f"OVER ({part} ORDER BY frame RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    # Sums about the block's middle, then about the sample itself, then the polynomial's coefficients.
+    about = [f"sum({_product('_x', _power('_at', j))}) {near} AS _m{j}" for j in powers]
+    own = [" + ".join(_product(f"{math.comb(j, i) * (-1) ** (j - i)}D", f"_m{i}", _power("_at", j - i)) for i in range(j + 1)) for j in powers]
+    read = [" + ".join(f"{float(inverse[i, j])!r}D * ({own[j]})" for j in powers) for i in powers]
+    kept = [c for c in blocks.columns if not c.startswith("_")]
+    placed = blocks.selectExpr(*kept, f"cast({column} AS double) AS _x", f"cast(frame - block * {block} - {block // 2} AS double) AS _at")
+    summed = placed.selectExpr(*kept, "_at", f"count(_x) {near} AS _n", *about, f"max(frame) OVER ({part}) AS _last")
+    fitted = summed.selectExpr(*kept, "_last", f"CASE WHEN _n = {window} THEN array({', '.join(read)}) END AS _own")
+    ends = [f"max(CASE WHEN frame = {place} THEN _own END) OVER ({part}) AS {name}" for name, place in (("_first", half), ("_end", f"_last - {half}"))]
+    along = lambda name, e: " + ".join(_product(f"{name}[{j}]", _power(e, j)) for j in powers)
+    found = f"CASE WHEN frame < {half} THEN {along('_first', f'(frame - {half})')} WHEN frame > _last - {half} THEN {along('_end', f'(frame - _last + {half})')} ELSE _own[0] END AS smooth"
+    return fitted.selectExpr(*kept, "_last", "_own", *ends).selectExpr(*kept, found)
 
 
 def savgol(traces: DataFrame, window: int, order: int = 2, column: str = "value", block: int = SPAN) -> DataFrame:

@@ -89,19 +89,21 @@ def detect_spikes(traces: DataFrame, sd_threshold: float, window: int | None = N
     dealt = with_halo(turned, size, block).withColumn("before", F.min("raw").over(at.rangeBetween(-3, -1)))
     flat = with_smooth(dealt, size, 2, block, "raw").withColumn("v", F.col("raw") - F.col("smooth")) if window else dealt.withColumn("v", F.col("raw"))
     rows = flat.where("own").select("roi_id", "block", "frame", "raw", "before", "v")
-    noise = rows.groupBy("roi_id").agg(F.coalesce(F.stddev_pop(F.when(F.col("v") < 0, F.col("v"))), F.stddev_pop("v")).alias("noise"))
-    marked = rows.join(noise, "roi_id").withColumn("above", F.coalesce(F.col("v") > sd_threshold * F.col("noise"), F.lit(False)))
-    began = F.when(F.col("above") & ~F.coalesce(F.lag("above").over(at), F.lit(False)), 1).otherwise(0)
-    islands = marked.withColumn("island", F.sum(began).over(at)).where("above")
-    best = F.struct(F.col("v"), (-F.col("frame")).alias("no"), "frame", "raw", "before", "noise")
-    runs = islands.groupBy("roi_id", "block", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.max(best).alias("best"))
-    by_roi = Window.partitionBy("roi_id").orderBy("first")
-    apart = F.when(F.col("first") == F.lag("last").over(by_roi) + 1, 0).otherwise(1)
-    peaks = runs.withColumn("run", F.sum(apart).over(by_roi)).groupBy("roi_id", "run").agg(F.max("best").alias("p"))
-    amplitude = F.coalesce(F.col("p.raw") - F.col("p.before"), F.lit(0.0))
-    ratio = F.when(F.col("p.noise") > 0, F.try_divide(amplitude, F.col("p.noise"))).otherwise(amplitude)
-    found = peaks.select("roi_id", F.col("p.frame").alias("frame"), amplitude.alias("amplitude"), ratio.alias("sbr"))
-    return found.select("roi_id", (F.row_number().over(_order()) - 1).cast("bigint").alias("event_idx"), "frame", "amplitude", "sbr")
+    noise = rows.groupBy("roi_id").agg(F.expr("coalesce(stddev_pop(CASE WHEN v < 0 THEN v END), stddev_pop(v)) AS noise"))
+    above = f"coalesce(v > {float(sd_threshold)!r}D * noise, false) AS above"
+    marked = rows.join(noise, "roi_id").selectExpr("*", above)
+    over = "OVER (PARTITION BY roi_id, block ORDER BY frame)"
+    began = marked.selectExpr("*", f"CASE WHEN above AND NOT coalesce(lag(above) {over}, false) THEN 1 ELSE 0 END AS began")
+    islands = began.selectExpr("*", f"sum(began) {over} AS island").where("above")
+    # The greatest sample, the first of several: its frame, value, what stands before it, and the noise.
+    best = "max(struct(v, -frame AS no, frame, raw, before, noise)) AS best"
+    runs = islands.groupBy("roi_id", "block", "island").agg(F.expr("min(frame) AS first"), F.expr("max(frame) AS last"), F.expr(best))
+    by_roi = "OVER (PARTITION BY roi_id ORDER BY first)"
+    apart = runs.selectExpr("roi_id", "first", "best", f"CASE WHEN first = lag(last) {by_roi} + 1 THEN 0 ELSE 1 END AS apart")
+    peaks = apart.selectExpr("roi_id", "best", f"sum(apart) {by_roi} AS run").groupBy("roi_id", "run").agg(F.expr("max(best) AS p"))
+    found = peaks.selectExpr("roi_id", "p.frame AS frame", "coalesce(p.raw - p.before, 0D) AS amplitude", "p.noise AS noise")
+    number = "cast(row_number() OVER (PARTITION BY roi_id ORDER BY frame) - 1 AS bigint) AS event_idx"
+    return found.selectExpr("roi_id", number, "frame", "amplitude", "CASE WHEN noise > 0 THEN try_divide(amplitude, noise) ELSE amplitude END AS sbr")
 
 
 def group_bursts(events: DataFrame, interval: int, rois: DataFrame | None = None) -> DataFrame:
