@@ -148,6 +148,20 @@ def test_cover():
     assert len(differences) == S.PERIOD - 1
 
 
+def test_suffix_dedup_with_few_buckets_and_tasks(spark, monkeypatch):
+    # Beyond the buckets that Spark allows a table, and with more key buckets than tasks to sort them.
+    monkeypatch.setattr(S, "TABLE_BYTES", 1000)
+    monkeypatch.setattr(S, "PARTS", 3)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "9")
+    try:
+        texts = repetitive(4)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in S.suffix_dedup(docs, block_bytes=9_000, bucket_bytes=20_000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert [got[k] for k in range(len(texts))] == plain_removal(texts)
+
+
 def test_suffix_edges(spark):
     got = S.suffix_dedup(awkward(spark)).collect()
     assert len(got) == 13

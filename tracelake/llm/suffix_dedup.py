@@ -49,6 +49,8 @@ LENGTH = 200
 PERIOD = 133
 COVER = (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110)
 BLOCK_BYTES = 2 << 20
+#: Tasks that sort buckets, at most.
+PARTS = 20_000
 SLICE = 1 << 18
 BUCKET_BYTES = 6 << 20
 #: Bytes of text in a bucket of the table of blocks.
@@ -169,7 +171,8 @@ def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     rows = texts.mapInArrow(run, "block bigint, ids array<bigint>, sizes binary, digests array<binary>, data binary")
     name = f"packed_{uuid.uuid4().hex}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TABLE_BYTES)
+    # Spark bounds the buckets of a table; a bucket is read block by block, so it may be of any size.
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TABLE_BYTES), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     # A task writes one bucket, so there is one file to each.
     rows.repartition(buckets, "block").write.bucketBy(buckets, "block").sortBy("block").option("path", scratch(spark, "packed")).saveAsTable(name)
     table = spark.table(name)
@@ -254,7 +257,10 @@ def ties(blocks: DataFrame, entries, width: int, buckets: int, *more: str) -> Da
             yield sort_bucket(held)
 
     sent = blocks.select("block", "sizes", "data", *more).mapInArrow(send, "bucket int, block bigint, keys binary, twice binary")
-    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    # Ranges of buckets are dealt to a bounded number of tasks; each sorts its buckets one at a time.
+    parts = min(buckets, PARTS)
+    near = F.expr(f"bucket * {parts}L div {buckets}") if parts < buckets else F.col("bucket")
+    dealt = sent.repartition(parts, near).sortWithinPartitions("bucket", "block")
     told = dealt.mapInArrow(answer, "block bigint, bucket int, bits binary")
     return written(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers")), "ties")
 
