@@ -150,11 +150,16 @@ def trend_fits(binned: DataFrame, metrics: list[str], log: bool = False) -> Data
     return fit.select("roi_id", "metric", F.when(sound, first).alias(names[0]), F.when(sound, second).alias(names[1]), F.when(sound, F.col("r2")).alias("r2"))
 
 
+def _per_roi(traces: DataFrame) -> DataFrame:
+    """traces with _mean and _sd of each roi: partial sums joined back, so no task sees a whole trace."""
+    own = traces.groupBy(F.col("roi_id").alias("_roi")).agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
+    return traces.join(own, F.col("roi_id") == F.col("_roi"))
+
+
 def zscore(traces: DataFrame) -> DataFrame:
     """Per roi, values less their mean over their population deviation; a deviation of 0 counts as 1."""
-    whole = Window.partitionBy("roi_id")
-    std = F.stddev_pop("value").over(whole)
-    return traces.withColumn("value", (F.col("value") - F.avg("value").over(whole)) / F.when(std == 0, 1.0).otherwise(std))
+    found = (F.col("value") - F.col("_mean")) / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))
+    return _per_roi(traces).withColumn("value", found).select(*traces.columns)
 
 
 def dff_median(traces: DataFrame) -> DataFrame:
@@ -165,10 +170,9 @@ def dff_median(traces: DataFrame) -> DataFrame:
 
 def clip_center(traces: DataFrame, deviations: float = 10.0) -> DataFrame:
     """Per roi, values held at mean + deviations, then less their median."""
-    whole = Window.partitionBy("roi_id")
-    top = F.avg("value").over(whole) + deviations * F.stddev_pop("value").over(whole)
-    held = traces.withColumn("value", F.least(F.col("value"), top))
-    return held.withColumn("value", F.col("value") - F.percentile("value", F.lit(0.5)).over(whole))
+    top = F.col("_mean") + deviations * F.col("_sd")
+    held = _per_roi(traces).withColumn("value", F.least(F.col("value"), top)).select(*traces.columns)
+    return held.withColumn("value", F.col("value") - F.percentile("value", F.lit(0.5)).over(Window.partitionBy("roi_id")))
 
 
 def rank_average(rows: DataFrame, by: str = "value", group: str | None = None, ranges: int = 200) -> DataFrame:
