@@ -529,6 +529,6 @@ def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path, which):
 
 
 def test_all_queries_run(spark):
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     for name, f in queries.QUERIES.items():
         assert f(spark, SF).count() > 0, name
