@@ -471,3 +471,42 @@ def watershed_regions(spark, sf):
     image = T.pixel_codes(spark, sf).select(F.lit("all").alias("picture"), "row", "col", F.round(value * 100).cast("bigint").alias("elevation"))
     marks = _brightest(spark, sf).select(F.lit("all").alias("picture"), "row", "col", F.col("roi_id").cast("bigint").alias("label"))
     return W.watershed(image, marks)
+
+
+# Ragged arrays.
+
+
+@query(
+    """SELECT o_custkey, k.k AS bin, count(*) FILTER (o_totalprice < k.a) AS "left", count(*) FILTER (o_totalprice < k.b) AS "right"
+FROM orders CROSS JOIN (VALUES (0, 0, 50000), (1, 50000, 100000), (2, 100000, 200000), (3, 200000, 400000)) AS k(k, a, b) GROUP BY ALL"""
+)
+def ragged_bounds(spark, sf):
+    """Left and right index of each bin of prices in the sorted prices of each customer."""
+    left, right = A.bounds("prices", F.array(*map(F.lit, P._EDGES)))
+    both = F.arrays_zip(left.alias("left"), right.alias("right"))
+    told = P._lists(spark, sf).select("o_custkey", F.posexplode(both).alias("bin", "b"))
+    return told.select("o_custkey", "bin", F.col("b.left").cast("bigint").alias("left"), F.col("b.right").cast("bigint").alias("right"))
+
+
+@query(
+    """SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) - 1 AS place,
+CAST(o_totalprice > 0 AS INT) + CAST(o_totalprice > 50000 AS INT) + CAST(o_totalprice > 100000 AS INT) + CAST(o_totalprice > 200000 AS INT) + CAST(o_totalprice > 400000 AS INT) AS bin FROM orders"""
+)
+def ragged_digitize(spark, sf):
+    bins = A.digitize_list("prices", F.array(*map(F.lit, P._EDGES)))
+    return P._lists(spark, sf).select("o_custkey", F.posexplode(bins).alias("place", "bin")).select("o_custkey", F.col("place").cast("bigint").alias("place"), "bin")
+
+
+@query(
+    """WITH n AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice, o_orderkey) AS i, o_totalprice AS v FROM orders),
+g AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1 AS k FROM g),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2 * k AS before FROM s)
+SELECT o_custkey, CAST(before + i - 1 AS BIGINT) AS place, v AS value FROM n JOIN b USING (o_custkey, o_orderpriority)"""
+)
+def nan_joined(spark, sf):
+    """The prices of each customer's priorities end to end, two NULLs between them; only what is not NULL is listed."""
+    rows = T.table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_totalprice", "o_orderkey"))), lambda x: x["o_totalprice"]).alias("prices"))
+    packed = rows.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderpriority", "prices"))), lambda x: x["prices"]).alias("parts"))
+    whole = packed.select("o_custkey", F.posexplode(A.nan_concat("parts", 2)).alias("place", "value"))
+    return whole.where("value IS NOT NULL").select("o_custkey", F.col("place").cast("bigint").alias("place"), "value")
