@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import connect
 from tracelake.operators import event_joins as J
 from tracelake.operators import references as RS
 from tracelake.plans import registry
@@ -176,6 +177,35 @@ def test_against_reference_has_all_traces(spark, uneven, lists):
             assert (r.mean, r.std, r.cov) == (None, None, None)
 
 
+def test_against_reference_has_each_event(spark, uneven, lists):
+    values, errors = lists
+    at = lambda roi, f: values[roi][f] if f < len(values[roi]) else None
+    got = registry.QUERIES["against_reference"](spark, uneven).collect()
+    want = {(e, k, o, t): (at(t, f + o), at("0", f + o)) for e, frames in errors.items() for k, f in enumerate(frames) for o in (0, 1) for t in values}
+    assert len(got) == len(want) and {(r.roi_id, r.event_idx, r.offset, r.trace_roi): (r.value, r.reference) for r in got} == want
+
+
+def test_sql_of_against_reference_has_each_event():
+    con = connect("/root/testdata/sf0.001")
+    rows = con.execute(f"SELECT count(*), count(DISTINCT (roi_id, event_idx)), count(DISTINCT trace_roi) FROM ({registry.ORACLES['against_reference']})").fetchone()
+    errors, users = con.execute("SELECT count(*) FILTER (event_type = 'error'), count(DISTINCT user_id) FROM events").fetchone()
+    assert rows == (errors * 2 * users, errors, users)
+
+
+@pytest.mark.parametrize("sizes, broadcast", [((2, 3, 50), True), ((1, 1, 7), False), ((), True)])
+def test_beside_reference_in_blocks(spark, uneven, sizes, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(J, "MOST_BROADCAST", 0)
+    traces, errors = T.traces(spark, uneven), registry._errors(spark, uneven)
+    odd = errors.union(spark.createDataFrame([(None, 0, 2), ("none such", 0, 3), ("0", 1000, 5), ("0", 1001, 5)], errors.schema)).union(errors.where("roi_id = '1'").withColumn("event_idx", F.col("event_idx") + 500))
+    short = traces.where("NOT (roi_id = '0' AND frame = 5)").union(spark.createDataFrame([(None, 4, 1.5)], traces.schema))
+    want = J.against_reference(J.cross_windows(short, odd, 2, 1), "0").select("roi_id", "event_idx", "offset", "trace_roi", "value", "reference")
+    got = J.beside_reference(short, odd, 2, 1, "0", *sizes)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert J.beside_reference(short, odd, 2, 1, "no such trace", *sizes).count() == 0
+    assert J.beside_reference(short, odd.limit(0), 2, 1, "0", *sizes).count() == 0
+
+
 def _grown(seeds, codes, threshold):
     """Breadth-first growth; seeds: roi_id -> pixels, codes: pixel -> code."""
     out = set()
