@@ -78,12 +78,19 @@ def folded(index: Column, size: int, mode: str) -> Column:
     return index
 
 
-def convolve_image(v: DataFrame, kernel: list[list[float]], height: int, width: int, rank: int, mode: str = "constant", constant: float = 0.0) -> DataFrame:
-    """Pixel codes convolved by a small kernel of odd size: each pixel gathers its neighbours. Pixels that are not there count as the constant."""
+def convolve_image(v: DataFrame, kernel: list[list[float]], height: int, width: int, rank: int, mode: str = "constant", constant: float = 0.0, fill: bool = False) -> DataFrame:
+    """Pixel codes convolved by a small kernel of odd size: each pixel gathers its neighbours. Pixels that are not there count as the constant.
+
+    They get no row, unless fill is set: then those of the image that a pixel of the table reaches get one too.
+    """
     weights = odd_kernel(kernel)
     hr, hc = weights.shape[0] // 2, weights.shape[1] // 2
     taps = F.array(*[F.struct(F.lit(r - hr).alias("r"), F.lit(c - hc).alias("c"), F.lit(float(w)).alias("w")) for r, line in enumerate(weights) for c, w in enumerate(line) if w])
-    wanted = v.select("row", "col", F.explode(taps).alias("t")).select("row", "col", "t.w", folded(F.col("row") - F.col("t.r"), height, mode).alias("r"), folded(F.col("col") - F.col("t.c"), width, mode).alias("c"))
+    places = v.select("row", "col")
+    if fill:
+        reached = places.select("row", "col", F.explode(taps).alias("t")).select((F.col("row") + F.col("t.r")).alias("row"), (F.col("col") + F.col("t.c")).alias("col"))
+        places = places.union(reached.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))).distinct()
+    wanted = places.select("row", "col", F.explode(taps).alias("t")).select("row", "col", "t.w", folded(F.col("row") - F.col("t.r"), height, mode).alias("r"), folded(F.col("col") - F.col("t.c"), width, mode).alias("c"))
     other = v.select(F.col("row").alias("r"), F.col("col").alias("c"), "v")
     found = wanted.join(other, ["r", "c"], "left")
     sums = F.array(*[F.sum(F.col("w") * F.coalesce(F.get("v", F.lit(k)), F.lit(float(constant)))) for k in range(rank)])

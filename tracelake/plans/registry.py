@@ -998,7 +998,7 @@ SELECT r + dr AS "row", c + dc AS col, k, {R5('sum(x * w)', 'x')} FROM e CROSS J
 )
 def spatial_convolution(spark, sf):
     kernel = [[0.0625, 0.0625, 0.0625], [0.0625, 0.5, 0.0625], [0.0625, 0.0625, 0.0625]]
-    found = N.convolve_image(T.pixel_codes(spark, sf), kernel, _height(spark, sf), WIDTH, RANK).select("row", "col", F.posexplode("v").alias("k", "x"))
+    found = N.convolve_image(T.pixel_codes(spark, sf), kernel, _height(spark, sf), WIDTH, RANK, fill=True).select("row", "col", F.posexplode("v").alias("k", "x"))
     return rounded(found.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("k").cast("bigint").alias("k"), "x"))
 
 
