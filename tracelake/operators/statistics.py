@@ -51,15 +51,16 @@ def classify_events(traces: DataFrame, events: DataFrame, n_near: int, n_mean: i
     """events with n_neighbors, mean_diff and label: BS where others are within n_near frames, else SS-ADP or SS-noADP by the sign of mean_diff.
 
     mean_diff is the mean of the last n_mean samples of the window of n_near frames to either side of an
-    event, less that of its first n_mean; samples outside of the trace are left out. A rise is an ADP;
+    event, less that of its first n_mean; samples outside of the trace are left out. Both are added up from the event
+    outwards, so that the sign of a difference near 0 does not depend on the order in which rows come. A rise is an ADP;
     inverted takes a fall for one, as fits indicators that go down.
     """
     if n_mean > 2 * n_near + 1:
         raise ValueError("n_mean exceeds the window")
     near = count_neighbors(events, n_near)
-    mean = lambda inside: F.avg(F.when(inside, F.col("value")))
-    change = mean(F.col("offset") > n_near - n_mean) - mean(F.col("offset") < n_mean - n_near)
-    means = event_windows(traces, events, n_near, n_near).groupBy("roi_id", "event_idx").agg(change.alias("mean_diff"))
+    before, after = F.reverse(F.slice("window", 1, n_mean)), F.slice("window", -n_mean, n_mean)
+    change = A.array_mean(after) - A.array_mean(before)
+    means = per_event(event_windows(traces, events, n_near, n_near)).select("roi_id", "event_idx", change.alias("mean_diff"))
     rise = F.col("mean_diff") < 0 if inverted else F.col("mean_diff") > 0
     label = F.when(F.col("n_neighbors") > 0, "BS").when(rise, "SS-ADP").otherwise("SS-noADP")
     return near.join(means, ["roi_id", "event_idx"], "left").select("roi_id", "event_idx", "frame", "n_neighbors", "mean_diff", label.alias("label"))
