@@ -168,6 +168,19 @@ def test_guided_svd(spark):
     assert np.linalg.norm(made - movie) < 0.02 * np.linalg.norm(movie)
 
 
+def test_guided_svd_of_codes(spark):
+    """The basis of a low-rank video is that of its pictures."""
+    r = np.random.default_rng(8)
+    u, v = r.standard_normal((150, 4)).cumsum(axis=0), r.standard_normal((40, 4))
+    video = LowRank(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(u)], "frame bigint, u array<double>"), spark.createDataFrame([(k // 8, k % 8, x.tolist()) for k, x in enumerate(v)], "row int, col int, v array<double>"), 4)
+    feet = spark.createDataFrame([("a" if k % 8 < 4 else "b", k // 8, k % 8) for k in range(40)], "roi_id string, row int, col int")
+    options = {"sizes": (3,), "hops": (2,), "windows": (40, 10), "clusters": 2, "rank": 8, "least": 3}
+    low, whole = Z.guided_svd(video, feet, **options), Z.guided_svd(V.reconstruct(video.u, video.v), feet, **options)
+    assert np.allclose(low[1][:4], whole[1][:4]) and np.allclose(low[1][4:], 0, atol=1e-4)
+    made = [np.array([x.u for x in q.orderBy("frame").collect()]) * s @ np.array([x.v for x in p.orderBy("row", "col").collect()]).T for q, s, p in (low, whole)]
+    assert np.allclose(*made, atol=1e-6)
+
+
 def test_array_svd(spark):
     movie = rng.standard_normal((60, 5, 6)).cumsum(axis=0)
     frames = spark.createDataFrame([(k, r, c, float(movie[k, r, c])) for k in range(60) for r in range(5) for c in range(6)], "frame bigint, row int, col int, value double")

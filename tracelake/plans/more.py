@@ -211,9 +211,8 @@ def corrected_video(spark, sf):
 def guided_basis(spark, sf):
     """Singular values of the video in a basis that its regions guide to."""
     video = _video(spark, sf)
-    frames = V.reconstruct(video.u, video.v)
     regions = T.pixel_codes(spark, sf).select("roi_id", "row", "col")
-    _, s, _ = Z.guided_svd(frames, regions, sizes=(5, 3), hops=(3, 2), windows=(200, 50), clusters=3, rank=12, least=5)
+    _, s, _ = Z.guided_svd(video, regions, sizes=(5, 3), hops=(3, 2), windows=(200, 50), clusters=3, rank=12, least=5)
     return rounded(spark.createDataFrame(list(enumerate(map(float, s))), "k bigint, s double"), 3)
 
 
