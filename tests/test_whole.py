@@ -237,3 +237,19 @@ def test_grown_regions_of_the_table(spark, tall, pixels):
         seeds.setdefault(roi, set()).add(at)
     got = [(r.roi_id, r.row, r.col) for r in registry.QUERIES["grown_regions"](spark, tall).collect()]
     assert len(got) == len(set(got)) and set(got) == _grown(seeds, {at: v for at, (v, _) in pixels.items()}, 0.05)
+
+
+@pytest.mark.parametrize("span", [4096, 16])
+def test_sums_of_blocks_are_not_shuffled(spark, uneven, span):
+    """Means over events in small blocks, in one span and in many; the sums of one span are the result as they leave their task."""
+    traces, events = T.traces(spark, uneven), T.events(spark, uneven, "error")
+    found = J.cross_means(traces, events, 1, 2, block=2, span=span)
+    plain = J.cross_windows(traces, events, 1, 2).groupBy("trace_roi", "roi_id", "offset").agg(F.avg("value").alias("mean"))
+    rows = lambda df: sorted((r.trace_roi, r.roi_id, r.offset, None if r.mean is None else round(r.mean, 9)) for r in df.collect())
+    assert rows(found) == rows(plain)
+    if span == 4096:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("MapInArrow")]
+    wanted, same = RS.reference_stats(traces, events, 0, 1, "0"), RS.reference_stats(traces, events, 0, 1, "0", block=2, span=span)
+    told = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else -1 if x is None else x for x in r) for r in df.collect())
+    assert told(wanted) == told(same)
